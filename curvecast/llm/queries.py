@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, url_filter
+from . import chat, decontaminate, quality, sharding, url_filter
 from .common import ensure, table
 
 
@@ -15,6 +15,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensure(table(spark, sf_dir, "documents"), doc_id="long", text="string")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")
@@ -25,14 +29,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "chunk_share")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = ensure(table(spark, sf_dir, "pages"), page_id="long", url="string")
     return url_filter.filter_urls(pages, url_filter.RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_sharding": op3_sharding,
     "op6_quality_rules": op6_quality_rules,
+    "op7_decontamination": op7_decontamination,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -56,4 +66,14 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM numbered LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (n)
 """
 
-ORACLES: dict[str, str] = {"op10_url_filter": _OP10}
+_OP2 = """
+WITH t AS (
+  SELECT conv_id, list(coalesce(role, '') || chr(1) || coalesce(text, '') ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns,
+         string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS text
+  FROM conversations GROUP BY conv_id
+), whole AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(text) AS text FROM t GROUP BY turns),
+prefixes AS (SELECT DISTINCT turns[1:k] AS turns FROM t, LATERAL (SELECT unnest(range(1, len(turns))) AS k) AS u)
+SELECT conv_id, len(turns) AS n_turns, n_copies, text FROM whole WHERE turns NOT IN (SELECT turns FROM prefixes)
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_formatting": _OP2, "op10_url_filter": _OP10}
