@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, pii, quality, sharding, url_filter
+from . import chat, decontaminate, html_extract, pii, quality, sharding, url_filter
 from .common import ensure, table
 
 
@@ -15,6 +15,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensure(table(spark, sf_dir, "documents"), doc_id="long", text="string")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(ensure(table(spark, sf_dir, "pages"), page_id="long", url="string", html="string"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -43,6 +47,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_sharding": op3_sharding,
     "op5_pii": op5_pii,
