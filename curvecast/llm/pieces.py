@@ -115,46 +115,50 @@ def _unit_starts(c: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return new | (since % MAX_UNIT == 0)
 
 
-def _lattice(p: Pieces, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the distinct units that lie end to end in c: for each code point, the running sums over
+def _lattice(p: Pieces, c: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct units, longest first, that lie end to end in c: for each place (all units' first
+    places, then all second ones, ...; the last result has where each starts) the running sums over
     the lengths of pieces that end there of forward weight times piece weight, and those pieces."""
-    n, most = len(c), p.longest
-    unit = np.repeat(np.arange(len(starts)), ends - starts)
-    left = ends[unit] - np.arange(n)
-    weight = np.zeros((n, most))
-    piece = np.full((n, most), -1, dtype=np.int32)
+    n = len(c)
+    tops = np.cumsum(sizes)
+    unit = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    off = np.arange(n) - np.repeat(tops - sizes, sizes)
+    per = np.bincount(off)  # how many units have a place so far on: they are the first ones
+    base = np.concatenate([[0], np.cumsum(per)])
+    row_of = base[off] + unit
+    left = np.repeat(tops, sizes) - np.arange(n)
+    found = []
     act, h = np.arange(n), np.zeros(n, U64)
-    for k in range(most):
+    for k in range(p.longest):
         h = p.extend(h, c[act + k])
         row = p.find(h)
         ids = p.ids[row]
         hit = (row >= 0) & (ids >= 0)
         if k == 0:
             hit &= c != _SIGN
-            bare = np.flatnonzero(~hit)
-            weight[bare, 0] = p.fallback
-            piece[bare, 0] = p.size + c[bare].astype(np.int32)
-        at = act[hit] + k
-        weight[at, k] = p.weights[ids[hit]]
-        piece[at, k] = ids[hit]
+        found.append((row_of[act[hit] + k], ids[hit]))
         on = (row >= 0) & (left[act] > k + 1)
         act, h = act[on], h[on]
         if not len(act):
             break
-    off = np.arange(n) - starts[unit]
-    forward = np.ones(n + len(starts) + most)
-    node = np.arange(n) + unit + 1 + most  # forward[node] belongs to the place after the code point
-    order = np.argsort(off, kind="stable")
-    cuts = np.searchsorted(off[order], np.arange(off.max() + 2)) if n else [0]
-    back = np.arange(1, most + 1)
-    for t in range(len(cuts) - 1):
-        at = order[cuts[t] : cuts[t + 1]]
-        width = min(most, t + 1)
-        sums = np.cumsum(weight[at, :width] * forward[node[at][:, None] - back[:width]], axis=1)
-        weight[at, :width] = sums
-        weight[at, width:] = sums[:, -1:]
-        forward[node[at]] = sums[:, -1]
-    return weight, piece
+    while len(found) > 1 and not len(found[-1][0]):
+        found.pop()
+    most = len(found)  # the longest piece that occurs here
+    weight = np.zeros((n, most))
+    piece = np.full((n, most), -1, dtype=np.int32)
+    weight[:, 0] = p.fallback
+    piece[row_of, 0] = c.astype(np.int32) + p.size
+    for k, (at, ids) in enumerate(found):
+        weight[at, k] = p.weights[ids]
+        piece[at, k] = ids
+    forward = np.zeros((len(sizes), most + len(per)))
+    forward[:, most - 1] = 1.0  # column most + t is the sum over paths that end with place t
+    for t, m in enumerate(per.tolist()):
+        sums = weight[base[t] : base[t + 1]]
+        sums *= forward[:m, t : t + most][:, ::-1]
+        np.cumsum(sums, axis=1, out=sums)
+        forward[:m, most + t] = sums[:, -1]
+    return weight, piece, base
 
 
 def _sample(p: Pieces, c: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,11 +169,15 @@ def _sample(p: Pieces, c: np.ndarray, starts: np.ndarray, ends: np.ndarray, plac
         total = np.concatenate([np.zeros(1, U64), np.cumsum((c.astype(U64) + U64(1)) * _PLACE[off], dtype=U64)])
         name = mix64((total[ends] - total[starts]) + size.astype(U64))
     _, first, same = np.unique(name, return_index=True, return_inverse=True)
+    order = np.argsort(-size[first], kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    first, which = first[order], rank[same]
     sizes = size[first]
     tops = np.cumsum(sizes)
     own = np.repeat(starts[first] - (tops - sizes), sizes) + np.arange(tops[-1])
-    sums, piece = _lattice(p, c[own], tops - sizes, tops)
-    who, low, at = np.arange(len(starts)), (tops - sizes)[same], tops[same] - 1
+    sums, piece, base = _lattice(p, c[own], sizes)
+    who, at = np.arange(len(starts)), size - 1
     with np.errstate(over="ignore"):
         stream = mix64(key + place.astype(U64) * U64(0x632BE59BD9B4E019))
     taken, drawn = [], []
@@ -178,14 +186,15 @@ def _sample(p: Pieces, c: np.ndarray, starts: np.ndarray, ends: np.ndarray, plac
     while len(who):
         with np.errstate(over="ignore"):
             u = (mix64(stream[who] + U64(step) * _STEP) >> U64(11)).astype(np.float64) * 2.0**-53
-        rows = sums[at]
+        row = base[at] + which[who]
+        rows = sums[row]
         k = (rows <= (u * rows[:, -1])[:, None]).sum(axis=1)
         taken.append(who)
-        drawn.append(piece[at, k])
+        drawn.append(piece[row, k])
         count[who] += 1
         at = at - k - 1
-        on = at >= low
-        who, at, low = who[on], at[on], low[on]
+        on = at >= 0
+        who, at = who[on], at[on]
         step += 1
     last = np.cumsum(count)
     out = np.empty(last[-1], dtype=np.int32)
