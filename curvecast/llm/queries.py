@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, pii, quality, sharding, url_filter
+from . import chat, decontaminate, html_extract, jaccard, pieces, pii, quality, sharding, url_filter
 from .common import ensure, table
 
 
@@ -28,6 +28,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(_documents(spark, sf_dir))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_documents(spark, sf_dir), with_text=False)
 
@@ -41,6 +45,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = ensure(table(spark, sf_dir, "pages"), page_id="long", url="string")
     return url_filter.filter_urls(pages, url_filter.RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -50,9 +58,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_sharding": op3_sharding,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
 }
 
