@@ -12,7 +12,8 @@ in groups of up to SMALL documents are enough for every document that has more o
 are allowed. For the others ("thin" documents, mostly made of shared parts) only their rarest
 shared parts are needed, and there the group compares with one leader at a time: as the Jaccard
 distance is a metric, what is not even half similar to the leader links with none of the leader's
-partners. What two leaders leave over is compared in blocks by matrix products. No link between
+partners; a leader's half-similar family is compared in blocks by matrix products. What a few
+rounds of leaders leave over is sifted by sketches, again in blocks, and verified. No link between
 different sets is lost and no cap is set; equal sets are one node and never expand into pairs.
 
 Null and empty texts have no set and link with nothing; repeated rows are copies and share a
@@ -34,9 +35,11 @@ from .common import U64, mix64, partitions, settle
 SHINGLE, NUMER, DENOM = 5, 75, 100
 #: Groups of so many documents compare all with all; larger ones go by leaders.
 SMALL = 8
-#: Sides of the blocks in which what two leaders leave over is compared.
-BLOCK = 2000
+#: Rounds of leaders, and the sides of the blocks in which families are compared.
+ROUNDS, BLOCK = 4, 2000
 CHUNK_BYTES = 1 << 21
+#: Part keys that a task packs at once.
+PACK = 1_500_000
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -165,32 +168,54 @@ def _chunked(texts: list) -> Iterator[list[np.ndarray]]:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), n, node of each document row, with what its set needs later:
-    blank-free parts in its bands (e0, e1) and the short sketch."""
+    """doc_id, th (hash of the text), n, node and short sketch of each document row."""
     named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node, e0, e1, short = [], [], [], [], []
+            n, node, short = [], [], []
             for h in _chunked(b.column(2).to_pylist()):
                 n.append(len(h))
                 node.append(node_id(h) if len(h) else None)
-                e = [len(part_keys(h, k)) for k, _ in bands(len(h))] if len(h) else []
-                e0.append(e[0] if e else 0)
-                e1.append(e[1] if len(e) > 1 else 0)
                 short.append(sketch(h) if len(h) else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(e0, pa.int32()), pa.array(e1, pa.int32()), pa.array(short, pa.binary())], names=["doc_id", "th", "n", "node", "e0", "e1", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(short, pa.binary())], names=["doc_id", "th", "n", "node", "sketch"])
 
-    return named.mapInArrow(run, "doc_id long, th long, n long, node long, e0 int, e1 int, sketch binary")
+    return named.mapInArrow(run, "doc_id long, th long, n long, node long, sketch binary")
 
 
 def _emit(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, keys, who: the part keys of all sets by bucket, packed; a task sends a set once."""
+    """bucket, keys, who, nodes, parts: the part keys of all sets by bucket, packed; a task sends a
+    set once. parts: how many keys each node has.
+
+    A bucket is known by a key's top bits, so five bytes of the rest are kept of each (a chance
+    match of the rest is sifted out like any other candidate), and two bytes for its set's place
+    in nodes.
+    """
+
+    def packed(k: np.ndarray, w: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        to = ((k >> U64(40)) * U64(buckets)) >> U64(24)
+        order = np.argsort(to.astype(np.uint32), kind="stable")
+        k, w, to = k[order], w[order], to[order]
+        cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+        ends = np.append(cut[1:], len(to))
+        short = np.ascontiguousarray(k.view(np.uint8).reshape(-1, 8)[:, :5])
+        parts = np.bincount(w, minlength=len(nodes)).astype(np.int32)
+        used = [np.unique(w[x:y]) for x, y in zip(cut, ends, strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(to[cut].astype(np.int32)),
+                pa.array([short[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary()),
+                pa.array([np.searchsorted(u, w[x:y]).astype(np.uint16).tobytes() for u, x, y in zip(used, cut, ends, strict=True)], pa.binary()),
+                pa.array([nodes[u].tobytes() for u in used], pa.binary()),
+                pa.array([parts[u].tobytes() for u in used], pa.binary()),
+            ],
+            names=["bucket", "keys", "who", "nodes", "parts"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
+        keys, who, nodes, load = [], [], [], 0
         for b in batches:
-            keys, who = [], []
             for h in _chunked(b.column(0).to_pylist()):
                 if not len(h) or (node := node_id(h)) in sent:
                     continue
@@ -198,40 +223,42 @@ def _emit(docs: DataFrame, buckets: int) -> DataFrame:
                 for up, (band, _) in enumerate(bands(len(h))):
                     k = part_keys(h, band)
                     keys.append(k)
-                    who.append(np.full(len(k), node | up, dtype=np.int64))
+                    who.append(np.full(len(k), len(nodes)))
+                    nodes.append(node | up)
+                    load += len(k)
+                if load >= PACK or len(nodes) >= 60_000:
+                    yield packed(np.concatenate(keys), np.concatenate(who), np.array(nodes, dtype=np.int64))
+                    keys, who, nodes, load = [], [], [], 0
             if len(sent) > 1_000_000:
                 sent.clear()
-            if not keys:
-                continue
-            k, w = np.concatenate(keys), np.concatenate(who)
-            to = ((k >> U64(40)) * U64(buckets)) >> U64(24)
-            order = np.argsort(to.astype(np.uint32), kind="stable")
-            k, w, to = k[order], w[order], to[order]
-            cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            ends = np.append(cut[1:], len(to))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to[cut].astype(np.int32)), pa.array([k[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary()), pa.array([w[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary())],
-                names=["bucket", "keys", "who"],
-            )
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, keys binary, who binary")
+        if keys:
+            yield packed(np.concatenate(keys), np.concatenate(who), np.array(nodes, dtype=np.int64))
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, keys binary, who binary, nodes binary, parts binary")
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Of one bucket: all pairs of small groups (key null), and the members of large ones."""
-    k = np.concatenate([np.frombuffer(x, U64) for x in table.column("keys").to_pylist()])
-    w = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("who").to_pylist()])
-    order = np.argsort(k, kind="stable")
-    k, w = k[order], w[order]
+    short = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, 5)
+    k = np.zeros(len(short), U64)
+    k.view(np.uint8).reshape(-1, 8)[:, :5] = short
+    del short
+    who, nodes = [np.frombuffer(x, np.uint16) for x in table.column("who").to_pylist()], table.column("nodes").to_pylist()
+    w = np.concatenate([np.frombuffer(n, np.int64)[x] for x, n in zip(who, nodes, strict=True)])
+    e = np.concatenate([np.frombuffer(n, np.int32)[x] for x, n in zip(who, table.column("parts").to_pylist(), strict=True)])
+    del who, nodes
+    k |= U64(table.column("bucket")[0].as_py()) << U64(40)
+    order = np.argsort(k)
+    k, w, e = k[order], w[order], e[order]
     twin = np.zeros(len(k), dtype=bool)
     twin[1:] = k[1:] == k[:-1]
     twin[:-1] |= twin[1:]
-    k, w = k[twin], w[twin]  # a key that occurs once joins nothing
+    k, w, e = k[twin], w[twin], e[twin]  # a key that occurs once joins nothing
     order = np.lexsort((w, k))
-    k, w = k[order], w[order]
+    k, w, e = k[order], w[order], e[order]
     if len(k):
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])])  # several tasks may have sent a set
-        k, w = k[new], w[new]
+        k, w, e = k[new], w[new], e[new]
     start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(k)))
     left, right = [], []
@@ -251,6 +278,7 @@ def _meet(table: pa.Table) -> pa.Table:
         "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.array(w[big] & 1)]),
         "key": pa.concat_arrays([none, pa.array(k[big].view(np.int64))]),
         "size": pa.concat_arrays([none, pa.array(np.repeat(size, size)[big].astype(np.int64))]),
+        "parts": pa.concat_arrays([none, pa.array(e[big].astype(np.int64))]),
     })
 
 
@@ -276,15 +304,11 @@ def _sets(docs: DataFrame, narrow: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).join(one, "th", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
         for b in batches:
-            sets = [h for h in _chunked(b.column(0).to_pylist()) if len(h)]
-            ids = [node_id(h) for h in sets]
-            rows = [(i, h.tobytes()) for i, h in zip(ids, sets, strict=True) if not (i in sent or sent.add(i))]
+            rows = [(node_id(h), h.tobytes()) for h in _chunked(b.column(0).to_pylist()) if len(h)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "members"])
 
-    # Copies of a text are in one partition after the join, so each wanted set comes once.
-    return texts.select("text").mapInArrow(run, "node long, members binary")
+    return texts.dropDuplicates(["th"]).select("text").mapInArrow(run, "node long, members binary")
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -318,12 +342,11 @@ def _thin_members(large: DataFrame, nodes: DataFrame) -> DataFrame:
     widest = F.expr(f"{DENOM} * n div {NUMER}")
     other = F.when(F.col("up") == 0, F.least(widest, F.expr("shiftleft(1L, length(bin(n))) - 1"))).otherwise(widest)
     both = F.col("n") + other  # as bands() has it
-    shared = large.select(F.col("a").alias("node"), F.col("b").alias("up"), "key", "size")
-    counted = shared.groupBy("node", "up").agg(F.count(F.lit(1)).alias("s"))
+    shared = large.select(F.col("a").alias("node"), F.col("b").alias("up"), "key", "size", "parts")
+    counted = shared.groupBy("node", "up").agg(F.count(F.lit(1)).alias("s"), F.max("parts").alias("e"))
     need = (
-        counted.join(nodes.select("node", "n", "e0", "e1"), "node")
+        counted.join(nodes.select("node", "n"), "node")
         .withColumn("d", both - 2 * F.ceil(NUMER * both / (NUMER + DENOM)))
-        .withColumn("e", F.when(F.col("up") == 0, F.col("e0")).otherwise(F.col("e1")))
         .where(F.col("e") - F.col("s") <= F.col("d"))  # else enough parts are in small groups
         .withColumn("take", F.col("s") - F.greatest(F.col("e") - F.col("d"), F.lit(1)) + 1)
         .where(F.col("take") > 0)
@@ -333,17 +356,23 @@ def _thin_members(large: DataFrame, nodes: DataFrame) -> DataFrame:
     return shared.join(need, ["node", "up"]).withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= F.col("take")).select("key", "node").distinct()
 
 
-def _led(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of each group's members with its leader, and the members still to be compared."""
+def _led(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of the members of groups with their leaders, the leaders' families (who is at least
+    half similar to one; only where some are and don't link), and the members that remain.
+
+    Two members of a family are compared there unless both link with its leader. What is less than
+    half similar to the leader can't link with the leader's partners; so it remains, with those
+    that are half similar and don't link.
+    """
     groups = members.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("g")).where(F.col("g") > 1)
-    pairs = members.join(groups, "key").where(F.col("node") != F.col("leader"))
+    pairs = members.join(groups, "key").where(F.col("node") != F.col("leader")).select("key", "leader", "node")
     measured = settle(_measure(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets))
-    graded = measured.select(F.col("a").alias("leader"), F.col("b").alias("node"), _is_link().alias("link"), (~_is_link() & _is_link(50)).alias("border"))
-    rows = pairs.join(graded, ["leader", "node"])
-    mixed = rows.groupBy("key").agg(F.max("border").alias("any_border"))
-    # With partners of the leader in doubt all its group is compared again; else only the others.
-    rest = rows.join(mixed, "key").where(~F.col("link") | F.col("any_border")).select("key", "node")
-    return measured.where(_is_link()).select("a", "b"), settle(rest)
+    graded = measured.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.when(_is_link(), 2).when(_is_link(50), 1).otherwise(0).alias("grade"))
+    near = graded.where("grade > 0")
+    family = near.join(near.where("grade = 1").select("leader").distinct(), "leader", "left_semi").select(F.col("leader").alias("key"), "node", (F.col("grade") == 2).alias("led"))
+    rest = pairs.join(graded, ["leader", "node"]).where("grade < 2")
+    far = rest.groupBy("key").agg(F.min("grade").alias("least")).where("least = 0")
+    return measured.where(_is_link()).select("a", "b"), family, settle(rest.join(far, "key", "left_semi").select("key", "node"))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -365,13 +394,13 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
 
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links inside a pair of blocks (a forest of them), by a product of membership matrices."""
-    pdf = pdf.drop_duplicates(["side", "node"])
+    """Links between two blocks of a family (a forest of them), by a product of membership matrices."""
     sets = [np.frombuffer(m, U64) for m in pdf["members"]]
     size = np.array([len(s) for s in sets])
     value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), size)
-    left, right = np.flatnonzero(pdf["side"].to_numpy() <= 0), np.flatnonzero(pdf["side"].to_numpy() != 0)
+    side, led = pdf["side"].to_numpy(), pdf["led"].to_numpy()
+    left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)
     common = np.zeros((len(left), len(right)), dtype=np.float32)
     shared = np.flatnonzero(count > 1)
     place = np.full(len(value), -1)
@@ -382,22 +411,33 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.zeros((len(sets), min(4096, len(shared) - at)), dtype=np.float32)
         x[row[own], column[own] - at] = 1
         common += x[left] @ x[right].T
-    i, j = np.nonzero(DENOM * common >= NUMER * (size[left][:, None] + size[right][None, :] - common))
+    link = (DENOM * common >= NUMER * (size[left][:, None] + size[right][None, :] - common)) & ~(led[left][:, None] & led[right][None, :])
     node = pdf["node"].to_numpy()
+    i, j = np.nonzero(link)
     a, b = node[left[i]], node[right[j]]
-    keep = _forest(a, b)
+    keep = np.array(_forest(a, b), dtype=np.int64)
     return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
 
 
-def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the members of each group, every pair of blocks of it in a task of its own."""
-    one = members.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same")).where(F.col("g") > 1)
-    once = one.groupBy("g", "same").agg(F.min("key").alias("key"))  # groups of the same members
-    dealt = members.join(once.select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("k")), "key").withColumn("x", F.pmod(F.xxhash64("node", F.lit(3)), F.col("k")).cast("int"))
-    sided = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "key", "node", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") == F.col("y"), -1).when(F.col("x") < F.col("y"), 0).otherwise(1).alias("side")
-    )
-    return sided.join(sets, "node").groupBy("key", "x", "y").applyInPandas(_block_links, "a long, b long").distinct()
+def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs between two blocks of a group that size and sketches allow."""
+    left, right = pdf[pdf["side"] <= 0], pdf[pdf["side"] != 0]
+    out = [
+        (min(x, y), max(x, y))
+        for x, m, s in zip(left["node"], left["n"], left["sketch"], strict=True)
+        for y, n, t in zip(right["node"], right["n"], right["sketch"], strict=True)
+        if x != y and DENOM * min(m, n) >= NUMER * max(m, n) and hamming(s, t) <= most_errors(m, n)
+    ]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """members (key, node, more) dealt out so that each pair of blocks of a group has a task: x, y
+    and side (-1: both, where x = y; 0: of x; 1: of y)."""
+    size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_k"))
+    dealt = members.join(size, "key").withColumn("_x", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_k")).cast("int")).withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    side = F.when(F.col("_x") == F.col("_y"), -1).when(F.col("_x") < F.col("_y"), 0).otherwise(1)
+    return dealt.withColumns({"x": F.least("_x", "_y"), "y": F.greatest("_x", "_y"), "side": side}).drop("_k", "_x", "_y")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -418,21 +458,28 @@ def components(links: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, narrow: DataFrame) -> DataFrame:
     """a, b: links between different sets, enough of them to connect all that are linked."""
     spark = docs.sparkSession
-    nodes = settle(narrow.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "e0", "e1", "sketch")]))
+    nodes = settle(narrow.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch")]))
     members = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(4 * partitions(spark), members // 1_000_000)
-    met = settle(_emit(docs, buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long, key long, size long"))
+    met = settle(_emit(docs, buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long, key long, size long, parts long"))
     pairs = settle(_sift(met.where("key is null").select("a", "b").distinct(), nodes))
     thin = settle(_thin_members(met.where("key is not null"), nodes))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(thin.select("node")).distinct()
     sets = settle(_sets(docs, narrow, wanted))
-    links = _measure(pairs, sets).where(_is_link()).select("a", "b")
-    for _ in range(2):
+    links, families = _measure(pairs, sets).where(_is_link()).select("a", "b"), None
+    for _ in range(ROUNDS):
         if thin.isEmpty():
-            return links
-        more, thin = _led(thin, sets)
-        links = links.union(more)
-    return links if thin.isEmpty() else links.union(_in_blocks(thin, sets))
+            break
+        more, family, thin = _led(thin, sets)
+        links, families = links.union(more), family if families is None else families.union(family)
+    if families is not None:
+        dealt = _in_blocks(families.groupBy("key", "node").agg(F.max("led").alias("led")), BLOCK).join(sets, "node")
+        links = links.union(dealt.groupBy("key", "x", "y").applyInPandas(_block_links, "a long, b long"))
+    if not thin.isEmpty():
+        dealt = _in_blocks(thin, BLOCK // 8).join(nodes.select("node", "n", "sketch"), "node")
+        left = settle(dealt.groupBy("key", "x", "y").applyInPandas(_block_pairs, "a long, b long").distinct())
+        links = links.union(_measure(left, sets).where(_is_link()).select("a", "b"))
+    return links
 
 
 def classes(docs: DataFrame, narrow: DataFrame | None = None) -> DataFrame:
