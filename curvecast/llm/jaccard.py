@@ -12,8 +12,8 @@ in groups of up to SMALL documents are enough for every document that has more o
 are allowed. For the others ("thin" documents, mostly made of shared parts) only their rarest
 shared parts are needed, and there the group compares with one leader at a time: as the Jaccard
 distance is a metric, what is not even half similar to the leader links with none of the leader's
-partners; a leader's half-similar family is compared in blocks by matrix products. What a few
-rounds of leaders leave over is sifted by sketches, again in blocks, and verified. No link between
+partners; a leader's half-similar family, and what a few rounds of leaders leave over, is compared
+in blocks by matrix products. No link between
 different sets is lost and no cap is set; equal sets are one node and never expand into pairs.
 
 Null and empty texts have no set and link with nothing; repeated rows are copies and share a
@@ -36,7 +36,7 @@ SHINGLE, NUMER, DENOM = 5, 75, 100
 #: Groups of so many documents compare all with all; larger ones go by leaders.
 SMALL = 8
 #: Rounds of leaders, and the sides of the blocks in which families are compared.
-ROUNDS, BLOCK = 4, 2000
+ROUNDS, BLOCK = 1, 2000
 CHUNK_BYTES = 1 << 21
 #: Part keys that a task packs at once.
 PACK = 1_500_000
@@ -282,17 +282,17 @@ def _meet(table: pa.Table) -> pa.Table:
     })
 
 
-def _sift(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of the candidate pairs those that size and sketches allow."""
+def _sift(pairs: DataFrame, nodes: DataFrame, share: int = NUMER) -> DataFrame:
+    """Of the candidate pairs those that size and sketches allow to be similar by `share` hundredths."""
     info = nodes.select("node", "n", "sketch")
     one = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = pairs.join(one, "a").join(two, "b").where((DENOM * F.least("na", "nb") >= NUMER * F.greatest("na", "nb")))
+    near = pairs.join(one, "a").join(two, "b").where(DENOM * F.least("na", "nb") >= share * F.greatest("na", "nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(4)]
-            keep = [hamming(x, y) <= most_errors(m, n) for m, n, x, y in zip(*cols, strict=True)]
+            keep = [hamming(x, y) <= most_errors(m, n, share) for m, n, x, y in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(4), b.column(5)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return near.select("na", "nb", "sa", "sb", "a", "b").mapInArrow(run, "a long, b long")
@@ -334,7 +334,8 @@ def _is_link(share: int = NUMER) -> Column:
 
 
 def _thin_members(large: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, node: for each thin document the rarest of its widely shared parts that it needs.
+    """key, node, score: for each thin document the rarest of its widely shared parts that it
+    needs; score: how many documents share its parts, the most for what copies were made from.
 
     With e parts, of which s widely shared, and at most d errors, partners that don't meet in a
     small group share at least e - d of the s; so they meet in one of the s - (e - d) + 1 rarest.
@@ -343,36 +344,42 @@ def _thin_members(large: DataFrame, nodes: DataFrame) -> DataFrame:
     other = F.when(F.col("up") == 0, F.least(widest, F.expr("shiftleft(1L, length(bin(n))) - 1"))).otherwise(widest)
     both = F.col("n") + other  # as bands() has it
     shared = large.select(F.col("a").alias("node"), F.col("b").alias("up"), "key", "size", "parts")
-    counted = shared.groupBy("node", "up").agg(F.count(F.lit(1)).alias("s"), F.max("parts").alias("e"))
+    counted = shared.groupBy("node", "up").agg(F.count(F.lit(1)).alias("s"), F.max("parts").alias("e"), F.sum("size").alias("score"))
     need = (
         counted.join(nodes.select("node", "n"), "node")
         .withColumn("d", both - 2 * F.ceil(NUMER * both / (NUMER + DENOM)))
         .where(F.col("e") - F.col("s") <= F.col("d"))  # else enough parts are in small groups
         .withColumn("take", F.col("s") - F.greatest(F.col("e") - F.col("d"), F.lit(1)) + 1)
         .where(F.col("take") > 0)
-        .select("node", "up", "take")
+        .select("node", "up", "take", "score")
     )
     rarest = Window.partitionBy("node", "up").orderBy("size", "key")
-    return shared.join(need, ["node", "up"]).withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= F.col("take")).select("key", "node").distinct()
+    return shared.join(need, ["node", "up"]).withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= F.col("take")).groupBy("key", "node").agg(F.max("score").alias("score"))
 
 
-def _led(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links of the members of groups with their leaders, the leaders' families (who is at least
-    half similar to one; only where some are and don't link), and the members that remain.
+def _led(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of the members of groups with their leaders (those of most score), the leaders'
+    families (who is at least half similar to one; only where some are and don't link), and the
+    members that remain.
 
     Two members of a family are compared there unless both link with its leader. What is less than
     half similar to the leader can't link with the leader's partners; so it remains, with those
     that are half similar and don't link.
     """
-    groups = members.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("g")).where(F.col("g") > 1)
-    pairs = members.join(groups, "key").where(F.col("node") != F.col("leader")).select("key", "leader", "node")
-    measured = settle(_measure(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets))
-    graded = measured.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.when(_is_link(), 2).when(_is_link(50), 1).otherwise(0).alias("grade"))
-    near = graded.where("grade > 0")
-    family = near.join(near.where("grade = 1").select("leader").distinct(), "leader", "left_semi").select(F.col("leader").alias("key"), "node", (F.col("grade") == 2).alias("led"))
-    rest = pairs.join(graded, ["leader", "node"]).where("grade < 2")
+    pairs = _with_leaders(members).where(F.col("node") != F.col("leader"))
+    near = _sift(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, 50)
+    measured = settle(_measure(near, sets))
+    graded = measured.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.when(_is_link(), 2).when(_is_link(50), 1).otherwise(0).alias("grade")).where("grade > 0")
+    family = graded.join(graded.where("grade = 1").select("leader").distinct(), "leader", "left_semi").select(F.col("leader").alias("key"), "node", (F.col("grade") == 2).alias("led"))
+    rest = pairs.join(graded, ["leader", "node"], "left").withColumn("grade", F.coalesce("grade", F.lit(0))).where("grade < 2")
     far = rest.groupBy("key").agg(F.min("grade").alias("least")).where("least = 0")
-    return measured.where(_is_link()).select("a", "b"), family, settle(rest.join(far, "key", "left_semi").select("key", "node"))
+    return measured.where(_is_link()).select("a", "b"), family, settle(rest.join(far, "key", "left_semi").select("key", "node", "score"))
+
+
+def _with_leaders(members: DataFrame) -> DataFrame:
+    """key, node, score, leader; groups of one member fall away."""
+    groups = members.groupBy("key").agg(F.max(F.struct("score", "node"))["node"].alias("leader"), F.count(F.lit(1)).alias("g")).where(F.col("g") > 1)
+    return members.join(groups.drop("g"), "key")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -419,25 +426,18 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
 
 
-def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs between two blocks of a group that size and sketches allow."""
-    left, right = pdf[pdf["side"] <= 0], pdf[pdf["side"] != 0]
-    out = [
-        (min(x, y), max(x, y))
-        for x, m, s in zip(left["node"], left["n"], left["sketch"], strict=True)
-        for y, n, t in zip(right["node"], right["n"], right["sketch"], strict=True)
-        if x != y and DENOM * min(m, n) >= NUMER * max(m, n) and hamming(s, t) <= most_errors(m, n)
-    ]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
 def _in_blocks(members: DataFrame, block: int) -> DataFrame:
-    """members (key, node, more) dealt out so that each pair of blocks of a group has a task: x, y
-    and side (-1: both, where x = y; 0: of x; 1: of y)."""
-    size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_k"))
-    dealt = members.join(size, "key").withColumn("_x", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_k")).cast("int")).withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    """members (key, node, led) dealt out so that each pair of blocks of a family has a task: x, y
+    and side (-1: both, where x = y; 0: of x; 1: of y). Blocks of those that link with the leader
+    only meet the others' blocks, so a family costs its size times that of its doubtful part."""
+    blocks = lambda led: F.ceil(F.count_if(F.col("led") == led) / block).cast("int")
+    size = members.groupBy("key").agg(blocks(F.lit(False)).alias("_kb"), blocks(F.lit(True)).alias("_kl"))
+    spread = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int")
+    own = F.when(F.col("led"), F.col("_kb") + spread(F.greatest("_kl", F.lit(1)))).otherwise(spread(F.greatest("_kb", F.lit(1))))
+    last = F.when(F.col("led"), F.col("_kb") - 1).otherwise(F.col("_kb") + F.col("_kl") - 1)
+    dealt = members.join(size.where("_kb > 0"), "key").withColumn("_x", own).withColumn("_y", F.explode(F.sequence(F.lit(0), last)))
     side = F.when(F.col("_x") == F.col("_y"), -1).when(F.col("_x") < F.col("_y"), 0).otherwise(1)
-    return dealt.withColumns({"x": F.least("_x", "_y"), "y": F.greatest("_x", "_y"), "side": side}).drop("_k", "_x", "_y")
+    return dealt.withColumns({"x": F.least("_x", "_y"), "y": F.greatest("_x", "_y"), "side": side}).drop("_kb", "_kl", "_x", "_y")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -470,16 +470,14 @@ def links_of(docs: DataFrame, narrow: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         if thin.isEmpty():
             break
-        more, family, thin = _led(thin, sets)
+        more, family, thin = _led(thin, nodes, sets)
         links, families = links.union(more), family if families is None else families.union(family)
-    if families is not None:
-        dealt = _in_blocks(families.groupBy("key", "node").agg(F.max("led").alias("led")), BLOCK).join(sets, "node")
-        links = links.union(dealt.groupBy("key", "x", "y").applyInPandas(_block_links, "a long, b long"))
-    if not thin.isEmpty():
-        dealt = _in_blocks(thin, BLOCK // 8).join(nodes.select("node", "n", "sketch"), "node")
-        left = settle(dealt.groupBy("key", "x", "y").applyInPandas(_block_pairs, "a long, b long").distinct())
-        links = links.union(_measure(left, sets).where(_is_link()).select("a", "b"))
-    return links
+    if families is None:
+        return links
+    # What remains is one family for each leader it would have: parts with the same leader meet once.
+    families = families.union(_with_leaders(thin).select(F.col("leader").alias("key"), "node", F.lit(False).alias("led")))
+    dealt = _in_blocks(families.groupBy("key", "node").agg(F.min("led").alias("led")), BLOCK).join(sets, "node")
+    return links.union(dealt.groupBy("key", "x", "y").applyInPandas(_block_links, "a long, b long"))
 
 
 def classes(docs: DataFrame, narrow: DataFrame | None = None) -> DataFrame:
