@@ -38,6 +38,8 @@ SMALL = 8
 #: Rounds of leaders, and the sides of the blocks in which families are compared.
 ROUNDS, BLOCK = 1, 2000
 CHUNK_BYTES = 1 << 21
+#: Bits of the filter that spares texts a shuffle (4 MB; used up to one hash in 16 bits).
+FILTER_BITS = 1 << 25
 #: Part keys that a task packs at once.
 PACK = 1_500_000
 _SPACES = np.zeros(256, dtype=bool)
@@ -183,38 +185,50 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     return named.mapInArrow(run, "doc_id long, th long, n long, node long, sketch binary")
 
 
-def _emit(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, keys, who, nodes, parts: the part keys of all sets by bucket, packed; a task sends a
-    set once. parts: how many keys each node has.
+def _shares(narrow: DataFrame, least: int) -> dict[int, tuple[int, int]]:
+    """Of each size band (a few dozen at most): its first bucket and how many it gets, in proportion
+    to its parts; so a set only goes to the buckets of its own bands."""
+    own, wide = F.length(F.bin("n")) - 1, F.length(F.bin(F.expr(f"{DENOM} * n div {NUMER}"))) - 1
+    both = F.explode(F.when(wide > own, F.array(own, own + 1)).otherwise(F.array(own)))
+    load = {r[0]: r[1] for r in narrow.where("n > 0").select(both.alias("band"), "n").groupBy("band").agg(F.sum("n")).collect()}
+    unit = max(1, min(2_000_000, sum(load.values()) // least))
+    out, first = {}, 0
+    for band in sorted(load):
+        out[band] = (first, -(-load[band] // unit))
+        first += out[band][1]
+    return out
+
+
+def _emit(docs: DataFrame, shares: dict[int, tuple[int, int]]) -> DataFrame:
+    """bucket, keys, nodes, counts, parts: the part keys of all sets by bucket, packed; a task sends a
+    set once. nodes, counts: whose the keys are, in order; parts: how many keys each node has in all.
 
-    A bucket is known by a key's top bits, so five bytes of the rest are kept of each (a chance
-    match of the rest is sifted out like any other candidate), and two bytes for its set's place
-    in nodes.
+    A bucket is known by a key's top bits, so four bytes of the rest are kept of each: a chance
+    match of the rest is sifted out like any other candidate.
     """
 
-    def packed(k: np.ndarray, w: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        to = ((k >> U64(40)) * U64(buckets)) >> U64(24)
-        order = np.argsort(to.astype(np.uint32), kind="stable")
-        k, w, to = k[order], w[order], to[order]
+    def packed(k: np.ndarray, to: np.ndarray, w: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        parts = np.bincount(w, minlength=len(nodes)).astype(np.int32)
+        order = np.argsort(to, kind="stable")  # the keys of a node stay together
+        k, w, to = k[order].astype(np.uint32), w[order], to[order]
         cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
         ends = np.append(cut[1:], len(to))
-        short = np.ascontiguousarray(k.view(np.uint8).reshape(-1, 8)[:, :5])
-        parts = np.bincount(w, minlength=len(nodes)).astype(np.int32)
-        used = [np.unique(w[x:y]) for x, y in zip(cut, ends, strict=True)]
+        own = [np.unique(w[x:y], return_counts=True) for x, y in zip(cut, ends, strict=True)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(to[cut].astype(np.int32)),
-                pa.array([short[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary()),
-                pa.array([np.searchsorted(u, w[x:y]).astype(np.uint16).tobytes() for u, x, y in zip(used, cut, ends, strict=True)], pa.binary()),
-                pa.array([nodes[u].tobytes() for u in used], pa.binary()),
-                pa.array([parts[u].tobytes() for u in used], pa.binary()),
+                pa.array([k[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary()),
+                pa.array([nodes[u].tobytes() for u, _ in own], pa.binary()),
+                pa.array([c.astype(np.int32).tobytes() for _, c in own], pa.binary()),
+                pa.array([parts[u].tobytes() for u, _ in own], pa.binary()),
             ],
-            names=["bucket", "keys", "who", "nodes", "parts"],
+            names=["bucket", "keys", "nodes", "counts", "parts"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        keys, who, nodes, load = [], [], [], 0
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        load = 0
         for b in batches:
             for h in _chunked(b.column(0).to_pylist()):
                 if not len(h) or (node := node_id(h)) in sent:
@@ -222,32 +236,29 @@ def _emit(docs: DataFrame, buckets: int) -> DataFrame:
                 sent.add(node)
                 for up, (band, _) in enumerate(bands(len(h))):
                     k = part_keys(h, band)
-                    keys.append(k)
-                    who.append(np.full(len(k), len(nodes)))
-                    nodes.append(node | up)
+                    first, n = shares[band]
+                    held[0].append(k)
+                    held[1].append(first + ((k >> U64(40)) * U64(n) >> U64(24)).astype(np.int64))
+                    held[2].append(np.full(len(k), len(held[3])))
+                    held[3].append(node | up)
                     load += len(k)
-                if load >= PACK or len(nodes) >= 60_000:
-                    yield packed(np.concatenate(keys), np.concatenate(who), np.array(nodes, dtype=np.int64))
-                    keys, who, nodes, load = [], [], [], 0
+                if load >= PACK:
+                    yield packed(*(np.concatenate(x) for x in held[:3]), np.array(held[3], dtype=np.int64))
+                    held, load = ([], [], [], []), 0
             if len(sent) > 1_000_000:
                 sent.clear()
-        if keys:
-            yield packed(np.concatenate(keys), np.concatenate(who), np.array(nodes, dtype=np.int64))
+        if load:
+            yield packed(*(np.concatenate(x) for x in held[:3]), np.array(held[3], dtype=np.int64))
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, keys binary, who binary, nodes binary, parts binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, keys binary, nodes binary, counts binary, parts binary")
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Of one bucket: all pairs of small groups (key null), and the members of large ones."""
-    short = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, 5)
-    k = np.zeros(len(short), U64)
-    k.view(np.uint8).reshape(-1, 8)[:, :5] = short
-    del short
-    who, nodes = [np.frombuffer(x, np.uint16) for x in table.column("who").to_pylist()], table.column("nodes").to_pylist()
-    w = np.concatenate([np.frombuffer(n, np.int64)[x] for x, n in zip(who, nodes, strict=True)])
-    e = np.concatenate([np.frombuffer(n, np.int32)[x] for x, n in zip(who, table.column("parts").to_pylist(), strict=True)])
-    del who, nodes
-    k |= U64(table.column("bucket")[0].as_py()) << U64(40)
+    joined = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+    count = joined("counts", np.int32)
+    w, e = np.repeat(joined("nodes", np.int64), count), np.repeat(joined("parts", np.int32), count)
+    k = joined("keys", np.uint32).astype(U64) | U64(table.column("bucket")[0].as_py()) << U64(32)
     order = np.argsort(k)
     k, w, e = k[order], w[order], e[order]
     twin = np.zeros(len(k), dtype=bool)
@@ -298,10 +309,42 @@ def _sift(pairs: DataFrame, nodes: DataFrame, share: int = NUMER) -> DataFrame:
     return near.select("na", "nb", "sa", "sb", "a", "b").mapInArrow(run, "a long, b long")
 
 
+def _bitmap(hashes: DataFrame, column: str) -> np.ndarray | None:
+    """A bitmap of FILTER_BITS bits with one set for each hash; None where there are too many."""
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = hashes.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod({column}, 32) AS INT))")).alias("b"))
+    if hashes.count() > FILTER_BITS // 16:
+        return None
+    out = np.zeros(FILTER_BITS // 32, dtype=np.int64)
+    for w, b in words.toLocalIterator():
+        out[w] = b
+    return out
+
+
+def _likely(texts: DataFrame, bitmap: np.ndarray | None, keep: bool = True) -> DataFrame:
+    """Rows of texts (column th) whose bit is set (keep) or isn't. Without a bitmap all may be set."""
+    if bitmap is None:
+        return texts if keep else texts.where("false")
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    at = texts.columns.index("th")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            th = b.column(at).to_numpy(zero_copy_only=False)
+            bit = th & (FILTER_BITS - 1)
+            found = (shared.value[bit >> 5] >> (bit & 31)) & 1 == 1
+            yield b.filter(pa.array(found == keep))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 def _sets(docs: DataFrame, narrow: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its set (little-endian hashes) for the wanted nodes, each from one document."""
-    one = narrow.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")).select("th").distinct()
-    texts = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).join(one, "th", "left_semi")
+    """node and its set (little-endian hashes) for the wanted nodes, each from one document.
+
+    A bitmap of fixed size keeps most other texts out of the shuffle; the join is exact without it.
+    """
+    one = settle(narrow.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")).select("th").distinct())
+    texts = _likely(docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")), _bitmap(one, "th")).join(one, "th", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -459,9 +502,7 @@ def links_of(docs: DataFrame, narrow: DataFrame) -> DataFrame:
     """a, b: links between different sets, enough of them to connect all that are linked."""
     spark = docs.sparkSession
     nodes = settle(narrow.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch")]))
-    members = nodes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(4 * partitions(spark), members // 1_000_000)
-    met = settle(_emit(docs, buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long, key long, size long, parts long"))
+    met = settle(_emit(docs, _shares(nodes, 2 * partitions(spark))).groupBy("bucket").applyInArrow(_meet, "a long, b long, key long, size long, parts long"))
     pairs = settle(_sift(met.where("key is null").select("a", "b").distinct(), nodes))
     thin = settle(_thin_members(met.where("key is not null"), nodes))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(thin.select("node")).distinct()
@@ -492,10 +533,20 @@ def classes(docs: DataFrame, narrow: DataFrame | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class: that of the least (doc_id, text hash); those without words stay."""
-    found = classes(docs).where("n_shingles > 0")
-    # A class is known by its least id; classes without any id go by their node's text instead.
-    heads = settle(found.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("th"), F.col("th").cast("string"))).alias("_c")).agg(F.min(F.struct("doc_id", "th")).alias("_h")).select("_h.doc_id", "_h.th"))
-    marked = docs.withColumn("_th", F.xxhash64("text")).withColumn("_w", F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False)))
-    kept = marked.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d._th") == F.col("h.th")), "left_semi").where("_w").dropDuplicates(["doc_id", "_th"])
-    return kept.select(*docs.columns).unionByName(marked.where("not _w").select(*docs.columns))
+    """One document of each class: that of the least (doc_id, text hash); those without words stay.
+
+    Only texts of classes of several rows are shuffled to find their heads; others pass.
+    """
+    found = settle(classes(docs).where("n_shingles > 0"))
+    # A class is known by its least id; classes without any id go by their text instead.
+    name = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("th"), F.col("th").cast("string"))).alias("_c")
+    heads = settle(found.groupBy(name).agg(F.min(F.struct("doc_id", "th")).alias("_h"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_c", "_h.doc_id", "_h.th"))
+    several = settle(found.select(name, "th").join(heads.select("_c"), "_c", "left_semi").select("th").distinct())
+    bitmap = _bitmap(several, "th")
+    marked = docs.select("*", F.xxhash64("text").alias("th")) if "th" not in docs.columns else docs.withColumnRenamed("th", "_own_th").withColumn("th", F.xxhash64("text"))
+    own = [c for c in marked.columns if c != "th"]
+    out_of_class = _likely(marked, bitmap, keep=False).select(*own)
+    likely = _likely(marked, bitmap)
+    alone = likely.join(several, "th", "left_anti").select(*own)
+    kept = likely.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.th") == F.col("h.th")), "left_semi").dropDuplicates(["doc_id", "th"]).select(*own)
+    return out_of_class.unionByName(alone).unionByName(kept).toDF(*docs.columns)
