@@ -400,29 +400,50 @@ def _thin_members(large: DataFrame, nodes: DataFrame) -> DataFrame:
     return shared.join(need, ["node", "up"]).withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= F.col("take")).groupBy("key", "node").agg(F.max("score").alias("score"))
 
 
-def _led(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links of the members of groups with their leaders (those of most score), the leaders'
-    families (who is at least half similar to one; only where some are and don't link), and the
-    members that remain.
-
-    Two members of a family are compared there unless both link with its leader. What is less than
-    half similar to the leader can't link with the leader's partners; so it remains, with those
-    that are half similar and don't link.
+def _led(members: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """More links, families (key: a leader) and members still to be compared, of groups and the
+    links known so far.
+
+    Each member is compared with the leader (that of most score) of its groups: first with the one
+    of most score of all, and then with those that this hasn't connected it to. A family are those
+    that are half similar to a leader, or connected with it; two of them are to be compared unless
+    both link with the leader. What is less than half similar to it can't link with the leader's
+    partners; so it remains, with those that don't link with the leader themselves.
     """
-    pairs = _with_leaders(members).where(F.col("node") != F.col("leader"))
-    near = _sift(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, 50)
-    measured = settle(_measure(near, sets))
-    graded = measured.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.when(_is_link(), 2).when(_is_link(50), 1).otherwise(0).alias("grade")).where("grade > 0")
-    family = graded.join(graded.where("grade = 1").select("leader").distinct(), "leader", "left_semi").select(F.col("leader").alias("key"), "node", (F.col("grade") == 2).alias("led"))
+    pairs = settle(_with_leaders(members).where(F.col("node") != F.col("leader")))
+    each = pairs.groupBy("leader", "node").agg(F.max("leader_score").alias("leader_score"))
+    best = each.groupBy("node").agg(F.max(F.struct("leader_score", "leader"))["leader"].alias("leader"))
+    columns = (F.col("leader").alias("a"), F.col("node").alias("b"))
+    first = settle(_measure(_sift(best.select(*columns), nodes, 50), sets))
+    apart = settle(_apart(each.join(best, ["leader", "node"], "left_anti"), components(links.union(first.where(_is_link()).select("a", "b")))))
+    more = settle(_measure(_sift(apart.where("apart").select(*columns), nodes, 50), sets))
+    measured = first.union(more)
+    grade = F.when(_is_link(), 2).when(_is_link(50), 1).otherwise(0)
+    graded = measured.select(F.col("a").alias("leader"), F.col("b").alias("node"), grade.alias("grade")).union(apart.where("not apart").select("leader", "node", F.lit(1)))
+    family = graded.where("grade > 0").select(F.col("leader").alias("key"), "node", (F.col("grade") == 2).alias("led"))
     rest = pairs.join(graded, ["leader", "node"], "left").withColumn("grade", F.coalesce("grade", F.lit(0))).where("grade < 2")
     far = rest.groupBy("key").agg(F.min("grade").alias("least")).where("least = 0")
     return measured.where(_is_link()).select("a", "b"), family, settle(rest.join(far, "key", "left_semi").select("key", "node", "score"))
 
 
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """pairs (leader, node) with whether links so far leave them in two components."""
+    one, two = label.select(F.col("node").alias("leader"), F.col("label").alias("_x")), label.select("node", F.col("label").alias("_y"))
+    both = pairs.join(one, "leader", "left").join(two, "node", "left")
+    return both.select("leader", "node", (F.coalesce("_x", "leader") != F.coalesce("_y", "node")).alias("apart"))
+
+
+def _divided(families: DataFrame, label: DataFrame) -> DataFrame:
+    """The families whose members aren't all in one component yet."""
+    at = families.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = at.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
+    return at.join(split.select("key"), "key", "left_semi").select("key", "node", "led")
+
+
 def _with_leaders(members: DataFrame) -> DataFrame:
     """key, node, score, leader; groups of one member fall away."""
-    groups = members.groupBy("key").agg(F.max(F.struct("score", "node"))["node"].alias("leader"), F.count(F.lit(1)).alias("g")).where(F.col("g") > 1)
-    return members.join(groups.drop("g"), "key")
+    groups = members.groupBy("key").agg(F.max(F.struct("score", "node")).alias("_l"), F.count(F.lit(1)).alias("g")).where(F.col("g") > 1)
+    return members.join(groups.select("key", F.col("_l.node").alias("leader"), F.col("_l.score").alias("leader_score")), "key")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -507,17 +528,18 @@ def links_of(docs: DataFrame, narrow: DataFrame) -> DataFrame:
     thin = settle(_thin_members(met.where("key is not null"), nodes))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(thin.select("node")).distinct()
     sets = settle(_sets(docs, narrow, wanted))
-    links, families = _measure(pairs, sets).where(_is_link()).select("a", "b"), None
+    links, families = settle(_measure(pairs, sets).where(_is_link()).select("a", "b")), None
     for _ in range(ROUNDS):
         if thin.isEmpty():
             break
-        more, family, thin = _led(thin, nodes, sets)
-        links, families = links.union(more), family if families is None else families.union(family)
+        more, family, thin = _led(thin, nodes, sets, links)
+        links, families = settle(links.union(more)), family if families is None else families.union(family)
     if families is None:
         return links
     # What remains is one family for each leader it would have: parts with the same leader meet once.
     families = families.union(_with_leaders(thin).select(F.col("leader").alias("key"), "node", F.lit(False).alias("led")))
-    dealt = _in_blocks(families.groupBy("key", "node").agg(F.min("led").alias("led")), BLOCK).join(sets, "node")
+    families = settle(families.groupBy("key", "node").agg(F.min("led").alias("led")))
+    dealt = _in_blocks(settle(_divided(families, components(links))), BLOCK).join(sets, "node")
     return links.union(dealt.groupBy("key", "x", "y").applyInPandas(_block_links, "a long, b long"))
 
 
