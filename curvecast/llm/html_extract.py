@@ -354,9 +354,16 @@ def fit(pages: list[tuple[Dom, list[int]]]) -> dict:
 
 
 def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> dict:
-    """The model, trained on the pages of least hash (at most `sample` of at most SAMPLE_CHARS)."""
-    chosen = pages.select(F.col(f"`{html}`").cast("string").alias("h")).where(F.length("h").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("h"), "h").limit(sample)
-    return fit(labelled_pages([r[0] for r in chosen.collect()]))
+    """The model, trained on the pages of least hash (at most `sample` of at most SAMPLE_CHARS).
+
+    Hashes alone are ranked first, so what tasks send to the driver doesn't grow with their pages.
+    """
+    likely = pages.select(F.col(f"`{html}`").cast("string").alias("h")).where(F.length("h").between(1, SAMPLE_CHARS)).withColumn("k", F.xxhash64("h"))
+    least = [r[0] for r in likely.select("k").distinct().orderBy("k").limit(sample).collect()]
+    if not least:
+        return fit(labelled_pages([]))
+    chosen = likely.where(F.col("k").isin(least)).groupBy("k").agg(F.min("h").alias("h")).orderBy("k")
+    return fit(labelled_pages([r["h"] for r in chosen.collect()]))
 
 
 def extract_pages(pages: DataFrame, model: dict | None = None) -> DataFrame:
