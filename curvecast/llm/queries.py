@@ -101,4 +101,17 @@ prefixes AS (SELECT DISTINCT turns[1:k] AS turns FROM t, LATERAL (SELECT unnest(
 SELECT conv_id, len(turns) AS n_turns, n_copies, text FROM whole WHERE turns NOT IN (SELECT turns FROM prefixes)
 """
 
-ORACLES: dict[str, str] = {"op2_chat_formatting": _OP2, "op10_url_filter": _OP10}
+_OP9 = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, doc_id, list_filter(string_split_regex(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM d),
+s AS (SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, 2))) AS i) AS u WHERE len(ws) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n AS i ON i.r = x JOIN n AS j ON j.r = y WHERE 100 * c >= 75 * (i.n + j.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(x, y) AS (SELECT r, r FROM d UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.r = d.r JOIN reach ON reach.x = d.r JOIN d AS o ON o.r = reach.y GROUP BY d.r, d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op9_jaccard_join": _OP9, "op2_chat_formatting": _OP2, "op10_url_filter": _OP10}
