@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curvecast.functions import curves as C
 from curvecast.operators import bands as B
 from curvecast.operators import envelope as E
-from curvecast.operators import fpca, fuse, hist, scores, tuning
+from curvecast.operators import fpca, fuse, hist, prep, scores, tuning
 from curvecast.plans import fixtures as X
 from curvecast.plans.q_flow import _BUCKET, _DQ_SET, _MBD_SET, _SETS, _buckets, _trim_sql
 from curvecast.plans.q_prep import _cdf_sql
@@ -437,11 +437,50 @@ def fpca_partial_day(spark, sf):
 @query("stream_dynamic_update", sql_rounded("SELECT user_id % 10 AS asset, CAST(ts AS DATE) AS day, CAST(hour(ts) AS INTEGER) AS tau, sum(value) AS f FROM events GROUP BY ALL HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)", "f", "asset day tau", 4))
 def stream_dynamic_update(spark, sf):
     """Hours that the watermark has closed, as the stream's micro-batches append them."""
-    schema = X.t(spark, sf, "events").schema
-    source, out = new_path(spark), new_path(spark)
-    # The file source reads folders: the table is written once as a few files in order of time.
-    X.t(spark, sf, "events").repartitionByRange(4, "ts").write.parquet(source)
-    stream = spark.readStream.schema(schema).parquet(source).select((F.col("user_id") % 10).alias("asset"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    updates.run_updates(stream, out, new_path(spark))
-    rows = spark.read.schema("asset long, start timestamp, f double").parquet(f"{out}/*")
+    out = new_path(spark)
+    updates.run_updates(_stream(spark, sf), out, new_path(spark))
+    rows = spark.read.schema("asset long, start timestamp, f double, batch long").parquet(f"{out}/hours")
     return rounded(rows.select("asset", F.to_date("start").alias("day"), F.hour("start").alias("tau"), "f"), 4)
+
+
+def _stream(spark, sf):
+    """The events table as a stream of files, a few at a time, in order of time."""
+    schema, source = X.t(spark, sf, "events").schema, new_path(spark)
+    X.t(spark, sf, "events").repartitionByRange(4, "ts").write.parquet(source)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
+    return rows.select((F.col("user_id") % 10).alias("asset"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+def _day_events(hours, means):
+    """One event per asset-day from 21 on: the hours so far, zero where none came in between."""
+    at = hours.select(F.col("asset").cast("int").alias("asset"), F.dayofmonth("start").alias("day"), F.hour("start").alias("tau"), "f").where("day between 21 and 30")
+    slots = F.map_from_entries(F.collect_list(F.struct("tau", "f")))
+    packed = at.groupBy("asset", "day").agg(slots.alias("m"), (F.max("tau") + 1).alias("t"))
+    f = F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    placed = packed.withColumn("f", f).where("t < 24").join(means, "asset")
+    return placed.select((F.col("asset") * 30 + F.col("day") - 1).cast("long").alias("event_id"), "asset", "day", "t", F.transform("f", lambda v: v / F.col("cap")).alias("f"), "e", X.lon(F.col("asset")).alias("lon"), X.lat(F.col("asset")).alias("lat"), F.col("day").alias("yday"))
+
+
+def _static(spark, sf):
+    ud = X.user_day(spark, sf).where("day <= 20")
+    cap = ud.groupBy("asset").agg(F.greatest(F.max("f"), F.lit(1e-9)).alias("cap"))
+    past = ud.join(cap, "asset").withColumns({"f": F.col("f") / F.col("cap"), "e": F.col("e") / F.col("cap"), "lon": X.lon(F.col("asset")), "lat": X.lat(F.col("asset")), "yday": F.col("day")})
+    means = prep.pack(past.where("day = 1"), ["asset"], e="e").join(cap, "asset")
+    return settle(past.select("curve_id", "tau", "f", "e", "lon", "lat", "yday")), settle(means)
+
+
+@query("stream_forecast_update")
+def stream_forecast_update(spark, sf):
+    """Forecasts that each micro-batch's finished hours set off, from all hours so far and static history."""
+    past, means = _static(spark, sf)
+    packed = settle(prep.pack(past, ["curve_id", "lon", "lat", "yday"], f="f", e="e"))
+
+    def update(new, hours):
+        touched = new.select("asset", F.to_date("start").alias("_d")).distinct()
+        so_far = hours.withColumn("_d", F.to_date("start")).join(touched, ["asset", "_d"], "left_semi")
+        return updates.forecast(_day_events(so_far, means), packed, past, X.params(spark), 24, X.PER_HOUR, X.MINUTES)
+
+    out = new_path(spark)
+    updates.run_updates(_stream(spark, sf), out, new_path(spark), update)
+    rows = spark.read.schema("event_id long, param_id int, t int, s int, focal double, lower double, upper double, batch long").parquet(f"{out}/updates")
+    return rounded(rows.select("batch", "event_id", "param_id", "t", "s", "focal", "lower", "upper"))

@@ -328,6 +328,12 @@ _weight("m_normal_cdf", _cdf_sql("((f - e) * 20)"), lambda: C.normal_cdf((F.col(
 _weight("m_normal_logpdf", "-0.5::DOUBLE * power((f - e) / 0.2::DOUBLE, 2) - ln(0.2::DOUBLE) - 0.9189385332046727::DOUBLE", lambda: C.normal_log_density(F.col("f"), F.col("e"), F.lit(0.2)))
 
 
+@query("m_normal_pdf_cdf", sql_rounded("WITH " + X.NY_SQL + f"\nSELECT curve_id, tau, exp(-0.5::DOUBLE * power((f - e) / 0.2::DOUBLE, 2)) / 2.5066282746310002::DOUBLE AS pdf, {_cdf_sql('((f - e) / 0.2::DOUBLE)')} AS cdf FROM ny", "pdf cdf", "curve_id tau", 9))
+def m_normal_pdf_cdf(spark, sf):
+    z = (F.col("f") - F.col("e")) / 0.2
+    return rounded(X.nation_year(spark, sf).select("curve_id", "tau", C.normal_density(z).alias("pdf"), C.normal_cdf(z).alias("cdf")), 9)
+
+
 @query("w_adaptive_nu", sql_rounded("WITH " + X.NY_SQL + "\nSELECT curve_id AS event_id, greatest(875, 2750 * sqrt(sqrt(avg(CASE WHEN tau < 6 THEN power(f - e, 2) END)))) AS nu FROM ev GROUP BY curve_id", "nu", "event_id", 4))
 def w_adaptive_nu(spark, sf):
     ev = X.nation_year(spark, sf).where("y = 2000 and tau < 6")
