@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Limits by length: (documents shorter than so many bytes, least ratio, largest ratio).
+#: Limits by length: (documents shorter than so many bytes, least ratio, largest ratio). The ratio
+#: of clean prose goes on falling until texts are several times zstandard's window (2 MB at level 3).
 BANDS = [
     (100, 0.30, 9.00),
     (200, 0.55, 1.05),
@@ -26,7 +27,16 @@ BANDS = [
     (3200, 0.445, 0.66),
     (6400, 0.420, 0.62),
     (12800, 0.400, 0.60),
-    (1 << 62, 0.385, 0.60),
+    (25600, 0.385, 0.60),
+    (51200, 0.375, 0.60),
+    (102400, 0.368, 0.60),
+    (204800, 0.363, 0.60),
+    (409600, 0.352, 0.60),
+    (819200, 0.345, 0.60),
+    (1638400, 0.335, 0.60),
+    (3276800, 0.325, 0.60),
+    (6553600, 0.315, 0.60),
+    (1 << 62, 0.305, 0.60),
 ]
 CHUNK = 4096
 #: Chunk band, and the largest share of whole chunks that may lie outside it.

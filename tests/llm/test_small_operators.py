@@ -86,6 +86,26 @@ def test_bands_reject_both_ends():
     assert not quality.measure(table, compress)[-1]
 
 
+@pytest.mark.parametrize("lang", ["de", "en", "es", "fr"])
+def test_bands_keep_long_clean_texts(lang):
+    sql = "SELECT text FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND lang = ? ORDER BY doc_id"
+    seen, clean = set(), []
+    for (text,) in oracle.connect("/root/testdata/sf0.1").execute(sql, [lang]).fetchall():
+        for s in re.split(r"(?<=[.!?])\s+", text):
+            w = s.split()
+            grams = {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+            if grams and not grams & seen:
+                seen |= grams
+                clean.append(s)
+    random.Random(1).shuffle(clean)
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    raw = " ".join(clean).encode()
+    for size in (30_000, 130_000, 300_000, 500_000):
+        text = raw[:size].decode(errors="ignore")
+        assert quality.measure(text, compress)[-1], (size, quality.measure(text, compress))
+        assert not quality.measure(" ".join([text[: size // 4]] * 4), compress)[-1]
+
+
 def test_quality_stage_keeps_columns(spark):
     df = docs(spark)
     assert quality.keep_good(df).schema == df.schema
