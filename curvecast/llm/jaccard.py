@@ -103,6 +103,12 @@ def most_errors(a: int, b: int, numer: int = NUMER, denom: int = DENOM) -> int:
     return a + b - 2 * least
 
 
+def errors_within(n: int, largest: int) -> int:
+    """The most errors of a set of n members and partners of up to so many: a sum less by one may
+    allow one error more, one less by two never does."""
+    return max(most_errors(n, largest), most_errors(n, largest - 1))
+
+
 def band_of(n: int) -> int:
     """Band j holds sizes from 2^j up to, not including, 2^(j+1)."""
     return n.bit_length() - 1
@@ -118,9 +124,9 @@ def bands(n: int) -> list[tuple[int, int]]:
     """(band, most errors) in which a set of n members takes part: its own, and the next one if it
     is the smaller partner of sets there."""
     own, widest = band_of(n), DENOM * n // NUMER
-    out = [(own, most_errors(n, min(widest, (2 << own) - 1)))]
+    out = [(own, errors_within(n, min(widest, (2 << own) - 1)))]
     if band_of(widest) > own:
-        out.append((own + 1, most_errors(n, widest)))
+        out.append((own + 1, errors_within(n, widest)))
     return out
 
 
@@ -385,12 +391,13 @@ def _thin_members(large: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     widest = F.expr(f"{DENOM} * n div {NUMER}")
     other = F.when(F.col("up") == 0, F.least(widest, F.expr("shiftleft(1L, length(bin(n))) - 1"))).otherwise(widest)
-    both = F.col("n") + other  # as bands() has it
+    both = F.col("n") + other
+    errors = lambda x: x - 2 * F.ceil(NUMER * x / (NUMER + DENOM))
     shared = large.select(F.col("a").alias("node"), F.col("b").alias("up"), "key", "size", "parts")
     counted = shared.groupBy("node", "up").agg(F.count(F.lit(1)).alias("s"), F.max("parts").alias("e"), F.sum("size").alias("score"))
     need = (
         counted.join(nodes.select("node", "n"), "node")
-        .withColumn("d", both - 2 * F.ceil(NUMER * both / (NUMER + DENOM)))
+        .withColumn("d", F.greatest(errors(both), errors(both - 1)))  # as bands() has it
         .where(F.col("e") - F.col("s") <= F.col("d"))  # else enough parts are in small groups
         .withColumn("take", F.col("s") - F.greatest(F.col("e") - F.col("d"), F.lit(1)) + 1)
         .where(F.col("take") > 0)

@@ -217,6 +217,30 @@ def test_keep_one(spark):
     assert jaccard.keep_one(df.where("false")).count() == 0
 
 
+def test_error_bounds_equal_brute_force(spark):
+    sizes = range(1, 300)
+    for n in sizes:
+        for band, d in jaccard.bands(n):
+            partners = [b for b in range(1, 2 * n) if 75 * max(n, b) <= 100 * min(n, b) and max(jaccard.band_of(n), jaccard.band_of(b)) == band]
+            assert d >= max(jaccard.most_errors(n, b) for b in partners)
+    # 14 members with 12 in common differ by 4; such a document is thin when but 4 of its parts are in small groups.
+    large = spark.createDataFrame([(28, 0, k, 20 + k, 10) for k in range(6)], "a long, b long, key long, size long, parts long")
+    thin = jaccard._thin_members(large, spark.createDataFrame([(28, 14)], "node long, n long")).collect()
+    assert [(r["key"], r["node"]) for r in thin] == [(0, 28)]
+
+
+def test_variants_of_a_template_equal_all_pairs(spark):
+    rng = random.Random(14)
+    say = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    texts = []
+    for _ in range(6):
+        template = say(16)
+        for _ in range(14):  # 14 shingles, of which two variants have 12 in common
+            texts.append(" ".join(rng.choice([say(2) + template, template + say(2), say(1) + template + say(1), say(4) + template[:14]])))
+    got = jaccard.classes(frame(spark, texts)).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == plain_classes(texts, range(len(texts)))
+
+
 def test_sketch_distance_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
