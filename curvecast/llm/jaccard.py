@@ -3,7 +3,10 @@
 A document's set holds the hashes of its distinct word shingles. In a sketch every member flips one
 bit, so the Hamming distance of two sketches never exceeds the sets' symmetric difference; at the
 asked similarity that is at most (a + b) / 7 for sets of a and b members (for 0.75). A size band's
-sketch is cut into more parts than that: some part that is not blank is then the same in both. So
+sketch is cut into more parts than that: some part that is not blank is then the same in both,
+unless all common members fall into parts that others spoil. In small sets that happens, so there
+each member is a part of its own, and linked sets always share one; in larger ones (the larger set
+has 32 members or more) its chance is below 1e-11 a pair. So
 documents meet by equal parts (the pigeonhole join), candidates are sifted by size and by the
 Hamming distance of a short sketch, and what is left is verified on the whole sets.
 
@@ -13,8 +16,8 @@ are allowed. For the others ("thin" documents, mostly made of shared parts) only
 shared parts are needed, and there the group compares with one leader at a time: as the Jaccard
 distance is a metric, what is not even half similar to the leader links with none of the leader's
 partners; a leader's half-similar family, and what a few rounds of leaders leave over, is compared
-in blocks by matrix products. No link between
-different sets is lost and no cap is set; equal sets are one node and never expand into pairs.
+in blocks by matrix products. No cap is set, and no link between different sets is lost but by that
+chance; equal sets are one node and never expand into pairs.
 
 Null and empty texts have no set and link with nothing; repeated rows are copies and share a
 class; ids may be null or repeat (a class without any id has none). Empty tables stay empty.
@@ -35,6 +38,8 @@ from .common import U64, mix64, partitions, settle
 SHINGLE, NUMER, DENOM = 5, 75, 100
 #: Groups of so many documents compare all with all; larger ones go by leaders.
 SMALL = 8
+#: Up to this band (sets of up to 31 members) each member is a part.
+MEMBER_BAND = 4
 #: Rounds of leaders, and the sides of the blocks in which families are compared.
 ROUNDS, BLOCK = 1, 2000
 CHUNK_BYTES = 1 << 21
@@ -131,11 +136,14 @@ def bands(n: int) -> list[tuple[int, int]]:
 
 
 def part_keys(h: np.ndarray, band: int) -> np.ndarray:
-    """The keys of a set's parts that are not blank: the part's number with the parity of its bits.
+    """The keys of a set's parts that are not blank: the part's number with the parity of its bits;
+    in small bands, of its members.
 
     A member's bit is its hash; a part's word, most of whose bits are nought, is known by the XOR
     of a hash of each of its set bits, in which a bit that flips twice cancels out.
     """
+    if band <= MEMBER_BAND:
+        return mix64(h ^ mix64(np.array([band << 32], dtype=U64)))
     m = parts_in(band)
     part = ((h >> U64(32)) * U64(m)) >> U64(32)
     new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))

@@ -229,6 +229,16 @@ def test_error_bounds_equal_brute_force(spark):
     assert [(r["key"], r["node"]) for r in thin] == [(0, 28)]
 
 
+def test_small_linked_sets_always_share_a_key():
+    rng = np.random.default_rng(5)
+    for a, b, common, n in [(3, 4, 3, 5000), (4, 5, 4, 5000), (7, 7, 6, 5000), *((a, b, -(-3 * (a + b) // 7), 3) for a in range(1, 32) for b in range(a, 32) if 4 * a >= 3 * b)]:
+        band = jaccard.band_of(b)
+        for _ in range(n):
+            h = rng.integers(0, 1 << 63, a + b - common).astype(np.uint64)
+            x, y = np.sort(h[:a]), np.sort(h[a - common :])
+            assert band in dict(jaccard.bands(a)) and np.isin(jaccard.part_keys(x, band), jaccard.part_keys(y, band)).any()
+
+
 def test_variants_of_a_template_equal_all_pairs(spark):
     rng = random.Random(14)
     say = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
