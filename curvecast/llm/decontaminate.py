@@ -3,8 +3,9 @@
 Numbers, quantities, names and units become typed placeholders; windows of eight template tokens
 with at least four literal ones are hashed and joined with those of the benchmark items. Matched
 windows that lie on one diagonal (document position minus item position) must map the item's slot
-values to the document's one to one; else they don't count. An item leaks into a document when
-half of its windows are matched. An item of five to eight tokens is one window of its length; a
+values to the document's one to one; else they don't count. Windows of fewer literals are hashed
+with their slot values and only match verbatim (but for case). An item leaks into a document when
+half of its template windows are matched, or half of all its windows. An item of five to eight tokens is one window of its length; a
 shorter one can't identify a leak and is not matched. Null and empty texts match nothing, repeated
 rows are judged alike, and empty tables give empty results. Letters fold A-Z only.
 """
@@ -45,7 +46,7 @@ _PLACE = mix64(np.arange(4096, dtype=U64) + U64(1 << 20)) | U64(1)
 _STEP = mix64(np.arange(WINDOW, dtype=U64) + U64(1 << 21)) | U64(1)
 _BREAK = np.zeros(256, dtype=np.int32)
 _BREAK[[ord(c) for c in ".!?\n"]] = 1
-_NUM, _NAME, _UNIT, _QTY = (mix64(np.arange(4, dtype=U64) + U64(1 << 22)).tolist())
+_NUM, _NAME, _UNIT, _QTY, _EXACT = (mix64(np.arange(5, dtype=U64) + U64(1 << 22)).tolist())
 
 
 def _sum_hash(values: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -125,13 +126,20 @@ def _literal(slot: np.ndarray, size: int) -> np.ndarray:
     return total[size:] - total[:-size]
 
 
+def exact(template: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Each token's own hash, whether it is a slot or not; apart from those of templates."""
+    with np.errstate(over="ignore"):
+        return mix64(np.where(slot != 0, slot, template | U64(1)) ^ U64(_EXACT))
+
+
 class Index:
-    """Template windows of some benchmark items: sorted hashes with (item, position) postings."""
+    """Windows of some benchmark items: sorted hashes with (item, position) postings."""
 
     def __init__(self, items: list[tuple[int, str]]):
         post: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.items: list[tuple[int, int, int, list[int]]] = []  # id, window size, windows that count, slot values
-        sizes = set()
+        # Of each item: its id, window size, which windows have literals enough for templates, slot values.
+        self.items: list[tuple[int, int, list[bool], list[int]]] = []
+        sizes, exact_sizes = set(), set()
         for item_id, text in items:
             t, s, _, _ = tokens([(text or "").encode()])
             if len(t) < MIN_ITEM:
@@ -139,13 +147,14 @@ class Index:
             size = min(WINDOW, len(t))
             sizes.add(size)
             ok = _literal(s, size) >= min(MIN_LITERAL, size - 1)
-            if not ok.any():
-                continue
-            hashes = windows(t, size)
-            for pos in np.flatnonzero(ok).tolist():
-                post[int(hashes[pos])].append((len(self.items), pos))
-            self.items.append((item_id, size, int(ok.sum()), s.tolist()))
+            if not ok.all():
+                exact_sizes.add(size)
+            hashes = np.where(ok, windows(t, size), windows(exact(t, s), size))
+            for pos, h in enumerate(hashes.tolist()):
+                post[h].append((len(self.items), pos))
+            self.items.append((item_id, size, ok.tolist(), s.tolist()))
         self.sizes = sorted(sizes)
+        self.exact_sizes = sorted(exact_sizes)
         self.post = dict(post)
         self.hashes = np.array(sorted(post), dtype=U64)
         self.seen = np.zeros(1 << 20, dtype=bool)  # a first, cheap test on the top bits
@@ -169,8 +178,9 @@ def leaks(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, int, int
         return
     template, slot, lo, hi = tokens(texts)
     found: dict[int, dict[int, dict[int, set[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-    for size in index.sizes:
-        at, hashes = index.hits(template, size)
+    own = exact(template, slot) if index.exact_sizes else template
+    for tokens_of, size in [*((template, k) for k in index.sizes), *((own, k) for k in index.exact_sizes)]:
+        at, hashes = index.hits(tokens_of, size)
         docs = np.searchsorted(hi, at, side="right")
         for p, h, d in zip(at.tolist(), hashes.tolist(), docs.tolist(), strict=True):
             if p + size <= hi[d]:
@@ -179,16 +189,21 @@ def leaks(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, int, int
                         found[d][item][p - pos].add(pos)
     for d, by_item in found.items():
         for item, diagonals in by_item.items():
-            item_id, size, total, values = index.items[item]
-            covered, same = set(), True
-            for shift, places in diagonals.items():
+            item_id, size, ok, values = index.items[item]
+            covered, verbatim, same = set(), set(), True
+            for shift, every in diagonals.items():
+                places = {p for p in every if ok[p]}
+                verbatim |= every - places
                 spots = {k for p in places for k in range(p, p + size) if values[k]}
                 pairs = [(values[k], int(slot[shift + k])) for k in sorted(spots)]
                 if _consistent(pairs):
                     covered |= places
                     same &= all(a == b for a, b in pairs)
-            if len(covered) >= MIN_COVERAGE * total:
+            total = sum(ok)
+            if covered and len(covered) >= MIN_COVERAGE * total:
                 yield d, item_id, len(covered), total, same
+            elif len(covered) + len(verbatim) >= MIN_COVERAGE * len(ok):
+                yield d, item_id, len(covered) + len(verbatim), len(ok), same
 
 
 def _chunks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[bytes]]]:

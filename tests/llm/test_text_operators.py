@@ -148,6 +148,18 @@ def test_templates(spark):
     assert decontaminate.find_leaks(df.where("false"), bench).count() == 0
 
 
+def test_items_short_of_literals_leak_verbatim_only(spark):
+    items = ["Compute 12 + 30 - 5 * 7", "Anna Bob Carla David Emil Frida Gustav Hanna Ivan", "3 kg 4 m 5 s 6 km 7 g 8 mm", f"9 8 7 6 5 4 3 2 1 0 11 22 33 44 55 66 77 88 99 {ITEM}"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"some words here {t} and so on" for t in items]
+    texts += ["some words: Compute 12 + 30 - 5 * 8", "We met Anna Bob Carla David Otto Frida Gustav Hanna Ivan", "take 3 kg 4 m 5 s 1 km 7 g 8 mm", "9 8 7 6 5 4 3 2 1 0 11 22", ITEM]
+    texts += [items[3][:55].upper(), items[3].replace("Boston", "Denver")]
+    rows = decontaminate.find_leaks(frame(spark, texts), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(0, 0), (1, 1), (2, 2), (3, 3), (8, 3), (10, 3)]
+    assert all(r["n_matched"] <= r["n_windows"] for r in rows)
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(frame(spark, texts), bench).collect()} == {4, 5, 6, 7, 9}
+
+
 def test_large_benchmarks_are_matched_in_parts(spark, monkeypatch):
     bench = spark.createDataFrame([(i, f"{ITEM} number{i} word{i} more{i}") for i in range(20)], "item_id long, text string")
     df = frame(spark, [f"{ITEM} number{i} word{i} more{i}" for i in range(20)])
