@@ -112,6 +112,14 @@ def test_pii_rows(spark):
     assert pii.find_pii(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("size", [19, 20, 128, 129, 1000])
+def test_long_tokens_are_secret_candidates(size):
+    rng = random.Random(size)
+    token = "".join(rng.choice("abcXYZ0189_-") for _ in range(size))
+    secret = dict(pii._LOOSE)["secret"]
+    assert [m.span() for m in secret.finditer(f"key: {token} end")] == ([(5, 5 + size)] if size >= 20 else [])
+
+
 def test_label_model_recovers_reliabilities():
     rng = random.Random(5)
     counts = Counter()
