@@ -4,36 +4,120 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-_BATCH_ROWS = "1000"  # rows in an Arrow batch: whole texts are long, so batches stay short
+#: Rows and bytes in an Arrow batch: whole texts are long, so batches stay short.
+_BATCH_ROWS, _BATCH_BYTES = "1000", str(16 << 20)
+#: Bits of the filter that spares texts a shuffle (4 MB; used up to one hash in 16 bits).
+FILTER_BITS = 1 << 25
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table; Arrow batches are kept short because its texts may be long."""
+    """One given table; Arrow batches of this session are kept short because its texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", _BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); where it is unset one of our own, in local
+    mode alone: on a cluster executors don't share one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, which cuts its lineage."""
+    """Write df as a table in the shared folder and read it back, which cuts its lineage.
+
+    The shuffle files behind it are removed once it is written: nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables whose readers have all been settled themselves."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray | None:
+    """A bitmap of FILTER_BITS bits with one set for each hash; None where there are too many."""
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = hashes.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod({column}, 32) AS INT))")).alias("b"))
+    if hashes.count() > FILTER_BITS // 16:
+        return None
+    out = np.zeros(FILTER_BITS // 32, dtype=np.int64)
+    for w, b in words.toLocalIterator():
+        out[w] = b
+    return out
+
+
+def likely(texts: DataFrame, bitmap: np.ndarray | None, column: str, keep: bool = True) -> DataFrame:
+    """Rows of texts whose column's bit is set (keep) or isn't. Without a bitmap all may be set."""
+    if bitmap is None:
+        return texts if keep else texts.where("false")
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    at = texts.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            th = b.column(at).to_numpy(zero_copy_only=False)
+            bit = th & (FILTER_BITS - 1)
+            found = (shared.value[bit >> 5] >> (bit & 31)) & 1 == 1
+            yield b.filter(pa.array(found == keep))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
+def once(texts: DataFrame, column: str) -> DataFrame:
+    """The rows of texts but for those whose hash a task has sent before, so that very many copies
+    don't meet in one task; tasks may still send the same."""
+    at = texts.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for b in batches:
+            yield b.filter(pa.array([not (t in sent or sent.add(t)) for t in b.column(at).to_pylist()], pa.bool_()))
+            if len(sent) > 1_000_000:
+                sent.clear()
+
+    return texts.mapInArrow(run, texts.schema)
+
+
+def without_texts(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The rows of docs, as they are, whose text's hash isn't among hashes (th, each once). Most rows
+    that stay are told by a filter of fixed size and aren't shuffled."""
+    name = "th"
+    while name in docs.columns:
+        name += "_"
+    marked, bitmap = docs.withColumn(name, F.xxhash64("text")), bitmap_of(hashes, "th")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    maybe = likely(marked, bitmap, name).join(hashes.select(F.col("th").alias(name)), name, "left_anti").select(*own)
+    return likely(marked, bitmap, name, keep=False).select(*own).union(maybe)
 
 
 def partitions(spark: SparkSession) -> int:

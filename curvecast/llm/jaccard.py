@@ -13,11 +13,13 @@ Hamming distance of a short sketch, and what is left is verified on the whole se
 A part that very many documents share (a common passage) would bring all of them together. Parts
 in groups of up to SMALL documents are enough for every document that has more of them than errors
 are allowed. For the others ("thin" documents, mostly made of shared parts) only their rarest
-shared parts are needed, and there the group compares with one leader at a time: as the Jaccard
-distance is a metric, what is not even half similar to the leader links with none of the leader's
-partners; a leader's half-similar family, and what a few rounds of leaders leave over, is compared
-in blocks by matrix products. No cap is set, and no link between different sets is lost but by that
-chance; equal sets are one node and never expand into pairs.
+shared parts are needed, and there each compares with the group's leader: as the Jaccard distance
+is a metric, what is not even half similar to the leader links with none of the leader's partners;
+a leader's half-similar family, and what is far from every leader, is compared in blocks by matrix
+products. Candidate pairs that hang together are verified together, so a text travels once to where
+its pairs are; a unit of more than UNIT_BYTES is split by its first documents, those with most
+partners first. No cap is set, and no link between different sets is lost but by that chance;
+equal sets are one node and never expand into pairs.
 
 Null and empty texts have no set and link with nothing; repeated rows are copies and share a
 class; ids may be null or repeat (a class without any id has none). Empty tables stay empty.
@@ -28,23 +30,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, partitions, settle
+from .common import U64, bitmap_of, likely, mix64, once, partitions, release, settle
 
 SHINGLE, NUMER, DENOM = 5, 75, 100
 #: Groups of so many documents compare all with all; larger ones go by leaders.
 SMALL = 8
 #: Up to this band (sets of up to 31 members) each member is a part.
 MEMBER_BAND = 4
-#: Rounds of leaders, and the sides of the blocks in which families are compared.
-ROUNDS, BLOCK = 1, 2000
+#: Documents and bytes of text on a side of the blocks in which families are compared, at most.
+BLOCK, BLOCK_BYTES = 2000, 8 << 20
+#: Bytes of text whose pairs are verified as one unit, and rounds by which larger ones are thinned out.
+UNIT_BYTES, ROUNDS = 16 << 20, 2
+#: Members of a group that meet its leader in one task.
+SALTED = 5000
 CHUNK_BYTES = 1 << 21
-#: Bits of the filter that spares texts a shuffle (4 MB; used up to one hash in 16 bits).
-FILTER_BITS = 1 << 25
 #: Part keys that a task packs at once.
 PACK = 1_500_000
 _SPACES = np.zeros(256, dtype=bool)
@@ -152,7 +155,8 @@ def part_keys(h: np.ndarray, band: int) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """A short parity sketch: 64 to 4096 bits, about two for each member."""
+    """A short parity sketch: 64 bits or, for larger sets, two to four for each member. With fewer, bits
+    of unlike sets differ half the time whatever the sets, and the bound sifts nothing out."""
     bits = min(4096, max(64, 2 << max(0, len(h) - 1).bit_length()))
     return np.packbits((np.bincount((h & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -184,19 +188,19 @@ def _chunked(texts: list) -> Iterator[list[np.ndarray]]:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), n, node and short sketch of each document row."""
-    named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string"))
+    """doc_id, th (hash of the text), bytes, n, node and short sketch of each document row."""
+    named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.octet_length("text").alias("bytes"), F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, node, short = [], [], []
-            for h in _chunked(b.column(2).to_pylist()):
+            for h in _chunked(b.column(3).to_pylist()):
                 n.append(len(h))
                 node.append(node_id(h) if len(h) else None)
                 short.append(sketch(h) if len(h) else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(short, pa.binary())], names=["doc_id", "th", "n", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(short, pa.binary())], names=["doc_id", "th", "bytes", "n", "node", "sketch"])
 
-    return named.mapInArrow(run, "doc_id long, th long, n long, node long, sketch binary")
+    return named.mapInArrow(run, "doc_id long, th long, bytes int, n long, node long, sketch binary")
 
 
 def _shares(narrow: DataFrame, least: int) -> dict[int, tuple[int, int]]:
@@ -267,8 +271,8 @@ def _emit(docs: DataFrame, shares: dict[int, tuple[int, int]]) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, keys binary, nodes binary, counts binary, parts binary")
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Of one bucket: all pairs of small groups (key null), and the members of large ones."""
+def _meet(table: pa.Table, small: int) -> pa.Table:
+    """Of one bucket: all pairs of groups up to small (key null), and the members of large ones."""
     joined = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
     count = joined("counts", np.int32)
     w, e = np.repeat(joined("nodes", np.int64), count), np.repeat(joined("parts", np.int32), count)
@@ -287,7 +291,7 @@ def _meet(table: pa.Table) -> pa.Table:
     start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(k)))
     left, right = [], []
-    for g in range(2, SMALL + 1):
+    for g in range(2, small + 1):
         at = start[size == g]
         for i in range(g):
             for j in range(i + 1, g):
@@ -296,7 +300,7 @@ def _meet(table: pa.Table) -> pa.Table:
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     a, b = np.minimum(a, b), np.maximum(a, b)
     pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    big = np.repeat(size > SMALL, size)
+    big = np.repeat(size > small, size)
     none = pa.nulls(len(pairs), pa.int64())
     return pa.table({
         "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(w[big] & ~1)]),
@@ -309,7 +313,7 @@ def _meet(table: pa.Table) -> pa.Table:
 
 def _sift(pairs: DataFrame, nodes: DataFrame, share: int = NUMER) -> DataFrame:
     """Of the candidate pairs those that size and sketches allow to be similar by `share` hundredths."""
-    info = nodes.select("node", "n", "sketch")
+    info = nodes.select("node", "n", "sketch").hint("merge")  # grows with the documents: never broadcast
     one = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = pairs.join(one, "a").join(two, "b").where(DENOM * F.least("na", "nb") >= share * F.greatest("na", "nb"))
@@ -323,76 +327,117 @@ def _sift(pairs: DataFrame, nodes: DataFrame, share: int = NUMER) -> DataFrame:
     return near.select("na", "nb", "sa", "sb", "a", "b").mapInArrow(run, "a long, b long")
 
 
-def _bitmap(hashes: DataFrame, column: str) -> np.ndarray | None:
-    """A bitmap of FILTER_BITS bits with one set for each hash; None where there are too many."""
-    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    words = hashes.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod({column}, 32) AS INT))")).alias("b"))
-    if hashes.count() > FILTER_BITS // 16:
-        return None
-    out = np.zeros(FILTER_BITS // 32, dtype=np.int64)
-    for w, b in words.toLocalIterator():
-        out[w] = b
-    return out
-
-
-def _likely(texts: DataFrame, bitmap: np.ndarray | None, keep: bool = True) -> DataFrame:
-    """Rows of texts (column th) whose bit is set (keep) or isn't. Without a bitmap all may be set."""
-    if bitmap is None:
-        return texts if keep else texts.where("false")
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
-    at = texts.columns.index("th")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            th = b.column(at).to_numpy(zero_copy_only=False)
-            bit = th & (FILTER_BITS - 1)
-            found = (shared.value[bit >> 5] >> (bit & 31)) & 1 == 1
-            yield b.filter(pa.array(found == keep))
-
-    return texts.mapInArrow(run, texts.schema)
-
-
-def _sets(docs: DataFrame, narrow: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its set (little-endian hashes) for the wanted nodes, each from one document.
+def _with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members (th and more columns) with the text of each th; a task sends a text once.
 
     A bitmap of fixed size keeps most other texts out of the shuffle; the join is exact without it.
     """
-    one = settle(narrow.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")).select("th").distinct())
-    texts = _likely(docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")), _bitmap(one, "th")).join(one, "th", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(node_id(h), h.tobytes()) for h in _chunked(b.column(0).to_pylist()) if len(h)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "members"])
+    texts = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    return once(likely(texts, bitmap_of(members.select("th").distinct(), "th"), "th"), "th").dropDuplicates(["th"]).join(members, "th")
 
-    return texts.dropDuplicates(["th"]).select("text").mapInArrow(run, "node long, members binary")
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
 
-def _common(x: bytes, y: bytes) -> int:
-    return len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True))
 
+class _Trees:
+    """A growing forest over nodes."""
 
-def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb, common: the size of each pair's intersection."""
-    one = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
-    two = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            common = [_common(i, j) for i, j in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(i) // 8 for i in x], pa.int64()), pa.array([len(i) // 8 for i in y], pa.int64()), pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (p := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(p, p)
+        return x
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long, na long, nb long, common long")
+    def join(self, x: int, y: int) -> bool:
+        """Whether the edge joined two trees."""
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.parent[max(x, y)] = min(x, y)
+        return True
+
+
+def _verify(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """a, b, star, grade (2: linked, 1: half similar): of the stars all of those, of the other
+    pairs enough links to connect what is linked."""
+    own = dict(zip(texts.column("node").to_pylist(), texts.column("text").to_pylist(), strict=True))
+    sets = dict(zip(own, _chunked(list(own.values())), strict=True))
+    trees, out = _Trees(), []
+    rows = zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), pairs.column("star").to_pylist(), strict=True)
+    for a, b, star in sorted(rows, key=lambda r: not r[2]):  # stars first: they join the most
+        if star or trees.root(a) != trees.root(b):
+            x, y = sets[a], sets[b]
+            both = _common(x, y)
+            grade = 2 if linked(both, len(x), len(y)) else 1 if DENOM * both >= 50 * (len(x) + len(y) - both) else 0
+            if (grade == 2 and (trees.join(a, b) or star)) or (star and grade):
+                out.append((a, b, star, grade))
+    cols = list(zip(*out, strict=True)) or [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int32()), strict=True)], names=["a", "b", "star", "grade"])
+
+
+def _verified(docs: DataFrame, units: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, star, grade: what _verify finds among candidate pairs (a, b, star, unit), unit by unit."""
+    units = settle(units)
+    both = F.explode(F.array("a", "b")).alias("node")
+    load = units.select("unit", both).distinct().join(nodes.select("node", "bytes"), "node").agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(2 * partitions(docs.sparkSession), load // (UNIT_BYTES // 4))
+    dealt = units.withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets)).cast("int")).drop("unit")
+    members = settle(dealt.select("bucket", both).distinct().join(nodes.select("node", "th"), "node"))
+    texts = _with_texts(docs, members).select("bucket", "node", "text")
+    found = settle(dealt.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(_verify, "a long, b long, star boolean, grade int"))
+    release(units, members)
+    return found
+
+
+def _split_units(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs with a unit: those of one first document, UNIT_BYTES of its partners at a time."""
+    fan = pairs.join(nodes.select(F.col("node").alias("b"), "bytes"), "b").groupBy("a").agg(F.ceil(F.sum("bytes") / UNIT_BYTES).cast("int").alias("fan"))
+    return pairs.join(fan, "a").select("a", "b", "star", F.xxhash64("a", F.pmod(F.xxhash64("b"), "fan")).alias("unit"))
+
+
+def _measured(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, star, grade: what the candidate pairs (a, b, star) hold.
+
+    All pairs that hang together are a unit. Where that is more than UNIT_BYTES of text, each
+    document first meets the partner that has most pairs, so its text travels once; pairs which
+    that has connected need no more (a star counts as half similar), and after ROUNDS of this what
+    is left goes out first document by first document.
+    """
+    label = settle(components(pairs).join(nodes.select("node", "bytes"), "node"))
+    wide = settle(label.groupBy("label").agg(F.sum("bytes").alias("load")).where(F.col("load") > UNIT_BYTES).select("label"))
+    at = pairs.join(label.select(F.col("node").alias("a"), "label"), "a")
+    found = _verified(docs, at.join(wide, "label", "left_anti").select("a", "b", "star", F.col("label").alias("unit")), nodes)
+    if wide.isEmpty():
+        return found
+    rest = settle(at.join(wide, "label", "left_semi").select("a", "b", "star"))
+    for _ in range(ROUNDS):
+        degree = rest.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+        best = rest.join(degree, "a").groupBy("b").agg(F.max(F.struct("star", "d", "a"))["a"].alias("a"))
+        chosen = settle(rest.join(best, ["a", "b"], "left_semi"))
+        found = found.union(_verified(docs, _split_units(chosen, nodes), nodes))
+        linked_now = components(found.where("grade = 2").select("a", "b"))
+        others = settle(_apart(rest.join(best, ["a", "b"], "left_anti"), linked_now))
+        found = found.union(others.where("star and not apart").select("a", "b", "star", F.lit(1).alias("grade")))
+        rest = others.where("apart").select("a", "b", "star")
+        if rest.isEmpty():
+            return found
+    return found.union(_verified(docs, _split_units(rest, nodes), nodes))
 
 
-def _is_link(share: int = NUMER) -> Column:
-    return DENOM * F.col("common") >= share * (F.col("na") + F.col("nb") - F.col("common"))
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """pairs with whether the links so far leave the two in different components."""
+    x, y = label.select(F.col("node").alias("a"), F.col("label").alias("_x")), label.select(F.col("node").alias("b"), F.col("label").alias("_y"))
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    return both.select("a", "b", "star", (F.coalesce("_x", "a") != F.coalesce("_y", "b")).alias("apart"))
 
 
 def _thin_members(large: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, node, score: for each thin document the rarest of its widely shared parts that it
-    needs; score: how many documents share its parts, the most for what copies were made from.
+    """key, node, size, score: for each thin document the rarest of its widely shared parts that it
+    needs; size: of the part's group; score: how many documents share its parts, the most for what copies were made from.
 
     With e parts, of which s widely shared, and at most d errors, partners that don't meet in a
     small group share at least e - d of the s; so they meet in one of the s - (e - d) + 1 rarest.
@@ -412,40 +457,24 @@ def _thin_members(large: DataFrame, nodes: DataFrame) -> DataFrame:
         .select("node", "up", "take", "score")
     )
     rarest = Window.partitionBy("node", "up").orderBy("size", "key")
-    return shared.join(need, ["node", "up"]).withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= F.col("take")).groupBy("key", "node").agg(F.max("score").alias("score"))
+    return shared.join(need, ["node", "up"]).withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= F.col("take")).groupBy("key", "node").agg(F.max("size").alias("size"), F.max("score").alias("score"))
 
 
-def _led(members: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """More links, families (key: a leader) and members still to be compared, of groups and the
-    links known so far.
+def _families(led: DataFrame, measured: DataFrame) -> DataFrame:
+    """key (a leader), node, led: what may still hold links that no star has shown.
 
-    Each member is compared with the leader (that of most score) of its groups: first with the one
-    of most score of all, and then with those that this hasn't connected it to. A family are those
-    that are half similar to a leader, or connected with it; two of them are to be compared unless
-    both link with the leader. What is less than half similar to it can't link with the leader's
-    partners; so it remains, with those that don't link with the leader themselves.
+    A family are those that are half similar to a leader; two of them are to be compared unless both
+    link with the leader. What is less than half similar to it can't link with the leader's
+    partners; so it remains, with those that don't link with the leader themselves: what remains is
+    one family for each leader it would have, and parts with the same leader meet once.
     """
-    pairs = settle(_with_leaders(members).where(F.col("node") != F.col("leader")))
-    each = pairs.groupBy("leader", "node").agg(F.max("leader_score").alias("leader_score"))
-    best = each.groupBy("node").agg(F.max(F.struct("leader_score", "leader"))["leader"].alias("leader"))
-    columns = (F.col("leader").alias("a"), F.col("node").alias("b"))
-    first = settle(_measure(_sift(best.select(*columns), nodes, 50), sets))
-    apart = settle(_apart(each.join(best, ["leader", "node"], "left_anti"), components(links.union(first.where(_is_link()).select("a", "b")))))
-    more = settle(_measure(_sift(apart.where("apart").select(*columns), nodes, 50), sets))
-    measured = first.union(more)
-    grade = F.when(_is_link(), 2).when(_is_link(50), 1).otherwise(0)
-    graded = measured.select(F.col("a").alias("leader"), F.col("b").alias("node"), grade.alias("grade")).union(apart.where("not apart").select("leader", "node", F.lit(1)))
-    family = graded.where("grade > 0").select(F.col("leader").alias("key"), "node", (F.col("grade") == 2).alias("led"))
-    rest = pairs.join(graded, ["leader", "node"], "left").withColumn("grade", F.coalesce("grade", F.lit(0))).where("grade < 2")
+    graded = measured.where("star").groupBy(F.col("a").alias("leader"), F.col("b").alias("node")).agg(F.max("grade").alias("grade"))
+    family = graded.select(F.col("leader").alias("key"), "node", (F.col("grade") == 2).alias("led"))
+    rest = led.where(F.col("node") != F.col("leader")).join(graded, ["leader", "node"], "left").withColumn("grade", F.coalesce("grade", F.lit(0))).where("grade < 2")
     far = rest.groupBy("key").agg(F.min("grade").alias("least")).where("least = 0")
-    return measured.where(_is_link()).select("a", "b"), family, settle(rest.join(far, "key", "left_semi").select("key", "node", "score"))
-
-
-def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """pairs (leader, node) with whether links so far leave them in two components."""
-    one, two = label.select(F.col("node").alias("leader"), F.col("label").alias("_x")), label.select("node", F.col("label").alias("_y"))
-    both = pairs.join(one, "leader", "left").join(two, "node", "left")
-    return both.select("leader", "node", (F.coalesce("_x", "leader") != F.coalesce("_y", "node")).alias("apart"))
+    again = _with_leaders(rest.join(far, "key", "left_semi").select("key", "node", "size", "score"))
+    remains = again.select(F.col("leader").alias("key"), "node", F.lit(False).alias("led"))
+    return family.union(remains).groupBy("key", "node").agg(F.min("led").alias("led"))
 
 
 def _divided(families: DataFrame, label: DataFrame) -> DataFrame:
@@ -456,65 +485,56 @@ def _divided(families: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _with_leaders(members: DataFrame) -> DataFrame:
-    """key, node, score, leader; groups of one member fall away."""
-    groups = members.groupBy("key").agg(F.max(F.struct("score", "node")).alias("_l"), F.count(F.lit(1)).alias("g")).where(F.col("g") > 1)
-    return members.join(groups.select("key", F.col("_l.node").alias("leader"), F.col("_l.score").alias("leader_score")), "key")
-
+    """key, node, size, score, leader (that of most score); groups of one member fall away. Members
+    of a large group meet their leader in several tasks."""
+    salts = F.ceil(F.col("size") / SALTED).cast("int")
+    groups = members.groupBy("key").agg(F.max(F.struct("score", "node"))["node"].alias("leader"), F.max("size").alias("size"), F.count(F.lit(1)).alias("g")).where("g > 1")
+    spread = groups.select("key", "leader", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return members.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).join(spread, ["key", "salt"]).drop("salt")
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Indexes of the edges that join two trees of the forest so far."""
-    parent: dict[int, int] = {}
 
-    def root(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = parent.get(p, p)
-            x = p
-        return x
-
-    out = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        if (x := root(x)) != (y := root(y)):
-            parent[max(x, y)] = min(x, y)
-            out.append(i)
-    return out
-
-
-def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+def _block_links(rows: pa.Table) -> pa.Table:
     """Links between two blocks of a family (a forest of them), by a product of membership matrices."""
-    sets = [np.frombuffer(m, U64) for m in pdf["members"]]
+    own = {n: i for i, n in enumerate(rows.column("node").to_pylist())}
+    rows = rows.take(list(own.values()))
+    sets = list(_chunked(rows.column("text").to_pylist()))
     size = np.array([len(s) for s in sets])
     value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), size)
-    side, led = pdf["side"].to_numpy(), pdf["led"].to_numpy()
+    side, led = rows.column("side").to_numpy(), rows.column("led").to_numpy()
     left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)
     common = np.zeros((len(left), len(right)), dtype=np.float32)
     shared = np.flatnonzero(count > 1)
     place = np.full(len(value), -1)
     place[shared] = np.arange(len(shared))
     column = place[column]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
     for at in range(0, len(shared), 4096):  # 4096 members at a time, all of them in the end
-        own = (column >= at) & (column < at + 4096)
+        first, last = np.searchsorted(column, [at, at + 4096])
         x = np.zeros((len(sets), min(4096, len(shared) - at)), dtype=np.float32)
-        x[row[own], column[own] - at] = 1
+        x[row[first:last], column[first:last] - at] = 1
         common += x[left] @ x[right].T
     link = (DENOM * common >= NUMER * (size[left][:, None] + size[right][None, :] - common)) & ~(led[left][:, None] & led[right][None, :])
-    node = pdf["node"].to_numpy()
+    node = rows.column("node").to_numpy()
     i, j = np.nonzero(link)
-    a, b = node[left[i]], node[right[j]]
-    keep = np.array(_forest(a, b), dtype=np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+    trees = _Trees()
+    out = [(a, b) for a, b in zip(node[left[i]].tolist(), node[right[j]].tolist(), strict=True) if trees.join(a, b)]
+    cols = list(zip(*out, strict=True)) or [[], []]
+    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
-def _in_blocks(members: DataFrame, block: int) -> DataFrame:
-    """members (key, node, led) dealt out so that each pair of blocks of a family has a task: x, y
-    and side (-1: both, where x = y; 0: of x; 1: of y). Blocks of those that link with the leader
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """members (key, node, led, bytes) dealt out so that each pair of blocks of a family has a task:
+    x, y and side (-1: both, where x = y; 0: of x; 1: of y). Blocks of those that link with the leader
     only meet the others' blocks, so a family costs its size times that of its doubtful part."""
-    blocks = lambda led: F.ceil(F.count_if(F.col("led") == led) / block).cast("int")
+    own = lambda led, value: F.when(F.col("led") == led, value)
+    blocks = lambda led: F.greatest(F.ceil(F.count(own(led, F.lit(1))) / BLOCK), F.ceil(F.coalesce(F.sum(own(led, F.col("bytes"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
     size = members.groupBy("key").agg(blocks(F.lit(False)).alias("_kb"), blocks(F.lit(True)).alias("_kl"))
     spread = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int")
-    own = F.when(F.col("led"), F.col("_kb") + spread(F.greatest("_kl", F.lit(1)))).otherwise(spread(F.greatest("_kb", F.lit(1))))
+    of = F.when(F.col("led"), F.col("_kb") + spread(F.greatest("_kl", F.lit(1)))).otherwise(spread(F.greatest("_kb", F.lit(1))))
     last = F.when(F.col("led"), F.col("_kb") - 1).otherwise(F.col("_kb") + F.col("_kl") - 1)
-    dealt = members.join(size.where("_kb > 0"), "key").withColumn("_x", own).withColumn("_y", F.explode(F.sequence(F.lit(0), last)))
+    dealt = members.join(size.where("_kb > 0"), "key").withColumn("_x", of).withColumn("_y", F.explode(F.sequence(F.lit(0), last)))
     side = F.when(F.col("_x") == F.col("_y"), -1).when(F.col("_x") < F.col("_y"), 0).otherwise(1)
     return dealt.withColumns({"x": F.least("_x", "_y"), "y": F.greatest("_x", "_y"), "side": side}).drop("_kb", "_kl", "_x", "_y")
 
@@ -522,51 +542,52 @@ def _in_blocks(members: DataFrame, block: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node that links reach, by repeated minima and jumps."""
     edges = settle(links.select("a", "b").union(links.select("b", "a")).distinct())
-    label = settle(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    label = settle(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("new")))
     while True:
-        seen = edges.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = label.join(seen, "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = lower.alias("l").join(label.select(F.col("node").alias("at"), F.col("label").alias("far")), F.col("l.new") == F.col("at"), "left")
+        old = label.select("node", F.col("new").alias("label"))
+        seen = edges.join(old.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = old.join(seen, "node").select("node", "label", F.least("label", "near").alias("new"))
+        jump = lower.alias("l").join(old.select(F.col("node").alias("at"), F.col("label").alias("far")), F.col("l.new") == F.col("at"), "left")
         stepped = settle(jump.select("node", "label", F.least("new", F.coalesce("far", "new")).alias("new")))
-        done = stepped.where(F.col("label") != F.col("new")).limit(1).count() == 0
-        label = stepped.select("node", F.col("new").alias("label"))
-        if done:
-            return label
+        release(label)
+        label = stepped
+        if stepped.where(F.col("label") != F.col("new")).isEmpty():
+            release(edges)
+            return stepped.select("node", F.col("new").alias("label"))
 
 
 def links_of(docs: DataFrame, narrow: DataFrame) -> DataFrame:
     """a, b: links between different sets, enough of them to connect all that are linked."""
     spark = docs.sparkSession
-    nodes = settle(narrow.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch")]))
-    met = settle(_emit(docs, _shares(nodes, 2 * partitions(spark))).groupBy("bucket").applyInArrow(_meet, "a long, b long, key long, size long, parts long"))
+    nodes = settle(narrow.where("n > 0").groupBy("node").agg(*[F.min(F.struct("th", "bytes", "n", "sketch"))[c].alias(c) for c in ("th", "bytes", "n", "sketch")]))
+    small = SMALL
+    met = settle(_emit(docs, _shares(nodes, 2 * partitions(spark))).groupBy("bucket").applyInArrow(lambda t: _meet(t, small), "a long, b long, key long, size long, parts long"))
     pairs = settle(_sift(met.where("key is null").select("a", "b").distinct(), nodes))
     thin = settle(_thin_members(met.where("key is not null"), nodes))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(thin.select("node")).distinct()
-    sets = settle(_sets(docs, narrow, wanted))
-    links, families = settle(_measure(pairs, sets).where(_is_link()).select("a", "b")), None
-    for _ in range(ROUNDS):
-        if thin.isEmpty():
-            break
-        more, family, thin = _led(thin, nodes, sets, links)
-        links, families = settle(links.union(more)), family if families is None else families.union(family)
-    if families is None:
-        return links
-    # What remains is one family for each leader it would have: parts with the same leader meet once.
-    families = families.union(_with_leaders(thin).select(F.col("leader").alias("key"), "node", F.lit(False).alias("led")))
-    families = settle(families.groupBy("key", "node").agg(F.min("led").alias("led")))
-    dealt = _in_blocks(settle(_divided(families, components(links))), BLOCK).join(sets, "node")
-    return links.union(dealt.groupBy("key", "x", "y").applyInPandas(_block_links, "a long, b long"))
+    release(met)
+    led = settle(_with_leaders(thin))
+    stars = _sift(led.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, 50)
+    candidates = settle(pairs.withColumn("star", F.lit(False)).union(stars.withColumn("star", F.lit(True))))
+    measured = _measured(docs, candidates, nodes)
+    release(pairs, thin, candidates)
+    links = measured.where("grade = 2").select("a", "b")
+    families = settle(_families(led, measured))
+    divided = _divided(families, components(links)).join(nodes.select("node", "th", "bytes"), "node")
+    dealt = settle(_in_blocks(settle(divided)))
+    found = settle(_with_texts(docs, dealt).groupBy("key", "x", "y").applyInArrow(_block_links, "a long, b long"))
+    release(led, families, dealt)
+    return links.union(found)
 
 
 def classes(docs: DataFrame, narrow: DataFrame | None = None) -> DataFrame:
-    """doc_id, th, n_shingles, component_id of every document row."""
+    """doc_id, th, n_shingles, component_id, label (the class's least node) of every document row."""
     narrow = settle(nodes_of(docs)) if narrow is None else narrow
     label = components(links_of(docs, narrow))
     narrow = narrow.select("doc_id", "th", "n", "node")
-    least = narrow.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = narrow.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     heads = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = settle(least.join(heads, "label").select("node", "component_id"))
-    return narrow.join(named, "node", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = settle(least.join(heads, "label").select("node", "label", "component_id"))
+    return narrow.join(named, "node", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -575,15 +596,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Only texts of classes of several rows are shuffled to find their heads; others pass.
     """
     found = settle(classes(docs).where("n_shingles > 0"))
-    # A class is known by its least id; classes without any id go by their text instead.
-    name = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("th"), F.col("th").cast("string"))).alias("_c")
-    heads = settle(found.groupBy(name).agg(F.min(F.struct("doc_id", "th")).alias("_h"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_c", "_h.doc_id", "_h.th"))
-    several = settle(found.select(name, "th").join(heads.select("_c"), "_c", "left_semi").select("th").distinct())
-    bitmap = _bitmap(several, "th")
+    heads = settle(found.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("_h"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("label", "_h.doc_id", "_h.th"))
+    several = settle(found.select("label", "th").join(heads.select("label"), "label", "left_semi").select("th").distinct())
+    bitmap = bitmap_of(several, "th")
     marked = docs.select("*", F.xxhash64("text").alias("th")) if "th" not in docs.columns else docs.withColumnRenamed("th", "_own_th").withColumn("th", F.xxhash64("text"))
     own = [c for c in marked.columns if c != "th"]
-    out_of_class = _likely(marked, bitmap, keep=False).select(*own)
-    likely = _likely(marked, bitmap)
-    alone = likely.join(several, "th", "left_anti").select(*own)
-    kept = likely.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.th") == F.col("h.th")), "left_semi").dropDuplicates(["doc_id", "th"]).select(*own)
+    out_of_class = likely(marked, bitmap, "th", keep=False).select(*own)
+    maybe = likely(marked, bitmap, "th")
+    alone = maybe.join(several, "th", "left_anti").select(*own)
+    kept = maybe.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.th") == F.col("h.th")), "left_semi").dropDuplicates(["doc_id", "th"]).select(*own)
     return out_of_class.unionByName(alone).unionByName(kept).toDF(*docs.columns)
