@@ -46,7 +46,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_index.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return run_index.remove_repeats(_documents(spark, sf_dir))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
