@@ -5,7 +5,8 @@ Law ``rows``: shard counts are at most one apart. A row's number is its rank in
 are interchangeable, so the placement does not depend on how the input was partitioned. The
 permuted number n gives shard n mod k and slot n div k, and :func:`row_number_at` inverts it.
 A null text counts as empty (size 1, CRC 0) and a null key sorts first; an empty table gives an
-empty result.
+empty result. Texts of any length are only measured and hashed. Further columns are not read, but
+for those to carry, so none can clash.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import U64, mix64, partitions, settle
 
 ROUNDS = 6
+#: Copies of one identity that are numbered in one task.
+COPIES = 1 << 16
 
 
 def _half_bits(n: int) -> int:
@@ -65,8 +68,8 @@ def row_number_at(shard: int, slot: int, n: int, n_shards: int, seed: int) -> in
 def number_rows(df: DataFrame, identity: list[str], carry: list[str] = ()) -> DataFrame:
     """identity (and carry, equal for equal identities) plus row_no, gapless from 0 over all rows.
 
-    Equal identities are counted before the shuffle and expanded after it, so neither a hot key
-    nor thousands of copies meet in one task.
+    Equal identities are counted before the shuffle and expanded after it, COPIES at a time: an
+    identity with more of them is dealt out in runs of numbers first, so no task has all.
     """
     spark = df.sparkSession
     buckets = 8 * partitions(spark)
@@ -81,12 +84,12 @@ def number_rows(df: DataFrame, identity: list[str], carry: list[str] = ()) -> Da
     offsets = sizes.withColumn("_from", F.coalesce(F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("_b").orderBy(*[F.col(c).asc_nulls_first() for c in identity]).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_from") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    return (
-        counted.join(F.broadcast(offsets), "_b")
-        .withColumn("_start", start)
-        .withColumn("row_no", F.explode(F.sequence("_start", F.col("_start") + F.col("_n") - 1)))
-        .select(*identity, *carry, "row_no")
-    )
+    begun = counted.join(F.broadcast(offsets), "_b").withColumn("_start", start).select(*identity, *carry, "_start", "_n")
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES))).alias("_run")
+    many = begun.where(F.col("_n") > COPIES).select(*identity, *carry, "_start", "_n", runs)
+    many = many.repartition(*identity, "_run").select(*identity, *carry, (F.col("_start") + F.col("_run") * COPIES).alias("_start"), F.least(F.lit(COPIES), F.col("_n") - F.col("_run") * COPIES).alias("_n"))
+    number = F.explode(F.sequence("_start", F.col("_start") + F.col("_n") - 1)).alias("row_no")
+    return begun.where(F.col("_n") <= COPIES).unionByName(many).select(*identity, *carry, number)
 
 
 def place(numbered: DataFrame, n: int, n_shards: int, seed: int = 17) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path:
 from there up to ``?``, ``#`` or the end. A null url or one without ``://`` has an empty host and
-path and gets the default verdict. Repeated rows each get their verdict; an empty table stays
-empty; other columns are kept, and an input column named like a result column is replaced.
+path and gets the default verdict. Of rules that fit equally long the first one given wins. Repeated
+rows each get their verdict; urls of any length are read whole; an empty table stays empty; other
+columns are kept, and an input column named like a result column is replaced.
 """
 
 from __future__ import annotations
@@ -72,25 +73,32 @@ def match(trie: dict, host: str, path: str):
 
 
 def _joined(df: DataFrame, rules: list[tuple[str, str, str]], default: str) -> DataFrame:
-    """For rule lists too long to broadcast: each url's host suffixes meet the rules of that host."""
+    """For rule lists too long to broadcast: each different url's host suffixes meet the rules of that host.
+
+    The verdict depends on host and path alone, so they are the key; no row needs a number of its own.
+    """
     spark = df.sparkSession
-    table = spark.createDataFrame([(h, p, v) for v, h, p in rules], "r_host string, r_path string, r_verdict string")
-    keyed = df.withColumn("_row", F.expr("uuid()"))
+    table = spark.createDataFrame([(h, p, v, i) for i, (v, h, p) in enumerate(rules)], "r_host string, r_path string, r_verdict string, r_no long")
     labels = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    best = F.struct(F.length("r_host"), F.length("r_path"), -F.col("r_no"))
     hits = (
-        keyed.select("_row", "path", F.explode(F.array_union(tails, F.array(F.lit("")))).alias("r_host"))
+        df.select("host", "path").distinct()
+        .select("host", "path", F.explode(F.array_union(tails, F.array(F.lit("")))).alias("r_host"))
         .join(table, "r_host")
         .where(F.col("path").startswith(F.col("r_path")))
-        .groupBy("_row")
-        .agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), F.struct(F.length("r_host"), F.length("r_path"))).alias("_hit"))
-    )
-    return keyed.join(hits, "_row", "left").withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.verdict", F.lit(default))}).drop("_row", "_hit")
+        .groupBy("host", "path")
+        .agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), best).alias("_hit"))
+    )
+    return df.join(hits, ["host", "path"], "left").withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.verdict", F.lit(default))}).drop("_hit")
 
 
 def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = "allow", max_trie_bytes: int = MAX_TRIE_BYTES) -> DataFrame:
-    """df plus host, path, rule, verdict. rules: (verdict, host, path); ties keep the first rule given."""
+    """df plus host, path, rule, verdict. rules: (verdict, host, path), the path empty (the whole host)
+    or from its first slash on; ties keep the first rule given."""
     rules = list(dict.fromkeys(rules))
+    if odd := [r for r in rules if r[2] and not r[2].startswith("/")]:
+        raise ValueError(f"a rule's path is empty or begins with a slash: {odd[:3]}")
     host, path = host_path(F.col(f"`{url}`"))
     out = df.drop("rule", "verdict").withColumns({"host": host, "path": path})
     if sum(len(h) + len(p) + 64 for _, h, p in rules) > max_trie_bytes:
@@ -100,7 +108,8 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "ur
     @F.pandas_udf(_RULE)
     def verdict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for hosts, paths in batches:
-            seen = [match(trie.value, h, p) for h, p in zip(hosts, paths, strict=True)]
+            known: dict[tuple[str, str], tuple] = {}  # of one batch: a host's pages often come together
+            seen = [known.get((h, p)) or known.setdefault((h, p), match(trie.value, h, p)) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame({"rule": [r for r, _ in seen], "verdict": [v or default for _, v in seen]}, dtype=object)
 
     return out.withColumn("_m", verdict("host", "path")).select("*", "_m.rule", "_m.verdict").drop("_m")
