@@ -1,13 +1,21 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, quantities, names and units become typed placeholders; windows of eight template tokens
-with at least four literal ones are hashed and joined with those of the benchmark items. Matched
-windows that lie on one diagonal (document position minus item position) must map the item's slot
-values to the document's one to one; else they don't count. Windows of fewer literals are hashed
-with their slot values and only match verbatim (but for case). An item leaks into a document when
-half of its template windows are matched, or half of all its windows. An item of five to eight tokens is one window of its length; a
-shorter one can't identify a leak and is not matched. Null and empty texts match nothing, repeated
-rows are judged alike, and empty tables give empty results. Letters fold A-Z only.
+with at least four literal ones are hashed and joined with those of the benchmark items. Windows of
+fewer literals are hashed with their slot values and only match verbatim (but for case). An item
+leaks into a text when half of its template windows are matched, or half of all its windows.
+
+The join is a hash join of two tables of windows. As half of an item's windows must match, its
+rarest half (and one more) are joined first; so a phrase that very many items and texts share
+brings no pair together unless a rarer window does too. Matched windows lie on diagonals (text
+position minus item position). All diagonals that count together must map the item's slot values to
+the text's one to one, so copies with other numbers don't lend each other windows; each set of
+diagonals that fit together is judged by itself.
+
+An item of five to eight tokens is one window of its length; a shorter one can't identify a leak
+(short_items lists those). Null and empty texts match nothing, repeated rows are judged alike, and
+empty tables give empty results. Texts are read whole. Letters fold A-Z only. Further columns of
+any name stay as they are (drop_leaks) or are not read (find_leaks).
 """
 
 from __future__ import annotations
@@ -17,16 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import U64, ensure, mix64
+from .common import FILTER_BITS, U64, bitmap_of, ensure, mix64, once, release, settle, without_texts
 
 WINDOW, MIN_LITERAL, MIN_ITEM = 8, 4, 5
 MIN_COVERAGE = 0.5
-#: Characters of benchmark texts whose index is broadcast at once; a larger benchmark is matched in parts.
-PART_CHARS = 32_000_000
 CHUNK_BYTES = 1 << 21
 
 #: Unit words that turn a following placeholder when they stand after a number.
@@ -132,132 +137,159 @@ def exact(template: np.ndarray, slot: np.ndarray) -> np.ndarray:
         return mix64(np.where(slot != 0, slot, template | U64(1)) ^ U64(_EXACT))
 
 
-class Index:
-    """Windows of some benchmark items: sorted hashes with (item, position) postings."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        post: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        # Of each item: its id, window size, which windows have literals enough for templates, slot values.
-        self.items: list[tuple[int, int, list[bool], list[int]]] = []
-        sizes, exact_sizes = set(), set()
-        for item_id, text in items:
-            t, s, _, _ = tokens([(text or "").encode()])
-            if len(t) < MIN_ITEM:
-                continue
-            size = min(WINDOW, len(t))
-            sizes.add(size)
-            ok = _literal(s, size) >= min(MIN_LITERAL, size - 1)
-            if not ok.all():
-                exact_sizes.add(size)
-            hashes = np.where(ok, windows(t, size), windows(exact(t, s), size))
-            for pos, h in enumerate(hashes.tolist()):
-                post[h].append((len(self.items), pos))
-            self.items.append((item_id, size, ok.tolist(), s.tolist()))
-        self.sizes = sorted(sizes)
-        self.exact_sizes = sorted(exact_sizes)
-        self.post = dict(post)
-        self.hashes = np.array(sorted(post), dtype=U64)
-        self.seen = np.zeros(1 << 20, dtype=bool)  # a first, cheap test on the top bits
-        self.seen[(self.hashes >> U64(44)).astype(np.int64)] = True
-
-    def hits(self, template: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        h = windows(template, size)
-        at = np.flatnonzero(self.seen[(h >> U64(44)).astype(np.int64)])
-        at = at[np.isin(h[at], self.hashes)] if len(at) else at
-        return at, h[at]
-
-
-def _consistent(pairs: list[tuple[int, int]]) -> bool:
-    there, back = {}, {}
-    return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in pairs)
-
-
-def leaks(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(text number, item id, windows matched, windows of the item, all slot values equal)."""
-    if not index.items:
-        return
-    template, slot, lo, hi = tokens(texts)
-    found: dict[int, dict[int, dict[int, set[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-    own = exact(template, slot) if index.exact_sizes else template
-    for tokens_of, size in [*((template, k) for k in index.sizes), *((own, k) for k in index.exact_sizes)]:
-        at, hashes = index.hits(tokens_of, size)
-        docs = np.searchsorted(hi, at, side="right")
-        for p, h, d in zip(at.tolist(), hashes.tolist(), docs.tolist(), strict=True):
-            if p + size <= hi[d]:
-                for item, pos in index.post[h]:
-                    if index.items[item][1] == size:
-                        found[d][item][p - pos].add(pos)
-    for d, by_item in found.items():
-        for item, diagonals in by_item.items():
-            item_id, size, ok, values = index.items[item]
-            covered, verbatim, same = set(), set(), True
-            for shift, every in diagonals.items():
-                places = {p for p in every if ok[p]}
-                verbatim |= every - places
-                spots = {k for p in places for k in range(p, p + size) if values[k]}
-                pairs = [(values[k], int(slot[shift + k])) for k in sorted(spots)]
-                if _consistent(pairs):
-                    covered |= places
-                    same &= all(a == b for a, b in pairs)
-            total = sum(ok)
-            if covered and len(covered) >= MIN_COVERAGE * total:
-                yield d, item_id, len(covered), total, same
-            elif len(covered) + len(verbatim) >= MIN_COVERAGE * len(ok):
-                yield d, item_id, len(covered) + len(verbatim), len(ok), same
-
-
-def _chunks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[bytes]]]:
-    texts, start, size = [], 0, 0
-    for i, t in enumerate(batch.column(at).to_pylist()):
-        texts.append((t or "").encode())
-        size += len(texts[-1])
-        if size >= CHUNK_BYTES:
-            yield start, texts
-            texts, start, size = [], i + 1, 0
-    if texts:
-        yield start, texts
+def item_windows(template: np.ndarray, slot: np.ndarray, size: int, verbatim: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each window, and whether it has literals enough to match as a template; others are
+    hashed with their slot values (verbatim: whether those are wanted at all)."""
+    ok = _literal(slot, size) >= min(MIN_LITERAL, size - 1)
+    h = windows(template, size)
+    return (h if ok.all() or not verbatim else np.where(ok, h, windows(exact(template, slot), size))), ok
+
+
+_ITEM = ["item_id", "item_hash"]
+_WINDOWS = "item_id long, item_hash long, pos int, size int, h long, ok boolean, item_slots array<long>, n_ok int, n_all int"
+
+
+def benchmark_windows(bench: DataFrame) -> DataFrame:
+    """Every window of every different item: where it is, its hash and slot values (0 for a literal),
+    and how many windows the item has, with literals enough (n_ok) and in all."""
+    bench = ensure(bench, item_id="long", text="string").select("item_id", F.xxhash64("text").alias("item_hash"), "text").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, own, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                t, s, _, _ = tokens([(text or "").encode()])
+                if len(t) >= MIN_ITEM:
+                    size = min(WINDOW, len(t))
+                    h, ok = item_windows(t, s, size)
+                    s = s.view(np.int64)
+                    rows += [(item, own, p, size, x, y, s[p : p + size].tolist(), int(ok.sum()), len(ok)) for p, (x, y) in enumerate(zip(h.view(np.int64).tolist(), ok.tolist(), strict=True))]
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in _WINDOWS.split(", ")])
+
+    return bench.mapInArrow(run, _WINDOWS)
 
 
-def _parts(bench: DataFrame) -> Iterator[Index]:
-    """The benchmark's index, in as many parts as keep each within PART_CHARS (items stay whole)."""
-    bench = ensure(bench, item_id="long", text="string")
-    chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // PART_CHARS) or 1
-    for k in range(n):
-        yield Index([(r[0], r[1]) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).sort("item_id").collect()])
+def short_items(bench: DataFrame) -> DataFrame:
+    """item_id of the items of fewer than MIN_ITEM tokens, which are not matched."""
+    rows = ensure(bench, item_id="long", text="string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            short = [len(tokens([(t or "").encode()])[0]) < MIN_ITEM for t in b.column(1).to_pylist()]
+            yield b.select(["item_id"]).filter(pa.array(short, pa.bool_()))
+
+    return rows.mapInArrow(run, "item_id long")
+
+
+def _chunks(nodes: list[int], texts: list) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    own, part, size = [], [], 0
+    for node, t in zip(nodes, texts, strict=True):
+        own.append(node)
+        part.append((t or "").encode())
+        size += len(part[-1])
+        if size >= CHUNK_BYTES:
+            yield np.array(own, dtype=np.int64), part
+            own, part, size = [], [], 0
+    if part:
+        yield np.array(own, dtype=np.int64), part
+
+
+def _text_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """th, p, h, text_slots: the windows of the texts that pass a filter of the benchmark's hashes."""
+    sizes = [(r[0], r[1]) for r in found.groupBy("size").agg(F.min("ok")).collect()]  # at most WINDOW rows
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(found.select("h").distinct(), "h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own, texts in _chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                template, slot, _, hi = tokens(texts)
+                slots = slot.view(np.int64)
+                for size, all_ok in sizes:
+                    h = item_windows(template, slot, size, not all_ok)[0].view(np.int64)
+                    at = np.arange(len(h))
+                    if shared.value is not None:
+                        bit = h & (FILTER_BITS - 1)
+                        at = np.flatnonzero((shared.value[bit >> 5] >> (bit & 31)) & 1)
+                    doc = np.searchsorted(hi, at, side="right")
+                    inside = at + size <= hi[doc] if len(at) else np.zeros(0, dtype=bool)
+                    at, doc = at[inside], doc[inside]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, size * len(at) + 1, size), pa.int32()), pa.array(slots[at[:, None] + np.arange(size)].ravel(), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[doc]), pa.array(at - np.concatenate([[0], hi])[doc], pa.int64()), pa.array(h[at]), lists], names=["th", "p", "h", "text_slots"])
+
+    texts = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    return once(texts, "th").mapInArrow(run, "th long, p long, h long, text_slots array<long>").distinct()
+
+
+def _fits(pairs: list[tuple[int, int]], there: dict, back: dict) -> bool:
+    return all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs)
+
+
+def judge(hits: list[dict], n_ok: int, n_all: int) -> tuple[int, int, bool] | None:
+    """(windows matched, windows that count, all slot values equal) if the item leaks by these hits
+    (pos, p, ok, item_slots, text_slots)."""
+    diagonals: dict[int, list[dict]] = defaultdict(list)
+    for x in hits:
+        diagonals[x["p"] - x["pos"]].append(x)
+    verbatim = {x["pos"] for x in hits if not x["ok"]}
+    sets: list[tuple[dict, dict, set]] = []
+    for _, own in sorted(diagonals.items(), key=lambda d: (-len(d[1]), d[0])):
+        own = [x for x in own if x["ok"]]
+        pairs = sorted({(a, b) for x in own for a, b in zip(x["item_slots"], x["text_slots"], strict=True) if a})
+        places = {x["pos"] for x in own}
+        if not own or not (_fits(pairs, dict(pairs), {b: a for a, b in pairs})):
+            continue
+        whole = len(places) >= MIN_COVERAGE * n_ok  # enough by itself: need not look for company
+        for there, back, covered in [] if whole else sets:
+            if _fits(pairs, there, back):
+                there.update(pairs)
+                back.update({b: a for a, b in pairs})
+                covered |= places
+                break
+        else:
+            sets.append((dict(pairs), {b: a for a, b in pairs}, places))
+    there, _, covered = max(sets, key=lambda s: len(s[2]), default=({}, {}, set()))
+    same = all(a == b for a, b in there.items())
+    if covered and len(covered) >= MIN_COVERAGE * n_ok:
+        return len(covered), n_ok, same
+    if len(covered) + len(verbatim) >= MIN_COVERAGE * n_all:
+        return len(covered) + len(verbatim), n_all, same
+    return None
+
+
+def text_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """th (hash of a text), item_id, n_matched, n_windows, same_slots for each text and item that leaks into it."""
+    found = settle(benchmark_windows(bench))
+    common = found.select("h", *_ITEM).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("items"))
+    need = F.greatest(F.lit(1), F.ceil(MIN_COVERAGE * F.when(F.col("n_ok") > 0, F.col("n_ok")).otherwise(F.col("n_all"))))
+    rarest = Window.partitionBy(*_ITEM).orderBy("items", "h", "pos")  # an item's windows: as many as it has words
+    probes = found.join(common, "h").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.col("n_all") - need + 1).select("h", *_ITEM).distinct()
+    seen = settle(_text_windows(docs, found))
+    pairs = seen.join(probes, "h").select("th", *_ITEM).distinct()
+    same_item = [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in _ITEM]
+    hits = seen.join(pairs, "th").alias("s").join(found.alias("f"), [F.col("s.h") == F.col("f.h"), *same_item])
+    hit = F.struct("pos", "p", "ok", "item_slots", "text_slots")
+    grouped = hits.groupBy("th", "f.item_id", "f.item_hash").agg(F.collect_list(hit).alias("hits"), F.max("n_ok").alias("n_ok"), F.max("n_all").alias("n_all"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            th, item, own, n_ok, n_all = (b.column(c).to_pylist() for c in ("th", "item_id", "hits", "n_ok", "n_all"))
+            rows = [(t, i, *x) for t, i, h, k, n in zip(th, item, own, n_ok, n_all, strict=True) if (x := judge(h, k, n))]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["th", "item_id", "n_matched", "n_windows", "same_slots"])
+
+    out = settle(grouped.mapInArrow(run, "th long, item_id long, n_matched long, n_windows long, same_slots boolean"))
+    release(found, seen)
+    return out
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """A row for each document row and item that leaks into it: doc_id, item_id, n_matched, n_windows, same_slots."""
     docs = ensure(docs, doc_id="long", text="string")
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_matched", pa.int64()), ("n_windows", pa.int64()), ("same_slots", pa.bool_())])
-    out = None
-    for index in _parts(bench):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = b.column(0).to_pylist()
-                rows = [(ids[start + d], *rest) for start, texts in _chunks(b, 1) for d, *rest in leaks(texts, shared.value)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
-
-        part = docs.mapInArrow(run, "doc_id long, item_id long, n_matched long, n_windows long, same_slots boolean")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return docs.select("doc_id", F.xxhash64("text").alias("th")).join(text_leaks(docs, bench), "th").drop("th")
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents into which no item leaks, with their own columns."""
-    at = docs.columns.index("text")
-    for index in _parts(bench):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, dtype=bool)
-                for start, texts in _chunks(b, at):
-                    keep[[start + d for d, *_ in leaks(texts, shared.value)]] = False
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
-    return docs
+    return without_texts(docs, text_leaks(docs, bench).select("th").distinct())
