@@ -1,8 +1,8 @@
 """HTML extraction by a tree-structured graphical model over the DOM.
 
 Each block element and each run of text between block boundaries is a node that is content or not.
-A node has a log-linear potential over its tag, its class and id words and its text; parent and
-child share a potential by the child's kind. Sum-product messages, upward and then downward, give
+A node has a log-linear potential over its tag, its class and id words (each word a hashed feature
+whose weight is learned) and its text; parent and child share a potential by the child's kind, and a page without any content has one of its own. Sum-product messages, upward and then downward, give
 every node's content marginal; runs of text with at least one half make up the page's text, in page
 order. Training maximises the likelihood of labelled pages, whose gradient the same messages give.
 The labelled pages are a bounded sample of the table (SAMPLE pages, those of least hash), labelled
@@ -11,16 +11,19 @@ knows the labels; so the model does not lean on one template.
 
 A null, empty or contentless page gives an empty text; broken markup is read as it comes; repeated
 rows are treated alike; an empty table stays empty (the model then learns from generated pages
-alone). The whole html is read.
+alone). The whole html is read, however long; a button, video or the like that is never closed ends
+with its parent or at the next block that it can't hold. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from math import exp, log
+from math import exp, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 #: Pages of the table that the model is trained on at most, and their largest html.
 SAMPLE, SAMPLE_CHARS = 120, 50_000
 STEPS, RATE, DECAY = 300, 0.15, 5e-5
+#: Weights of class words are held closer to nought than others, so that no word outweighs the text.
+WORD_DECAY = 5e-5
 
 _GROUPS = {
     "root": "html body", "article": "article", "main": "main", "section": "section", "div": "div", "nav": "nav menu", "header": "header", "footer": "footer", "aside": "aside",
@@ -42,20 +47,26 @@ _TEXT = _NAMES.index("text")
 _HIDDEN = frozenset("head script style noscript template textarea select button svg math iframe object video audio canvas title".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"li": ("li", ("ul", "ol")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table"))}
-_BAD = frozenset(
-    "ad ads advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar side aside footer foot header masthead topbar cookie cookies consent notice alert gdpr popup modal overlay "
-    "comment comments reply replies discussion disqus related recommended share sharing social follow widget breadcrumb breadcrumbs pagination pager newsletter subscribe signup login search form skip toolbar copyright legal".split()
-)
-_GOOD = frozenset("article content main post entry story body text maintext prose page".split())
-N_FEATURES = len(_NAMES) + 2 + 8
-_WORD = re.compile(r"[a-z]+")
+_LATER = re.compile(r"</(noscript|template|textarea|select|button|svg|math|iframe|object|video|audio|canvas)\b", re.I)
+#: Blocks that no hidden element but noscript, template, object and the media may hold.
+_OUTSIDE = frozenset("p article main section nav header footer aside ul ol dl table h1 h2 h3 h4 h5 h6 blockquote form pre".split())
+_HOLDERS = frozenset("noscript template object video audio canvas".split())
+#: Features: kinds of nodes, hashed class words, then the text's.
+WORDS = 512
+_LENGTHS = (25, 80, 250)
+_TEXT_AT = len(_NAMES) + WORDS
+N_FEATURES = _TEXT_AT + 8
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Dom(HTMLParser):
     """Nodes of one page: parents come before children. Text runs are nodes of kind "text"."""
 
-    def __init__(self):
+    def __init__(self, later: Counter | None = None):
         super().__init__(convert_charrefs=True)
+        self.later = later or Counter()  # end tags still to come, of elements that may be left open
+        self.inner: list[str] = []
+        self.open_ended = False
         self.parent, self.kind, self.words, self.label = [], [], [], []
         self.text: dict[int, str] = {}
         self.links: dict[int, int] = {}
@@ -90,15 +101,24 @@ class Dom(HTMLParser):
             if self.stack[i][0] in stops:
                 return
 
+    def _unhide(self):
+        self.hidden, self.inner, self.open_ended = [], [], False
+
     def handle_starttag(self, tag, attrs):
         if tag in _HIDDEN:
-            if not self.hidden or tag == self.hidden[0]:
+            if not self.hidden:
+                self.hidden = [tag]
+                self.open_ended = tag in _LATER_TAGS and not self.later[tag]
+            elif tag == self.hidden[0] and tag != "button":
                 self.hidden.append(tag)
             return
         if self.hidden:
-            if self.hidden[0] == "head" and tag == "body":
-                self.hidden = []
+            top = self.hidden[0]
+            if (top == "head" and tag == "body") or (tag in _KIND and (self.open_ended or (tag in _OUTSIDE and top in _LATER_TAGS and top not in _HOLDERS))):
+                self._unhide()
             else:
+                if tag in _KIND:
+                    self.inner.append(tag)
                 return
         if tag == "a":
             self.in_link = 1
@@ -112,7 +132,7 @@ class Dom(HTMLParser):
             self._pop_to(*_CLOSES[tag])
         self._pop_to("p", ("div", "article", "section", "td", "th", "li", "blockquote", "body", "main", "aside", "form"))
         found = dict(attrs)
-        words = tuple(_WORD.findall(f"{found.get('class') or ''} {found.get('id') or ''} {found.get('role') or ''}".lower())) if attrs else ()
+        words = tuple({w.lower() for w in _WORD.findall(f"{found.get('class') or ''} {found.get('id') or ''} {found.get('role') or ''}")}) if attrs else ()
         label = found.get("data-y")
         self.stack.append((tag, self._add(self.stack[-1][1], _KIND[tag], words, label)))
 
@@ -124,10 +144,21 @@ class Dom(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if tag in _LATER_TAGS:
+            self.later[tag] -= 1
         if self.hidden:
             if tag == self.hidden[0]:
                 self.hidden.pop()
-            return
+                if not self.hidden:
+                    self._unhide()
+                return
+            if tag in self.inner:
+                while self.inner.pop() != tag:
+                    pass
+                return
+            if self.hidden[0] not in _LATER_TAGS or not any(t == tag for t, _ in self.stack):
+                return
+            self._unhide()  # its parent ends
         if tag == "a":
             self.in_link = 0
         elif tag in _KIND:
@@ -142,57 +173,64 @@ class Dom(HTMLParser):
                 self.linked += len(data)
 
 
+_LATER_TAGS = frozenset("noscript template textarea select button svg math iframe object video audio canvas".split())
+
+
 def parse(html: str) -> Dom:
-    dom = Dom()
+    dom = Dom(Counter(t.lower() for t in _LATER.findall(html)))
     dom.feed(html)
     dom.close()
     dom.flush()
     return dom
 
 
+def _step(n: int) -> int:
+    return next((i for i, top in enumerate(_LENGTHS) if n < top), len(_LENGTHS))
+
+
 def node_features(dom: Dom) -> list[list[int]]:
     """The indexes of the features (all binary) that each node has."""
-    out, base = [], len(_NAMES)
+    out = []
     for i, kind in enumerate(dom.kind):
-        on = [kind]
-        words = dom.words[i]
-        if words:
-            if not _BAD.isdisjoint(words):
-                on.append(base)
-            elif not _GOOD.isdisjoint(words):
-                on.append(base + 1)
+        on = [kind] + [len(_NAMES) + zlib.crc32(w.encode()) % WORDS for w in dom.words[i]]
         if kind == _TEXT:
             text = dom.text[i]
-            n = len(text)
-            on.append(base + 2 + (0 if n < 25 else 1 if n < 80 else 2 if n < 250 else 3))
-            if 2 * dom.links[i] > n:
-                on.append(base + 6)
+            on.append(_TEXT_AT + _step(len(text)))
+            if 2 * dom.links[i] > len(text):
+                on.append(_TEXT_AT + 4)
             if text[-1] in ".!?:;\"')":
-                on.append(base + 7)
+                on.append(_TEXT_AT + 5)
             if text[:1] in "©" or "All rights" in text or "Copyright" in text:
-                on.append(base + 8)
+                on.append(_TEXT_AT + 6)
             if "http" in text or "@" in text:
-                on.append(base + 9)
+                on.append(_TEXT_AT + 7)
         out.append(on)
     return out
 
 
-def marginals(parent: list[int], kind: list[int], score: list[float], agree: list[float], drop: list[float]) -> list[float]:
+def marginals(parent: list[int], kind: list[int], score: list[float], agree: list[float], drop: list[float], empty: float = 0.0) -> list[float]:
     """Log odds of content of each node, by messages to the root and back.
 
     A child of kind k that agrees with its parent adds agree[k]; one that isn't content under a
-    parent that is adds drop[k].
+    parent that is adds drop[k]; a page without any content adds empty.
     """
     n = len(parent)
-    up, total = [0.0] * n, list(score)
+    up, total, mass = [0.0] * n, list(score), 0.0  # mass: log of all configurations over the one without content
     for i in range(n - 1, 0, -1):
         a, b, x = agree[kind[i]], drop[kind[i]], min(60.0, max(-60.0, total[i]))
         up[i] = log((exp(b) + exp(a + x)) / (exp(a) + exp(x)))
         total[parent[i]] += up[i]
+        mass += log1p(exp(x - a))
+    mass += log1p(exp(min(60.0, total[0])))
     for i in range(1, n):
         a, b = agree[kind[i]], drop[kind[i]]
         q = min(60.0, max(-60.0, total[parent[i]] - up[i]))
         total[i] += log((1 + exp(a + q)) / (exp(a) + exp(b + q)))
+    if empty:
+        # With the page's term every probability grows by one factor: odds p r / (1 - p r).
+        r = 1 / (1 - exp(-mass) * (1 - exp(empty)))
+        grown = [r / (1 + exp(-max(-60.0, x))) for x in total]
+        total = [log(p / (1 - p)) if p < 1 else 60.0 for p in grown]
     return total
 
 
@@ -204,7 +242,7 @@ def extract(html: str, model: dict) -> str:
         return ""
     w = model["w"]
     score = [sum(w[f] for f in on) for on in node_features(dom)]
-    odds = marginals(dom.parent, dom.kind, score, model["agree"], model["drop"])
+    odds = marginals(dom.parent, dom.kind, score, model["agree"], model["drop"], model["empty"])
     return "\n".join(t for i, t in dom.text.items() if odds[i] >= 0)
 
 
@@ -214,6 +252,9 @@ _FILLER = "the river keeps its own time and so does every town along the water w
 _CHROME = "Home About Contact Products Archive Sign in Help Search Privacy Terms News Sports Weather Shop Subscribe now Read more Share this Accept cookies We use cookies to improve your visit. All rights reserved.".split()
 
 
+_AFFIXES = "site page box wrap inner left right top block js col row list area story app".split()
+
+
 def _sentence(rng: random.Random, words: list[str], low: int, high: int) -> str:
     return " ".join(rng.choice(words) for _ in range(rng.randint(low, high))).capitalize() + "."
 
@@ -222,12 +263,14 @@ def _escape(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;")
 
 
-def variant(rng: random.Random, blocks: list[str], words: list[str]) -> str:
-    """A page in another layout that holds these blocks as its content; data-y marks its labels."""
+def variant(rng: random.Random, blocks: list[str], words: list[str], plain: bool = False) -> str:
+    """A page in another layout that holds these blocks as its content, or none; data-y marks its labels.
+    plain: all blocks are paragraphs."""
     e, pick = _escape, rng.choice
     links = lambda n: "".join(f"<li><a href='/x{i}'>{e(' '.join(rng.sample(_CHROME, 2)))}</a></li>" for i in range(n))
     say = lambda a, b: e(_sentence(rng, words if rng.random() < 0.7 else _CHROME, a, b))
-    bad = lambda tag, names: f"<{tag} class='{pick(names)}' data-y='0'>"
+    dress = lambda name: pick([name, name, f"{pick(_AFFIXES)}-{name}", f"{name}_{pick(_AFFIXES)}", f"{name}{pick(_AFFIXES).capitalize()}"])
+    bad = lambda tag, names: f"<{tag} {pick(['class', 'class', 'id'])}='{dress(pick(names))}' data-y='0'>"
     top = [
         f"<header data-y='0'><h2>{say(1, 4)}</h2><ul>{links(4)}</ul></header>",
         f"<nav data-y='0'><ul>{links(rng.randint(2, 8))}</ul></nav>",
@@ -254,9 +297,10 @@ def variant(rng: random.Random, blocks: list[str], words: list[str]) -> str:
         body.append(f"<h1>{e(blocks[0])}</h1>")
         i = 1
     while i < len(blocks):
-        x = rng.random()
-        if x < 0.08 and i + 2 < len(blocks):
-            body.append("<ul>" + "".join(f"<li>{e(b)}</li>" for b in blocks[i : i + 2]) + "</ul>")
+        x = 1.0 if plain else rng.random()
+        if x < 0.1 and i + 2 < len(blocks):
+            rows = blocks[i : i + 2]
+            body.append("<ul>" + "".join(f"<li>{e(b)}</li>" for b in rows) + "</ul>" if x < 0.06 else "<table>" + "".join(f"<tr><td>{e(b)}</td></tr>" for b in rows) + "</table>")
             i += 2
             continue
         tag = "h2" if x < 0.14 and len(blocks[i]) < 80 else "blockquote" if x < 0.18 else "div" if x < 0.24 else "pre" if x < 0.26 else "p"
@@ -264,10 +308,13 @@ def variant(rng: random.Random, blocks: list[str], words: list[str]) -> str:
         i += 1
     for extra in rng.sample(top[4:6] + end[5:], rng.randint(0, 2)):
         body.insert(rng.randint(1, len(body)) if body else 0, extra)
-    opened, closed = pick([("<article data-y='1'>", "</article>"), ("<main data-y='1'>", "</main>"), ("<main data-y='0'><article data-y='1'>", "</article></main>"), (f"<div {pick(['class', 'id'])}='{pick(['content', 'post-body', 'entry-content', 'main', 'article-text'])}' data-y='1'>", "</div>"), ("<section data-y='1'>", "</section>"), ("<div data-y='0'><div data-y='1'>", "</div></div>")])
+    # Names of the content's own wrapper may speak of what is beside it.
+    odd = f" class='{pick(['comments-open', 'has-sidebar', 'no-ads', 'with-menu', 'footer-below', 'share-on'])} {pick(['main', 'post', 'story', 'wrap'])}'" if rng.random() < 0.5 else ""
+    opened, closed = pick([(f"<article{odd} data-y='1'>", "</article>"), (f"<main{odd} data-y='1'>", "</main>"), (f"<main{odd} data-y='1'><article data-y='1'>", "</article></main>"), (f"<div {pick(['class', 'id'])}='{dress(pick(['content', 'post-body', 'entry-content', 'main', 'article-text', 'story', 'text']))}' data-y='1'>", "</div>"), (f"<section{odd} data-y='1'>", "</section>"), (f"<div data-y='1'><div{odd} data-y='1'>", "</div></div>")])
     head = rng.sample(top, rng.randint(1, 4))
     tail = rng.sample(end, rng.randint(1, 4))
-    return f"<html><head><title>{say(1, 5)}</title></head><body data-y='0'>{''.join(head)}{opened}{''.join(body)}{closed}{''.join(tail)}</body></html>"
+    content = f"{opened}{''.join(body)}{closed}" if blocks else ""
+    return f"<html><head><title>{say(1, 5)}</title></head><body data-y='0'>{''.join(head)}{content}{''.join(tail)}</body></html>"
 
 
 def labels(dom: Dom) -> list[int]:
@@ -291,13 +338,18 @@ def labelled_pages(pages: list[str], seed: int = 5) -> list[tuple[Dom, list[int]
             words = [w for i, t in dom.text.items() for w in t.split()[:400]]
             out.append((dom, y))
             out += [(d, labels(d)) for d in (parse(variant(rng, blocks, words)) for _ in range(2))]
-            if rng.random() < 0.2:  # a page of very many short lines is content as well
+            if rng.random() < 0.8:  # a page of very many short lines is content as well
                 lines = [rng.choice(blocks).split(" ")[0][:20] + "." for _ in range(rng.randint(1, 4))]
-                dom = parse(variant(rng, [rng.choice(lines) for _ in range(rng.randint(30, 250))], words))
+                dom = parse(variant(rng, [*blocks[: rng.randint(0, 2)], *(rng.choice(lines) for _ in range(rng.randint(20, 200)))], words, rng.random() < 0.7))
+                out.append((dom, labels(dom)))
+            if rng.random() < 0.005:
+                dom = parse(variant(rng, [], words))
                 out.append((dom, labels(dom)))
-    for _ in range(60 if out else 180):
-        blocks = [_sentence(rng, _FILLER, 1, 70) for _ in range(rng.randint(1, 12))]
-        dom = parse(variant(rng, blocks, _FILLER))
+    alone = not out
+    for _ in range(300 if alone else 60):
+        short = alone and rng.random() < 0.4  # without pages to learn from, short articles are shown as well
+        blocks = [_sentence(rng, _FILLER, 1, 14 if short else 70) for _ in range(rng.randint(1, 12))]
+        dom = parse(variant(rng, blocks, _FILLER, short))
         out.append((dom, labels(dom)))
     return out
 
@@ -317,18 +369,22 @@ def fit(pages: list[tuple[Dom, list[int]]]) -> dict:
             rows += [at + i] * len(on)
             cols += on
     parent, kind, depth, y = (np.array(x) for x in (parent, kind, depth, y))
-    x = np.zeros((len(parent), N_FEATURES))
-    x[rows, cols] = 1
+    rows, cols = np.array(rows), np.array(cols)
     levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
     child = np.flatnonzero(parent >= 0)
+    roots = np.flatnonzero(parent < 0)
     yp = y[parent[child]]
     same, lost = (yp == y[child]).astype(float), ((yp == 1) & (y[child] == 0)).astype(float)
     weight = 1 / np.sqrt(np.bincount(page))[page]  # long pages count for more, but less than their nodes
     k = len(_NAMES)
-    theta, moved, spread = np.zeros(N_FEATURES + 2 * k), 0.0, 0.0
+    page, n_pages = np.array(page), len(pages)
+    bare = np.bincount(page, y, n_pages) == 0
+    theta, moved, spread = np.zeros(N_FEATURES + 2 * k + 1), 0.0, 0.0
+    decay = np.full(len(theta), DECAY)
+    decay[len(_NAMES) : _TEXT_AT] = WORD_DECAY
     for step in range(1, STEPS + 1):
-        w, agree, drop = theta[:N_FEATURES], theta[N_FEATURES : N_FEATURES + k][kind], theta[N_FEATURES + k :][kind]
-        total, up, down = x @ w, np.zeros(len(parent)), np.zeros(len(parent))
+        w, agree, drop = theta[:N_FEATURES], theta[N_FEATURES : N_FEATURES + k][kind], theta[N_FEATURES + k : -1][kind]
+        total, up, down = np.bincount(rows, w[cols], len(parent)), np.zeros(len(parent)), np.zeros(len(parent))
         for level in levels[::-1]:
             a, b, s = agree[level], drop[level], total[level]
             up[level] = np.logaddexp(b, a + s) - np.logaddexp(a, s)
@@ -339,18 +395,23 @@ def fit(pages: list[tuple[Dom, list[int]]]) -> dict:
             q = total[parent[level]] - up[level]
             down[level] = np.logaddexp(0, a + q) - np.logaddexp(a, b + q)
             total[level] += down[level]
-        p = 1 / (1 + np.exp(-np.clip(total, -50, 50)))
+        # The page's term: log of all configurations over the one without content, and its factor.
+        mass = np.bincount(page[child], np.logaddexp(0, below[child] - agree[child]), n_pages) + np.bincount(page[roots], np.logaddexp(0, below[roots]), n_pages)
+        none = np.exp(-mass)
+        r = 1 / (1 - none * (1 - np.exp(theta[-1])))
+        p = r[page] / (1 + np.exp(-np.clip(total, -50, 50)))
         a, b, s = agree[child], drop[child], below[child]
         q = total[parent[child]] - up[child]
         both = np.stack([a, s, b + q, a + q + s])  # (0,0) (0,1) (1,0) (1,1) of parent, child
         both = np.exp(both - both.max(0))
         both /= both.sum(0)
-        wc = weight[child]
-        grad = np.concatenate([x.T @ (weight * (y - p)), np.bincount(kind[child], wc * (same - both[0] - both[3]), k), np.bincount(kind[child], wc * (lost - both[2]), k)]) / weight.sum() - DECAY * theta
+        wc, rc, left = weight[child], r[page[child]], none * r * np.exp(theta[-1])
+        alike = rc * (both[0] + both[3] - none[page[child]]) + left[page[child]]
+        grad = np.concatenate([np.bincount(cols, (weight * (y - p))[rows], N_FEATURES), np.bincount(kind[child], wc * (same - alike), k), np.bincount(kind[child], wc * (lost - rc * both[2]), k), [(weight[roots] * (bare - left)).sum()]]) / weight.sum() - decay * theta
         moved = 0.9 * moved + 0.1 * grad
         spread = 0.99 * spread + 0.01 * grad**2
         theta = theta + RATE * (moved / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-6)
-    return {"w": theta[:N_FEATURES].tolist(), "agree": theta[N_FEATURES : N_FEATURES + k].tolist(), "drop": theta[N_FEATURES + k :].tolist()}
+    return {"w": theta[:N_FEATURES].tolist(), "agree": theta[N_FEATURES : N_FEATURES + k].tolist(), "drop": theta[N_FEATURES + k : -1].tolist(), "empty": float(theta[-1])}
 
 
 def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> dict:
