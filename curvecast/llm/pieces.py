@@ -1,15 +1,19 @@
 """SentencePiece encoding by forward filtering and backward sampling, and its lossless decoding.
 
 The vocabulary is a public piece file; its path is a parameter. A text gets a leading space, and
-spaces are the pieces' space sign. It is cut into units (spaces and the letters that follow, each
-line feed alone, and no more than MAX_UNIT code points); the pieces inside a unit form a lattice.
-A piece of rank r weighs 1 / (r + RANK_0) to the power `alpha`; a code point without a piece of its
-own becomes its UTF-8 bytes' pieces. Forward sums over the lattice are kept for each distinct unit;
-each occurrence then draws its pieces from the end to the start with numbers that only the seed,
-the row's key, the unit's place and the step decide, so a row always gets the same pieces.
+spaces are the pieces' space sign. No piece holds a space or line feed but at its start, so the text
+falls into units (spaces and the letters that follow, each line feed alone); the pieces inside a
+unit, however long, form a lattice. The vocabulary has ranks but no probabilities, so a piece of rank
+r weighs 1 / (r + RANK_0) to the power `alpha` (Zipf's law); a code point without a piece of its own
+becomes its UTF-8 bytes' pieces. Forward sums over the lattice are kept for each distinct unit; each
+occurrence then draws its pieces from the end to the start with numbers that only the seed, the
+row's key, the unit's place and the step decide, so a row always gets the same pieces. Of a unit of
+more than LONG code points (a text without spaces) forward sums are kept at the starts of blocks
+alone, and each block's are formed again when the drawing comes to it.
 
 A null or empty text has no pieces; a null key counts as 0; equal rows get equal pieces; a literal
-space sign in a text is kept by byte pieces; texts of any length are encoded whole.
+space sign in a text is kept by byte pieces; texts of any length are encoded whole. Further columns
+are not read.
 """
 
 from __future__ import annotations
@@ -25,14 +29,16 @@ from pyspark.sql import functions as F
 from .common import U64, mix64
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_UNIT = 64
+#: Code points of a unit that is encoded block by block, and of a block.
+LONG, BLOCK = 4096, 1 << 15
 RANK_0 = 10.0
 #: Code points encoded at once; bounds the lattices in memory, not the text.
 SEGMENT = 1 << 20
 _SIGN, _SPACE, _LINE = 0x2581, 32, 10
 _PER_CHAR = 6.0  # log weight that each code point adds, the same for every path: keeps sums in range
+_RESCALE = 32  # places after which sums are scaled back
 _STEP = U64(0x9E3779B97F4A7C15)
-_PLACE = mix64(np.arange(MAX_UNIT, dtype=U64) + U64(1 << 30)) | U64(1)
+_PLACE = mix64(np.arange(LONG, dtype=U64) + U64(1 << 30)) | U64(1)
 _MUL = U64(0xD6E8FEB86659FD93)
 _SHIFT = U64(44)  # the top 20 bits of a prefix's hash choose its bucket
 
@@ -111,24 +117,14 @@ def _unit_starts(c: np.ndarray, docs: np.ndarray) -> np.ndarray:
     new[docs] = True
     space, line = c == _SPACE, c == _LINE
     new[1:] |= (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
-    since = np.arange(len(c)) - np.maximum.accumulate(np.where(new, np.arange(len(c)), 0))
-    return new | (since % MAX_UNIT == 0)
+    return new
 
 
-def _lattice(p: Pieces, c: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of distinct units, longest first, that lie end to end in c: for each place (all units' first
-    places, then all second ones, ...; the last result has where each starts) the running sums over
-    the lengths of pieces that end there of forward weight times piece weight, and those pieces."""
-    n = len(c)
-    tops = np.cumsum(sizes)
-    unit = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    off = np.arange(n) - np.repeat(tops - sizes, sizes)
-    per = np.bincount(off)  # how many units have a place so far on: they are the first ones
-    base = np.concatenate([[0], np.cumsum(per)])
-    row_of = base[off] + unit
-    left = np.repeat(tops, sizes) - np.arange(n)
+def _matches(p: Pieces, c: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By length (1 first): the places where a piece of that length begins, and those pieces. left:
+    how many code points each place's unit still has."""
     found = []
-    act, h = np.arange(n), np.zeros(n, U64)
+    act, h = np.arange(len(c)), np.zeros(len(c), U64)
     for k in range(p.longest):
         h = p.extend(h, c[act + k])
         row = p.find(h)
@@ -136,31 +132,98 @@ def _lattice(p: Pieces, c: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, n
         hit = (row >= 0) & (ids >= 0)
         if k == 0:
             hit &= c != _SIGN
-        found.append((row_of[act[hit] + k], ids[hit]))
+        found.append((act[hit], ids[hit]))
         on = (row >= 0) & (left[act] > k + 1)
         act, h = act[on], h[on]
         if not len(act):
             break
     while len(found) > 1 and not len(found[-1][0]):
         found.pop()
-    most = len(found)  # the longest piece that occurs here
-    weight = np.zeros((n, most))
-    piece = np.full((n, most), -1, dtype=np.int32)
+    return found
+
+
+def _weigh(p: Pieces, c: np.ndarray, found: list, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row (place) the weights and the pieces that end there, by length."""
+    weight = np.zeros((len(c), len(found)))
+    piece = np.full((len(c), len(found)), -1, dtype=np.int32)
     weight[:, 0] = p.fallback
     piece[row_of, 0] = c.astype(np.int32) + p.size
     for k, (at, ids) in enumerate(found):
-        weight[at, k] = p.weights[ids]
-        piece[at, k] = ids
-    forward = np.zeros((len(sizes), most + len(per)))
-    forward[:, most - 1] = 1.0  # column most + t is the sum over paths that end with place t
+        weight[row_of[at + k], k] = p.weights[ids]
+        piece[row_of[at + k], k] = ids
+    return weight, piece
+
+
+def _lattice(p: Pieces, c: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct units, longest first, that lie end to end in c: for each place (all units' first
+    places, then all second ones, ...; the last result has where each starts) the running sums over
+    the lengths of pieces that end there of forward weight times piece weight, and those pieces."""
+    n = len(c)
+    tops = np.cumsum(sizes)
+    unit = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    off = np.arange(n) - np.repeat(tops - sizes, sizes)
+    per = np.bincount(off)  # how many units have a place so far on: they are the first ones
+    base = np.concatenate([[0], np.cumsum(per)])
+    row_of = base[off] + unit
+    found = _matches(p, c, np.repeat(tops, sizes) - np.arange(n))
+    most = len(found)  # the longest piece that occurs here
+    weight, piece = _weigh(p, c, found, row_of)
+    # Columns are sums over paths that end with a place: the last `most` places, then those to come.
+    # Scaling a unit's columns alike changes no draw, and keeps long units in range.
+    forward = np.zeros((len(sizes), most + _RESCALE))
+    forward[:, most - 1] = 1.0
     for t, m in enumerate(per.tolist()):
+        j = t % _RESCALE
+        if t and not j:
+            forward[:m, :most] = forward[:m, _RESCALE:] / forward[:m, _RESCALE:].max(axis=1, keepdims=True)
         sums = weight[base[t] : base[t + 1]]
-        sums *= forward[:m, t : t + most][:, ::-1]
+        sums *= forward[:m, j : j + most][:, ::-1]
         np.cumsum(sums, axis=1, out=sums)
-        forward[:m, most + t] = sums[:, -1]
+        forward[:m, most + j] = sums[:, -1]
     return weight, piece, base
 
 
+def _forward_block(p: Pieces, c: np.ndarray, first: int, last: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one unit's places first to last - 1: the running sums, the pieces, and the sums over paths
+    that end with each of the last p.longest places. before: the latter at `first`."""
+    low = max(0, first - p.longest + 1)
+    part = c[low:last]
+    weight, piece = _weigh(p, part, _matches(p, part, len(part) - np.arange(len(part))), np.arange(len(part)))
+    weight, piece = weight[first - low :], piece[first - low :]
+    most, window = weight.shape[1], before.tolist()
+    for t in range(last - first):
+        sums = np.cumsum(weight[t] * window[: -most - 1 : -1])
+        weight[t] = sums
+        window.append(float(sums[-1]))
+        if t % _RESCALE == _RESCALE - 1:
+            top = max(window[-p.longest :])
+            window = [x / top for x in window[-p.longest :]]
+    return weight, piece, np.array(window[-p.longest :])
+
+
+def _sample_long(p: Pieces, c: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_sample of one long unit, in memory of one block."""
+    edges = [*range(0, len(c), BLOCK), len(c)]
+    states = [np.concatenate([np.zeros(p.longest - 1), [1.0]])]
+    for a, b in zip(edges[:-2], edges[1:-1], strict=True):
+        states.append(_forward_block(p, c, a, b, states[-1])[2])
+    with np.errstate(over="ignore"):
+        stream = mix64(key + place.astype(U64) * U64(0x632BE59BD9B4E019))
+    drawn, at, step = [], len(c) - 1, 0
+    for a, b, state in zip(edges[-2::-1], edges[:0:-1], states[::-1], strict=True):
+        sums, piece, _ = _forward_block(p, c, a, b, state)
+        with np.errstate(over="ignore"):
+            u = ((mix64(stream + np.arange(step, step + b - a, dtype=U64) * _STEP) >> U64(11)).astype(np.float64) * 2.0**-53).tolist()
+        began = step
+        while at >= a:
+            row = sums[at - a]
+            k = int(np.searchsorted(row, u[step - began] * row[-1], side="right"))
+            drawn.append(piece[at - a, k])
+            at -= k + 1
+            step += 1
+    return np.array(drawn[::-1], dtype=np.int32), np.array([len(drawn)])
+
+
 def _sample(p: Pieces, c: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pieces of all units of c in order, and how many each unit has."""
     size = ends - starts
@@ -231,12 +294,18 @@ def encode(texts: list[str], keys: np.ndarray, p: Pieces, seed: int = 0) -> tupl
     doc = np.searchsorted(docs, starts, side="right") - 1
     place = np.arange(len(starts)) - np.searchsorted(starts, docs)[doc]
     key = mix64(np.asarray(keys, dtype=np.int64).astype(U64)[full] ^ mix64(np.array([seed], dtype=U64)))[doc]
+    long = np.append(np.flatnonzero(ends - starts > LONG), len(starts))
     out = []
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + SEGMENT)))
         base = starts[i]
-        ids, count = _spell(p, *_sample(p, c[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base, place[i:j], key[i:j]))
+        if ends[i] - base > LONG:
+            j = i + 1
+            drawn = _sample_long(p, c[base : ends[i]], place[i:j], key[i:j])
+        else:
+            j = min(max(i + 1, int(np.searchsorted(starts, base + SEGMENT))), int(long[np.searchsorted(long, i)]))
+            drawn = _sample(p, c[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base, place[i:j], key[i:j])
+        ids, count = _spell(p, *drawn)
         out.append(ids)
         number += np.bincount(np.array(full)[doc[i:j]], weights=count, minlength=len(texts)).astype(np.int64)
         i = j
