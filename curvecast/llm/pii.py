@@ -2,18 +2,25 @@
 
 Base spans (e-mail, IP address, card, phone; leftmost, not overlapping within a kind) always stand.
 Wider candidates (loose phones, identity numbers, account numbers, secrets, names) get the votes of
-a strict pattern, a shape test, a gazetteer and two context labelers. Counts of vote patterns over
-ALL documents, a table whose size the kinds and votes bound, go through expectation-maximisation
-(a two-class label model with each labeler's reliability by kind); its posteriors then train a
-logistic span classifier over counted feature patterns, and that decides on the candidates.
+five labelers: the kind's strict rules (check digits, valid ranges, known formats), the shape of
+the span, a gazetteer (calling codes, issuers, countries, domains, first names), cue words around
+it and contrary words around it. Counts of vote patterns over ALL documents, a table whose size the
+kinds and votes bound, go through expectation-maximisation (a two-class label model with each
+labeler's reliability by kind). Its posteriors are the targets of a logistic span classifier that
+sees more than the votes: the span's shape and character trigrams and the words around it, hashed.
+It is fitted on a bounded sample (SAMPLE spans of each kind at most, those of least hash) and
+decides on all candidates.
+
 Positions are code points. A null text counts as empty and has no spans; repeated rows are judged
-alike; an empty table trains nothing and stays empty. Texts are read whole.
+alike; an empty table trains nothing and stays empty. Texts are read whole. Further columns are not
+read (find_pii) or stay as they are (redact_documents).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,21 +46,33 @@ _LOOSE = (
     ("account", re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[0-9]{9,19})(?![A-Za-z0-9])")),
     ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])")),
 )
+#: Spans of each kind that the classifier is fitted on at most; features for shapes, trigrams and words.
+SAMPLE, HASHED = 4000, 2048
 _TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame")
 _TITLED = re.compile(rf"\b(?:{'|'.join(_TITLES)})\.? ([A-Z][a-z]+(?: [A-Z][a-z]+)?)")
+_SIGNED = re.compile(r"\b(?:[Nn]ame|[Aa]uthor|[Ss]igned|[Rr]egards|[Dd]ear)[:,]? {1,2}([A-ZÀ-Þ][^\W\d_]+ [A-ZÀ-Þ][^\W\d_]+)")
 _TITLE_BEFORE = re.compile(rf"\b(?:{'|'.join(_TITLES)})\.? $")
 _TWO_CAPITALISED = re.compile(r"[A-Z][a-z]{2,} [A-Z][a-z]{2,}")
 
 #: Gazetteers.
-FIRST_NAMES = frozenset("James Mary John Robert Michael Linda David William Richard Susan Thomas Sarah Charles Karen Anna Maria Peter Hans Klaus Petra Sabine Juan Carlos Carmen Jose Luis Pierre Jean Marie Claire Sophie Emma Paul Laura Daniel Julia Martin".split())
-PUBLIC_DOMAINS = frozenset("com org net edu gov io de fr es uk eu info".split())
+FIRST_NAMES = frozenset(
+    "James Mary John Robert Michael Linda David William Richard Susan Thomas Sarah Charles Karen Nancy Daniel Matthew Laura Emily Peter Paul Anna Maria Martin Julia Emma Helen Alice George Edward Henry Kevin Brian "
+    "Hans Klaus Petra Sabine Jürgen Wolfgang Andreas Stefan Monika Ursula Heike Karin Otto Frieda Lukas Lena Jonas Mia Juan Carlos Carmen José Jose Luis Ana Miguel Javier Lucía Pablo Elena Sofía Diego Rosa "
+    "Pierre Jean Marie Claire Sophie Louis Camille Julien Nicolas Antoine François Isabelle Chloé Léa Hugo".split()
+)
+PUBLIC_DOMAINS = frozenset("com org net edu gov mil int info biz io dev app co ai me tv eu uk de fr es it nl be ch at pt pl cz se no dk fi ie gr ru ua tr us ca mx br ar cl au nz jp cn in kr za".split())
+CALLING_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 218 234 254 351 352 353 354 358 370 371 372 380 385 386 420 421 852 880 886 966 971 972".split())
+ACCOUNT_COUNTRIES = frozenset("AD AE AT BE BG BR CH CY CZ DE DK EE ES FI FR GB GI GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT QA RO RS SA SE SI SK SM TR UA".split())
 _CUES = {
-    "email": "mail contact write", "ip": "ip host server address login", "card": "card visa mastercard amex payment", "phone": "phone tel call mobile fax telefon",
-    "idno": "ssn social security identity id", "account": "account iban konto cuenta compte customer", "secret": "token key secret password passwd api auth bearer", "name": "name author contact regards signed dear",
+    "email": "mail contact write e-mail correo courriel", "ip": "ip host server address login from logged", "card": "card visa mastercard amex payment karte tarjeta carte", "phone": "phone tel call mobile fax telefon anruf teléfono téléphone",
+    "idno": "ssn social security identity id", "account": "account iban konto cuenta compte customer", "secret": "token key secret password passwd api auth bearer credential", "name": "name author contact regards signed dear",
 }
 _CUE = {k: re.compile("|".join(rf"\b{c}" for c in v.split()), re.I) for k, v in _CUES.items()}
-_NOT = re.compile(r"\b(?:version|page|figure|table|chapter|isbn|issn|doi|order|lines?|sha|commit|checksum|license|example)\b", re.I)
-_BEFORE = 24
+_NOT = re.compile(r"\b(?:version|page|figure|table|chapter|isbn|issn|doi|order|lines?|sha|commit|checksum|license|example|release|section)\b", re.I)
+_NOT_AFTER = re.compile(r"\s*(?:street|avenue|road|gmbh|inc|ltd|university|museum|strasse|straße|calle|rue)\b", re.I)
+_KNOWN_SECRET = re.compile(r"[0-9a-f]{32,64}|[0-9A-F]{32,64}|gh[a-z]_\w+|AKIA\w+|sk[-_]\w+|xox[a-z]-[\w-]+|eyJ[\w-]+")
+_BEFORE, _AFTER = 32, 24
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -104,6 +123,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         for kind, pattern in _LOOSE:
             k = KINDS.index(kind)
             found += [(m.start(), k, m.end()) for m in pattern.finditer(text) if kind != "secret" or (_HAS_DIGIT.search(m[0]) and re.search("[A-Za-z]", m[0]))]
+    found += [(m.start(1), 7, m.end(1)) for m in _SIGNED.finditer(text)]
     if any(t in text for t in _TITLES):
         found += [(m.start(1), 7, m.end(1)) for m in _TITLED.finditer(text)]
     for m in _TWO_CAPITALISED.finditer(text):
@@ -120,36 +140,93 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def votes(text: str, s: int, k: int, e: int) -> tuple[int, int, int, int, int]:
-    """Each labeler's vote, -1, 0 or 1: strict pattern, shape, gazetteer, context, contrary context."""
-    span, kind = text[s:e], KINDS[k]
-    before = text[max(0, s - _BEFORE) : s]
-    digits = sum(c.isdigit() for c in span)
-    if kind in ("card", "account"):
-        strict = 1 if digits == len(span) and luhn(span) or (not span[0].isdigit() and digits >= 12) else -1
-    elif kind == "secret":
-        strict = 1 if re.fullmatch(r"[0-9a-f]{32,64}|[0-9A-F]{32,64}|gh[a-z]_\w+|AKIA\w+", span) else 0
-    elif kind == "name":
-        strict = 1 if _TITLE_BEFORE.search(before) else 0
-    else:
-        strict = 1
+def _iban(span: str) -> bool:
+    """The check digits of an international account number."""
+    turned = span[4:] + span[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+def _strict(span: str, kind: str, text: str, s: int, e: int, before: str) -> int:
+    """By the rules that real values keep."""
+    digits = "".join(c for c in span if "0" <= c <= "9")
+    if kind == "email":
+        local, _, domain = span.partition("@")
+        return 1 if ".." not in local and local[0] != "." and domain.rpartition(".")[2].isalpha() else -1
+    if kind == "ip":
+        parts = span.split(".")
+        longer = text[s - 1 : s] == "." or (text[e : e + 1] == "." and text[e + 1 : e + 2].isdigit())
+        return -1 if longer or any(len(p) > 1 and p[0] == "0" for p in parts) or parts[0] == "0" else 1
+    if kind == "card":
+        return 1 if re.fullmatch(r"\d{12,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5}", span) else -1
+    if kind == "phone":
+        return -1 if span.count("(") != span.count(")") or not 9 <= len(digits) <= 15 else 1
+    if kind == "idno":
+        return -1 if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else 1
+    if kind == "account":
+        return (1 if _iban(span) else -1) if span[0].isalpha() else 1 if luhn(span) else 0
     if kind == "secret":
+        return 1 if _KNOWN_SECRET.fullmatch(span) else 0
+    return 1 if _TITLE_BEFORE.search(before) else 0
+
+
+def _shape(span: str, kind: str) -> int:
+    if kind == "secret":  # letters and digits that take turns
         changes = sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:], strict=False))
-        shape = 1 if changes * 4 >= len(span) else -1
-    elif kind == "name":
-        shape = 1 if " " in span else 0
-    else:
-        shape = -1 if len(set(c for c in span if c.isdigit())) <= 2 else 1
+        return 1 if changes * 4 >= len(span) else -1
+    if kind == "name":
+        return 1 if " " in span else 0
+    if kind == "email":
+        return 1 if any(c.isalpha() for c in span.partition("@")[0]) else -1
+    if kind == "ip":  # four single digits are more often a version
+        return -1 if len(span) == 7 else 1
+    return -1 if len({c for c in span if c.isdigit()}) <= 2 else 1
+
+
+def _gazette(span: str, kind: str) -> int:
+    digits = "".join(c for c in span if "0" <= c <= "9")
     if kind == "email":
-        gazette = 1 if span.rpartition(".")[2].lower() in PUBLIC_DOMAINS else 0
-    elif kind == "name":
-        gazette = 1 if span.split(" ")[0] in FIRST_NAMES else -1
-    elif kind in ("card", "account"):
-        gazette = 1 if span[0] in "3456" else 0
-    else:
-        gazette = 0
-    context = 1 if _CUE[kind].search(before) else 0
-    return strict, shape, gazette, context, -1 if _NOT.search(before) else 0
+        return 1 if span.rpartition(".")[2].lower() in PUBLIC_DOMAINS else -1
+    if kind == "ip":
+        return -1 if span.startswith(("127.", "255.", "224.")) else 0
+    if kind == "card":
+        return 1 if digits[0] in "34" or "51" <= digits[:2] <= "55" or digits[:2] in ("65", "22", "23", "24", "25", "26", "27") or digits[:4] == "6011" else -1
+    if kind == "phone":
+        return (1 if any(digits[:k] in CALLING_CODES for k in (1, 2, 3)) else -1) if span[0] == "+" else 1 if digits[0] in "23456789" else -1
+    if kind == "account":
+        return (1 if span[:2] in ACCOUNT_COUNTRIES else -1) if span[0].isalpha() else 0
+    if kind == "secret":  # words between dashes or underscores are an identifier
+        words = re.split(r"[_/+-]", span)
+        return -1 if len(words) > 2 and sum(w.isalpha() for w in words) * 2 > len(words) else 0
+    if kind == "name":
+        return 1 if span.split(" ")[0] in FIRST_NAMES else -1
+    return 0
+
+
+def votes(text: str, s: int, k: int, e: int) -> tuple[int, int, int, int, int]:
+    """Each labeler's vote, -1, 0 or 1: strict rules, shape, gazetteer, cue words, contrary words."""
+    span, kind = text[s:e], KINDS[k]
+    before, after = text[max(0, s - _BEFORE) : s], text[e : e + _AFTER]
+    against = _NOT.search(before) or (kind == "name" and _NOT_AFTER.match(after))
+    return _strict(span, kind, text, s, e, before), _shape(span, kind), _gazette(span, kind), 1 if _CUE[kind].search(before) else 0, -1 if against else 0
+
+
+def _sketch(span: str) -> str:
+    """Letters as a or A, digits as 9, other characters as they are; runs shortened to two."""
+    out: list[str] = []
+    for c in span:
+        x = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
+        if out[-2:] != [x, x]:
+            out.append(x)
+    return "".join(out)
+
+
+def span_features(text: str, s: int, k: int, e: int) -> list[int]:
+    """Hashed features of a span: its shape, the trigrams of its shape, and the words around it by side."""
+    span = text[s:e]
+    shape = _sketch(span[:64])
+    near = [f"-{w.lower()}" for w in _WORD.findall(text[max(0, s - _BEFORE) : s])[-3:]] + [f"+{w.lower()}" for w in _WORD.findall(text[e : e + _AFTER])[:2]]
+    names = {f"{k}={shape}", *(f"{k}~{shape[i : i + 3]}" for i in range(len(shape) - 2)), *(f"{k}{w}" for w in near), *near}
+    return sorted({zlib.crc32(n.encode()) % HASHED for n in names})
 
 
 def _bucket(s: int, e: int) -> int:
@@ -222,24 +299,65 @@ def _features(kind: np.ndarray, vote: np.ndarray, bucket: np.ndarray) -> np.ndar
     return x
 
 
-def train(patterns: list[tuple], steps: int = 400) -> np.ndarray:
-    """Weights of the final classifier: logistic regression on the label model's posteriors."""
-    weights = np.zeros(len(KINDS) + 18)
+def span_sample(docs: DataFrame, totals: dict[int, int], sample: int = SAMPLE) -> DataFrame:
+    """key, kind, v0..v4, bucket, features of about `sample` different candidates of each kind: those
+    whose hash lies below a threshold that the kind's number of candidates sets."""
+    least = {k: min(1.0, sample / n) for k, n in totals.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column(0).to_pylist():
+                if not t:
+                    continue
+                base, voted = spans_of(t)
+                for s, k, e, v, size in voted[len(base) :]:
+                    around = t[max(0, s - _BEFORE) : e + _AFTER]
+                    key = int.from_bytes(hashlib.blake2b(f"{k} {around}".encode(), digest_size=8).digest())
+                    if key < least.get(k, 1.0) * 2**64:
+                        rows.append((key - 2**63, k, *v, size, span_features(t, s, k, e)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
+            types = (pa.int64(), *[pa.int32()] * 7, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "kind", "v0", "v1", "v2", "v3", "v4", "bucket", "features"])
+
+    part = docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, kind int, v0 int, v1 int, v2 int, v3 int, v4 int, bucket int, features array<int>")
+    return part.dropDuplicates(["key"])
+
+
+def train(patterns: list[tuple], spans: list[tuple] = (), steps: int = 300) -> np.ndarray:
+    """Weights of the final classifier: logistic regression on the label model's posteriors, over the
+    vote patterns (weighed by the roots of their counts) and over the sampled spans with all features."""
+    n_votes = len(KINDS) + 18
+    weights = np.zeros(n_votes + HASHED)
     if not patterns:
         return weights
     target = label_model(patterns)
-    x = _features(np.array([p[0] for p in patterns]), np.array([p[1:6] for p in patterns]), np.array([p[6] for p in patterns]))
-    n = np.sqrt(np.array([p[7] for p in patterns], dtype=float))  # rare patterns still count
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ weights))
-        weights -= 2.0 * (x.T @ (n * (p - target)) / n.sum() + 1e-4 * weights)
+    of = {p[:7]: t for p, t in zip(patterns, target, strict=True)}
+    plain = [(*p[:7], ()) for p in patterns] + [(*x[:7], x[7]) for x in spans if tuple(x[:7]) in of]
+    y = np.array([of[tuple(p[:7])] for p in plain])
+    n = np.concatenate([np.sqrt([p[7] for p in patterns]), np.ones(len(plain) - len(patterns))])
+    x = _features(np.array([p[0] for p in plain]), np.array([p[1:6] for p in plain]), np.array([p[6] for p in plain]))
+    rows = np.repeat(np.arange(len(plain)), [len(p[7]) for p in plain])
+    cols = np.array([f for p in plain for f in p[7]], dtype=np.int64)
+    moved = spread = np.zeros(len(weights))
+    for step in range(1, steps + 1):
+        z = x @ weights[:n_votes] + np.bincount(rows, weights[n_votes + cols], minlength=len(plain))
+        r = n * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n.sum()
+        grad = np.concatenate([x.T @ r, np.bincount(cols, r[rows], minlength=HASHED)]) + 1e-4 * weights
+        moved, spread = 0.9 * moved + 0.1 * grad, 0.99 * spread + 0.01 * grad**2
+        weights = weights - 0.05 * (moved / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
     return weights
 
 
-def fit(docs: DataFrame) -> np.ndarray:
-    """The classifier's weights, from the pattern counts of all documents (a bounded table)."""
-    rows = pattern_counts(docs).collect()
-    return train(sorted(tuple(int(v) for v in r) for r in rows))
+def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """The classifier's weights, from the pattern counts of all documents and a sample of their spans
+    (both of bounded size)."""
+    rows = sorted(tuple(int(v) for v in r) for r in pattern_counts(docs).collect())
+    totals: dict[int, int] = {}
+    for r in rows:
+        totals[r[0]] = totals.get(r[0], 0) + r[7]
+    spans = span_sample(docs, {k: n for k, n in totals.items() if k >= 3}, sample).drop("key").collect() if any(k >= 3 for k in totals) else []
+    return train(rows, sorted((*(int(v) for v in r[:7]), tuple(r[7])) for r in spans))
 
 
 def decide(text: str, weights: np.ndarray) -> tuple[list, list]:
@@ -247,8 +365,10 @@ def decide(text: str, weights: np.ndarray) -> tuple[list, list]:
     base, voted = spans_of(text)
     extra = voted[len(base) :]
     if extra:
-        x = _features(np.array([v[1] for v in extra]), np.array([v[3] for v in extra]), np.array([v[4] for v in extra]))
-        extra = [v[:3] for v, keep in zip(extra, x @ weights > 0, strict=True) if keep]
+        n_votes = len(KINDS) + 18
+        x = _features(np.array([v[1] for v in extra]), np.array([v[3] for v in extra]), np.array([v[4] for v in extra])) @ weights[:n_votes]
+        x += [weights[n_votes + np.array(span_features(text, *v[:3]), dtype=np.int64)].sum() for v in extra]
+        extra = [v[:3] for v, keep in zip(extra, x > 0, strict=True) if keep]
     return base, sorted([*base, *extra])
 
 
@@ -266,11 +386,11 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS[:N_BASE]], ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string())])
+_FOUND = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS[:N_BASE]], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64()), ("redacted", pa.string())])
 
 
 def find_pii(docs: DataFrame, weights: np.ndarray | None = None, with_text: bool = True) -> DataFrame:
-    """doc_id, counts of base spans, base_sha256, spans and (with_text) the redacted text of each document."""
+    """doc_id, counts of base spans, base_sha256, spans and their number, and (with_text) the redacted text of each document."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     weights = fit(docs) if weights is None else weights
     names = _FOUND.names if with_text else _FOUND.names[:-1]
@@ -281,11 +401,11 @@ def find_pii(docs: DataFrame, weights: np.ndarray | None = None, with_text: bool
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 base, spans = decide(t or "", weights)
                 n = [sum(k == j for _, k, _ in base) for j in range(N_BASE)]
-                rows.append((i, *n, hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans), *([redact(t or "", spans)] if with_text else [])))
+                rows.append((i, *n, hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans), len(spans), *([redact(t or "", spans)] if with_text else [])))
             cols = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=_FOUND.field(n).type) for n, c in zip(names, cols, strict=True)], names=names)
 
-    ddl = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * with_text
+    ddl = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long" + ", redacted string" * with_text
     return docs.mapInArrow(run, ddl)
 
 
