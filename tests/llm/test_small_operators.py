@@ -40,6 +40,12 @@ def test_shards_are_even_gapless_and_reproducible(spark):
     assert sizes == Counter((i, len((t or "").encode()) + 1, binascii.crc32((t or "").encode())) for i, t in DOCS)
 
 
+def test_very_many_copies_are_numbered_in_runs(spark, monkeypatch):
+    want = sorted(map(repr, sharding.shard_documents(docs(spark)).collect()))
+    monkeypatch.setattr(sharding, "COPIES", 2)
+    assert sorted(map(repr, sharding.shard_documents(docs(spark)).collect())) == want
+
+
 def test_shards_of_an_empty_table(spark):
     assert sharding.shard_documents(docs(spark).where("false")).count() == 0
 
@@ -127,10 +133,14 @@ URLS = [None, "", "no scheme", "http://", "http://EXAMPLE.net/en/x?y#z", "https:
 
 @pytest.mark.parametrize("bound", [1 << 20, 0])
 def test_urls(spark, bound):
-    rules = [*url_filter.RULES, ("block", "q.org", "/fra"), ("allow", "q.org", "/fr/1")]
-    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").selectExpr("*", "1 AS rule", "2 AS path")
+    rules = [*url_filter.RULES, ("block", "q.org", "/fra"), ("allow", "q.org", "/fr/1"), ("block", "q.org", "/fr/1"), ("block", "example.net", "")]
+    urls = [*URLS, *URLS, "http://q.org/" + "x/" * 50_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "1 AS rule", "2 AS path")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(df, rules, max_trie_bytes=bound).collect()}
-    assert got == {i: plain_url(u, rules) for i, u in enumerate(URLS)}
+    assert got == {i: plain_url(u, rules) for i, u in enumerate(urls)}
+    assert url_filter.filter_urls(df.where("false"), rules, max_trie_bytes=bound).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.filter_urls(df, [("block", "a.b", "c")])
 
 
 def test_chats(spark):
@@ -163,12 +173,34 @@ def test_html_on_held_out_layouts():
         blocks = [html_extract._sentence(rng, html_extract._FILLER, 3, 60) for _ in range(rng.randint(2, 10))]
         dom = html_extract.parse(html_extract.variant(rng, blocks, html_extract._FILLER))
         y = html_extract.labels(dom)
-        odds = html_extract.marginals(dom.parent, dom.kind, [sum(learned["w"][f] for f in on) for on in html_extract.node_features(dom)], learned["agree"], learned["drop"])
+        odds = html_extract.marginals(dom.parent, dom.kind, [sum(learned["w"][f] for f in on) for on in html_extract.node_features(dom)], learned["agree"], learned["drop"], learned["empty"])
         right += sum((odds[i] >= 0) == bool(y[i]) for i in dom.text)
         total += len(dom.text)
     assert right / total > 0.93
 
 
+#: Pages in layouts that the generator doesn't make, and the blocks of their articles.
+HELD_OUT = [
+    ("<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Title of it</h1><p>First paragraph with quite some words in it to read.</p><button>Share<p>Second paragraph is also long enough to be read by people.</p><p>Third one comes here and closes the story for today.</p></article><footer>&copy; x</footer></body></html>",
+     ["Title of it", "First paragraph with quite some words in it to read.", "Second paragraph is also long enough to be read by people.", "Third one comes here and closes the story for today."]),
+    ("<html><body><div class='top'><a href='/'>Home</a> <a href='/n'>News</a></div><div class='story-comments-open main'><p>The first long paragraph of prose tells about the river, the town and all the people who live there and work.</p><p>The second long paragraph goes on about bread, music, and the long winter that came over the hills last year.</p></div><div class=foot><p>&copy; 2020 All rights reserved</p></div></body></html>",
+     ["The first long paragraph of prose tells about the river, the town and all the people who live there and work.", "The second long paragraph goes on about bread, music, and the long winter that came over the hills last year."]),
+    ("<html><body><main><p>Intro of the page that says what follows in a few words.</p><ul><li>First point of the list is here.</li><li>Second point of the list follows.</li></ul><table><tr><td>Cell one has text</td><td>Cell two as well</td></tr></table></main><div class=comments><p>Nice post, thanks a lot for it, I did enjoy reading.</p><p>I do not agree with you at all, sorry to say.</p></div></body></html>",
+     ["Intro of the page that says what follows in a few words.", "First point of the list is here.", "Second point of the list follows.", "Cell one has text", "Cell two as well"]),
+    ("<article><p>Before the video there is a paragraph with enough words.</p><video src=x><p>After it another paragraph with enough words follows.</p><noscript>Please turn on scripts</article><footer>Contact us</footer>",
+     ["Before the video there is a paragraph with enough words.", "After it another paragraph with enough words follows."]),
+]
+
+
+def test_html_of_layouts_that_the_generator_does_not_make(model):
+    pages = [h for (h,) in oracle.connect().execute("SELECT html FROM pages ORDER BY page_id LIMIT 60").fetchall() if h]
+    for learned in (model, html_extract.fit(html_extract.labelled_pages(pages))):
+        for html, blocks in HELD_OUT:
+            assert html_extract.extract(html, learned).split("\n") == blocks
+    long = "<article>" + "<p>A paragraph of a very long page, which has thousands of them.</p>" * 20_000 + "</article>"
+    assert html_extract.extract(long, model).count("\n") == 19_999
+
+
 def test_marginals_equal_enumeration():
     import itertools
     import math
@@ -178,12 +210,16 @@ def test_marginals_equal_enumeration():
     kind, score = [0, 1, 2, 1, 2], [rng.uniform(-2, 2) for _ in parent]
     agree, drop = [0.0, 0.7, -0.3], [0.0, 0.4, -0.5]
     mass = [[0.0, 0.0] for _ in parent]
+    alone = [[0.0, 0.0] for _ in parent]
     for y in itertools.product((0, 1), repeat=5):
         e = sum(s * v for s, v in zip(score, y, strict=True)) + sum(agree[kind[i]] * (y[i] == y[parent[i]]) + drop[kind[i]] * (y[parent[i]] == 1 and y[i] == 0) for i in range(1, 5))
         for i in range(5):
             mass[i][y[i]] += math.exp(e)
+            alone[i][y[i]] += math.exp(e - 1.5 * (not any(y)))
     got = html_extract.marginals(parent, kind, score, agree, drop)
     assert all(abs(g - math.log(m[1] / m[0])) < 1e-9 for g, m in zip(got, mass, strict=True))
+    got = html_extract.marginals(parent, kind, score, agree, drop, -1.5)
+    assert all(abs(g - math.log(m[1] / m[0])) < 1e-9 for g, m in zip(got, alone, strict=True))
 
 
 def test_html_pages_table(spark, model):
