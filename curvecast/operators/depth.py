@@ -1,18 +1,21 @@
 """Functional depths over sets of curves in long form (set_id, curve_id, tau, v).
 
 All rank by set and slot, so the sets spread over the cluster; nothing but the three pair depths
-looks at pairs, and those refuse sets larger than PAIR_LIMIT (they are quadratic by definition).
+looks at pairs. Those are quadratic (band depth: cubic) by definition; they go over pairs of blocks
+of a set's curves, whose partial sums alone are shuffled on, so a set may be of any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Curves in a set at most for the depths that are defined over pairs of curves.
-PAIR_LIMIT = 2000
+#: Curves in a block of the pair depths, and bins in which their quantile is looked for.
+BLOCK, BINS = 500, 4096
 SLOT = ["set_id", "tau"]
 CURVE = ["set_id", "curve_id"]
 EPS = 2.220446049250313e-16
@@ -85,47 +88,169 @@ def magnitude_shape(x: DataFrame) -> DataFrame:
     return out.groupBy(*CURVE).agg(F.avg("o").alias("magnitude"), F.var_pop("o").alias("shape"))
 
 
-def _limited(x: DataFrame) -> DataFrame:
-    size = x.select(*CURVE).distinct().groupBy("set_id").agg(F.count(F.lit(1)).alias("_n"))
-    too_large = F.when(F.col("_n") > PAIR_LIMIT, F.raise_error(F.lit(f"pair depths take sets of at most {PAIR_LIMIT} curves"))).otherwise(F.col("_n"))
-    return x.join(size, "set_id").where(F.coalesce(too_large, F.lit(0)) >= 0).drop("_n")
+def _blocks(x: DataFrame, block: int) -> DataFrame:
+    """set_id, curve_id, v (array over the sorted slots), n (curves of the set), at (block), blocks."""
+    packed = x.groupBy(*CURVE).agg(F.transform(F.sort_array(F.collect_list(F.struct("tau", "v"))), lambda p: p["v"]).alias("v"))
+    size = packed.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    return packed.join(size, "set_id").withColumn("at", F.pmod(F.xxhash64("curve_id"), "blocks").cast("int"))
 
 
-def _distances(x: DataFrame) -> DataFrame:
+def _over_pairs(x: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
+    """run(left, right) for every pair of blocks of each set, in both orders."""
+    return _over_marked(x, [], run, schema, block)
+
+
+def _gaps(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Largest and squared L2 distances of the curves of two blocks, and which pairs are of two curves."""
+    x, y = np.stack(left["v"]), np.stack(right["v"])
+    sup, l2 = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):
+        d = np.abs(x[:, k, None] - y[None, :, k])
+        sup = np.maximum(sup, d)
+        l2 += d * d
+    return sup, l2, left["curve_id"].to_numpy()[:, None] != right["curve_id"].to_numpy()[None, :]
+
+
+def _set_type(x: DataFrame) -> str:
+    return x.schema["set_id"].dataType.simpleString()
+
+
+def _set_of(pdf: pd.DataFrame, n: int) -> list:
+    return [pdf["set_id"].iloc[0]] * n
+
+
+def curve_pairs(x: DataFrame, block: int = BLOCK) -> DataFrame:
     """set_id, a, b, sup and squared L2 distance of each ordered pair."""
-    x = _limited(x)
-    left = x.select("set_id", "tau", F.col("curve_id").alias("a"), F.col("v").alias("va"))
-    right = x.select("set_id", "tau", F.col("curve_id").alias("b"), F.col("v").alias("vb"))
-    d = F.col("va") - F.col("vb")
-    return left.join(right, SLOT).where("a <> b").groupBy("set_id", "a", "b").agg(F.max(F.abs(d)).alias("sup"), F.sum(d * d).alias("l2"))
 
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"set_id": [], "a": [], "b": [], "sup": [], "l2": []})
+        sup, l2, differ = _gaps(left, right)
+        i, j = np.nonzero(differ)
+        return pd.DataFrame({"set_id": _set_of(left, len(i)), "a": left["curve_id"].to_numpy()[i], "b": right["curve_id"].to_numpy()[j], "sup": sup[i, j], "l2": l2[i, j]})
+
+    return _over_pairs(x, run, f"set_id {_set_type(x)}, a long, b long, sup double, l2 double", block)
 
-def l_infinity(x: DataFrame) -> DataFrame:
-    return _distances(x).groupBy("set_id", F.col("a").alias("curve_id")).agg((1 / (1 + F.avg("sup"))).alias("depth"))
 
+def _summed(x: DataFrame, value: Callable[[np.ndarray, np.ndarray, pd.DataFrame], np.ndarray], block: int) -> DataFrame:
+    """set_id, curve_id, total, others: a function of each pair's distances added up by curve."""
 
-def modal(x: DataFrame, q: float = 0.15) -> DataFrame:
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"set_id": [], "curve_id": [], "part": [], "m": []})
+        sup, l2, differ = _gaps(left, right)
+        part = np.where(differ, value(sup, l2, left), 0).sum(axis=1)
+        return pd.DataFrame({"set_id": _set_of(left, len(left)), "curve_id": left["curve_id"].to_numpy(), "part": part, "m": differ.sum(axis=1)})
+
+    parts = _over_pairs(x, run, f"set_id {_set_type(x)}, curve_id long, part double, m long", block)
+    return parts.groupBy(*CURVE).agg(F.sum("part").alias("total"), F.sum("m").alias("others")).where("others > 0")
+
+
+def l_infinity(x: DataFrame, block: int = BLOCK) -> DataFrame:
+    return _summed(x, lambda sup, l2, left: sup, block).select(*CURVE, (1 / (1 + F.col("total") / F.col("others"))).alias("depth"))
+
+
+def _pair_quantile(x: DataFrame, q: float, block: int) -> DataFrame:
+    """set_id, h: the q-quantile (between ranks linearly) of the L2 distances of a set's pairs.
+
+    A first pass counts distances in bins up to the largest gap's bound; a second one lists those of
+    the bins that hold the two ranks alone.
+    """
+    key = _set_type(x)
+    top = x.groupBy(*SLOT).agg((F.max("v") - F.min("v")).alias("g")).groupBy("set_id").agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("top"))
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"set_id": [], "bin": [], "c": []})
+        _, l2, differ = _gaps(left, right)
+        c = np.bincount(_bins(np.sqrt(l2[differ]), left), minlength=BINS)
+        at = np.flatnonzero(c)
+        return pd.DataFrame({"set_id": _set_of(left, len(at)), "bin": at, "c": c[at]})
+
+    def _bins(r: np.ndarray, left: pd.DataFrame) -> np.ndarray:
+        most = left["tops"].iloc[0]
+        return np.minimum((r / most * BINS).astype(int), BINS - 1) if most > 0 else np.zeros(len(r), dtype=int)
+
+    def listed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"set_id": [], "r": []})
+        _, l2, differ = _gaps(left, right)
+        r = np.sqrt(l2[differ])
+        b = _bins(r, left)
+        r = r[(b >= left["low"].iloc[0]) & (b <= left["high"].iloc[0])]
+        return pd.DataFrame({"set_id": _set_of(left, len(r)), "r": r})
+
+    marked = x.join(top.withColumnRenamed("top", "tops"), "set_id")
+    counts = _over_marked(marked, ["tops"], count, f"set_id {key}, bin int, c long", block).groupBy("set_id", "bin").agg(F.sum("c").alias("c"))
+    run = counts.withColumns({"upto": F.sum("c").over(Window.partitionBy("set_id").orderBy("bin")), "all": F.sum("c").over(Window.partitionBy("set_id"))})
+    rank = q * (F.col("all") - 1)  # from 0
+    hold = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("c") <= k)
+    spot = run.groupBy("set_id").agg(
+        F.max(F.when(hold(F.floor(rank)), F.col("bin"))).alias("low"), F.max(F.when(hold(F.ceil(rank)), F.col("bin"))).alias("high"),
+        F.max(rank).alias("rank"), F.max(F.when(hold(F.floor(rank)), F.col("upto") - F.col("c"))).alias("before"),
+    )
+    values = _over_marked(marked.join(spot.select("set_id", "low", "high"), "set_id"), ["tops", "low", "high"], listed, f"set_id {key}, r double", block)
+    order = values.withColumn("k", F.row_number().over(Window.partitionBy("set_id").orderBy("r")) - 1).join(spot, "set_id").withColumn("k", F.col("k") + F.col("before"))
+    ends = order.where((F.col("k") == F.floor("rank")) | (F.col("k") == F.ceil("rank"))).groupBy("set_id").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.max("rank").alias("rank"))
+    return ends.select("set_id", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))).alias("h"))
+
+
+def _over_marked(x: DataFrame, marks: list[str], run, schema: str, block: int) -> DataFrame:
+    """_over_pairs with some columns of the set on the left side."""
+    rows = _blocks(x, block).select(*CURVE, "v", "n", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left = rows.withColumnsRenamed({"at": "i", "other": "j"})
+    if marks:
+        left = left.join(x.select("set_id", *marks).distinct(), "set_id")
+    # The right side's columns have names of their own, as both sides come of one table.
+    right = rows.select(*[F.col(c).alias(f"r_{c}") for c in (*CURVE, "v", "n")], F.col("at").alias("r_j"), F.col("other").alias("r_i"))
+    pair = lambda a, b: run(a, b.rename(columns=lambda c: c[2:]))
+    return left.groupBy("set_id", "i", "j").cogroup(right.groupBy("r_set_id", "r_i", "r_j")).applyInPandas(pair, schema)
+
+
+def modal(x: DataFrame, q: float = 0.15, block: int = BLOCK) -> DataFrame:
     """Sum of Gaussian kernels of L2 distances; the width is a low quantile of all of the set's."""
-    d = _distances(x).withColumn("r", F.sqrt("l2"))
-    width = d.groupBy("set_id").agg(F.percentile("r", q).alias("h"))
-    return d.join(width, "set_id").groupBy("set_id", F.col("a").alias("curve_id")).agg(F.sum(F.exp(-0.5 * F.pow(F.col("r") / F.col("h"), 2))).alias("depth"))
+    key = _set_type(x)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"set_id": [], "curve_id": [], "part": []})
+        _, l2, differ = _gaps(left, right)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = np.where(differ, np.exp(-0.5 * l2 / left["h"].iloc[0] ** 2), 0).sum(axis=1)
+        return pd.DataFrame({"set_id": _set_of(left, len(left)), "curve_id": left["curve_id"].to_numpy(), "part": part})
+
+    parts = _over_marked(x.join(_pair_quantile(x, q, block), "set_id"), ["h"], run, f"set_id {key}, curve_id long, part double", block)
+    return parts.groupBy(*CURVE).agg(F.sum("part").alias("depth"))
 
 
-def band(x: DataFrame) -> DataFrame:
+def band(x: DataFrame, block: int = 200) -> DataFrame:
     """Band depth: share of pairs of curves whose band holds the whole curve.
 
-    A pair can only hold curve c where no slot has both on the same strict side of c; counted over
-    pairs of sides as bit strings of slots, so pairs are formed within a set and not per slot.
+    A pair holds a curve where no slot has both strictly on the same side of it. For each curve of a
+    block that is a product of two blocks' side matrices, so each task has three blocks of a set.
     """
-    x = _limited(x)
-    left = x.select("set_id", "tau", F.col("curve_id").alias("c"), F.col("v").alias("vc"))
-    right = x.select("set_id", "tau", F.col("curve_id").alias("o"), F.col("v").alias("vo"))
-    sides = left.join(right, SLOT).groupBy("set_id", "c", "o").agg(
-        F.collect_set(F.when(F.col("vo") > F.col("vc"), F.col("tau"))).alias("over"), F.collect_set(F.when(F.col("vo") < F.col("vc"), F.col("tau"))).alias("under")
-    )
-    one, two = sides.select("set_id", "c", F.col("o").alias("i"), F.col("over").alias("oi"), F.col("under").alias("ui")), sides.select("set_id", "c", F.col("o").alias("j"), F.col("over").alias("oj"), F.col("under").alias("uj"))
-    held = one.join(two, ["set_id", "c"]).where("i < j").withColumn("holds", ~F.arrays_overlap("oi", "oj") & ~F.arrays_overlap("ui", "uj"))
-    return held.groupBy("set_id", F.col("c").alias("curve_id")).agg((F.count_if("holds") / F.count(F.lit(1))).alias("depth"))
+    base = _blocks(x, block)
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(name)
+    cols = [*CURVE, "v", "n"]
+    held = base.select(*cols, F.col("at").alias("h"), "blocks", every("i")).select(*cols, "h", "i", every("j"), F.lit(0).alias("role"))
+    first = base.select(*cols, "blocks", F.col("at").alias("i"), every("h")).select(*cols, "h", "i", every("j"), F.lit(1).alias("role"))
+    second = base.select(*cols, "blocks", F.col("at").alias("j"), every("h")).select(*cols, "h", every("i"), "j", F.lit(2).alias("role"))
+    dealt = held.union(first).union(second).where("i <= j")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, a, b = (pdf[pdf["role"] == k] for k in range(3))
+        if not (len(c) and len(a) and len(b)):
+            return pd.DataFrame({"set_id": [], "curve_id": [], "n": [], "part": []})
+        x, y = np.stack(a["v"]), np.stack(b["v"])
+        ids = a["curve_id"].to_numpy()[:, None] < b["curve_id"].to_numpy()[None, :] if pdf["i"].iloc[0] == pdf["j"].iloc[0] else np.ones((len(a), len(b)), dtype=bool)
+        part = []
+        for v in c["v"]:
+            both = (x > v).astype(np.float32) @ (y > v).T.astype(np.float32) + (x < v).astype(np.float32) @ (y < v).T.astype(np.float32)
+            part.append(int(((both == 0) & ids).sum()))
+        return pd.DataFrame({"set_id": _set_of(c, len(c)), "curve_id": c["curve_id"].to_numpy(), "n": c["n"].to_numpy(), "part": part})
+
+    parts = dealt.groupBy("set_id", "h", "i", "j").applyInPandas(run, f"set_id {_set_type(x)}, curve_id long, n long, part long")
+    return parts.where("n > 1").groupBy(*CURVE).agg((F.sum("part") / (F.max("n") * (F.max("n") - 1) / 2)).alias("depth"))
 
 
 def _projected(x: DataFrame, n: int, seed: int) -> DataFrame:

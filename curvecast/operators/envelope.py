@@ -93,12 +93,13 @@ def focal_envelope(scen: DataFrame, kind: str = "l2") -> DataFrame:
     return scen.groupBy(*KEYS).applyInPandas(run, "event_id long, param_id int, curve_id long, place int")
 
 
-def functional_band(scen: DataFrame, envelope: DataFrame, fraction: float) -> DataFrame:
-    """The deepest curve as centre; range of places 1 to k - 1, k = floor(fraction n); none if k <= 1."""
-    placed = envelope.withColumn("_k", F.floor(fraction * F.count(F.lit(1)).over(Window.partitionBy(*KEYS))))
-    rows = scen.join(placed, [*KEYS, "curve_id"])
-    inside = (F.col("place") >= 1) & (F.col("place") < F.col("_k"))
-    return rows.groupBy(*KEYS, "s").agg(F.max(F.when(F.col("place") == 0, F.col("m"))).alias("center"), F.min(F.when(inside, F.col("m"))).alias("lower"), F.max(F.when(inside, F.col("m"))).alias("upper"))
+def functional_bands(scen: DataFrame, envelope: DataFrame, sizes: DataFrame, fractions: list[float]) -> DataFrame:
+    """For each fraction the deepest curve as centre and the range of places 1 to k - 1; k is
+    floor(fraction n), n the set's n_scenarios in sizes; no range if k <= 1."""
+    every = F.explode(F.array(*[F.lit(x) for x in fractions])).alias("fraction")
+    rows = scen.join(envelope.join(sizes, KEYS), [*KEYS, "curve_id"]).select(*KEYS, "s", "m", "place", "n_scenarios", every)
+    inside = (F.col("place") >= 1) & (F.col("place") < F.floor(F.col("fraction") * F.col("n_scenarios")))
+    return rows.groupBy(*KEYS, "fraction", "s").agg(F.max(F.when(F.col("place") == 0, F.col("m"))).alias("center"), F.min(F.when(inside, F.col("m"))).alias("lower"), F.max(F.when(inside, F.col("m"))).alias("upper"))
 
 
 def spline_smoother(points: int, at: np.ndarray, n_basis: int) -> np.ndarray:
@@ -119,12 +120,16 @@ def spline_smoother(points: int, at: np.ndarray, n_basis: int) -> np.ndarray:
     return basis(np.asarray(at, dtype=float)) @ np.linalg.pinv(basis(np.arange(points, dtype=float)))
 
 
+def smooth_grid(leads: int, step: int) -> np.ndarray:
+    """Where smoothed curves are read: from the first lead to the last, one for each `step` of them."""
+    return np.linspace(1, leads, max(1, leads // step))
+
+
 def smooth(scen: DataFrame, last: DataFrame, leads: int, step: int, n_basis: int = 6) -> DataFrame:
     """event_id, param_id, curve_id, s, m: each curve with the last observation before it, smoothed
     and read at every `step`-th lead. The smoother depends on the grid alone and is broadcast."""
     spark = scen.sparkSession
-    at = np.linspace(1, leads, max(1, leads // step))
-    matrix = spline_smoother(leads + 1, at, n_basis)
+    matrix = spline_smoother(leads + 1, smooth_grid(leads, step), n_basis)
     table = spark.createDataFrame([(int(i), int(j) - 1, float(v)) for i, row in enumerate(matrix) for j, v in enumerate(row)], "i int, s int, c double")
     begun = scen.select(*KEYS, "curve_id", "s", "m").unionByName(scen.select(*KEYS, "curve_id").distinct().join(last, "event_id").select(*KEYS, "curve_id", F.lit(-1).alias("s"), F.col("v").alias("m")))
     return begun.join(F.broadcast(table), "s").groupBy(*KEYS, "curve_id", F.col("i").alias("s")).agg(F.sum(F.col("c") * F.col("m")).alias("m"))

@@ -6,6 +6,8 @@ slots square, whatever the number of curves) is decomposed, in one task per set.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,10 +19,39 @@ def mean(x: DataFrame) -> DataFrame:
 
 
 def covariance(x: DataFrame) -> DataFrame:
-    """Sample covariance by pair of slots, tau1 <= tau2."""
-    right = x.select("set_id", "curve_id", F.col("tau").alias("tau2"), F.col("v").alias("v2"))
-    pairs = x.withColumnRenamed("tau", "tau1").join(right, ["set_id", "curve_id"]).where("tau1 <= tau2")
-    return pairs.groupBy("set_id", "tau1", "tau2").agg(F.covar_samp("v", "v2").alias("cov"))
+    """Sample covariance by pair of slots, tau1 <= tau2, over the curves that have both.
+
+    Curves go as arrays; each task adds up T x T products of its own and sends them once a set.
+    """
+    centred = x.join(mean(x), ["set_id", "tau"]).groupBy("set_id", "curve_id").agg(F.sort_array(F.collect_list(F.struct("tau", (F.col("v") - F.col("mu")).alias("d")))).alias("c"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for key, own in b.groupby("set_id"):
+                top = max((c[-1]["tau"] for c in own["c"]), default=-1) + 1
+                rows, has = np.zeros((len(own), top)), np.zeros((len(own), top))
+                for i, c in enumerate(own["c"]):
+                    at = [p["tau"] for p in c]
+                    rows[i, at], has[i, at] = [p["d"] for p in c], 1
+                new = [rows.T @ rows, rows.T @ has, has.T @ has]
+                old = sums.get(key, new)
+                size = max(len(old[0]), top)
+                grown = lambda m, size=size: np.pad(m, (0, size - len(m)))
+                sums[key] = new if key not in sums else [grown(p) + grown(q) for p, q in zip(old, new, strict=True)]
+        for key, (s, a, n) in sums.items():
+            yield pd.DataFrame({"set_id": key, "size": len(s), "s": [s.ravel()], "a": [a.ravel()], "n": [n.ravel()]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = pdf["size"].max()
+        s, a, n = (sum(np.pad(np.reshape(m, (k, k)), (0, size - k)) for m, k in zip(pdf[c], pdf["size"], strict=True)) for c in ("s", "a", "n"))
+        i, j = np.triu_indices(size)
+        i, j = i[n[i, j] > 0], j[n[i, j] > 0]
+        cov = np.divide(s[i, j] - a[i, j] * a[j, i] / n[i, j], n[i, j] - 1, out=np.full(len(i), np.nan), where=n[i, j] > 1)
+        return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "tau1": i, "tau2": j, "cov": cov})
+
+    parts = centred.select("set_id", "c").mapInPandas(partial, "set_id long, size int, s array<double>, a array<double>, n array<double>")
+    return parts.groupBy("set_id").applyInPandas(merge, "set_id long, tau1 int, tau2 int, cov double")
 
 
 def fit(x: DataFrame, k: int) -> DataFrame:

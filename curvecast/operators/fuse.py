@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,20 @@ def anchors(selected: DataFrame, history_long: DataFrame, t: int) -> DataFrame:
 
 
 def weighted_cov(scen: DataFrame) -> DataFrame:
-    """Weighted covariance of scenarios by pair of leads (s1 <= s2)."""
-    mean = focal_curve(scen)
-    c = scen.join(mean, [*KEYS, "s"]).select(*KEYS, "curve_id", "s", "wn", (F.col("m") - F.col("focal")).alias("d"))
-    right = c.select(*KEYS, "curve_id", F.col("s").alias("s2"), F.col("d").alias("d2"))
-    return c.withColumnRenamed("s", "s1").join(right, [*KEYS, "curve_id"]).where("s1 <= s2").groupBy(*KEYS, "s1", "s2").agg(F.sum(F.col("wn") * F.col("d") * F.col("d2")).alias("cov"))
+    """Weighted covariance of scenarios by pair of leads (s1 <= s2), one product of matrices a set (of
+    at most kappa_max curves and ties)."""
+
+    def cov(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="curve_id", columns="s", values="m")
+        w = pdf.groupby("curve_id")["wn"].first().reindex(wide.index).to_numpy()
+        x = wide.to_numpy()
+        d = x - w @ x
+        c = (d * w[:, None]).T @ d
+        i, j = np.triu_indices(len(c))
+        s = wide.columns.to_numpy()
+        return pd.DataFrame({"event_id": pdf["event_id"].iloc[0], "param_id": pdf["param_id"].iloc[0], "s1": s[i], "s2": s[j], "cov": c[i, j]})
+
+    return scen.select(*KEYS, "curve_id", "s", "m", "wn").groupBy(*KEYS).applyInPandas(cov, "event_id long, param_id int, s1 int, s2 int, cov double")
 
 
 def lie(minutes: float) -> Column:

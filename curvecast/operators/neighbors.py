@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,84 +13,129 @@ KEYS = ["event_id", "param_id"]
 
 
 def with_weights(events: DataFrame, params: DataFrame, slots: int, per_hour: float, active: list[bool] | None = None) -> DataFrame:
-    """Events x parameter sets (few, broadcast) with the weight arrays phi and psi, masked where inactive."""
+    """Events x parameter sets (few rows) with the weight arrays phi and psi, masked where inactive."""
     grid = F.sequence(F.lit(0), F.lit(slots - 1))
     on = F.array(*[F.lit(float(a)) for a in (active or [True] * slots)])
-    both = events.crossJoin(F.broadcast(params))
+    both = events.crossJoin(params)
     phi = F.transform(F.slice(grid, 1, F.col("t")), lambda i: C.growth(i, F.col("t"), F.col("forget_rate_f"), per_hour) * F.element_at(on, i + 1))
     psi = F.transform(grid, lambda i: C.psi(i, F.col("t"), F.col("forget_rate_e"), F.col("lookup_rate"), per_hour) * F.element_at(on, i + 1))
     return both.withColumns({"phi": phi, "psi": psi})
 
 
-def distances(weighted: DataFrame, history: DataFrame) -> DataFrame:
-    """event_id, param_id, curve_id with d_f, d_e, d_h, d_p, w_f, w_e, w for each event and curve.
+#: Rows of events and of curves in a block; a task holds one of each.
+EVENT_ROWS, CURVES = 1000, 4000
+_SCORED = "event_id long, param_id int, curve_id long, d_f double, d_e double, d_h double, d_p double, big_gamma double, xi double, kappa_min int, kappa_max int, w_f double, w_e double, w double, sim_here long"
+_CURVE = ("curve_id", "f", "e", "lon", "lat", "yday")
 
-    The events of one update are the small side; its size is what the caller batches by, so the
-    join is a broadcast of them over the partitioned history, never of the history.
-    """
-    past = history.select(F.col("curve_id"), F.col("f").alias("hf"), F.col("e").alias("he"), F.col("lon").alias("hlon"), F.col("lat").alias("hlat"), F.col("yday").alias("hday"))
-    pairs = past.crossJoin(F.broadcast(weighted)).withColumn("hp", F.slice("hf", 1, F.col("t")))
-    scored = pairs.select(
-        *KEYS,
-        "curve_id",
-        C.mean_square("hp", "f", "phi").alias("d_f"),
-        C.mean_square("he", "e", "psi").alias("d_e"),
-        C.haversine(F.col("hlon"), F.col("hlat"), F.col("lon"), F.col("lat")).alias("d_h"),
-        C.periodic(F.col("hday"), F.col("yday")).alias("d_p"),
-        C.periodic(F.col("yday"), F.col("yday") + F.col("gamma")).alias("big_gamma"),
-        "length_scale_f", "length_scale_e", "xi", "kappa_min", "kappa_max",
-    )
-    return scored.withColumns({"w_f": C.rbf(F.col("d_f"), F.col("length_scale_f")), "w_e": C.rbf(F.col("d_e"), F.col("length_scale_e"))}).withColumn("w", F.least("w_f", "w_e")).drop("length_scale_f", "length_scale_e")
-
-
-def distances_matrix(weighted: DataFrame, history: DataFrame) -> DataFrame:
-    """event_id, param_id, curve_id, d_f, d_e by matrix products over Arrow batches of curves.
-
-    sum w (X - x)^2 = X^2 w - 2 X (w x) + sum w x^2, clamped at 0. The weighted events are a
-    bounded block (they are shipped to every task), the history stays partitioned.
+
+def _dense(rows: pd.Series, slots: int) -> np.ndarray:
+    out = np.zeros((len(rows), slots))
+    for i, v in enumerate(rows):
+        out[i, : len(v)] = v
+    return out
+
+
+def _haversine(lon1, lat1, lon2, lat2):
+    lon1, lat1, lon2, lat2 = (np.radians(x) for x in (lon1, lat1, lon2, lat2))
+    h = np.sin((lat1 - lat2) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon1 - lon2) / 2) ** 2
+    return 2 * C.EARTH_KM * np.arcsin(np.sqrt(h))
+
+
+def _periodic(a, b):
+    return np.sin(0.5 * (360.0 / 365.0) * (a - b) * np.pi / 180.0) ** 2
+
+
+def _needed(w, d_h, d_p, curve, big_gamma, xi, lo, hi) -> np.ndarray:
+    """Of one event and one block of curves, the rows that selection can need.
+
+    These are, of the similar rows, the hi nearest of the season (more can't be chosen) and, if they
+    are no more than hi, all; and the lo (and one) largest weights with their ties, for the fallback.
     """
-    rows = weighted.select(*KEYS, "t", "f", "e", "phi", "psi").toPandas()
-    block = history.sparkSession.sparkContext.broadcast(rows)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ev = block.value
-        n = len(ev)
-        slots = len(ev["e"].iloc[0]) if n else 0
-        phi, psi, f, e = (np.zeros((n, slots)) for _ in range(4))
-        for i, r in enumerate(ev.itertuples(index=False)):
-            phi[i, : len(r.phi)], f[i, : len(r.f)] = r.phi, r.f
-            psi[i], e[i] = r.psi, r.e
-        for b in batches:
-            if not len(b) or not n:
+    sim = w >= xi
+    keep = np.zeros(len(w), dtype=bool)
+    if sim.sum() <= hi:
+        keep |= sim
+    season = np.flatnonzero(sim & (d_p <= big_gamma))
+    keep[season[np.lexsort((curve[season], d_h[season]))[:hi]]] = True
+    known = w[~np.isnan(w)]
+    if len(known):
+        keep |= w >= np.sort(known)[::-1][min(lo, len(known) - 1)]
+    return keep
+
+
+def _score_block(ev: pd.DataFrame, past: pd.DataFrame, whole: bool, product: bool) -> pd.DataFrame:
+    """The rows of one block of events against one of curves: all (whole) or those needed."""
+    out = []
+    if len(ev) and len(past):
+        slots = max(past["e"].map(len).max(), ev["e"].map(len).max())
+        hf, he = _dense(past["f"], slots), _dense(past["e"], slots)
+        curve, lon, lat, day = (past[c].to_numpy() for c in ("curve_id", "lon", "lat", "yday"))
+        for r in ev.itertuples(index=False):
+            d = []
+            for x, v, weight in ((hf, r.f, r.phi), (he, r.e, r.psi)):
+                n, weight = len(weight), np.asarray(weight, dtype=float)
+                v = np.asarray(v, dtype=float)[:n]
+                if product:  # sum w (X - x)^2 = X^2 w - 2 X (w x) + sum w x^2
+                    sums = np.maximum((x[:, :n] ** 2) @ weight - 2 * x[:, :n] @ (weight * v) + (weight * v**2).sum(), 0)
+                else:
+                    sums = (x[:, :n] - v) ** 2 @ weight
+                total = weight.sum()
+                d.append(sums / total if total > 0 else np.full(len(x), np.nan))
+            d_h, d_p = _haversine(lon, lat, r.lon, r.lat), _periodic(day, r.yday)
+            big = _periodic(r.yday, r.yday + r.gamma)
+            w_f, w_e = np.exp(-d[0] / r.length_scale_f), np.exp(-d[1] / r.length_scale_e)
+            w = np.fmin(w_f, w_e)
+            sim = w >= r.xi
+            keep = np.ones(len(w), dtype=bool) if whole else _needed(w, d_h, d_p, curve, big, r.xi, r.kappa_min, r.kappa_max)
+            n = int(keep.sum())
+            if not n:
                 continue
-            out = {}
-            for name, x, v, w in (("d_f", np.stack(b["f"]), f, phi), ("d_e", np.stack(b["e"]), e, psi)):
-                total = w.sum(1)
-                d = (x**2) @ w.T - 2 * x @ (w * v).T + (w * v**2).sum(1)
-                out[name] = np.maximum(d, 0) / np.where(total > 0, total, np.nan)
-            yield pd.DataFrame({
-                "event_id": np.tile(ev["event_id"].to_numpy(), len(b)), "param_id": np.tile(ev["param_id"].to_numpy(), len(b)),
-                "curve_id": np.repeat(b["curve_id"].to_numpy(), n), "d_f": out["d_f"].ravel(), "d_e": out["d_e"].ravel(),
-            })
+            here = sim[keep].astype(np.int64) if whole else np.concatenate([[sim.sum()], np.zeros(n - 1, np.int64)])
+            out.append(pd.DataFrame({
+                "event_id": r.event_id, "param_id": r.param_id, "curve_id": curve[keep], "d_f": d[0][keep], "d_e": d[1][keep], "d_h": d_h[keep], "d_p": d_p[keep], "big_gamma": big,
+                "xi": r.xi, "kappa_min": r.kappa_min, "kappa_max": r.kappa_max, "w_f": w_f[keep], "w_e": w_e[keep], "w": w[keep], "sim_here": here,
+            }))
+    return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in _SCORED.split(", ")})
+
+
+def _in_blocks(weighted: DataFrame, history: DataFrame, whole: bool, product: bool, event_rows: int, curves: int) -> DataFrame:
+    n_events, n_curves = -(-weighted.count() // event_rows) or 1, -(-history.count() // curves) or 1
+    block = lambda keys, n: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ev = weighted.select(*KEYS, "f", "e", "phi", "psi", "lon", "lat", "yday", "gamma", "length_scale_f", "length_scale_e", "xi", "kappa_min", "kappa_max")
+    ev = ev.withColumn("_v", block(KEYS, n_events)).withColumn("_h", every(n_curves))
+    # Names of their own: both sides may come of one table.
+    past = history.select(*[F.col(c).alias(f"h_{c}") for c in _CURVE]).withColumn("h_h", block(["h_curve_id"], n_curves)).withColumn("h_v", every(n_events))
+    run = lambda a, b: _score_block(a, b.rename(columns=lambda c: c[2:]), whole, product)
+    return ev.groupBy("_v", "_h").cogroup(past.groupBy("h_v", "h_h")).applyInPandas(run, _SCORED)
+
+
+def distances(weighted: DataFrame, history: DataFrame, product: bool = False, event_rows: int = EVENT_ROWS, curves: int = CURVES) -> DataFrame:
+    """event_id, param_id, curve_id with d_f, d_e, d_h, d_p, w_f, w_e, w for each event and curve.
 
-    return history.select("curve_id", "f", "e").mapInPandas(run, "event_id long, param_id int, curve_id long, d_f double, d_e double")
+    Events and curves meet block by block, so that neither side is ever whole in a task or on the
+    driver. product: by matrix products instead of differences. Inputs are read twice (counted
+    first), so settle what is dear to compute.
+    """
+    return _in_blocks(weighted, history, True, product, event_rows, curves)
 
 
-def prune(scored: DataFrame, parts: int = 64) -> DataFrame:
-    """Rows that selection can need: w >= xi, and in each of `parts` slices of the history the
-    kappa_min (and one) largest w, ties included; an event's rows meet in one window only after this."""
-    slice_ = Window.partitionBy(*KEYS, F.pmod(F.xxhash64("curve_id"), F.lit(parts))).orderBy(F.col("w").desc())
-    return scored.withColumn("_r", F.rank().over(slice_)).where((F.col("w") >= F.col("xi")) | (F.col("_r") <= F.col("kappa_min") + 1)).drop("_r")
+def near(weighted: DataFrame, history: DataFrame, event_rows: int = EVENT_ROWS, curves: int = CURVES) -> DataFrame:
+    """The rows of distances() that select() can need, at most 2 kappa_max + kappa_min + 1 (and ties)
+    of each block of curves; sim_here adds up to the number of similar curves."""
+    return _in_blocks(weighted, history, False, False, event_rows, curves)
 
 
 def select(scored: DataFrame) -> DataFrame:
-    """Flags in_sim, in_temporal, in_spatial and in_final of each row, and sigma.
+    """Flags in_sim, in_temporal, in_spatial and in_final of each row, and sigma. The rows are those of
+    distances(), or of near(), whose sim_here count similar rows that were left out as well.
 
     Ties on the site distance go by curve_id; the fallback keeps all ties of the last weight.
     """
     whole = Window.partitionBy(*KEYS)
     sim = F.col("w") >= F.col("xi")
-    x = scored.withColumns({"in_sim": sim, "n_sim": F.count_if(sim).over(whole)})
+    n_sim = F.sum("sim_here") if "sim_here" in scored.columns else F.count_if(sim)
+    x = scored.withColumns({"in_sim": sim, "n_sim": n_sim.over(whole)})
     many, few = F.col("n_sim") > F.col("kappa_max"), F.col("n_sim") < F.col("kappa_min")
     x = x.withColumn("in_temporal", F.col("in_sim") & (~many | (F.col("d_p") <= F.col("big_gamma"))))
     near = Window.partitionBy(*KEYS, "in_temporal").orderBy("d_h", "curve_id")

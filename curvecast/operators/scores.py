@@ -71,23 +71,34 @@ def crps_ensemble(members: DataFrame) -> DataFrame:
 
 
 def pit_normal(rows: DataFrame) -> DataFrame:
-    p = C.normal_cdf((F.col("y") - F.col("mu")) / F.col("sigma"))
+    p = normal_pit()
     return rows.groupBy("param_id").agg(F.avg(p).alias("pit_mean"), F.stddev_pop(p).alias("pit_std"))
 
 
+def normal_pit() -> Column:
+    """The truth's place in its normal forecast."""
+    return C.normal_cdf((F.col("y") - F.col("mu")) / F.col("sigma"))
+
+
 def pit_ecdf(members: DataFrame) -> DataFrame:
     """Share of members at or below the truth per event and lead; values of exactly 1 are dropped."""
     return members.groupBy(*KEYS, "s").agg(F.avg((F.col("m") <= F.col("y")).cast("double")).alias("pit")).where("pit < 1")
 
 
 def ks_gap(values: DataFrame, column: str, by: list[str], bins: int = 100) -> DataFrame:
-    """rms and sup gap between the cumulated histogram over the values' range and the uniform."""
+    """rms (over bins) and sup gap between the cumulated density histogram and that of a density of 1.
+
+    The bins divide the values' own range (half a unit either side where they are all equal); the
+    density is count / n / width, and its sum runs against 1, 2, ..., bins.
+    """
     span = values.groupBy(*by).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    place = F.least(F.floor((F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
-    counts = values.join(span.where("_hi > _lo"), by).groupBy(*by, place.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.max("_n").alias("_n"))
-    grid = span.where("_hi > _lo").select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    full = grid.join(counts.drop("_n"), [*by, "bin"], "left").withColumn("share", F.coalesce("c", F.lit(0)) / F.col("_n"))
-    cum = full.withColumn("gap", F.sum("share").over(Window.partitionBy(*by).orderBy("bin")) - (F.col("bin") + 1) / bins)
+    flat = F.col("_hi") == F.col("_lo")
+    span = span.select(*by, "_n", F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"), F.when(flat, F.lit(1.0)).otherwise(F.col("_hi") - F.col("_lo")).alias("_w"))
+    place = F.least(F.floor((F.col(column) - F.col("_lo")) / F.col("_w") * bins), F.lit(bins - 1))
+    counts = values.join(span, by).groupBy(*by, place.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    grid = span.select(*by, "_n", "_w", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    full = grid.join(counts, [*by, "bin"], "left").withColumn("density", F.coalesce("c", F.lit(0)) / F.col("_n") / (F.col("_w") / bins))
+    cum = full.withColumn("gap", F.sum("density").over(Window.partitionBy(*by).orderBy("bin")) - (F.col("bin") + 1))
     return cum.groupBy(*by).agg((F.sqrt(F.avg(F.col("gap") * F.col("gap"))) / bins).alias("ks_rms"), F.max(F.abs("gap")).alias("ks_sup"))
 
 

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from curvecast.operators import prep
 from curvecast.operators.tuning import PARAMS
+from curvecast.plans.workdir import settle
 
-YEARS, TEST_YEAR, SLOTS, T = (1995, 2000), 2000, 12, 6
+#: Years from this one on are the events; those before it are the history.
+TEST_YEAR, SLOTS, T = 2000, 12, 6
 PER_HOUR, MINUTES = 1.0, 60.0
 PARAM_ROWS = [
     (0, 2.0, 2.0, 0.05, 0.05, 3.0, 0.8, 2.5, 40.0, 0.05, 5, 20),
@@ -49,7 +51,8 @@ def nation_raw(spark: SparkSession, sf: str) -> DataFrame:
     month = lambda c: [F.year(c).alias("y"), (F.month(c) - 1).alias("tau")]
     f = owned.groupBy("asset", *month("o_orderdate")).agg(F.sum("o_totalprice").alias("f"))
     e = items.join(owned.select("o_orderkey", "asset"), "o_orderkey").groupBy("asset", *month("l_shipdate")).agg(F.sum("v").alias("e"))
-    cells = t(spark, sf, "nation").select(F.col("n_nationkey").alias("asset")).withColumn("y", F.explode(F.sequence(F.lit(YEARS[0]), F.lit(YEARS[1])))).withColumn("tau", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    years = orders.select(F.year("o_orderdate").alias("y")).distinct()  # a handful of rows
+    cells = t(spark, sf, "nation").select(F.col("n_nationkey").alias("asset")).crossJoin(F.broadcast(years)).withColumn("tau", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
     return cells.join(f, ["asset", "y", "tau"], "left").join(e, ["asset", "y", "tau"], "left").fillna(0.0, ["f", "e"])
 
 
@@ -57,8 +60,8 @@ def nation_year(spark: SparkSession, sf: str) -> DataFrame:
     """curve_id, asset, y, yday, lon, lat, tau, f, e: normalised by the training years' capacity."""
     raw = nation_raw(spark, sf)
     scaled = prep.clip(prep.normalize(raw, prep.capacity(raw.where(F.col("y") < TEST_YEAR)), "f", "e"), "f", "e")
-    a, y = F.col("asset"), F.col("y") - YEARS[0]
-    return scaled.select((a * 6 + y).cast("long").alias("curve_id"), "asset", "y", F.pmod(37 * a + 53 * y, F.lit(365)).alias("yday"), lon(a).alias("lon"), lat(a).alias("lat"), "tau", "f", "e")
+    a, y = F.col("asset"), F.col("y") - 1995
+    return scaled.select((F.lit(10_000) * a + F.col("y")).cast("long").alias("curve_id"), "asset", "y", F.pmod(37 * a + 53 * y, F.lit(365)).alias("yday"), lon(a).alias("lon"), lat(a).alias("lat"), "tau", "f", "e")
 
 
 CURVE_KEYS = ["curve_id", "asset", "y", "yday", "lon", "lat"]
@@ -69,27 +72,37 @@ def history(ny: DataFrame) -> DataFrame:
 
 
 def events(ny: DataFrame, at: int = T) -> DataFrame:
-    whole = prep.pack(ny.where(F.col("y") == TEST_YEAR), CURVE_KEYS, f="f", e="e")
+    whole = prep.pack(ny.where(F.col("y") >= TEST_YEAR), CURVE_KEYS, f="f", e="e")
     return prep.make_event(whole, at).withColumnRenamed("curve_id", "event_id")
 
 
 def truth(ny: DataFrame, at: int = T) -> DataFrame:
     """event_id, s, y (value), e of the slots ahead."""
-    return ny.where((F.col("y") == TEST_YEAR) & (F.col("tau") >= at)).select(F.col("curve_id").alias("event_id"), (F.col("tau") - at).alias("s"), F.col("f").alias("y"), "e")
+    return ny.where((F.col("y") >= TEST_YEAR) & (F.col("tau") >= at)).select(F.col("curve_id").alias("event_id"), (F.col("tau") - at).alias("s"), F.col("f").alias("y"), "e")
 
 
-def params(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PARAM_ROWS, PARAMS)
+def params(spark: SparkSession, param_rows: list[tuple] = PARAM_ROWS) -> DataFrame:
+    return spark.createDataFrame(param_rows, PARAMS)
 
 
 def user_day(spark: SparkSession, sf: str) -> DataFrame:
-    """curve_id, asset, day (1 to 30), tau, f, e: hourly sums, zero-filled; e = the asset's mean of days 1 to 20."""
-    ev = t(spark, sf, "events").select((F.col("user_id") % 10).cast("int").alias("asset"), F.dayofmonth("ts").alias("day"), F.hour("ts").alias("tau"), "value").where("day <= 30")
-    sums = ev.groupBy("asset", "day", "tau").agg(F.sum("value").alias("f"))
-    spark_range = spark.range(10).select(F.col("id").cast("int").alias("asset")).withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(30)))).withColumn("tau", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    full = spark_range.join(sums, ["asset", "day", "tau"], "left").fillna(0.0, ["f"])
+    """curve_id, asset, day (1 for the table's first), tau, f, e: hourly sums, zero-filled; e = the asset's mean of days 1 to 20."""
+    ev = t(spark, sf, "events").select((F.col("user_id") % 10).cast("int").alias("asset"), F.to_date("ts").alias("d"), F.hour("ts").alias("tau"), "value")
+    span = ev.agg(F.min("d").alias("d0"), (F.date_diff(F.max("d"), F.min("d")) + 1).alias("days"))  # one row
+    number = (F.date_diff("d", "d0") + 1).alias("day")
+    sums = ev.crossJoin(F.broadcast(span)).groupBy("asset", number, "tau").agg(F.sum("value").alias("f"))
+    days = span.select("days", F.explode(F.sequence(F.lit(1), "days")).alias("day"))
+    cells = spark.range(10).select(F.col("id").cast("int").alias("asset")).crossJoin(F.broadcast(days)).withColumn("tau", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    full = cells.join(sums, ["asset", "day", "tau"], "left").fillna(0.0, ["f"])
     e = full.where("day <= 20").groupBy("asset", "tau").agg(F.avg("f").alias("e"))
-    return full.join(e, ["asset", "tau"]).select((F.col("asset") * 30 + F.col("day") - 1).cast("long").alias("curve_id"), "asset", "day", "tau", "f", "e")
+    return full.join(e, ["asset", "tau"]).select((F.col("asset") * F.col("days") + F.col("day") - 1).cast("long").alias("curve_id"), "asset", "day", "tau", "f", "e")
+
+
+def day_span(spark: SparkSession, sf: str):
+    """The events' first date and their number of days."""
+    d = F.to_date("ts")
+    row = t(spark, sf, "events").agg(F.min(d), F.date_diff(F.max(d), F.min(d)) + 1).first()
+    return row[0], row[1]
 
 
 def embed(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +118,7 @@ def year_sets(ny: DataFrame) -> DataFrame:
 # The same in SQL ----------------------------------------------------------------------------------
 
 RAW_SQL = """
-cells AS (SELECT n_nationkey AS asset, CAST(y AS INTEGER) AS y, CAST(tau AS INTEGER) AS tau FROM nation, range(1995, 2001) AS a(y), range(0, 12) AS b(tau)),
+cells AS (SELECT n_nationkey AS asset, CAST(y AS INTEGER) AS y, CAST(tau AS INTEGER) AS tau FROM nation, (SELECT DISTINCT year(o_orderdate) AS y FROM orders) AS a, range(0, 12) AS b(tau)),
 fsum AS (SELECT c_nationkey AS asset, year(o_orderdate) AS y, month(o_orderdate) - 1 AS tau, sum(o_totalprice) AS f FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 esum AS (SELECT c_nationkey AS asset, year(l_shipdate) AS y, month(l_shipdate) - 1 AS tau, sum(l_extendedprice * (1 - l_discount)) AS e
          FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
@@ -113,21 +126,29 @@ raw AS (SELECT asset, y, tau, coalesce(f, 0) AS f, coalesce(e, 0) AS e FROM cell
 
 SITES_SQL = "sites AS (SELECT n_nationkey AS asset, n_name, -106 + 0.5::DOUBLE * ((7 * n_nationkey) % 25) AS lon, 26 + 0.4::DOUBLE * ((11 * n_nationkey) % 25) AS lat FROM nation)"
 
-NY_SQL = (
+_CURVES_SQL = (
     RAW_SQL
     + ",\n"
     + SITES_SQL
     + """,
 cap AS (SELECT asset, max(f) AS capacity FROM raw WHERE y < 2000 GROUP BY asset),
-ny AS (SELECT CAST(asset * 6 + y - 1995 AS BIGINT) AS curve_id, asset, y, (37 * asset + 53 * (y - 1995)) % 365 AS yday, lon, lat, tau,
+ny AS (SELECT CAST(asset * 10000 + y AS BIGINT) AS curve_id, asset, y, (37 * asset + 53 * (y - 1995)) % 365 AS yday, lon, lat, tau,
               CASE WHEN capacity > 0 THEN least(greatest(f / capacity, 0), 1) END AS f, CASE WHEN capacity > 0 THEN least(greatest(e / capacity, 0), 1) END AS e
        FROM raw JOIN cap USING (asset) JOIN sites USING (asset)),
-hist AS (SELECT * FROM ny WHERE y < 2000), ev AS (SELECT * FROM ny WHERE y = 2000),
-truth AS (SELECT curve_id AS event_id, tau - 6 AS s, f AS y, e FROM ev WHERE tau >= 6)"""
+hist AS (SELECT * FROM ny WHERE y < 2000), ev AS (SELECT * FROM ny WHERE y >= 2000)"""
 )
 
-_P = ", ".join(f"({', '.join(str(v) if isinstance(v, int) else f'{v}::DOUBLE' for v in row)})" for row in PARAM_ROWS)
-PARAMS_SQL = f"params AS (SELECT * FROM (VALUES {_P}) AS v(param_id, forget_rate_f, forget_rate_e, length_scale_f, length_scale_e, lookup_rate, trust_rate, nu, gamma, xi, kappa_min, kappa_max))"
+
+def ny_sql(at: int = T) -> str:
+    return _CURVES_SQL + f",\ntruth AS (SELECT curve_id AS event_id, tau - {at} AS s, f AS y, e FROM ev WHERE tau >= {at})"
+
+
+def params_sql(param_rows: list[tuple]) -> str:
+    values = ", ".join(f"({', '.join(str(v) if isinstance(v, int) else f'{v}::DOUBLE' for v in row)})" for row in param_rows)
+    return f"params AS (SELECT * FROM (VALUES {values}) AS v(param_id, forget_rate_f, forget_rate_e, length_scale_f, length_scale_e, lookup_rate, trust_rate, nu, gamma, xi, kappa_min, kappa_max))"
+
+
+NY_SQL, PARAMS_SQL = ny_sql(), params_sql(PARAM_ROWS)
 
 
 def hav_sql(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
@@ -138,16 +159,20 @@ def per_sql(a: str, b: str) -> str:
     return f"power(sin(0.5::DOUBLE * (360.0::DOUBLE / 365.0::DOUBLE) * (({a}) - ({b})) * 3.141592653589793 / 180.0::DOUBLE), 2)"
 
 
-_PHI = "power(0.5::DOUBLE, (6 - 1 - h.tau) / forget_rate_f)"
-_PSI = "CASE WHEN h.tau < 6 THEN power(0.5::DOUBLE, (6 - 1 - h.tau) / forget_rate_e) ELSE power(0.5::DOUBLE, (h.tau - 6) / lookup_rate) END"
-DIST_SQL = f"""
+def dist_sql(at: int = T) -> str:
+    phi = f"power(0.5::DOUBLE, ({at} - 1 - h.tau) / forget_rate_f)"
+    psi = f"CASE WHEN h.tau < {at} THEN power(0.5::DOUBLE, ({at} - 1 - h.tau) / forget_rate_e) ELSE power(0.5::DOUBLE, (h.tau - {at}) / lookup_rate) END"
+    return f"""
 dist0 AS (SELECT ev.curve_id AS event_id, param_id, h.curve_id,
-  sum(CASE WHEN h.tau < 6 THEN {_PHI} * power(h.f - ev.f, 2) END) / sum(CASE WHEN h.tau < 6 THEN {_PHI} END) AS d_f,
-  sum(({_PSI}) * power(h.e - ev.e, 2)) / sum({_PSI}) AS d_e,
+  sum(CASE WHEN h.tau < {at} THEN {phi} * power(h.f - ev.f, 2) END) / sum(CASE WHEN h.tau < {at} THEN {phi} END) AS d_f,
+  sum(({psi}) * power(h.e - ev.e, 2)) / sum({psi}) AS d_e,
   min({hav_sql('h.lon', 'h.lat', 'ev.lon', 'ev.lat')}) AS d_h, min({per_sql('h.yday', 'ev.yday')}) AS d_p, min({per_sql('ev.yday', 'ev.yday + gamma')}) AS big_gamma
   FROM hist h JOIN ev USING (tau) CROSS JOIN params GROUP BY ALL),
 dist AS (SELECT dist0.*, exp(-d_f / length_scale_f) AS w_f, exp(-d_e / length_scale_e) AS w_e, least(exp(-d_f / length_scale_f), exp(-d_e / length_scale_e)) AS w, xi, kappa_min, kappa_max
   FROM dist0 JOIN params USING (param_id))"""
+
+
+DIST_SQL = dist_sql()
 SEL_SQL = """
 s1 AS (SELECT *, w >= xi AS in_sim, count(*) FILTER (WHERE w >= xi) OVER (PARTITION BY event_id, param_id) AS n_sim FROM dist),
 s2 AS (SELECT *, in_sim AND (n_sim <= kappa_max OR d_p <= big_gamma) AS in_temporal FROM s1),
@@ -159,25 +184,31 @@ LIE_X = "(2.5::DOUBLE * (60.0::DOUBLE * nu - 60.0::DOUBLE * (s + 1)) / (60.0::DO
 LIE_SQL = f"trust_rate * (CASE WHEN {LIE_X} > 0 THEN -{LIE_X} ELSE 1 - exp({LIE_X}) END + 2.5::DOUBLE) / 3.5::DOUBLE"
 
 
-def scen_sql(trust: str = LIE_SQL) -> str:
+def scen_sql(trust: str = LIE_SQL, at: int = T) -> str:
     return f"""
 chosen AS (SELECT event_id, param_id, curve_id, w / sum(w) OVER (PARTITION BY event_id, param_id) AS wn FROM sel WHERE in_final),
-ahead AS (SELECT curve_id, tau - 6 AS s, f, e FROM hist WHERE tau >= 6),
+ahead AS (SELECT curve_id, tau - {at} AS s, f, e FROM hist WHERE tau >= {at}),
 scen AS (SELECT event_id, param_id, curve_id, s, f * (1 - ({trust})) + e * ({trust}) AS m, wn FROM chosen JOIN ahead USING (curve_id) JOIN params USING (param_id))"""
 
 
-FLOW_SQL = ",\n".join([NY_SQL, PARAMS_SQL, DIST_SQL, SEL_SQL, scen_sql()])
+def flow_sql(at: int = T, param_rows: list[tuple] = PARAM_ROWS) -> str:
+    return ",\n".join([ny_sql(at), params_sql(param_rows), dist_sql(at), SEL_SQL, scen_sql(at=at)])
+
+
+FLOW_SQL = flow_sql()
 SELECT_SQL = ",\n".join([NY_SQL, PARAMS_SQL, DIST_SQL, SEL_SQL])
 _BANDS = " UNION ALL ".join(f"SELECT event_id, param_id, s, {a}::DOUBLE AS alpha, quantile_disc(m, {a / 2!r}) AS lower, median(m) AS center, quantile_disc(m, {1 - a / 2!r}) AS upper FROM scen GROUP BY ALL" for a in ALPHAS)
-BAND_SQL = FLOW_SQL + f",\nband AS ({_BANDS}),\nrows_ AS (SELECT band.*, y, e FROM band JOIN truth USING (event_id, s))"
+BANDS_SQL = f",\nband AS ({_BANDS}),\nrows_ AS (SELECT band.*, y, e FROM band JOIN truth USING (event_id, s))"
+BAND_SQL = FLOW_SQL + BANDS_SQL
 IS_SQL = "((upper - lower) + (2 / alpha) * (greatest(lower - y, 0) + greatest(y - upper, 0)))"
 
 UD_SQL = """
-ucells AS (SELECT CAST(a AS INTEGER) AS asset, CAST(d AS INTEGER) AS day, CAST(h AS INTEGER) AS tau FROM range(0, 10) AS x(a), range(1, 31) AS y(d), range(0, 24) AS z(h)),
-usum AS (SELECT user_id % 10 AS asset, day(ts) AS day, hour(ts) AS tau, sum(value) AS f FROM events GROUP BY ALL),
-ufull AS (SELECT asset, day, tau, coalesce(f, 0) AS f FROM ucells LEFT JOIN usum USING (asset, day, tau)),
+ub AS (SELECT min(CAST(ts AS DATE)) AS d0, max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) + 1 AS days FROM events),
+ucells AS (SELECT CAST(a AS INTEGER) AS asset, CAST(d AS INTEGER) AS day, CAST(h AS INTEGER) AS tau, days FROM range(0, 10) AS x(a), (SELECT days, unnest(range(1, days + 1)) AS d FROM ub) AS y, range(0, 24) AS z(h)),
+usum AS (SELECT user_id % 10 AS asset, CAST(ts AS DATE) - d0 + 1 AS day, hour(ts) AS tau, sum(value) AS f FROM events, ub GROUP BY ALL),
+ufull AS (SELECT asset, day, tau, days, coalesce(f, 0) AS f FROM ucells LEFT JOIN usum USING (asset, day, tau)),
 ue AS (SELECT asset, tau, avg(f) AS e FROM ufull WHERE day <= 20 GROUP BY ALL),
-ud AS (SELECT CAST(asset * 30 + day - 1 AS BIGINT) AS curve_id, asset, day, tau, f, e FROM ufull JOIN ue USING (asset, tau))"""
+ud AS (SELECT CAST(asset * days + day - 1 AS BIGINT) AS curve_id, asset, day, tau, f, e FROM ufull JOIN ue USING (asset, tau))"""
 
 EMBED_SQL = "emb AS (SELECT CAST(label AS BIGINT) AS set_id, vec_id AS curve_id, CAST(i - 1 AS INTEGER) AS tau, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS r(i))"
 YEARS_SQL = NY_SQL + ",\nyset AS (SELECT CAST(y AS BIGINT) AS set_id, curve_id, tau, f AS v FROM ny)"
@@ -186,26 +217,42 @@ YEARS_SQL = NY_SQL + ",\nyset AS (SELECT CAST(y AS BIGINT) AS set_id, curve_id,
 # The flow in DataFrames ---------------------------------------------------------------------------
 
 
-def scored(spark: SparkSession, sf: str, at: int = T) -> tuple[DataFrame, DataFrame]:
+def _sides(spark: SparkSession, sf: str, at: int, param_rows: list[tuple]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nation_year, the weighted events and the packed history, settled: several steps read them."""
+    from curvecast.operators import neighbors as N
+
+    ny = settle(nation_year(spark, sf))
+    return ny, settle(N.with_weights(events(ny, at), params(spark, param_rows), SLOTS, PER_HOUR)), settle(history(ny))
+
+
+def scored(spark: SparkSession, sf: str, at: int = T, param_rows: list[tuple] = PARAM_ROWS) -> tuple[DataFrame, DataFrame]:
     """(nation_year, distances of all events and parameter sets to the history)."""
     from curvecast.operators import neighbors as N
 
-    ny = nation_year(spark, sf)
-    return ny, N.distances(N.with_weights(events(ny, at), params(spark), SLOTS, PER_HOUR), history(ny))
+    ny, weighted, past = _sides(spark, sf, at, param_rows)
+    return ny, N.distances(weighted, past)
+
+
+def near(spark: SparkSession, sf: str, at: int = T, param_rows: list[tuple] = PARAM_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(nation_year, the distances that selection can need)."""
+    from curvecast.operators import neighbors as N
+
+    ny, weighted, past = _sides(spark, sf, at, param_rows)
+    return ny, N.near(weighted, past)
 
 
-def selected(spark: SparkSession, sf: str, at: int = T) -> tuple[DataFrame, DataFrame]:
+def selected(spark: SparkSession, sf: str, at: int = T, param_rows: list[tuple] = PARAM_ROWS) -> tuple[DataFrame, DataFrame]:
     from curvecast.operators import neighbors as N
 
-    ny, d = scored(spark, sf, at)
+    ny, d = near(spark, sf, at, param_rows)
     return ny, N.select(d)
 
 
-def scenarios(spark: SparkSession, sf: str, at: int = T) -> tuple[DataFrame, DataFrame]:
+def scenarios(spark: SparkSession, sf: str, at: int = T, param_rows: list[tuple] = PARAM_ROWS) -> tuple[DataFrame, DataFrame]:
     from curvecast.operators import fuse
 
-    ny, sel = selected(spark, sf, at)
-    return ny, fuse.scenarios(sel, ny.where(F.col("y") < TEST_YEAR), params(spark), at, fuse.lie(MINUTES))
+    ny, sel = selected(spark, sf, at, param_rows)
+    return ny, fuse.scenarios(sel, ny.where(F.col("y") < TEST_YEAR), params(spark, param_rows), at, fuse.lie(MINUTES))
 
 
 def band_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,8 +8,9 @@ from curvecast.functions import curves as C
 from curvecast.operators import bands as B
 from curvecast.operators import envelope as E
 from curvecast.operators import fpca, fuse, hist, prep, scores, tuning
+from curvecast.operators import neighbors as N
 from curvecast.plans import fixtures as X
-from curvecast.plans.q_flow import _BUCKET, _DQ_SET, _MBD_SET, _SETS, _buckets, _trim_sql
+from curvecast.plans.q_flow import _BUCKET, _MBD_SET, _SETS, _buckets, _dq_sql
 from curvecast.plans.q_prep import _cdf_sql
 from curvecast.plans.registry import query, rounded, sql_rounded
 from curvecast.plans.workdir import new_path, settle
@@ -104,16 +105,24 @@ def score_pit_ecdf(spark, sf):
     return rounded(scores.pit_ecdf(_members(spark, sf)))
 
 
-_KS = _PIT + """,
-sp AS (SELECT param_id, min(pit) AS lo, max(pit) AS hi, count(*) AS n FROM pit GROUP BY ALL),
-hb AS (SELECT param_id, least(floor((pit - lo) / (hi - lo) * 100), 99) AS bin, count(*) AS c FROM pit JOIN sp USING (param_id) WHERE hi > lo GROUP BY ALL),
-gr AS (SELECT param_id, n, i AS bin FROM sp, range(0, 100) AS r(i) WHERE hi > lo),
-gp AS (SELECT param_id, bin, sum(coalesce(c, 0) / n) OVER (PARTITION BY param_id ORDER BY bin) - (bin + 1) / 100.0::DOUBLE AS gap FROM gr LEFT JOIN hb USING (param_id, bin))"""
+def _ks_sql(key: str = "param_id") -> str:
+    """Of pit (key, pit): the cumulated density histogram less 1, 2, ..., 100."""
+    return f""",
+sp0 AS (SELECT {key}, min(pit) AS lo, max(pit) AS hi, count(*) AS n FROM pit GROUP BY ALL),
+sp AS (SELECT {key}, n, CASE WHEN hi > lo THEN lo ELSE lo - 0.5::DOUBLE END AS lo, CASE WHEN hi > lo THEN hi - lo ELSE 1.0::DOUBLE END AS w FROM sp0),
+hb AS (SELECT {key}, least(floor((pit - lo) / w * 100), 99) AS bin, count(*) AS c FROM pit JOIN sp USING ({key}) GROUP BY ALL),
+gr AS (SELECT {key}, n, w, i AS bin FROM sp, range(0, 100) AS r(i)),
+gp AS (SELECT {key}, bin, sum(coalesce(c, 0) / n / (w / 100)) OVER (PARTITION BY {key} ORDER BY bin) - (bin + 1) AS gap FROM gr LEFT JOIN hb USING ({key}, bin))"""
 
 
-@query("score_ks_rms", sql_rounded(_KS + "\nSELECT param_id, sqrt(avg(gap * gap)) / 100 AS ks_rms FROM gp GROUP BY ALL", "ks_rms", "param_id", 8))
+_KS = _PIT + _ks_sql()
+_KS_NORMAL = _NORMAL + f",\npit AS (SELECT param_id, {_cdf_sql('z')} AS pit FROM (SELECT param_id, (y - mu) / sigma AS z FROM nrm))" + _ks_sql()
+
+
+@query("score_ks_rms", sql_rounded(_KS_NORMAL + "\nSELECT param_id, sqrt(avg(gap * gap)) / 100 AS ks_rms FROM gp GROUP BY ALL", "ks_rms", "param_id"))
 def score_ks_rms(spark, sf):
-    return rounded(scores.ks_gap(scores.pit_ecdf(_members(spark, sf)), "pit", ["param_id"]).select("param_id", "ks_rms"), 8)
+    pit = _normal(spark, sf).select("param_id", scores.normal_pit().alias("pit"))
+    return rounded(scores.ks_gap(pit, "pit", ["param_id"]).select("param_id", "ks_rms"))
 
 
 @query("score_ks_sup", sql_rounded(_KS + "\nSELECT param_id, max(abs(gap)) AS ks_sup FROM gp GROUP BY ALL", "ks_sup", "param_id"))
@@ -126,12 +135,17 @@ def score_errors(spark, sf):
     return rounded(scores.errors(_normal(spark, sf)))
 
 
-_RMSE = ",\nra AS (SELECT curve_id AS event_id, sqrt(avg(power(f - e, 2))) AS rmse_tau FROM ev WHERE tau < 6 GROUP BY ALL),\nmd AS (SELECT event_id, param_id, s, median(m) AS mm FROM scen GROUP BY ALL),\nrb AS (SELECT event_id, param_id, sqrt(avg(power(mm - e, 2))) AS rmse_s FROM md JOIN truth USING (event_id, s) GROUP BY ALL)"
+def _rmse_sql(at: int = X.T) -> str:
+    return f",\nra AS (SELECT curve_id AS event_id, sqrt(avg(power(f - e, 2))) AS rmse_tau FROM ev WHERE tau < {at} GROUP BY ALL)" + _RMSE_AHEAD
+
+
+_RMSE_AHEAD = ",\nmd AS (SELECT event_id, param_id, s, median(m) AS mm FROM scen GROUP BY ALL),\nrb AS (SELECT event_id, param_id, sqrt(avg(power(mm - e, 2))) AS rmse_s FROM md JOIN truth USING (event_id, s) GROUP BY ALL)"
+_RMSE = _rmse_sql()
 
 
-def _rmse_pair(ny, scen):
-    before = scores.errors(ny.where("y = 2000 and tau < 6").withColumnRenamed("curve_id", "event_id"), "f", "e", ["event_id"]).select("event_id", F.col("rmse").alias("rmse_tau"))
-    ahead = scores.errors(fuse.median_curve(scen).join(X.truth(ny), ["event_id", "s"]), "median", "e").select("event_id", "param_id", F.col("rmse").alias("rmse_s"))
+def _rmse_pair(ny, scen, at=X.T):
+    before = scores.errors(ny.where((F.col("y") >= X.TEST_YEAR) & (F.col("tau") < at)).withColumnRenamed("curve_id", "event_id"), "f", "e", ["event_id"]).select("event_id", F.col("rmse").alias("rmse_tau"))
+    ahead = scores.errors(fuse.median_curve(scen).join(X.truth(ny, at), ["event_id", "s"]), "median", "e").select("event_id", "param_id", F.col("rmse").alias("rmse_s"))
     return ahead.join(before, "event_id")
 
 
@@ -145,21 +159,6 @@ def score_by_horizon(spark, sf):
     return rounded(scores.errors(_normal(spark, sf).withColumn("bucket", F.floor(F.col("s") / 2)), by=["param_id", "bucket"]))
 
 
-_METHODS = _FLOW + _SETS + _MBD_SET
-
-
-@query("score_method_table", sql_rounded(_METHODS + _trim_sql(0.2).replace("\nSELECT event_id", ",\ntb AS (SELECT event_id", 1) + "),\nmt AS (SELECT 'mbd' AS method, event_id, param_id, s, lower, upper FROM tb UNION ALL SELECT 'ecdf', event_id, param_id, s, quantile_disc(m, 0.1), quantile_disc(m, 0.9) FROM scen GROUP BY event_id, param_id, s)" + f"\nSELECT method, param_id, avg({_IN}) AS coverage, avg(upper - lower) AS width FROM mt JOIN truth USING (event_id, s) GROUP BY ALL", "coverage width", "method param_id"))
-def score_method_table(spark, sf):
-    from curvecast.operators import depth as D
-
-    ny, scen = X.scenarios(spark, sf)
-    cols = ["event_id", "param_id", "s", "lower", "upper"]
-    mbd = B.depth_band(scen, lambda x: D.mbd(x).withColumn("depth", F.round("depth", 9)), 0.2).select(F.lit("mbd").alias("method"), *cols)
-    rows = scores.with_truth(mbd.unionByName(B.ecdf_band(scen, [0.2]).select(F.lit("ecdf").alias("method"), *cols)), X.truth(ny))
-    inside = (F.col("y") >= F.col("lower")) & (F.col("y") <= F.col("upper"))
-    return rounded(rows.groupBy("method", "param_id").agg(F.avg(inside.cast("double")).alias("coverage"), F.avg(F.col("upper") - F.col("lower")).alias("width")))
-
-
 # Histograms ---------------------------------------------------------------------------------------
 
 
@@ -177,9 +176,9 @@ def hist_edf_heatmap(spark, sf):
     return rounded(hist.density(X.scenarios(spark, sf)[1], F.round(100 * F.col("m"), 9), 0.0, 100.0, 25, ["param_id", "s"]))
 
 
-@query("hist_cut_kde", sql_rounded(_FLOW + ",\nsh AS (SELECT param_id, s, 0.9::DOUBLE * least(stddev_pop(m), (quantile_cont(m, 0.75) - quantile_cont(m, 0.25)) / 1.34::DOUBLE) * power(count(*), -0.2::DOUBLE) AS h FROM scen WHERE s IN (0, 3) GROUP BY ALL)\nSELECT param_id, s, CAST(i AS INTEGER) AS i, avg(exp(-0.5::DOUBLE * power((i / 20.0::DOUBLE - m) / h, 2)) / (h * 2.5066282746310002::DOUBLE)) AS density FROM scen JOIN sh USING (param_id, s), range(0, 21) AS r(i) WHERE h > 0 GROUP BY ALL", "density", "param_id s i"))
+@query("hist_cut_kde", sql_rounded(_FLOW + ",\nsh AS (SELECT param_id, s, 0.9::DOUBLE * least(stddev_pop(m), (quantile_cont(m, 0.75) - quantile_cont(m, 0.25)) / 1.34::DOUBLE) * power(count(*), -0.2::DOUBLE) AS h FROM scen GROUP BY ALL)\nSELECT param_id, s, CAST(i AS INTEGER) AS i, avg(exp(-0.5::DOUBLE * power((i / 20.0::DOUBLE - m) / h, 2)) / (h * 2.5066282746310002::DOUBLE)) AS density FROM scen JOIN sh USING (param_id, s), range(0, 21) AS r(i) WHERE h > 0 GROUP BY ALL", "density", "param_id s i"))
 def hist_cut_kde(spark, sf):
-    cut = X.scenarios(spark, sf)[1].where("s in (0, 3)")
+    cut = X.scenarios(spark, sf)[1]
     width = cut.groupBy("param_id", "s").agg(C.silverman(F.col("m")).alias("h"))
     return rounded(hist.gaussian_kde(cut, "m", width, 0.0, 1.0, 21, ["param_id", "s"]).select("param_id", "s", F.round(F.col("g") * 20).cast("int").alias("i"), "density"))
 
@@ -206,11 +205,16 @@ def hist_month_distance(spark, sf):
     return wide.select("bucket", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"m{i}") for i in range(1, 13)])
 
 
-@query("hist_yday", sql_rounded(_hist_sql(_SEL + ",\nfy AS (SELECT sel.param_id, hc.yday FROM sel JOIN (SELECT DISTINCT curve_id, yday FROM hist) hc USING (curve_id) WHERE in_final)", "fy", "yday", 1, 365, 50, "param_id"), "density", "param_id bin n"))
+_STAGES = ("in_sim", "in_temporal", "in_spatial", "in_final")
+
+
+@query("hist_yday", sql_rounded(_hist_sql(_SEL + ",\nfy AS (" + " UNION ALL ".join(f"SELECT '{c}' AS stage, sel.param_id, hc.yday FROM sel JOIN (SELECT DISTINCT curve_id, yday FROM hist) hc USING (curve_id) WHERE {c}" for c in _STAGES) + ")", "fy", "yday", 1, 365, 50, "stage, param_id"), "density", "stage param_id bin n"))
 def hist_yday(spark, sf):
-    ny, sel = X.selected(spark, sf)
-    days = sel.where("in_final").join(ny.select("curve_id", "yday").distinct(), "curve_id")
-    return rounded(hist.density(days, F.col("yday"), 1.0, 365.0, 50, ["param_id"]))
+    """Days of the year of what each stage of the selection keeps."""
+    ny, d = X.scored(spark, sf)
+    kept = F.explode(F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in _STAGES]))).alias("stage")
+    days = N.select(d).select("param_id", "curve_id", kept).join(ny.select("curve_id", "yday").distinct(), "curve_id")
+    return rounded(hist.density(days, F.col("yday"), 1.0, 365.0, 50, ["stage", "param_id"]))
 
 
 @query("hist_distance", sql_rounded(_hist_sql(_D, "dist", "round(d_h, 6)", 0, 3000, 50, "param_id"), "density", "param_id bin n", 9))
@@ -225,84 +229,148 @@ def hist_pit(spark, sf):
 
 # Experiments and results --------------------------------------------------------------------------
 
-_BASE = dict(zip(("forget_rate_f", "forget_rate_e", "length_scale_f", "length_scale_e", "lookup_rate", "trust_rate", "nu", "gamma", "xi", "kappa_min", "kappa_max"), X.PARAM_ROWS[1][1:], strict=True))
-_SWEEP = [0.5, 1.0, 2.0, 4.0]
+#: The swept parameter's values, the others as in the base set; update times in slots (quarters of the grid).
+_SWEEP = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0]
+_BASE, _TIMES = X.PARAM_ROWS[1], (3, 6, 9)
+_SWEPT = [(i, *_BASE[1:5], v, *_BASE[6:]) for i, v in enumerate(_SWEEP)]
 
 
-@query("exp_param_grid", "WITH " + X.NY_SQL + "\nSELECT DISTINCT curve_id AS event_id, CAST(i AS INTEGER) AS param_id, lookup_rate, 0.5::DOUBLE AS xi FROM ev CROSS JOIN (VALUES " + ", ".join(f"({i}, {v}::DOUBLE)" for i, v in enumerate(_SWEEP)) + ") AS g(i, lookup_rate)")
+@query("exp_param_grid", "WITH " + X.NY_SQL + ",\n" + X.params_sql(_SWEPT) + "\nSELECT DISTINCT curve_id AS event_id, CAST(t AS INTEGER) AS t, params.* FROM ev CROSS JOIN params CROSS JOIN (VALUES (3), (6), (9)) AS u(t)")
 def exp_param_grid(spark, sf):
-    grid = tuning.param_grid(spark, _BASE, "lookup_rate", _SWEEP)
-    return X.events(X.nation_year(spark, sf)).select("event_id").crossJoin(F.broadcast(grid.select("param_id", "lookup_rate", "xi")))
+    """Events x update times x the sweep."""
+    names = X.params(spark).columns
+    grid = tuning.param_grid(spark, dict(zip(names[1:], _BASE[1:], strict=True)), "lookup_rate", _SWEEP).select(*names)
+    times = spark.createDataFrame([(t,) for t in _TIMES], "t int")
+    events = X.nation_year(spark, sf).where(F.col("y") >= X.TEST_YEAR).select(F.col("curve_id").alias("event_id")).distinct()
+    return events.crossJoin(F.broadcast(times.crossJoin(grid)))
 
 
-def _validated(spark, sf):
-    ny, scen = X.scenarios(spark, sf)
-    rows = scores.with_truth(B.ecdf_band(scen, X.ALPHAS), X.truth(ny))
-    n = scen.groupBy("event_id", "param_id").agg(F.count_distinct("curve_id").alias("n_scenarios"))
-    own = rows.join(X.truth(ny).select("event_id", "s", "e"), ["event_id", "s"])
-    wis_f = scores.weighted_interval_score(own).withColumnRenamed("wis", "wis_f")
-    wis_e = scores.weighted_interval_score(own.withColumns({"y": F.col("e")})).withColumnRenamed("wis", "wis_e")
-    return wis_f.join(wis_e, ["event_id", "param_id"]).join(_rmse_pair(ny, scen), ["event_id", "param_id"]).join(n, ["event_id", "param_id"])
+def _validated(spark, sf, param_rows=X.PARAM_ROWS, times=(X.T,)):
+    """t, event_id, param_id, wis_f, wis_e, rmse_s, rmse_tau, n_scenarios at each update time."""
+    out = None
+    for at in times:
+        ny, scen = X.scenarios(spark, sf, at, param_rows)
+        scen = settle(scen)
+        own = scores.with_truth(B.ecdf_band(scen, X.ALPHAS), X.truth(ny, at)).join(X.truth(ny, at).select("event_id", "s", "e"), ["event_id", "s"])
+        n = scen.groupBy("event_id", "param_id").agg(F.count_distinct("curve_id").alias("n_scenarios"))
+        wis_f = scores.weighted_interval_score(own).withColumnRenamed("wis", "wis_f")
+        wis_e = scores.weighted_interval_score(own.withColumns({"y": F.col("e")})).withColumnRenamed("wis", "wis_e")
+        one = wis_f.join(wis_e, ["event_id", "param_id"]).join(_rmse_pair(ny, scen, at), ["event_id", "param_id"]).join(n, ["event_id", "param_id"])
+        one = one.select(F.lit(at).alias("t"), "event_id", "param_id", "wis_f", "wis_e", "rmse_s", "rmse_tau", "n_scenarios")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _WIS_E = _WIS.replace("wl AS", "wle AS").replace("wis AS (", "wise AS (").replace("FROM wl", "FROM wle").replace("abs(y -", "abs(e -").replace("lower - y", "lower - e").replace("y - upper", "e - upper")
-_VALID = _BAND + ",\n" + _WIS + ",\n" + _WIS_E + _RMSE + ",\nns AS (SELECT event_id, param_id, count(DISTINCT curve_id) AS n_scenarios FROM scen GROUP BY ALL),\nval AS (SELECT event_id, param_id, wis.wis AS wis_f, wise.wis AS wis_e, rmse_s, rmse_tau, n_scenarios FROM wis JOIN wise USING (event_id, param_id) JOIN rb USING (event_id, param_id) JOIN ra USING (event_id) JOIN ns USING (event_id, param_id))"
+
+
+def _valid_sql(param_rows=X.PARAM_ROWS, times=(X.T,)) -> str:
+    """val: t, event_id, param_id and the scores, each update time a flow of its own."""
+    one = lambda at: (
+        "(WITH " + X.flow_sql(at, param_rows) + X.BANDS_SQL + ",\n" + _WIS + ",\n" + _WIS_E + _rmse_sql(at)
+        + ",\nns AS (SELECT event_id, param_id, count(DISTINCT curve_id) AS n_scenarios FROM scen GROUP BY ALL)"
+        + f"\nSELECT CAST({at} AS INTEGER) AS t, event_id, param_id, wis.wis AS wis_f, wise.wis AS wis_e, rmse_s, rmse_tau, n_scenarios FROM wis JOIN wise USING (event_id, param_id) JOIN rb USING (event_id, param_id) JOIN ra USING (event_id) JOIN ns USING (event_id, param_id))"
+    )
+    return "WITH val AS (" + " UNION ALL ".join(f"SELECT * FROM {one(at)}" for at in times) + ")"
+
+
+_VALID, _SWEEP_SQL = _valid_sql(), _valid_sql(_SWEPT, _TIMES)
 _VC = "wis_f wis_e rmse_s rmse_tau"
 
 
-@query("exp_validate", sql_rounded(_VALID + "\nSELECT event_id, param_id, wis_f, wis_e, rmse_s, rmse_tau, n_scenarios FROM val", _VC, _EP + " n_scenarios"))
+def _swept(spark, sf):
+    return _validated(spark, sf, _SWEPT, _TIMES)
+
+
+@query("exp_validate", sql_rounded(_SWEEP_SQL + "\nSELECT t, event_id, param_id, wis_f, wis_e, rmse_s, rmse_tau, n_scenarios FROM val", _VC, "t " + _EP + " n_scenarios"))
 def exp_validate(spark, sf):
-    return rounded(_validated(spark, sf).select("event_id", "param_id", "wis_f", "wis_e", "rmse_s", "rmse_tau", "n_scenarios"))
+    return rounded(_swept(spark, sf))
+
+
+#: The shares of the scenarios in a band, and its levels.
+_FRACTIONS = [0.1, 0.175, 0.25, 0.325, 0.4, 0.475, 0.55, 0.625, 0.7, 0.775, 0.85, 0.925]
+_ENVELOPE_ALPHAS = [0.1, 0.2, 0.3, 0.4]
+
+
+def _envelope_scores(spark, sf, scen, ny):
+    """Each fraction's band of the envelope by each distance, scored at each level."""
+    n = scen.groupBy("event_id", "param_id").agg(F.count_distinct("curve_id").alias("n_scenarios"))
+    alphas = F.explode(F.array(*[F.lit(a) for a in _ENVELOPE_ALPHAS])).alias("alpha")
+    out = None
+    for kind in ("sup", "l2", "similarity"):
+        env = settle(E.focal_envelope(scen, kind))
+        size = env.groupBy("event_id", "param_id").agg(F.count(F.lit(1)).alias("n_envelope"))
+        rows = scores.with_truth(E.functional_bands(scen, env, n, _FRACTIONS), X.truth(ny)).where("lower is not null")
+        rows = rows.select("*", alphas)
+        inside = (F.col("y") >= F.col("lower")) & (F.col("y") <= F.col("upper"))
+        one = rows.groupBy("event_id", "param_id", "fraction", "alpha").agg(F.sum(scores.interval(F.col("lower"), F.col("upper"), F.col("y"), F.col("alpha"))).alias("wis"), F.avg(inside.cast("double")).alias("fcs"))
+        one = one.join(n.join(size, ["event_id", "param_id"]), ["event_id", "param_id"]).withColumn("distance", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out.select("event_id", "param_id", "distance", "fraction", "alpha", F.floor(F.col("fraction") * F.col("n_scenarios")).alias("k"), "n_scenarios", "n_envelope", "wis", "fcs")
 
 
 @query("exp_validate_envelope")
 def exp_validate_envelope(spark, sf):
     ny, scen = X.scenarios(spark, sf)
-    scen = settle(scen.withColumnRenamed("wn", "w"))
-    out = None
-    for kind in ("sup", "l2"):
-        env = settle(E.focal_envelope(scen, kind))
-        for fraction in (0.5, 1.0):
-            rows = scores.with_truth(E.functional_band(scen, env, fraction), X.truth(ny)).where("lower is not null").withColumn("alpha", F.lit(0.2))
-            one = rows.groupBy("event_id", "param_id").agg(F.sum(scores.interval(F.col("lower"), F.col("upper"), F.col("y"), F.col("alpha"))).alias("wis"), F.avg(((F.col("y") >= F.col("lower")) & (F.col("y") <= F.col("upper"))).cast("double")).alias("fcs"))
-            one = one.select("event_id", "param_id", F.lit(kind).alias("distance"), F.lit(fraction).alias("fraction"), "wis", "fcs")
-            out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    return rounded(_envelope_scores(spark, sf, settle(scen.withColumnRenamed("wn", "w")), ny))
+
+
+#: Each level's shares to trim, swept one level at a time about the level itself.
+_CAL_LEVELS = (0.1, 0.2, 0.3, 0.4)
+_CAL_GRID = [(a, round(a + k / 100, 2)) for a in _CAL_LEVELS for k in range(-5, 6)]
 
 
-_ZETAS = (0.5, 1.5)
+def _bands_sql(steps):
+    dq = "".join(",\n" + _cal_dq(a).replace("st AS", f"sq{i} AS").replace("dq AS", f"dq{i} AS").replace("JOIN st USING", f"JOIN sq{i} USING") for i, a in enumerate(_CAL_LEVELS))
+    grid = ", ".join(f"({a}::DOUBLE, {z}::DOUBLE)" for a, z in steps)
+    deep = " UNION ALL ".join([f"SELECT 'MBD' AS method, {a}::DOUBLE AS level, event_id, param_id, curve_id, depth FROM dd" for a in _CAL_LEVELS] + [f"SELECT 'DQ', {a}::DOUBLE, event_id, param_id, curve_id, round(-depth, 9) FROM dq{i}" for i, a in enumerate(_CAL_LEVELS)])
+    return _FLOW + _SETS + _MBD_SET + dq + f""",
+gz(level, zeta) AS (VALUES {grid}),
+deep AS ({deep}),
+kr AS (SELECT *, row_number() OVER (PARTITION BY method, level, event_id, param_id ORDER BY depth, curve_id) AS r, count(*) OVER (PARTITION BY method, level, event_id, param_id) AS nn FROM deep),
+cut AS (SELECT method, level, zeta, event_id, param_id, s, min(m) AS lower, max(m) AS upper FROM scen JOIN kr USING (event_id, param_id, curve_id) JOIN gz USING (level) WHERE r > floor(nn * zeta) GROUP BY ALL),
+li AS (SELECT event_id, param_id, s, list(m ORDER BY m) AS v, count(*) AS n, median(m) AS mid FROM scen GROUP BY ALL),
+bnd AS (SELECT * FROM cut UNION ALL SELECT 'eCDF', level, zeta, event_id, param_id, s, v[CAST(greatest(1, ceil(n * (zeta / 2))) AS BIGINT)], v[CAST(greatest(1, ceil(n * (1 - zeta / 2))) AS BIGINT)] FROM li CROSS JOIN gz)"""
 
 
 def _cal_sql():
-    parts = []
-    base = _FLOW + _SETS + _DQ_SET
-    base += ",\nkr AS (SELECT *, row_number() OVER (PARTITION BY event_id, param_id ORDER BY depth, curve_id) AS r, count(*) OVER (PARTITION BY event_id, param_id) AS nn FROM dd)"
-    for i, z in enumerate(_ZETAS):
-        parts.append(f"SELECT {z}::DOUBLE AS zeta, event_id, param_id, s, min(m) AS lower, max(m) AS upper FROM scen JOIN kr USING (event_id, param_id, curve_id) WHERE r > floor(nn * {z}::DOUBLE * 0.2::DOUBLE) GROUP BY ALL")
-    return base + ",\ncal AS (" + " UNION ALL ".join(parts) + ")"
+    return _bands_sql(_CAL_GRID) + f""",
+sc AS (SELECT method, level, zeta, event_id, param_id, s, level / 2 * ((upper - lower) + (2 / level) * (greatest(lower - y, 0) + greatest(y - upper, 0))) AS part, CASE WHEN y >= lower AND y <= upper THEN 1.0::DOUBLE ELSE 0 END AS hit FROM bnd JOIN truth USING (event_id, s)),
+bs AS (SELECT method, event_id, param_id, s, sum(part) AS total FROM sc WHERE level = zeta GROUP BY ALL),
+bl AS (SELECT method, event_id, param_id, level, s, part AS own FROM sc WHERE level = zeta),
+wz AS (SELECT method, level, zeta, event_id, param_id, median((0.5::DOUBLE * abs(y - mid) + total - own + part) / 4.5::DOUBLE) AS wis FROM sc JOIN bs USING (method, event_id, param_id, s) JOIN bl USING (method, event_id, param_id, level, s) JOIN li USING (event_id, param_id, s) JOIN truth USING (event_id, s) GROUP BY ALL),
+cv AS (SELECT method, level, zeta, event_id, param_id, avg(hit) AS cs FROM sc GROUP BY ALL),
+cb AS (SELECT method, event_id, param_id, {", ".join(f"max(CASE WHEN level = {a} THEN cs END) AS b{round(100 * (1 - a))}" for a in _CAL_LEVELS)} FROM cv WHERE level = zeta GROUP BY ALL)
+SELECT method, level, zeta, event_id, param_id, wis, {", ".join(f"CASE WHEN level = {a} THEN cs ELSE b{round(100 * (1 - a))} END AS cs{round(100 * (1 - a))}" for a in _CAL_LEVELS)} FROM wz JOIN cv USING (method, level, zeta, event_id, param_id) JOIN cb USING (method, event_id, param_id)"""
 
 
-@query("exp_calibrate", sql_rounded(_cal_sql() + f"\nSELECT zeta, param_id, avg({_IN}) AS coverage, avg((upper - lower) + 10 * (greatest(lower - y, 0) + greatest(y - upper, 0))) AS score FROM cal JOIN truth USING (event_id, s) GROUP BY ALL", "zeta coverage score", "param_id"))
-def exp_calibrate(spark, sf):
-    from curvecast.operators import depth as D
+def _cal_dq(alpha: float) -> str:
+    return _dq_sql("st0", "event_id, param_id", alpha / 2)
+
 
+@query("score_method_table", sql_rounded(_bands_sql([(a, a) for a in _CAL_LEVELS]) + f"\nSELECT method, level, param_id, avg({_IN}) AS coverage, avg(upper - lower) AS width FROM bnd JOIN truth USING (event_id, s) GROUP BY ALL", "level coverage width", "method param_id"))
+def score_method_table(spark, sf):
+    """Coverage and mean width by method and level."""
     ny, scen = X.scenarios(spark, sf)
-    depths = D.directional_quantile(B.as_sets(scen), 0.1).withColumn("depth", F.round(-F.col("depth"), 9))
-    out = None
-    for z in _ZETAS:
-        rows = scores.with_truth(B.trimmed_band(scen, depths, 0.2, z), X.truth(ny))
-        one = rows.groupBy("param_id").agg(F.avg(((F.col("y") >= F.col("lower")) & (F.col("y") <= F.col("upper"))).cast("double")).alias("coverage"), F.avg(scores.interval(F.col("lower"), F.col("upper"), F.col("y"), F.lit(0.2))).alias("score")).withColumn("zeta", F.lit(z))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out.select("zeta", "param_id", "coverage", "score"))
+    rows = scores.with_truth(tuning.level_bands(settle(scen), _CAL_LEVELS, [(a, a) for a in _CAL_LEVELS])[0], X.truth(ny))
+    inside = (F.col("y") >= F.col("lower")) & (F.col("y") <= F.col("upper"))
+    return rounded(rows.groupBy("method", "level", "param_id").agg(F.avg(inside.cast("double")).alias("coverage"), F.avg(F.col("upper") - F.col("lower")).alias("width")))
 
 
-@query("exp_holdout", sql_rounded(_VALID + "\nSELECT event_id, wis_f, rmse_s, n_scenarios FROM val WHERE param_id = 1 AND event_id >= 60", "wis_f rmse_s", "event_id n_scenarios"))
+@query("exp_calibrate", sql_rounded(_cal_sql(), "level zeta wis cs90 cs80 cs70 cs60", "method event_id param_id"))
+def exp_calibrate(spark, sf):
+    """Each level's trimmed share swept with the others at their own level, by each kind of band."""
+    ny, scen = X.scenarios(spark, sf)
+    return rounded(tuning.calibrate(settle(scen), X.truth(ny), _CAL_LEVELS, _CAL_GRID))
+
+
+@query("exp_holdout", sql_rounded(_valid_sql([_BASE], _TIMES) + "\nSELECT t, event_id, wis_f, wis_e, rmse_s, rmse_tau, n_scenarios FROM val WHERE event_id // 10000 >= 10", _VC, "t event_id n_scenarios"))
 def exp_holdout(spark, sf):
-    """Fixed parameters on the assets kept for the end (keys of 10 and over)."""
-    return rounded(_validated(spark, sf).where("param_id = 1 and event_id >= 60").select("event_id", "wis_f", "rmse_s", "n_scenarios"))
+    """Fixed parameters on the assets kept for the end (keys of 10 and over), at each update time."""
+    return rounded(_validated(spark, sf, [_BASE], _TIMES).where("event_id div 10000 >= 10").drop("param_id"))
 
 
-@query("exp_loocv", sql_rounded("WITH " + X.UD_SQL + ", t AS (SELECT asset, tau, sum(f) AS sf, sum(f * f) AS sq, count(*) AS n FROM ud GROUP BY ALL), z AS (SELECT day, (f - (sf - f) / (n - 1)) AS d, sqrt(greatest((sq - f * f) / (n - 1) - power((sf - f) / (n - 1), 2), 1.0)) AS sd FROM ud JOIN t USING (asset, tau))\nSELECT day, avg(0.5::DOUBLE * power(d / sd, 2) + ln(sd) + 0.9189385332046727::DOUBLE) AS logs, avg(sd * ((d / sd) * (2 * (" + _cdf_sql("(d / sd)") + ") - 1) + 2 * exp(-0.5::DOUBLE * (d / sd) * (d / sd)) / 2.5066282746310002::DOUBLE - 0.5641895835477563::DOUBLE)) AS crps FROM z GROUP BY day", "logs crps", "day", 5))
+@query("exp_loocv", sql_rounded("WITH " + X.UD_SQL + ", t AS (SELECT asset, tau, sum(f) AS sf, sum(f * f) AS sq, count(*) AS n FROM ud GROUP BY ALL), z AS (SELECT day, (f - (sf - f) / (n - 1)) AS d, sqrt(greatest((sq - f * f) / (n - 1) - power((sf - f) / (n - 1), 2), 1.0)) AS sd FROM ud JOIN t USING (asset, tau)),\nsc AS (SELECT day, avg(0.5::DOUBLE * power(d / sd, 2) + ln(sd) + 0.9189385332046727::DOUBLE) AS logs, avg(sd * ((d / sd) * (2 * (" + _cdf_sql("(d / sd)") + ") - 1) + 2 * exp(-0.5::DOUBLE * (d / sd) * (d / sd)) / 2.5066282746310002::DOUBLE - 0.5641895835477563::DOUBLE)) AS crps FROM z GROUP BY day),\npit AS (SELECT day, " + _cdf_sql("(d / sd)") + " AS pit FROM z)" + _ks_sql("day") + "\nSELECT sc.day, logs, crps, sqrt(avg(gap * gap)) / 100 AS ks FROM sc JOIN gp ON sc.day = gp.day GROUP BY ALL", "logs crps ks", "day", 5))
 def exp_loocv(spark, sf):
     """Each day scored by the other days' mean and spread: sums less the day's own part, no fold join."""
     ud = X.user_day(spark, sf)
@@ -311,69 +379,83 @@ def exp_loocv(spark, sf):
     spread = (F.col("sq") - F.col("f") * F.col("f")) / (F.col("n") - 1) - mean * mean
     rows = ud.join(total, ["asset", "tau"]).select(F.col("day").alias("event_id"), F.lit(0).alias("param_id"), F.col("f").alias("y"), mean.alias("mu"), F.sqrt(F.greatest(spread, F.lit(1.0))).alias("sigma"))
     both = scores.log_score(rows).join(scores.crps_normal(rows), ["event_id", "param_id"])
-    return rounded(both.select(F.col("event_id").alias("day"), "logs", "crps"), 5)
+    ks = scores.ks_gap(rows.select("event_id", scores.normal_pit().alias("pit")), "pit", ["event_id"])
+    return rounded(both.join(ks, "event_id").select(F.col("event_id").alias("day"), "logs", "crps", F.col("ks_rms").alias("ks")), 5)
 
 
-@query("res_median_by_param", sql_rounded(_VALID + "\nSELECT param_id, median(wis_f) AS median FROM val GROUP BY ALL", "median", "param_id"))
+@query("res_median_by_param", sql_rounded(_SWEEP_SQL + "\nSELECT t, param_id, median(wis_f) AS median FROM val GROUP BY ALL", "median", "t param_id"))
 def res_median_by_param(spark, sf):
-    return rounded(tuning.median_by_param(_validated(spark, sf), "param_id", "wis_f"))
+    return rounded(tuning.median_by_param(_swept(spark, sf), "param_id", "wis_f", ["t"]))
 
 
 @query("res_mean_by_fraction")
 def res_mean_by_fraction(spark, sf):
-    return rounded(exp_validate_envelope(spark, sf).groupBy("distance", "fraction").agg(F.avg("wis").alias("wis"), F.avg("fcs").alias("fcs")))
+    return rounded(exp_validate_envelope(spark, sf).groupBy("distance", "fraction", "alpha").agg(F.avg("wis").alias("wis"), F.avg("fcs").alias("fcs")))
 
 
-_RES = _VALID + ",\nrr AS (SELECT event_id // 6 % 5 AS asset, event_id // 6 % 3 AS t, round(wis_f, 9) AS wis, param_id FROM val)"
+_VALUES_SQL = "(VALUES " + ", ".join(f"({i}, {v}::DOUBLE)" for i, v in enumerate(_SWEEP)) + ") AS sv(param_id, lookup_rate)"
+_RES = _SWEEP_SQL + f",\nrr AS (SELECT event_id // 10000 AS asset, event_id % 10000 AS day, t, round(wis_f, 9) AS wis, wis_e, rmse_s, rmse_tau, lookup_rate FROM val JOIN {_VALUES_SQL} USING (param_id))"
 
 
 def _results(spark, sf):
-    a = F.floor(F.col("event_id") / 6)
-    return _validated(spark, sf).select((a % 5).alias("asset"), (a % 3).alias("t"), F.round("wis_f", 9).alias("wis"), "param_id")
+    """The sweep's rows by asset, day (year), update time and value of the swept parameter."""
+    values = spark.createDataFrame(list(enumerate(_SWEEP)), "param_id int, lookup_rate double")
+    rows = _swept(spark, sf).join(F.broadcast(values), "param_id")
+    return rows.select(F.floor(F.col("event_id") / 10_000).alias("asset"), (F.col("event_id") % 10_000).alias("day"), "t", F.round("wis_f", 9).alias("wis"), "wis_e", "rmse_s", "rmse_tau", "lookup_rate")
 
 
-@query("res_best_param", sql_rounded(_RES + ",\nm AS (SELECT asset, t, param_id, median(wis) AS md FROM rr GROUP BY ALL),\nb AS (SELECT asset, t, param_id, row_number() OVER (PARTITION BY asset, t ORDER BY md, param_id) AS r FROM m)\nSELECT t, median(param_id) AS best FROM b WHERE r = 1 GROUP BY t", "best", "t"))
+@query("res_best_param", sql_rounded(_RES + ",\nm AS (SELECT asset, t, lookup_rate, median(wis) AS md FROM rr GROUP BY ALL),\nb AS (SELECT asset, t, lookup_rate, row_number() OVER (PARTITION BY asset, t ORDER BY round(md, 9), lookup_rate) AS r FROM m)\nSELECT 'lookup_rate' AS name, " + ", ".join(f"median(CASE WHEN t = {t} THEN lookup_rate END) AS t{t}" for t in _TIMES) + " FROM b WHERE r = 1", " ".join(f"t{t}" for t in _TIMES), "name"))
 def res_best_param(spark, sf):
-    return rounded(tuning.best_param(_results(spark, sf), "param_id", "wis"))
+    """Each time's best value side by side, as the table of parameters by time is read."""
+    best = tuning.best_param(_results(spark, sf), "lookup_rate", "wis")
+    wide = best.groupBy(F.lit("lookup_rate").alias("name")).pivot("t", list(_TIMES)).agg(F.first("best"))
+    return rounded(wide.select("name", *[F.col(str(t)).alias(f"t{t}") for t in _TIMES]))
 
 
 @query("res_status_counts", _SEL + ",\nst AS (SELECT DISTINCT event_id, param_id, CASE WHEN n_sim > kappa_max THEN 1 WHEN n_sim < kappa_min THEN 4 ELSE 0 END AS status FROM sel)\nSELECT param_id, CAST(status AS INTEGER) AS status, count(*) AS n FROM st GROUP BY ALL")
 def res_status_counts(spark, sf):
-    sel = X.selected(spark, sf)[1].groupBy("event_id", "param_id").agg(F.count_if("in_sim").alias("n"), F.max("kappa_max").alias("hi"), F.max("kappa_min").alias("lo"))
+    sel = X.near(spark, sf)[1].groupBy("event_id", "param_id").agg(F.sum("sim_here").alias("n"), F.max("kappa_max").alias("hi"), F.max("kappa_min").alias("lo"))
     return sel.groupBy("param_id", F.when(F.col("n") > F.col("hi"), 1).when(F.col("n") < F.col("lo"), 4).otherwise(0).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("res_label_argmin", _RES + ",\nb AS (SELECT asset, t, param_id, row_number() OVER (PARTITION BY asset, t ORDER BY wis, param_id) AS r FROM rr)\nSELECT asset, t, param_id AS label FROM b WHERE r = 1")
+_LABEL = _RES + ",\nlb AS (SELECT asset, day, t, lookup_rate AS label FROM (SELECT *, row_number() OVER (PARTITION BY asset, day, t ORDER BY wis, lookup_rate) AS r FROM rr) WHERE r = 1)"
+
+
+@query("res_label_argmin", sql_rounded(_LABEL + "\nSELECT asset, day, t, label FROM lb", "label", "asset day t"))
 def res_label_argmin(spark, sf):
-    return tuning.label_argmin(_results(spark, sf), "param_id", "wis", ["asset", "t"])
+    return rounded(tuning.label_argmin(_results(spark, sf), "lookup_rate", "wis", ["asset", "day", "t"]))
 
 
-@query("mdl_features", sql_rounded(_VALID + "\nSELECT event_id, wis_e, rmse_s, rmse_tau FROM val WHERE param_id = 1", "wis_e rmse_s rmse_tau", "event_id"))
+@query("mdl_features", sql_rounded(_LABEL + f"\nSELECT asset, day, t, wis_e, rmse_s, rmse_tau, label FROM rr JOIN lb USING (asset, day, t) WHERE lookup_rate = {_BASE[5]}::DOUBLE", "wis_e rmse_s rmse_tau label", "asset day t"))
 def mdl_features(spark, sf):
-    return rounded(_validated(spark, sf).where("param_id = 1").select("event_id", "wis_e", "rmse_s", "rmse_tau"))
+    return rounded(_features(spark, sf))
 
 
-def _orders_features(spark, sf):
-    items = X.t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).cast("double").alias("lines"), F.avg("l_discount").alias("discount"))
-    return X.t(spark, sf, "orders").select("o_orderkey", "o_totalprice").join(items, "o_orderkey")
+def _features(spark, sf):
+    """The features at the base value and the value of least score, of each asset, day and time."""
+    rows, keys = settle(_results(spark, sf)), ["asset", "day", "t"]
+    return rows.where(F.col("lookup_rate") == _BASE[5]).select(*keys, "wis_e", "rmse_s", "rmse_tau").join(tuning.label_argmin(rows, "lookup_rate", "wis", keys), keys)
 
 
-_FEATURES = ["quantity", "lines", "discount"]
+_FEATURES = ["t", "wis_e", "rmse_s", "rmse_tau"]
+#: Penalties on a logarithmic grid: 10 for the lasso, 25 for the ridge.
+_LASSO = [round(10 ** (-3 + 4 * i / 9), 6) for i in range(10)]
+_RIDGE = [round(10 ** (-3 + 6 * i / 24), 6) for i in range(25)]
 
 
 @query("mdl_lasso")
 def mdl_lasso(spark, sf):
-    return tuning.linear(_orders_features(spark, sf), _FEATURES, "o_totalprice", True, [0.1, 10.0, 1000.0])
+    return tuning.linear(_features(spark, sf), _FEATURES, "label", True, _LASSO)
 
 
 @query("mdl_ridge")
 def mdl_ridge(spark, sf):
-    return tuning.linear(_orders_features(spark, sf), _FEATURES, "o_totalprice", False, [0.1, 10.0, 1000.0])
+    return tuning.linear(_features(spark, sf), _FEATURES, "label", False, _RIDGE)
 
 
 @query("mdl_tree")
 def mdl_tree(spark, sf):
-    return tuning.tree(_orders_features(spark, sf), _FEATURES, "o_totalprice", [2, 4], [5, 50])
+    return tuning.tree(_features(spark, sf), _FEATURES, "label", [2, 3, 5, 8], [1, 2, 5, 10])
 
 
 @query("mdl_metrics", sql_rounded("WITH x AS (SELECT l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem)\nSELECT 1 - sum(power(y - p, 2)) / (sum(y * y) - count(y) * avg(y) * avg(y)) AS r2, sqrt(avg(power(y - p, 2))) AS rmse, avg(abs(y - p) / nullif(abs(y), 0)) AS mape, avg(abs(y - p) / nullif(abs(p), 0)) AS mape_by_prediction FROM x", "r2 rmse mape mape_by_prediction", "", 4))
@@ -439,7 +521,7 @@ def stream_dynamic_update(spark, sf):
     """Hours that the watermark has closed, as the stream's micro-batches append them."""
     out = new_path(spark)
     updates.run_updates(_stream(spark, sf), out, new_path(spark))
-    rows = spark.read.schema("asset long, start timestamp, f double, batch long").parquet(f"{out}/hours")
+    rows = spark.read.schema(updates.HOURS).parquet(f"{out}/hours")
     return rounded(rows.select("asset", F.to_date("start").alias("day"), F.hour("start").alias("tau"), "f"), 4)
 
 
@@ -451,14 +533,15 @@ def _stream(spark, sf):
     return rows.select((F.col("user_id") % 10).alias("asset"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
-def _day_events(hours, means):
-    """One event per asset-day from 21 on: the hours so far, zero where none came in between."""
-    at = hours.select(F.col("asset").cast("int").alias("asset"), F.dayofmonth("start").alias("day"), F.hour("start").alias("tau"), "f").where("day between 21 and 30")
+def _day_events(hours, means, first, days):
+    """One event per asset-day from day 21 on (`first` is day 1): the hours so far, zero where none came in between."""
+    number = (F.date_diff(F.to_date("start"), F.lit(first)) + 1).alias("day")
+    at = hours.select(F.col("asset").cast("int").alias("asset"), number, F.hour("start").alias("tau"), "f").where("day >= 21")
     slots = F.map_from_entries(F.collect_list(F.struct("tau", "f")))
     packed = at.groupBy("asset", "day").agg(slots.alias("m"), (F.max("tau") + 1).alias("t"))
     f = F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     placed = packed.withColumn("f", f).where("t < 24").join(means, "asset")
-    return placed.select((F.col("asset") * 30 + F.col("day") - 1).cast("long").alias("event_id"), "asset", "day", "t", F.transform("f", lambda v: v / F.col("cap")).alias("f"), "e", X.lon(F.col("asset")).alias("lon"), X.lat(F.col("asset")).alias("lat"), F.col("day").alias("yday"))
+    return placed.select((F.col("asset") * days + F.col("day") - 1).cast("long").alias("event_id"), "asset", "day", "t", F.transform("f", lambda v: v / F.col("cap")).alias("f"), "e", X.lon(F.col("asset")).alias("lon"), X.lat(F.col("asset")).alias("lat"), F.col("day").alias("yday"))
 
 
 def _static(spark, sf):
@@ -474,11 +557,12 @@ def stream_forecast_update(spark, sf):
     """Forecasts that each micro-batch's finished hours set off, from all hours so far and static history."""
     past, means = _static(spark, sf)
     packed = settle(prep.pack(past, ["curve_id", "lon", "lat", "yday"], f="f", e="e"))
+    first, days = X.day_span(spark, sf)
 
     def update(new, hours):
         touched = new.select("asset", F.to_date("start").alias("_d")).distinct()
         so_far = hours.withColumn("_d", F.to_date("start")).join(touched, ["asset", "_d"], "left_semi")
-        return updates.forecast(_day_events(so_far, means), packed, past, X.params(spark), 24, X.PER_HOUR, X.MINUTES)
+        return updates.forecast(_day_events(so_far, means, first, days), packed, past, X.params(spark), 24, X.PER_HOUR, X.MINUTES)
 
     out = new_path(spark)
     updates.run_updates(_stream(spark, sf), out, new_path(spark), update)

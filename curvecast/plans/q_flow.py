@@ -13,6 +13,7 @@ from curvecast.operators import fuse, hist
 from curvecast.operators import neighbors as N
 from curvecast.plans import fixtures as X
 from curvecast.plans.registry import query, rounded, sql_rounded
+from curvecast.plans.workdir import settle
 
 _DIST = "WITH " + ",\n".join([X.NY_SQL, X.PARAMS_SQL, X.DIST_SQL])
 _SEL, _FLOW, _BAND = "WITH " + X.SELECT_SQL, "WITH " + X.FLOW_SQL, "WITH " + X.BAND_SQL
@@ -31,8 +32,8 @@ for _n, _c in (("join_dist_prefix", "d_f"), ("join_dist_forecast", "d_e"), ("joi
 
 @query("join_dist_matrix", sql_rounded(_DIST + "\nSELECT event_id, param_id, curve_id, d_f, d_e FROM dist", "d_f d_e", _K))
 def join_dist_matrix(spark, sf):
-    ny = X.nation_year(spark, sf)
-    return rounded(N.distances_matrix(N.with_weights(X.events(ny), X.params(spark), X.SLOTS, X.PER_HOUR), X.history(ny)))
+    ny = settle(X.nation_year(spark, sf))
+    return rounded(N.distances(N.with_weights(X.events(ny), X.params(spark), X.SLOTS, X.PER_HOUR), X.history(ny), product=True).select("event_id", "param_id", "curve_id", "d_f", "d_e"))
 
 
 @query("join_similarity", sql_rounded(_DIST + "\nSELECT event_id, param_id, curve_id, w_f, w_e, w FROM dist", "w_f w_e w", _K))
@@ -63,14 +64,15 @@ def join_intersect_ids(spark, sf):
     return sim.join(d.where(F.col("d_p") <= F.col("big_gamma")).select("event_id", "param_id", "curve_id"), ["event_id", "param_id", "curve_id"], "left_semi")
 
 
-_BUCKET = ",\nu AS (SELECT DISTINCT event_id, round(d_h, 6) AS d FROM dist WHERE param_id = 0),\nth AS (SELECT event_id, d, row_number() OVER (PARTITION BY event_id ORDER BY d) AS i FROM u),\nbk AS (SELECT d.event_id, d.curve_id, count(t.d) AS bucket FROM dist d LEFT JOIN th t ON t.event_id = d.event_id AND t.i IN (5, 10, 20) AND t.d < round(d.d_h, 6) WHERE param_id = 0 GROUP BY ALL)"
+_BUCKET = ",\nu AS (SELECT DISTINCT event_id, round(d_h, 6) AS d FROM dist),\nth AS (SELECT event_id, d, row_number() OVER (PARTITION BY event_id ORDER BY d) AS i FROM u),\nbk AS (SELECT d.event_id, d.curve_id, count(t.d) AS bucket FROM (SELECT DISTINCT event_id, curve_id, d_h FROM dist) d LEFT JOIN th t ON t.event_id = d.event_id AND t.i IN (5, 10, 20) AND t.d < round(d.d_h, 6) GROUP BY ALL)"
 
 
 def _buckets(spark, sf):
-    d = X.scored(spark, sf)[1].where("param_id = 0").select("event_id", "curve_id", F.round("d_h", 6).alias("d_h"))
+    # Site distances don't depend on the parameters: one row for each event and curve.
+    d = X.scored(spark, sf)[1].groupBy("event_id", "curve_id").agg(F.round(F.min("d_h"), 6).alias("d_h"))
     ordered = d.groupBy("event_id").agg(F.sort_array(F.collect_set("d_h")).alias("ds"))
     th = ordered.select("event_id", F.filter(F.array(*[F.try_element_at("ds", F.lit(i)) for i in (5, 10, 20)]), lambda x: x.isNotNull()).alias("thresholds"))
-    return hist.rank_bucket(d, F.broadcast(th), "d_h").select("event_id", "curve_id", F.col("bucket").cast("long").alias("bucket"))
+    return hist.rank_bucket(d, th, "d_h").select("event_id", "curve_id", F.col("bucket").cast("long").alias("bucket"))
 
 
 @query("join_distance_rank_bucket", _DIST + _BUCKET + "\nSELECT event_id, curve_id, bucket FROM bk")
@@ -78,12 +80,17 @@ def join_distance_rank_bucket(spark, sf):
     return _buckets(spark, sf)
 
 
+def _years(spark, sf):
+    """The yearly sets, settled: pair depths read them several times."""
+    return settle(X.year_sets(X.nation_year(spark, sf)))
+
+
 _PAIRS = "WITH " + X.YEARS_SQL + ",\npr AS (SELECT a.set_id, a.curve_id AS a, b.curve_id AS b, max(abs(a.v - b.v)) AS sup, sum(power(a.v - b.v, 2)) AS l2 FROM yset a JOIN yset b USING (set_id, tau) WHERE a.curve_id <> b.curve_id GROUP BY ALL)"
 
 
 @query("join_curve_pairs", sql_rounded(_PAIRS + "\nSELECT set_id, a, b, sup, l2 FROM pr WHERE a < b", "sup l2", "set_id a b"))
 def join_curve_pairs(spark, sf):
-    return rounded(D._distances(X.year_sets(X.nation_year(spark, sf))).where("a < b"))
+    return rounded(D.curve_pairs(_years(spark, sf)).where("a < b"))
 
 
 # Neighbour selection ------------------------------------------------------------------------------
@@ -92,7 +99,7 @@ def join_curve_pairs(spark, sf):
 def _flag(name, flag):
     @query(name, _SEL + f"\nSELECT event_id, param_id, curve_id FROM sel WHERE {flag}")
     def run(spark, sf):
-        return X.selected(spark, sf)[1].where(flag).select("event_id", "param_id", "curve_id")
+        return N.select(X.scored(spark, sf)[1]).where(flag).select("event_id", "param_id", "curve_id")
 
 
 for _n, _c in (("nn_similarity", "in_sim"), ("nn_temporal", "in_temporal")):
@@ -106,15 +113,14 @@ def nn_spatial_topk(spark, sf):
 
 @query("nn_fallback_topk", _SEL + "\nSELECT event_id, param_id, curve_id FROM sel WHERE wr <= kappa_min")
 def nn_fallback_topk(spark, sf):
-    d = N.prune(X.scored(spark, sf)[1])
+    d = X.near(spark, sf)[1]
     r = F.rank().over(Window.partitionBy(*N.KEYS).orderBy(F.col("w").desc()))
     return d.withColumn("r", r).where(F.col("r") <= F.col("kappa_min")).select("event_id", "param_id", "curve_id")
 
 
 @query("nn_select", _SEL + "\nSELECT event_id, param_id, curve_id, in_sim, in_temporal, in_spatial, in_final FROM sel WHERE in_sim OR in_final")
 def nn_select(spark, sf):
-    pruned = N.prune(X.scored(spark, sf)[1])
-    return N.select(pruned).where("in_sim or in_final").select("event_id", "param_id", "curve_id", "in_sim", "in_temporal", "in_spatial", "in_final")
+    return N.select(X.scored(spark, sf)[1]).where("in_sim or in_final").select("event_id", "param_id", "curve_id", "in_sim", "in_temporal", "in_spatial", "in_final")
 
 
 def _older(grow: bool) -> str:
@@ -147,7 +153,7 @@ def nn_select_v1(spark, sf):
 
 @query("nn_stage_counts", _SEL + "\nSELECT event_id, param_id, count(*) FILTER (WHERE in_sim) AS n_sim, count(*) FILTER (WHERE in_temporal) AS n_temporal, count(*) FILTER (WHERE in_spatial) AS n_spatial, count(*) FILTER (WHERE in_final) AS n_scenarios FROM sel GROUP BY ALL")
 def nn_stage_counts(spark, sf):
-    return N.stage_counts(X.selected(spark, sf)[1])
+    return N.stage_counts(N.select(X.scored(spark, sf)[1]))
 
 
 @query("nn_rank_for_display", sql_rounded(_SEL + ", g AS (SELECT event_id, param_id, min(w) AS lo, max(w) AS hi FROM sel WHERE in_final GROUP BY ALL)\nSELECT event_id, param_id, curve_id, CASE WHEN hi > lo THEN (w - lo) / (hi - lo) ELSE 0 END AS scaled, CAST(row_number() OVER (PARTITION BY event_id, param_id ORDER BY w DESC, curve_id) AS INTEGER) AS place FROM sel JOIN g USING (event_id, param_id) WHERE in_final", "scaled", _K + " place"))
@@ -210,10 +216,19 @@ def fc_weighted_cov(spark, sf):
 _QS = [0.025, 0.05, 0.1, 0.2, 0.5, 0.8, 0.9, 0.95, 0.975]
 
 
-@query("agg_quantile_ribbon", sql_rounded("WITH " + X.UD_SQL + "\nSELECT tau, " + ", ".join(f"quantile_cont(f, {q}) AS q{i}" for i, q in enumerate(_QS)) + " FROM ud GROUP BY tau", " ".join(f"q{i}" for i in range(9)), "tau"))
+_RIBBON = ", ".join(f"quantile_cont(f, {q}) AS q{i}" for i, q in enumerate(_QS))
+
+
+@query("agg_quantile_ribbon", sql_rounded("WITH " + X.UD_SQL + f",\nmeans AS (SELECT asset, day, avg(f) AS f FROM ud GROUP BY ALL)\nSELECT 'slot' AS form, -1 AS day, tau, {_RIBBON} FROM ud GROUP BY tau UNION ALL SELECT 'day', day, tau, {_RIBBON} FROM ud GROUP BY day, tau UNION ALL SELECT 'daily_mean', day, -1, {_RIBBON} FROM means GROUP BY day", " ".join(f"q{i}" for i in range(9)), "form day tau"))
 def agg_quantile_ribbon(spark, sf):
-    p = X.user_day(spark, sf).groupBy("tau").agg(F.percentile("f", F.array(*[F.lit(q) for q in _QS])).alias("p"))
-    return rounded(p.select("tau", *[F.col("p")[i].alias(f"q{i}") for i in range(9)]))
+    """Quantiles by slot over all curves, by slot of each day over the assets, and of the assets' daily means."""
+    ud, none, out = settle(X.user_day(spark, sf)), F.lit(-1), None
+    means = ud.groupBy("asset", "day").agg(F.avg("f").alias("f"))
+    for form, rows, day, tau in (("slot", ud, none, F.col("tau")), ("day", ud, F.col("day"), F.col("tau")), ("daily_mean", means, F.col("day"), none)):
+        p = rows.groupBy(day.alias("day"), tau.alias("tau")).agg(F.percentile("f", F.array(*[F.lit(q) for q in _QS])).alias("p"))
+        one = p.select(F.lit(form).alias("form"), "day", "tau", *[F.col("p")[i].alias(f"q{i}") for i in range(9)])
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
 
 
 @query("agg_daily_mean", sql_rounded("WITH " + X.UD_SQL + "\nSELECT asset, day, avg(f) AS mean FROM ud GROUP BY ALL", "mean", "asset day"))
@@ -239,7 +254,7 @@ pp AS (SELECT x.set_id, x.c, x.o AS i, y.o AS j, bool_and(x.g * y.g <= 0) AS hol
 
 @query("depth_bd", sql_rounded(_BD + "\nSELECT set_id, c AS curve_id, avg(CASE WHEN holds THEN 1.0::DOUBLE ELSE 0 END) AS depth FROM pp GROUP BY ALL", "depth", _SC))
 def depth_bd(spark, sf):
-    return rounded(D.band(X.year_sets(X.nation_year(spark, sf))))
+    return rounded(D.band(_years(spark, sf)))
 
 
 def _dq_sql(src: str, keys: str, q: float) -> str:
@@ -273,12 +288,12 @@ def depth_id(spark, sf):
 
 @query("depth_linf", sql_rounded(_PAIRS + "\nSELECT set_id, a AS curve_id, 1 / (1 + avg(sup)) AS depth FROM pr GROUP BY ALL", "depth", _SC))
 def depth_linf(spark, sf):
-    return rounded(D.l_infinity(X.year_sets(X.nation_year(spark, sf))))
+    return rounded(D.l_infinity(_years(spark, sf)))
 
 
 @query("depth_mode", sql_rounded(_PAIRS + ", h AS (SELECT set_id, quantile_cont(sqrt(l2), 0.15) AS h FROM pr GROUP BY ALL)\nSELECT set_id, a AS curve_id, sum(exp(-0.5::DOUBLE * power(sqrt(l2) / h, 2))) AS depth FROM pr JOIN h USING (set_id) GROUP BY ALL", "depth", _SC))
 def depth_mode(spark, sf):
-    return rounded(D.modal(X.year_sets(X.nation_year(spark, sf))))
+    return rounded(D.modal(_years(spark, sf)))
 
 
 @query("depth_rp")
@@ -373,7 +388,7 @@ def band_dq_threshold(spark, sf):
 
 
 _KDE = """,
-kd AS (SELECT event_id, param_id, s, i, i / 99.0::DOUBLE AS x, sum(exp(-0.5::DOUBLE * power((i / 99.0::DOUBLE - m) / 0.05::DOUBLE, 2))) AS p FROM scen, range(0, 100) AS r(i) WHERE param_id = 1 GROUP BY ALL),
+kd AS (SELECT event_id, param_id, s, i, i / 99.0::DOUBLE AS x, sum(exp(-0.5::DOUBLE * power((i / 99.0::DOUBLE - m) / 0.05::DOUBLE, 2))) AS p FROM scen, range(0, 100) AS r(i) GROUP BY ALL),
 kc AS (SELECT *, sum(p) OVER (PARTITION BY event_id, param_id, s ORDER BY i) / sum(p) OVER (PARTITION BY event_id, param_id, s) AS c FROM kd),
 kl AS (SELECT *, lag(c) OVER (PARTITION BY event_id, param_id, s ORDER BY i) AS c0, lag(x) OVER (PARTITION BY event_id, param_id, s ORDER BY i) AS x0 FROM kc)"""
 
@@ -384,14 +399,24 @@ def _inv_sql(q: float) -> str:
 
 @query("band_kde", sql_rounded(_FLOW + _KDE + f"\nSELECT event_id, param_id, s, {_inv_sql(0.1)} AS lower, {_inv_sql(0.9)} AS upper FROM kl GROUP BY ALL", "lower upper", _BK))
 def band_kde(spark, sf):
-    return rounded(B.kde_band(X.scenarios(spark, sf)[1].where("param_id = 1"), 0.2, 0.05, 100))
+    return rounded(B.kde_band(X.scenarios(spark, sf)[1], 0.2, 0.05, 100))
+
+
+def _smooth_sql(step: int) -> str:
+    """The smoother is a fixed matrix of the grid; the table of it is given, the sums are SQL."""
+    leads = X.SLOTS - X.T
+    matrix = E.spline_smoother(leads + 1, E.smooth_grid(leads, step), 6)
+    values = ", ".join(f"({i}, {j - 1}, {float(v)!r}::DOUBLE)" for i, row in enumerate(matrix) for j, v in enumerate(row))
+    return f"SELECT {step} AS step, event_id, param_id, curve_id, CAST(i AS INTEGER) AS s, sum(c * m) AS m FROM begun JOIN (VALUES {values}) AS b(i, s, c) USING (s) GROUP BY ALL"
 
 
-@query("curve_smooth_downsample")
+@query("curve_smooth_downsample", sql_rounded(_FLOW + ",\nbegun AS (SELECT event_id, param_id, curve_id, s, m FROM scen UNION ALL SELECT event_id, param_id, curve_id, -1, f FROM (SELECT DISTINCT event_id, param_id, curve_id FROM scen) JOIN (SELECT curve_id AS event_id, f FROM ev WHERE tau = 5) USING (event_id))\n" + _smooth_sql(1) + " UNION ALL " + _smooth_sql(2), "m", "step event_id param_id curve_id s"))
 def curve_smooth_downsample(spark, sf):
+    """Smoothed scenarios on the full grid (step 1) and on every second lead."""
     ny, scen = X.scenarios(spark, sf)
-    last = X.events(ny).select("event_id", F.element_at("f", -1).alias("v"))
-    return rounded(E.smooth(scen, last, X.SLOTS - X.T, 2))
+    scen, last = settle(scen), X.events(ny).select("event_id", F.element_at("f", -1).alias("v"))
+    both = [E.smooth(scen, last, X.SLOTS - X.T, step).withColumn("step", F.lit(step)) for step in (1, 2)]
+    return rounded(both[0].unionByName(both[1]))
 
 
 def _scen_with_w(spark, sf):
@@ -417,4 +442,5 @@ def band_functional(spark, sf):
     scen = X.scenarios(spark, sf)[1]
     d = _round_depth(D.mbd)(B.as_sets(scen))
     placed = D.order_by_depth(d).select(F.col("set_id.event_id").alias("event_id"), F.col("set_id.param_id").alias("param_id"), "curve_id", (F.col("place") - 1).alias("place"))
-    return rounded(E.functional_band(scen, placed, 0.6))
+    sizes = scen.groupBy("event_id", "param_id").agg(F.count_distinct("curve_id").alias("n_scenarios"))
+    return rounded(E.functional_bands(scen, placed, sizes, [0.6]).drop("fraction"))

@@ -61,12 +61,16 @@ def src_curve_bundle(spark, sf):
     return rounded(R.read_bundle(spark, path, "load", 1999))
 
 
-@query("src_param_table", "WITH o AS (SELECT o_orderpriority AS p, month(o_orderdate) AS t, round(avg(o_totalprice), 2) AS v FROM orders GROUP BY ALL)\nSELECT CAST(t AS INTEGER) AS t, max(CASE WHEN p = '1-URGENT' THEN v END) AS \"1-URGENT\", max(CASE WHEN p = '5-LOW' THEN v END) AS \"5-LOW\" FROM o GROUP BY t")
+#: The order priorities, which stand in for parameter names.
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("src_param_table", "WITH o AS (SELECT o_orderpriority AS p, month(o_orderdate) AS t, round(avg(o_totalprice), 2) AS v FROM orders GROUP BY ALL)\nSELECT CAST(t AS INTEGER) AS t, " + ", ".join(f"max(CASE WHEN p = '{p}' THEN v END) AS \"{p}\"" for p in _PRIORITIES) + " FROM o GROUP BY t")
 def src_param_table(spark, sf):
     wide = X.t(spark, sf, "orders").withColumn("m", F.month("o_orderdate")).groupBy(F.col("o_orderpriority").alias("name")).pivot("m", list(range(1, 13))).agg(F.round(F.avg("o_totalprice"), 2))
     path = new_path(spark)
-    wide.where(F.col("name").isin("1-URGENT", "5-LOW")).write.csv(path, header=True)
-    return R.read_param_table(spark, path, list(range(1, 13)), ["1-URGENT", "5-LOW"])
+    wide.write.csv(path, header=True)
+    return R.read_param_table(spark, path, list(range(1, 13)), _PRIORITIES)
 
 
 @query("src_results", "SELECT o_orderpriority AS param, CAST(month(o_orderdate) AS INTEGER) AS t, count(*) AS n FROM orders GROUP BY ALL")
@@ -76,21 +80,29 @@ def src_results(spark, sf):
     return R.read_results(spark, f"{path}/*.csv", "param string, t int, n long")
 
 
-@query("src_scenario_dir", sql_rounded("WITH " + X.UD_SQL + "\nSELECT CAST(asset AS VARCHAR) AS asset, CASE WHEN day = 1 THEN 'actual' WHEN day = 2 THEN 'forecast' ELSE 'scenario' END AS role, day AS number, tau, f AS v FROM ud", "v", "asset role number tau"))
+@query("src_scenario_dir", sql_rounded("WITH " + X.UD_SQL + "\nSELECT CAST(asset AS VARCHAR) AS asset, CASE WHEN day = 1 THEN 'actual' WHEN day = 2 THEN 'forecast' ELSE 'scenario' END AS role, CAST(CASE WHEN day > 2 THEN day - 2 END AS INTEGER) AS number, tau, f AS v FROM ud", "v", "asset role number tau"))
 def src_scenario_dir(spark, sf):
+    """A file per asset in the layout of the inputs: a header, the actual row, the forecast row, then
+    scenarios; roles go by the row's place alone. Here days 1, 2 and the rest stand in for them."""
     packed = prep.pack(X.user_day(spark, sf), ["asset", "day"], f="f")
-    role = F.when(F.col("day") == 1, "actual").when(F.col("day") == 2, "forecast").otherwise("scenario")
+    line = F.concat_ws(",", F.lit("x"), "day", F.transform("f", lambda v: v.cast("string")))
+    rows = packed.groupBy("asset").agg(F.sort_array(F.collect_list(F.struct("day", line.alias("line")))).alias("rows"))  # a file's rows: about a thousand
     path = new_path(spark)
-    packed.select("asset", role.alias("role"), F.col("day").alias("number"), *[F.col("f")[i].alias(f"h{i}") for i in range(24)]).write.partitionBy("asset").csv(path, header=True)
-    return rounded(R.read_scenario_dir(spark, f"{path}/*/*.csv", 24))
+    header = F.lit(",".join(["type", "index", *[f"h{i}" for i in range(24)]]))
+    rows.select("asset", F.concat_ws("\n", F.array(header), F.transform("rows", lambda r: r["line"])).alias("value")).write.partitionBy("asset").text(path)
+    return rounded(R.read_scenario_dir(spark, path, 24))
+
+
+_NATIONS = [f"NATION.{i}" for i in range(25)]
 
 
-@query("src_multi_year", sql_rounded("WITH " + X.RAW_SQL + "\nSELECT y, tau, sum(CASE WHEN asset = 0 THEN f END) AS NATION_0, sum(CASE WHEN asset = 1 THEN f END) AS NATION_1 FROM raw WHERE y IN (1998, 1999) GROUP BY ALL", "NATION_0 NATION_1", "y tau", 2))
+@query("src_multi_year", sql_rounded("WITH " + X.RAW_SQL + "\nSELECT y, tau, " + ", ".join(f"sum(CASE WHEN asset = {i} THEN f END) AS NATION_{i}" for i in range(25)) + " FROM raw GROUP BY ALL", " ".join(f"NATION_{i}" for i in range(25)), "y tau", 2))
 def src_multi_year(spark, sf):
-    raw = X.nation_raw(spark, sf).where("asset < 2")
-    years = [raw.where(F.col("y") == y).groupBy("y", "tau").pivot("asset", [0, 1]).agg(F.sum("f")).withColumnsRenamed({"0": "NATION.0", "1": "NATION.1"}) for y in (1998, 1999)]
-    both = years[0].unionByName(years[1])
-    return rounded(both.toDF(*[c.replace(".", "_") for c in both.columns]), 2)
+    """One file a year with a column per asset, as the inputs come; all years are read as one table."""
+    path = new_path(spark)
+    wide = X.nation_raw(spark, sf).groupBy("y", "tau").pivot("asset", list(range(25))).agg(F.sum("f"))
+    wide.select("y", "tau", *[F.col(str(i)).alias(n) for i, n in enumerate(_NATIONS)]).repartition("y").write.partitionBy("y").csv(path, header=True)
+    return rounded(R.read_years(spark, path, "tau int", _NATIONS), 2)
 
 
 @query("src_curve_matrix", sql_rounded("WITH " + X.NY_SQL + "\nSELECT curve_id, tau, f AS v FROM ny", "v", "curve_id tau"))
@@ -100,22 +112,24 @@ def src_curve_matrix(spark, sf):
     return rounded(prep.unpack(R.read_curve_matrix(spark, path, 12), ["curve_id"], v="v"))
 
 
-@query("sink_append_results", "SELECT o_orderpriority AS param, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1998, 1999) GROUP BY ALL")
+@query("sink_append_results", "SELECT year(o_orderdate) AS run, o_orderpriority AS param, count(*) AS n FROM orders GROUP BY ALL")
 def sink_append_results(spark, sf):
+    """A run's results (here: a year's) are appended under its key; a run that is tried again replaces its own."""
+    counts = X.t(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("run"), F.col("o_orderpriority").alias("param")).agg(F.count(F.lit(1)).alias("n"))
     path = new_path(spark)
-    for y in (1998, 1999):
-        R.append_results(X.t(spark, sf, "orders").where(F.year("o_orderdate") == y).groupBy(F.col("o_orderpriority").alias("param")).agg(F.count(F.lit(1)).alias("n")), path)
-    return spark.read.parquet(path).groupBy("param").agg(F.sum("n").alias("n"))
+    for parity in (0, 1, 1):  # the second half is written twice
+        R.append_results(counts.where(F.col("run") % 2 == parity), path, "run")
+    return spark.read.parquet(path).select(F.col("run").cast("long").alias("run"), "param", "n")
 
 
-@query("sink_band_cube", sql_rounded("WITH " + X.BAND_SQL + "\nSELECT event_id, alpha, s, lower, upper FROM band WHERE param_id = 1 AND event_id = 5", "lower upper", "event_id alpha s"))
+@query("sink_band_cube", sql_rounded("WITH " + X.BAND_SQL + "\nSELECT CAST(event_id // 10000 AS INTEGER) AS asset, CAST(6 AS INTEGER) AS t, event_id, param_id, alpha, s, lower, upper FROM band", "lower upper", "asset t event_id param_id alpha s"))
 def sink_band_cube(spark, sf):
     from curvecast.operators import bands
 
     _, scen = X.scenarios(spark, sf)
     path = new_path(spark)
-    R.write_band_cube(bands.ecdf_band(scen, X.ALPHAS).where("param_id = 1").select(F.floor(F.col("event_id") / 6).cast("int").alias("asset"), F.lit(6).alias("t"), "event_id", "alpha", "s", "lower", "upper"), path)
-    return rounded(spark.read.parquet(path).where("asset = 0 and t = 6").select("event_id", "alpha", "s", "lower", "upper"))
+    R.write_band_cube(bands.ecdf_band(scen, X.ALPHAS).select(F.floor(F.col("event_id") / 10_000).cast("int").alias("asset"), F.lit(X.T).alias("t"), "event_id", "param_id", "alpha", "s", "lower", "upper"), path)
+    return rounded(spark.read.parquet(path).select("asset", "t", "event_id", "param_id", "alpha", "s", "lower", "upper"))
 
 
 # Preparation --------------------------------------------------------------------------------------
@@ -140,15 +154,15 @@ def prep_daily_curves(spark, sf):
     return packed.select("asset", "day", F.size("v").cast("long").alias("n"), F.round(F.aggregate(F.zip_with("v", "tau", lambda v, h: v * (h + 1)), F.lit(0.0), lambda a, b: a + b), 4).alias("checksum"))
 
 
-@query("prep_flatten_asset_major", "WITH a AS (SELECT DISTINCT user_id % 10 AS asset, CAST(ts AS DATE) AS day FROM events)\nSELECT asset, day, (dense_rank() OVER (ORDER BY asset) - 1) * 400 + dense_rank() OVER (ORDER BY day) - 1 AS curve_id FROM a")
+@query("prep_flatten_asset_major", "WITH a AS (SELECT DISTINCT user_id % 10 AS asset, CAST(ts AS DATE) AS day FROM events)\nSELECT asset, day, (dense_rank() OVER (ORDER BY asset) - 1) * (SELECT count(DISTINCT day) FROM a) + dense_rank() OVER (ORDER BY day) - 1 AS curve_id FROM a")
 def prep_flatten_asset_major(spark, sf):
     from pyspark.sql import Window
 
     cells = X.t(spark, sf, "events").select((F.col("user_id") % 10).alias("asset"), F.to_date("ts").alias("day")).distinct()
     # Assets and days are short lists (hundreds), numbered on their own and joined back.
     a = cells.select("asset").distinct().withColumn("i", F.row_number().over(Window.orderBy("asset")) - 1)
-    d = cells.select("day").distinct().withColumn("j", F.row_number().over(Window.orderBy("day")) - 1)
-    return cells.join(a, "asset").join(d, "day").select("asset", "day", (F.col("i") * 400 + F.col("j")).cast("long").alias("curve_id"))
+    d = cells.select("day").distinct().withColumns({"j": F.row_number().over(Window.orderBy("day")) - 1, "days": F.count(F.lit(1)).over(Window.partitionBy())})
+    return cells.join(a, "asset").join(d, "day").select("asset", "day", (F.col("i") * F.col("days") + F.col("j")).cast("long").alias("curve_id"))
 
 
 @query("prep_attach_location", sql_rounded("WITH " + X.SITES_SQL + "\nSELECT c_custkey, lon, lat FROM customer JOIN sites ON c_nationkey = asset", "lon lat", "c_custkey"))
@@ -203,10 +217,15 @@ def prep_grid_labels(spark, sf):
     return g.select("tau", (F.col("tau") * 5).alias("minutes"), F.format_string("%02d:%02d", (F.col("tau") * 5 / 60).cast("int"), F.col("tau") * 5 % 60).alias("label"))
 
 
-@query("prep_align_assets", "SELECT DISTINCT c_nationkey AS asset FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+@query("prep_align_assets", "WITH c AS (SELECT DISTINCT c_nationkey AS asset FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)), s AS (SELECT s_nationkey AS asset, min(s_suppkey) AS first FROM supplier GROUP BY ALL)\nSELECT asset, row_number() OVER (ORDER BY asset) AS place, row_number() OVER (ORDER BY first) AS was FROM c JOIN s USING (asset)")
 def prep_align_assets(spark, sf):
+    """Assets that both sources have, in one order (place), and where the second source has them (was)."""
+    from pyspark.sql import Window
+
     c = X.t(spark, sf, "customer").select(F.col("c_nationkey").alias("asset")).distinct()
-    return c.join(X.t(spark, sf, "supplier").select(F.col("s_nationkey").alias("asset")).distinct(), "asset")
+    s = X.t(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("asset")).agg(F.min("s_suppkey").alias("first"))
+    both = c.join(s, "asset")  # a list of assets: short
+    return both.select("asset", F.row_number().over(Window.orderBy("asset")).cast("long").alias("place"), F.row_number().over(Window.orderBy("first")).cast("long").alias("was"))
 
 
 _ACTIVE = "act AS (SELECT tau, sum(f + e) > 400 AS active FROM ud GROUP BY tau)"
@@ -248,10 +267,10 @@ def prep_anchor_last_obs(spark, sf):
     return rounded(ev.select("event_id", F.posexplode("y").alias("place", "v")))
 
 
-@query("prep_guard_range", "WITH " + X.NY_SQL + ", r AS (SELECT min(f) AS lo, max(f) AS hi FROM hist WHERE asset < 5)\nSELECT event_id FROM truth GROUP BY event_id HAVING min(y) >= (SELECT lo FROM r) AND max(y) <= (SELECT hi FROM r)")
+@query("prep_guard_range", "WITH " + X.NY_SQL + ", r AS (SELECT min(f) AS lo, max(f) AS hi FROM hist)\nSELECT event_id FROM truth GROUP BY event_id HAVING min(y) >= (SELECT lo FROM r) AND max(y) <= (SELECT hi FROM r)")
 def prep_guard_range(spark, sf):
     ny = X.nation_year(spark, sf)
-    return prep.guard_range(X.truth(ny).withColumnRenamed("y", "f"), ny.where("y < 2000 and asset < 5"))
+    return prep.guard_range(X.truth(ny).withColumnRenamed("y", "f"), ny.where("y < 2000"))
 
 
 @query("prep_low_days", sql_rounded("WITH " + X.NY_SQL + "\nSELECT curve_id, avg(f) AS mean FROM ny GROUP BY curve_id HAVING avg(f) < 0.55", "mean", "curve_id"))
@@ -274,10 +293,12 @@ def prep_wrap_yday(spark, sf):
     return X.t(spark, sf, "orders").select("o_orderkey", C.wrap_yday(F.dayofyear("o_orderdate") + 30).alias("yday"))
 
 
-@query("prep_split_random")
+@query("prep_split_random", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, CASE WHEN (CAST(o_orderdate AS DATE) - DATE '1970-01-01') * 48271 % 2147483647 % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM orders")
 def prep_split_random(spark, sf):
+    """A tenth of the days at random, by a step of a multiplicative generator from the day's number."""
     day = X.t(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    return day.withColumn("split", F.when(F.pmod(F.xxhash64("day"), F.lit(10)) == 0, "test").otherwise("train"))
+    drawn = F.unix_date("day").cast("long") * 48271 % 2147483647 % 10
+    return day.withColumn("split", F.when(drawn == 0, "test").otherwise("train"))
 
 
 @query("prep_split_loo", "WITH " + X.UD_SQL + ", d AS (SELECT DISTINCT day FROM ud)\nSELECT a.day AS fold, count(*) AS n, sum(b.day) AS days FROM d a JOIN d b ON a.day <> b.day GROUP BY a.day")

@@ -8,17 +8,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def new_path(spark: SparkSession) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir; our own only if unset)."""
+    """A new path in the cluster's shared folder (spark.checkpoint.dir). Where it is unset a folder of
+    our own will do in local mode alone: on a cluster executors don't share one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-curvecast-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/c-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back."""
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back; its shuffle files go once it is written."""
+    spark, path = df.sparkSession, new_path(df.sparkSession)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)

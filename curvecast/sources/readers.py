@@ -43,10 +43,14 @@ def read_results(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 
 def read_scenario_dir(spark: SparkSession, path: str, hours: int) -> DataFrame:
-    """A folder of per-asset CSVs (role, number, hourly values) as (asset, role, number, tau, v)."""
-    schema = "role string, number int, " + ", ".join(f"h{i} double" for i in range(hours))
-    rows = spark.read.schema(schema).csv(path, header=True).withColumn("asset", F.regexp_extract(F.col("_metadata.file_path"), r"asset=([^/]+)/", 1))
-    return rows.select("asset", "role", "number", F.posexplode(F.array(*[f"h{i}" for i in range(hours)])).alias("tau", "v"))
+    """A folder of per-asset files as (asset, role, number, tau, v). By the row's place in its file:
+    the second is the actual one, the third the forecast, all after it scenarios (numbered from 1);
+    two index columns come before the hourly values. A file is one asset's, so it is read whole."""
+    files = spark.read.text(path, wholetext=True).select(F.col("asset").cast("string").alias("asset"), F.posexplode(F.split("value", "\n")).alias("row", "line"))
+    cells = F.transform(F.slice(F.split("line", ","), 3, hours), lambda v: v.cast("double"))
+    rows = files.where("row > 0 and line <> ''").select("asset", "row", cells.alias("v"))
+    role = F.when(F.col("row") == 1, "actual").when(F.col("row") == 2, "forecast").otherwise("scenario")
+    return rows.select("asset", role.alias("role"), F.when(F.col("row") > 2, F.col("row") - 2).cast("int").alias("number"), F.posexplode("v").alias("tau", "v"))
 
 
 def read_curve_matrix(spark: SparkSession, path: str, slots: int) -> DataFrame:
@@ -55,8 +59,16 @@ def read_curve_matrix(spark: SparkSession, path: str, slots: int) -> DataFrame:
     return raw.select("curve_id", F.array(*[f"c{i}" for i in range(slots)]).alias("v"))
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_results(df: DataFrame, path: str, run: str) -> None:
+    """Append results by run; rows of a run that is there already replace it, so a retry adds nothing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)
+
+
+def read_years(spark: SparkSession, path: str, key: str, assets: list[str]) -> DataFrame:
+    """Wide CSVs of several years (folders y=...) as one table: y, the key column, a column per asset."""
+    schema = f"{key}, " + ", ".join(f"`{a}` double" for a in assets) + ", y int"
+    wide = spark.read.schema(schema).csv(path, header=True)
+    return wide.select("y", key.split()[0], *[F.col(f"`{a}`").alias(a.replace(".", "_")) for a in assets])
 
 
 def write_band_cube(band: DataFrame, path: str) -> None:

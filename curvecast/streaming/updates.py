@@ -12,6 +12,10 @@ from curvecast.operators import neighbors as N
 from curvecast.operators.bands import rank_quantile
 
 
+#: The table of finished hours.
+HOURS = "asset long, start timestamp, f double, batch long, day date"
+
+
 def hourly(stream: DataFrame, late: str = "2 hours") -> DataFrame:
     """asset, start, f per tumbling hour; rows later than the watermark allows are dropped by Spark."""
     return stream.withWatermark("ts", late).groupBy("asset", F.window("ts", "1 hour").alias("w")).agg(F.sum("value").alias("f")).select("asset", F.col("w.start").alias("start"), "f")
@@ -20,7 +24,7 @@ def hourly(stream: DataFrame, late: str = "2 hours") -> DataFrame:
 def forecast(events: DataFrame, history: DataFrame, history_long: DataFrame, params: DataFrame, slots: int, per_hour: float, minutes: float) -> DataFrame:
     """event_id, param_id, t, s, focal, lower, upper: each event's fused scenarios in summary, events
     at any number of observed slots t side by side."""
-    chosen = N.select(N.prune(N.distances(N.with_weights(events, params, slots, per_hour), history))).where("in_final")
+    chosen = N.select(N.near(N.with_weights(events, params, slots, per_hour), history)).where("in_final")
     weighted = chosen.select(*N.KEYS, "curve_id", (F.col("w") / F.sum("w").over(Window.partitionBy(*N.KEYS))).alias("wn"))
     rows = weighted.join(events.select("event_id", "t"), "event_id").join(history_long.select("curve_id", "tau", "f", "e"), "curve_id").where(F.col("tau") >= F.col("t"))
     rows = rows.join(F.broadcast(params), "param_id").withColumn("s", F.col("tau") - F.col("t"))
@@ -33,15 +37,16 @@ def run_updates(stream: DataFrame, path: str, checkpoint: str, update: Callable[
     """Append each micro-batch's finished hours to a Parquet table (`path`/hours), and, with
     `update`, what it makes of them and of all hours so far (`path`/updates).
 
-    Folders are keyed by the batch number, so a batch that is run again after a failure replaces
+    Hours lie by day, and a batch reads the days that it touches alone. Folders are keyed by the batch number, so a batch that is run again after a failure replaces
     its own rows and nothing is counted twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/hours/batch={number}")
+        spark, day = batch.sparkSession, F.to_date("start")
+        batch.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{path}/hours/batch={number}")
         if update:
-            spark = batch.sparkSession
-            hours = spark.read.schema(batch.schema.add("batch", "long")).parquet(f"{path}/hours").where(F.col("batch") <= number)
+            touched = [r[0] for r in batch.select(day).distinct().collect()]  # a batch's days: as many as its watermark spans
+            hours = spark.read.schema(HOURS).parquet(f"{path}/hours").where(F.col("day").isin(touched) & (F.col("batch") <= number))
             update(hours.where(F.col("batch") == number), hours).write.mode("overwrite").parquet(f"{path}/updates/batch={number}")
 
     hourly(stream, late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()

@@ -5,13 +5,17 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from curvecast.functions import curves as C
-from curvecast.operators import bands, envelope, hist, prep, scores
+from curvecast.operators import bands, envelope, fpca, hist, prep, scores, tuning
 from curvecast.operators import depth as D
 from curvecast.operators import neighbors as N
 from curvecast.plans import fixtures as X
+from curvecast.plans import q_eval
+from curvecast.plans.workdir import settle
+from curvecast.streaming import updates
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,6 +60,117 @@ def test_bd_and_linf_equal_definitions(spark):
     close(found(D.l_infinity(long(spark, s))), linf)
 
 
+@pytest.mark.parametrize("block", [2, 3, 500])
+def test_pair_depths_in_blocks_equal_definitions(spark, block):
+    s = curves(8, 4, 9, 7)
+    y, ids, x = np.array(list(s.values())), list(s), long(spark, s)
+    d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
+    off = ~np.eye(len(y), dtype=bool)
+    h = np.quantile(d[off], 0.15)
+    close(found(D.modal(x, block=block)), dict(zip(ids, (np.exp(-0.5 * (d / h) ** 2) * off).sum(1), strict=True)))
+    close(found(D.l_infinity(x, block=block)), dict(zip(ids, 1 / (1 + np.abs(y[:, None] - y[None]).max(-1).sum(1) / (len(y) - 1)), strict=True)))
+    pairs = list(itertools.combinations(s.values(), 2))
+    want = {i: np.mean([all(min(a, b) <= v <= max(a, b) for v, a, b in zip(row, p, q, strict=True)) for p, q in pairs]) for i, row in s.items()}
+    close(found(D.band(x, block=block)), want)
+
+
+def test_ks_gap_equals_a_numpy_histogram(spark):
+    rng = np.random.default_rng(3)
+    sets = {1: rng.uniform(0.1, 0.7, 2000), 2: rng.beta(2, 5, 300), 3: np.full(5, 0.25), 4: np.array([0.0, 1.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, own in sets.items() for v in own], "k long, pit double")
+    got = {r["k"]: (r["ks_rms"], r["ks_sup"]) for r in scores.ks_gap(df, "pit", ["k"]).collect()}
+    for k, own in sets.items():
+        gap = np.cumsum(np.histogram(own, 100, density=True)[0]) - np.arange(1, 101)
+        assert np.allclose(got[k], (np.sqrt(np.mean(gap**2)) / 100, np.abs(gap).max()), atol=1e-6), k
+
+
+def test_components_of_curves(spark):
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=(30, 6)) @ rng.normal(size=(6, 6)) + 1000
+    x = long(spark, {i: row.tolist() for i, row in enumerate(y)})
+    c = np.cov(y.T)
+    got = {(r["tau1"], r["tau2"]): r["cov"] for r in fpca.covariance(x).collect()}
+    assert len(got) == 21 and all(np.isclose(v, c[k], atol=1e-8) for k, v in got.items())
+    phi, mu = fpca.fit(x, 6), fpca.mean(x)
+    rows = phi.orderBy("k", "tau").collect()
+    m = np.array([r["phi"] for r in rows]).reshape(6, 6)
+    assert np.allclose(m @ m.T, np.eye(6), atol=1e-8)
+    assert np.allclose(sorted({r["eigenvalue"] for r in rows}, reverse=True), np.linalg.eigvalsh(c)[::-1], atol=1e-6)
+    p = phi.select("set_id", "k", "tau", "phi")
+    score = fpca.project(x, mu, p)
+    assert np.allclose([r["v"] for r in score.groupBy("k").agg(F.var_samp("score").alias("v")).orderBy("k").collect()], np.linalg.eigvalsh(c)[::-1], atol=1e-6)
+    back = {(r["curve_id"], r["tau"]): r["v"] for r in fpca.reconstruct(score, mu, p).collect()}
+    assert all(np.isclose(back[i, j], y[i, j], atol=1e-6) for i in range(30) for j in range(6))
+    few = {(r["curve_id"], r["tau"]): r["v"] for r in fpca.reconstruct(fpca.project(x, mu, p.where("k <= 3")), mu, p.where("k <= 3")).collect()}
+    left = sum((few[i, j] - y[i, j]) ** 2 for i in range(30) for j in range(6)) / 29
+    assert np.isclose(left, np.linalg.eigvalsh(c)[:3].sum(), atol=1e-6)  # what three components leave out
+
+
+def test_projection_depths_equal_definitions(spark):
+    s = curves(9, 5, 6, 50)
+    x = long(spark, s)
+    p = {(r["curve_id"], r["j"]): r["p"] for r in D._projected(x, 20, 1).collect()}
+    depth = lambda i, j: min(sum(p[o, j] <= p[i, j] for o in s), sum(p[o, j] >= p[i, j] for o in s)) / len(s)
+    close(found(D.random_projection(x)), {i: np.mean([depth(i, j) for j in range(1, 21)]) for i in s})
+    close(found(D.random_tukey(x)), {i: min(depth(i, j) for j in range(1, 21)) for i in s})
+    close(found(D.REGISTRY["RP"](x)), found(D.random_projection(x)))
+
+
+def test_models_find_what_made_the_labels(spark):
+    rng = random.Random(1)
+    rows = [(float(i % 3), rng.random(), rng.random()) for i in range(200)]
+    df = spark.createDataFrame([(a, b, c, 3 * a - 2 * b + 1, 5.0 if b > 0.5 else 1.0) for a, b, c in rows], "a double, b double, c double, line double, step double")
+    for lasso in (True, False):
+        got = tuning.linear(df, ["a", "b", "c"], "line", lasso, [1e-4, 10.0])
+        assert 20 < got.count() < 70 and all(abs(r["label"] - r["prediction"]) < 0.05 for r in got.collect())
+    assert all(abs(r["label"] - r["prediction"]) < 0.5 for r in tuning.tree(df, ["a", "b", "c"], "step", [1, 3], [1, 5]).collect())
+
+
+def test_envelope_bands_by_hand(spark):
+    curve = {1: [0.0, 0.0], 2: [1.0, -1.0], 3: [-1.0, 1.0], 4: [2.0, 2.0]}
+    scen = spark.createDataFrame([(7, 0, c, s, v) for c, row in curve.items() for s, v in enumerate(row)], "event_id long, param_id int, curve_id long, s int, m double")
+    env = spark.createDataFrame([(7, 0, 1, 0), (7, 0, 2, 1), (7, 0, 3, 2)], "event_id long, param_id int, curve_id long, place int")
+    sizes = spark.createDataFrame([(7, 0, 4)], "event_id long, param_id int, n_scenarios long")
+    got = {(r["fraction"], r["s"]): (r["center"], r["lower"], r["upper"]) for r in envelope.functional_bands(scen, env, sizes, [0.25, 0.5, 0.75]).collect()}
+    assert got[0.25, 0] == (0.0, None, None) and got[0.5, 0] == (0.0, 1.0, 1.0) and got[0.75, 0] == (0.0, -1.0, 1.0) and got[0.75, 1] == (0.0, -1.0, 1.0)
+
+
+def test_envelope_scores_equal_plain_python(spark):
+    ny, scen = X.scenarios(spark, SF, X.T, X.PARAM_ROWS[:1])
+    scen = settle(scen.withColumnRenamed("wn", "w"))
+    y = {(r["event_id"], r["s"]): r["y"] for r in X.truth(ny).collect()}
+    env = {kind: {(r["event_id"], r["curve_id"]): r["place"] for r in envelope.focal_envelope(scen, kind).collect()} for kind in ("sup", "similarity")}
+    m: dict = {}
+    for r in scen.collect():
+        m.setdefault(r["event_id"], {}).setdefault(r["curve_id"], {})[r["s"]] = r["m"]
+    rows = q_eval._envelope_scores(spark, SF, scen, ny).where("distance <> 'l2'").collect()
+    assert len(rows) > 500
+    for r in rows:
+        own = m[r["event_id"]]
+        k = math.floor(r["fraction"] * len(own))
+        inside = [own[c] for c in own if 1 <= env[r["distance"]].get((r["event_id"], c), -1) < k]
+        wis = hits = 0
+        for s in range(X.SLOTS - X.T):
+            lo, hi, v = min(c[s] for c in inside), max(c[s] for c in inside), y[r["event_id"], s]
+            wis += (hi - lo) + 2 / r["alpha"] * (max(lo - v, 0) + max(v - hi, 0))
+            hits += lo <= v <= hi
+        assert math.isclose(r["wis"], wis, abs_tol=1e-9) and math.isclose(r["fcs"], hits / (X.SLOTS - X.T)) and r["k"] == k
+
+
+def test_streamed_forecasts_equal_those_of_the_finished_hours(spark):
+    rows = q_eval.stream_forecast_update(spark, SF).collect()
+    last = {}
+    for r in rows:
+        last[r["event_id"]] = max(last.get(r["event_id"], -1), r["batch"])
+    closed = q_eval.stream_dynamic_update(spark, SF).select("asset", (F.to_timestamp("day").cast("long") + F.col("tau") * 3600).cast("timestamp").alias("start"), "f")
+    past, means = q_eval._static(spark, SF)
+    packed = prep.pack(past, ["curve_id", "lon", "lat", "yday"], f="f", e="e")
+    want = updates.forecast(q_eval._day_events(closed, means, *X.day_span(spark, SF)), packed, past, X.params(spark), 24, X.PER_HOUR, X.MINUTES)
+    want = {(r["event_id"], r["param_id"], r["t"], r["s"]): (r["focal"], r["lower"], r["upper"]) for r in want.collect()}
+    got = {(r["event_id"], r["param_id"], r["t"], r["s"]): (r["focal"], r["lower"], r["upper"]) for r in rows if r["batch"] == last[r["event_id"]]}
+    assert want and all(np.allclose(got[k], v, atol=1e-5) for k, v in want.items())
+
+
 def test_depths_do_not_depend_on_row_order(spark):
     x = long(spark, curves(9, 4, 3))
     for fn in D.REGISTRY.values():
@@ -114,13 +229,24 @@ def test_selection_cases(spark):
     assert final(make([0.9] * 5, d_p=[1, 1, 1, 1, 0])) == [4]  # fewer than kappa_min are left
 
 
-def test_pruning_keeps_the_selection(spark):
-    _, d = X.scored(spark, SF)
-    d = d.cache()
+def test_blocks_and_pruning_keep_the_selection(spark):
+    _, weighted, past = X._sides(spark, SF, X.T, X.PARAM_ROWS)
     keys = ["event_id", "param_id", "curve_id"]
-    full, pruned = N.select(d).where("in_final").select(keys), N.select(N.prune(d, 3)).where("in_final").select(keys)
-    assert full.exceptAll(pruned).count() == 0 and pruned.exceptAll(full).count() == 0
-    d.unpersist()
+    full = settle(N.select(N.distances(weighted, past)).where("in_final").select(keys))
+    assert full.count() > 0
+    for event_rows, curves in ((1000, 4000), (40, 9)):
+        near = settle(N.near(weighted, past, event_rows, curves))
+        chosen = N.select(near).where("in_final").select(keys)
+        assert full.exceptAll(chosen).count() == 0 and chosen.exceptAll(full).count() == 0
+    assert near.count() < weighted.count() * past.count()
+
+
+def test_distances_by_products_equal_differences(spark):
+    _, weighted, past = X._sides(spark, SF, X.T, X.PARAM_ROWS)
+    a, b = (N.distances(weighted, past, product=p, curves=50) for p in (False, True))
+    both = a.alias("a").join(b.alias("b"), ["event_id", "param_id", "curve_id"])
+    assert both.count() == weighted.count() * past.count()
+    assert both.where("abs(a.d_f - b.d_f) > 1e-9 or abs(a.d_e - b.d_e) > 1e-9").count() == 0
 
 
 def test_no_active_slot_gives_null_distance(spark):
