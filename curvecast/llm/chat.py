@@ -4,7 +4,8 @@ A log may hold a conversation again after each turn. Rolling hashes of turn pref
 XOR-combined, position-keyed turn hashes) identify the ones that are a prefix of a longer one; an
 anti-join leaves the maximal ones, and of equal conversations the one with the least conv_id.
 Turns are ordered by (turn, role, text); null roles and texts count as empty; a repeated turn row
-stays a turn. An empty table gives an empty result.
+stays a turn. An empty table gives an empty result. Texts are hashed and rendered whole; one
+rendered conversation must fit a row. Further columns are not read, so none can clash.
 """
 
 from __future__ import annotations

@@ -47,7 +47,7 @@ BLOCK, BLOCK_BYTES = 2000, 8 << 20
 UNIT_BYTES, ROUNDS = 16 << 20, 2
 #: Members of a group that meet its leader in one task.
 SALTED = 5000
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Part keys that a task packs at once.
 PACK = 1_500_000
 _SPACES = np.zeros(256, dtype=bool)
@@ -157,7 +157,7 @@ def part_keys(h: np.ndarray, band: int) -> np.ndarray:
 def sketch(h: np.ndarray) -> bytes:
     """A short parity sketch: 64 bits or, for larger sets, two to four for each member. With fewer, bits
     of unlike sets differ half the time whatever the sets, and the bound sifts nothing out."""
-    bits = min(4096, max(64, 2 << max(0, len(h) - 1).bit_length()))
+    bits = min(1 << 17, max(64, 2 << max(0, len(h) - 1).bit_length()))
     return np.packbits((np.bincount((h & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 

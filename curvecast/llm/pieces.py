@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG, BLOCK = 4096, 1 << 15
 RANK_0 = 10.0
 #: Code points encoded at once; bounds the lattices in memory, not the text.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _SIGN, _SPACE, _LINE = 0x2581, 32, 10
 _PER_CHAR = 6.0  # log weight that each code point adds, the same for every path: keeps sums in range
 _RESCALE = 32  # places after which sums are scaled back

@@ -3,7 +3,9 @@
 A document whose compressed share of its bytes lies below its length's band is repetitive, above
 it incompressible; so is one of which too many fixed chunks lie outside the chunk band. Words are
 runs of bytes other than space and \\t-\\r. A null or empty text has no words and fails the base
-rule; repeated rows are judged alike; an empty table stays empty. Texts are judged whole.
+rule; repeated rows are judged alike; an empty table stays empty. Texts are judged whole: what is
+left after the last fixed chunk counts in the ratio of the whole. An input column named like a
+measure is replaced (judge); keep_good leaves all columns as they are.
 """
 
 from __future__ import annotations
