@@ -1,7 +1,11 @@
 """The corpus pipeline: quality rules, near duplicates, benchmark leaks, personal data, pieces.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents, whatever further
+ones there are. A null or empty text fails the quality rules, so later stages see none of this
+table's, but take them: they are kept, match nothing and have no spans and no pieces. Repeated rows
+are copies, of which the second stage leaves one; an empty table stays empty in every stage; texts
+are read whole, very long ones as well.
 """
 
 from __future__ import annotations
@@ -13,27 +17,28 @@ from curvecast.llm.common import settle, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the compression bands."""
+    """Documents that pass the base rule and the compression bands, as they are; equal rows share their fate."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: that of the least (doc_id, text hash), null ids
+    first; documents without words stay."""
     return jaccard.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
+    """Documents into which no benchmark item leaks; without items all stay."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, spans of personal data replaced."""
+    """All documents, spans of personal data replaced by their kind; a null text stays null."""
     return pii.redact_documents(docs)
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, pieces, n_pieces, lossless of all documents."""
+    """doc_id, pieces, n_pieces, lossless of all documents; a null id draws as 0, a null text has none."""
     return pieces.encode_documents(docs)
 
 
