@@ -23,7 +23,7 @@ def gaussian_kde(rows: DataFrame, x: str, width: DataFrame, low: float, high: fl
     """Gaussian kernel density at grid points; width: by, h."""
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) + i * ((high - low) / (points - 1))))
     k = F.exp(-0.5 * F.pow((F.col("g") - F.col(x)) / F.col("h"), 2)) / (F.col("h") * 2.5066282746310002)
-    return rows.join(F.broadcast(width), by).where("h > 0").withColumn("g", grid).groupBy(*by, "g").agg(F.avg(k).alias("density"))
+    return rows.join(width, by).where("h > 0").withColumn("g", grid).groupBy(*by, "g").agg(F.avg(k).alias("density"))
 
 
 def rank_bucket(rows: DataFrame, thresholds: DataFrame, distance: str) -> DataFrame:

@@ -73,7 +73,10 @@ def active_slots(long: DataFrame, *values: str, over: float = 0.0) -> DataFrame:
 
 def active_slots_window(history: DataFrame, events: DataFrame, days: int, over: float, value: str = "f") -> DataFrame:
     """Per event and slot: whether curves less than `days` from the event's day sum to over `over`."""
-    near = history.select("tau", F.col("yday").alias("_d"), F.col(value).alias("_v")).join(F.broadcast(events.select("event_id", "yday").distinct()), F.abs(F.col("_d") - F.col("yday")) < days)
+    # History is summed by day of the year first, and each event's days are keys: no range join.
+    sums = history.groupBy(F.col("yday").alias("_d"), "tau").agg(F.sum(value).alias("_v"))
+    around = F.explode(F.sequence(F.col("yday") - (days - 1), F.col("yday") + (days - 1))).alias("_d")
+    near = events.select("event_id", "yday").distinct().select("event_id", around).join(sums, "_d")
     return near.groupBy("event_id", "tau").agg((F.sum("_v") > over).alias("active"))
 
 

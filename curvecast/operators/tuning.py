@@ -56,7 +56,7 @@ def level_bands(scen: DataFrame, levels: tuple[float, ...], grid: list[tuple[flo
     that are formed where the rows are.
     """
     spark, keys, band = scen.sparkSession, ["event_id", "param_id"], ["method", "level", "zeta", "event_id", "param_id", "s"]
-    steps =    steps = F.broadcast(spark.createDataFrame(grid, "level double, zeta double"))
+    steps = F.broadcast(spark.createDataFrame(grid, "level double, zeta double"))
     sets, order = bands.as_sets(scen), ["method", "level", "set_id"]
     every = F.explode(F.array(*[F.lit(a) for a in levels])).alias("level")
     deep = depth.mbd(sets).select(F.lit("MBD").alias("method"), every, "set_id", "curve_id", F.round("depth", 9).alias("depth"))

@@ -167,7 +167,7 @@ def prep_flatten_asset_major(spark, sf):
 
 @query("prep_attach_location", sql_rounded("WITH " + X.SITES_SQL + "\nSELECT c_custkey, lon, lat FROM customer JOIN sites ON c_nationkey = asset", "lon lat", "c_custkey"))
 def prep_attach_location(spark, sf):
-    return rounded(X.t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("asset")).join(F.broadcast(X.sites(spark, sf)), "asset").select("c_custkey", "lon", "lat"))
+    return rounded(X.t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("asset")).join(X.sites(spark, sf), "asset").select("c_custkey", "lon", "lat"))
 
 
 @query("prep_capacity", sql_rounded("WITH " + X.RAW_SQL + "\nSELECT asset, max(f) AS capacity FROM raw WHERE y < 2000 GROUP BY asset", "capacity", "asset", 2))
@@ -252,7 +252,7 @@ def prep_drop_inactive(spark, sf):
 def prep_event_grid(spark, sf):
     ev = X.t(spark, sf, "events")
     a, d = ev.select((F.col("user_id") % 10).alias("asset")).distinct(), ev.select(F.to_date("ts").alias("day")).distinct()
-    return a.crossJoin(F.broadcast(d)).withColumn("t", F.explode(F.array(F.lit(6), F.lit(12), F.lit(18))))
+    return a.crossJoin(d).withColumn("t", F.explode(F.array(F.lit(6), F.lit(12), F.lit(18))))
 
 
 @query("prep_make_event", "WITH " + X.NY_SQL + "\nSELECT curve_id AS event_id, CAST(6 AS INTEGER) AS t, round(sum(CASE WHEN tau < 6 THEN f * (tau + 1) END), 6) AS prefix, round(sum(e * (tau + 1)), 6) AS forecast, round(sum(CASE WHEN tau >= 6 THEN f * (tau - 5) END), 6) AS suffix FROM ev GROUP BY curve_id")
@@ -303,9 +303,10 @@ def prep_split_random(spark, sf):
 
 @query("prep_split_loo", "WITH " + X.UD_SQL + ", d AS (SELECT DISTINCT day FROM ud)\nSELECT a.day AS fold, count(*) AS n, sum(b.day) AS days FROM d a JOIN d b ON a.day <> b.day GROUP BY a.day")
 def prep_split_loo(spark, sf):
+    """Each fold's training days, by the totals less the fold's own: no pairs of days are formed."""
     d = X.user_day(spark, sf).select("day").distinct()
-    other = d.withColumnRenamed("day", "other")
-    return d.join(F.broadcast(other), F.col("day") != F.col("other")).groupBy(F.col("day").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum("other").alias("days"))
+    total = d.agg(F.count(F.lit(1)).alias("all"), F.sum("day").alias("sum"))  # one row
+    return d.crossJoin(F.broadcast(total)).where("all > 1").select(F.col("day").alias("fold"), (F.col("all") - 1).alias("n"), (F.col("sum") - F.col("day")).alias("days"))
 
 
 # Weights and scalar expressions, over all months of all curves ------------------------------------
