@@ -76,34 +76,32 @@ def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray | None:
     return out
 
 
-def likely(texts: DataFrame, bitmap: np.ndarray | None, column: str, keep: bool = True) -> DataFrame:
-    """Rows of texts whose column's bit is set (keep) or isn't. Without a bitmap all may be set."""
-    if bitmap is None:
-        return texts if keep else texts.where("false")
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
-    at = texts.columns.index(column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            th = b.column(at).to_numpy(zero_copy_only=False)
-            bit = th & (FILTER_BITS - 1)
-            found = (shared.value[bit >> 5] >> (bit & 31)) & 1 == 1
-            yield b.filter(pa.array(found == keep))
+def unsent(hashes: list[int], sent: set[int]) -> list[bool]:
+    """Which of these a task hasn't sent before; what it remembers is bounded."""
+    if len(sent) > 1_000_000:
+        sent.clear()
+    return [not (h in sent or sent.add(h)) for h in hashes]
 
-    return texts.mapInArrow(run, texts.schema)
 
+def likely(texts: DataFrame, bitmap: np.ndarray | None, column: str, keep: bool = True, once: bool = False) -> DataFrame:
+    """Rows of texts whose column's bit is set (keep) or isn't. Without a bitmap all may be set.
 
-def once(texts: DataFrame, column: str) -> DataFrame:
-    """The rows of texts but for those whose hash a task has sent before, so that very many copies
-    don't meet in one task; tasks may still send the same."""
+    once: of rows with one hash a task passes the first alone, so that very many copies don't meet
+    in one task; tasks may still send the same.
+    """
+    if bitmap is None and not once:
+        return texts if keep else texts.where("false")
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
     at = texts.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for b in batches:
-            yield b.filter(pa.array([not (t in sent or sent.add(t)) for t in b.column(at).to_pylist()], pa.bool_()))
-            if len(sent) > 1_000_000:
-                sent.clear()
+            if shared.value is not None:
+                h = b.column(at).to_numpy(zero_copy_only=False)
+                bit = h & (FILTER_BITS - 1)
+                b = b.filter(pa.array(((shared.value[bit >> 5] >> (bit & 31)) & 1 == 1) == keep))
+            yield b.filter(pa.array(unsent(b.column(at).to_pylist(), sent), pa.bool_())) if once else b
 
     return texts.mapInArrow(run, texts.schema)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, U64, bitmap_of, ensure, mix64, once, release, settle, without_texts
+from .common import FILTER_BITS, U64, bitmap_of, ensure, mix64, release, settle, unsent, without_texts
 
 WINDOW, MIN_LITERAL, MIN_ITEM = 8, 4, 5
 MIN_COVERAGE = 0.5
@@ -202,7 +202,9 @@ def _text_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(found.select("h").distinct(), "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for b in batches:
+            b = b.filter(pa.array(unsent(b.column(0).to_pylist(), sent), pa.bool_()))
             for own, texts in _chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 template, slot, _, hi = tokens(texts)
                 slots = slot.view(np.int64)
@@ -219,7 +221,7 @@ def _text_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(own[doc]), pa.array(at - np.concatenate([[0], hi])[doc], pa.int64()), pa.array(h[at]), lists], names=["th", "p", "h", "text_slots"])
 
     texts = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return once(texts, "th").mapInArrow(run, "th long, p long, h long, text_slots array<long>").distinct()
+    return texts.mapInArrow(run, "th long, p long, h long, text_slots array<long>").distinct()
 
 
 def _fits(pairs: list[tuple[int, int]], there: dict, back: dict) -> bool:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, bitmap_of, likely, mix64, once, partitions, release, settle
+from .common import U64, bitmap_of, likely, mix64, partitions, release, settle
 
 SHINGLE, NUMER, DENOM = 5, 75, 100
 #: Groups of so many documents compare all with all; larger ones go by leaders.
@@ -333,7 +333,7 @@ def _with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     A bitmap of fixed size keeps most other texts out of the shuffle; the join is exact without it.
     """
     texts = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return once(likely(texts, bitmap_of(members.select("th").distinct(), "th"), "th"), "th").dropDuplicates(["th"]).join(members, "th")
+    return likely(texts, bitmap_of(members.select("th").distinct(), "th"), "th", once=True).dropDuplicates(["th"]).join(members, "th")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bitmap_of, likely, mix64, once, partitions, release, settle
+from .common import U64, bitmap_of, likely, mix64, partitions, release, settle
 
 LENGTH = 400
 #: k-grams by which stretches are cut: the first for all, the next ones for what is too frequent.
@@ -362,7 +362,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     own = settle(anchors.join(grams.select("gram"), "gram").groupBy("node").agg(F.collect_set(F.struct("gram", "start", "windows", "several")).alias("own")))
     release(anchors)
     # Copies of a text share its node; a task sends one of them, and the filter spares most other texts the shuffle.
-    held = settle(once(likely(texts, bitmap_of(own.select("node"), "node"), "node"), "node").dropDuplicates(["node"]).join(own.select("node"), "node"))
+    held = settle(likely(texts, bitmap_of(own.select("node"), "node"), "node", once=True).dropDuplicates(["node"]).join(own.select("node"), "node"))
     marks, spent, gram = None, [], None
     for longer in (*GRAMS[1:], None):
         places = settle(_places(held, own, gram))
