@@ -110,7 +110,7 @@ def without_texts(docs: DataFrame, hashes: DataFrame) -> DataFrame:
     """The rows of docs, as they are, whose text's hash isn't among hashes (th, each once). Most rows
     that stay are told by a filter of fixed size and aren't shuffled."""
     name = "th"
-    while name in docs.columns:
+    while name in {c.lower() for c in docs.columns}:
         name += "_"
     marked, bitmap = docs.withColumn(name, F.xxhash64("text")), bitmap_of(hashes, "th")
     own = [F.col(f"`{c}`") for c in docs.columns]

@@ -28,6 +28,7 @@ class; ids may be null or repeat (a class without any id has none). Empty tables
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -407,25 +408,40 @@ def _measured(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     that has connected need no more (a star counts as half similar), and after ROUNDS of this what
     is left goes out first document by first document.
     """
-    label = settle(components(pairs).join(nodes.select("node", "bytes"), "node"))
+    reached = components(pairs)
+    label = settle(reached.join(nodes.select("node", "bytes"), "node"))
+    release(reached)
     wide = settle(label.groupBy("label").agg(F.sum("bytes").alias("load")).where(F.col("load") > UNIT_BYTES).select("label"))
     at = pairs.join(label.select(F.col("node").alias("a"), "label"), "a")
     found = _verified(docs, at.join(wide, "label", "left_anti").select("a", "b", "star", F.col("label").alias("unit")), nodes)
     if wide.isEmpty():
+        release(label, wide)
         return found
+    parts = [found]
     rest = settle(at.join(wide, "label", "left_semi").select("a", "b", "star"))
+    release(label, wide)
     for _ in range(ROUNDS):
         degree = rest.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
         best = rest.join(degree, "a").groupBy("b").agg(F.max(F.struct("star", "d", "a"))["a"].alias("a"))
         chosen = settle(rest.join(best, ["a", "b"], "left_semi"))
-        found = found.union(_verified(docs, _split_units(chosen, nodes), nodes))
-        linked_now = components(found.where("grade = 2").select("a", "b"))
+        parts.append(_verified(docs, _split_units(chosen, nodes), nodes))
+        linked_now = components(_all_of(parts).where("grade = 2").select("a", "b"))
         others = settle(_apart(rest.join(best, ["a", "b"], "left_anti"), linked_now))
-        found = found.union(others.where("star and not apart").select("a", "b", "star", F.lit(1).alias("grade")))
-        rest = others.where("apart").select("a", "b", "star")
+        release(rest, chosen, linked_now)
+        parts.append(settle(others.where("star and not apart").select("a", "b", "star", F.lit(1).alias("grade"))))
+        rest = settle(others.where("apart").select("a", "b", "star"))
+        release(others)
         if rest.isEmpty():
-            return found
-    return found.union(_verified(docs, _split_units(rest, nodes), nodes))
+            break
+    else:
+        parts.append(_verified(docs, _split_units(rest, nodes), nodes))
+    found = settle(_all_of(parts))
+    release(rest, *parts)
+    return found
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -553,7 +569,9 @@ def components(links: DataFrame) -> DataFrame:
         label = stepped
         if stepped.where(F.col("label") != F.col("new")).isEmpty():
             release(edges)
-            return stepped.select("node", F.col("new").alias("label"))
+            out = stepped.select("node", F.col("new").alias("label"))
+            out.settled_at = stepped.settled_at
+            return out
 
 
 def links_of(docs: DataFrame, narrow: DataFrame) -> DataFrame:
@@ -570,23 +588,28 @@ def links_of(docs: DataFrame, narrow: DataFrame) -> DataFrame:
     candidates = settle(pairs.withColumn("star", F.lit(False)).union(stars.withColumn("star", F.lit(True))))
     measured = _measured(docs, candidates, nodes)
     release(pairs, thin, candidates)
-    links = measured.where("grade = 2").select("a", "b")
+    links = settle(measured.where("grade = 2").select("a", "b"))
     families = settle(_families(led, measured))
-    divided = _divided(families, components(links)).join(nodes.select("node", "th", "bytes"), "node")
-    dealt = settle(_in_blocks(settle(divided)))
+    label = components(links)
+    divided = settle(_divided(families, label).join(nodes.select("node", "th", "bytes"), "node"))
+    release(measured, led, families, label, nodes)
+    dealt = settle(_in_blocks(divided))
     found = settle(_with_texts(docs, dealt).groupBy("key", "x", "y").applyInArrow(_block_links, "a long, b long"))
-    release(led, families, dealt)
-    return links.union(found)
+    both = settle(links.union(found))
+    release(divided, dealt, links, found)
+    return both
 
 
 def classes(docs: DataFrame, narrow: DataFrame | None = None) -> DataFrame:
     """doc_id, th, n_shingles, component_id, label (the class's least node) of every document row."""
     narrow = settle(nodes_of(docs)) if narrow is None else narrow
-    label = components(links_of(docs, narrow))
+    links = links_of(docs, narrow)
+    label = components(links)
     narrow = narrow.select("doc_id", "th", "n", "node")
     least = narrow.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     heads = least.groupBy("label").agg(F.min("least").alias("component_id"))
     named = settle(least.join(heads, "label").select("node", "label", "component_id"))
+    release(links, label)
     return narrow.join(named, "node", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label")
 
 
@@ -595,14 +618,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Only texts of classes of several rows are shuffled to find their heads; others pass.
     """
+    th = "th"
+    while th in {c.lower() for c in docs.columns}:
+        th += "_"
     found = settle(classes(docs).where("n_shingles > 0"))
     heads = settle(found.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("_h"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("label", "_h.doc_id", "_h.th"))
-    several = settle(found.select("label", "th").join(heads.select("label"), "label", "left_semi").select("th").distinct())
-    bitmap = bitmap_of(several, "th")
-    marked = docs.select("*", F.xxhash64("text").alias("th")) if "th" not in docs.columns else docs.withColumnRenamed("th", "_own_th").withColumn("th", F.xxhash64("text"))
-    own = [c for c in marked.columns if c != "th"]
-    out_of_class = likely(marked, bitmap, "th", keep=False).select(*own)
-    maybe = likely(marked, bitmap, "th")
-    alone = maybe.join(several, "th", "left_anti").select(*own)
-    kept = maybe.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.th") == F.col("h.th")), "left_semi").dropDuplicates(["doc_id", "th"]).select(*own)
-    return out_of_class.unionByName(alone).unionByName(kept).toDF(*docs.columns)
+    several = settle(found.select("label", "th").join(heads.select("label"), "label", "left_semi").select(F.col("th").alias(th)).distinct())
+    release(found)
+    bitmap, marked = bitmap_of(several.withColumnRenamed(th, "th"), "th"), docs.withColumn(th, F.xxhash64("text"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out_of_class = likely(marked, bitmap, th, keep=False).select(*own)
+    maybe = likely(marked, bitmap, th)
+    alone = maybe.join(several, th, "left_anti").select(*own)
+    same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col(f"d.{th}") == F.col("h.th"))
+    kept = maybe.alias("d").join(heads.alias("h"), same, "left_semi").dropDuplicates(["doc_id", th]).select(*own)
+    return out_of_class.unionByName(alone).unionByName(kept)
