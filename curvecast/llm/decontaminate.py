@@ -20,7 +20,6 @@ any name stay as they are (drop_leaks) or are not read (find_leaks).
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +50,8 @@ _PLACE = mix64(np.arange(4096, dtype=U64) + U64(1 << 20)) | U64(1)
 _STEP = mix64(np.arange(WINDOW, dtype=U64) + U64(1 << 21)) | U64(1)
 _BREAK = np.zeros(256, dtype=np.int32)
 _BREAK[[ord(c) for c in ".!?\n"]] = 1
+#: An odd number and its inverse modulo 2^64, for rolling hashes.
+_ODD_POWERS = (U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
 _NUM, _NAME, _UNIT, _QTY, _EXACT = (mix64(np.arange(5, dtype=U64) + U64(1 << 22)).tolist())
 
 
@@ -228,20 +229,53 @@ def _fits(pairs: list[tuple[int, int]], there: dict, back: dict) -> bool:
     return all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs)
 
 
-def judge(hits: list[dict], n_ok: int, n_all: int) -> tuple[int, int, bool] | None:
-    """(windows matched, windows that count, all slot values equal) if the item leaks by these hits
-    (pos, p, ok, item_slots, text_slots)."""
-    diagonals: dict[int, list[dict]] = defaultdict(list)
-    for x in hits:
-        diagonals[x["p"] - x["pos"]].append(x)
-    verbatim = {x["pos"] for x in hits if not x["ok"]}
+def _diagonals(text: list[dict], item: list[dict]) -> list[tuple[list[dict], list[dict]]]:
+    """Matched windows (of the item, of the text) by diagonal, most first, then by place; of diagonals
+    that look alike in every window and value (as in periodic texts) the first alone.
+
+    text and item: windows with their places (p, pos), hashes and slot values. Nothing here grows with
+    the product of their lengths but for diagonals that differ: alike ones are told by a rolling hash.
+    """
+    text, item = sorted({x["p"]: x for x in text}.values(), key=lambda x: x["p"]), sorted(item, key=lambda x: x["pos"])
+    ids = {x["h"]: i for i, x in enumerate(item, 1)}
+    pos, own = np.array([x["pos"] for x in item]), np.array([ids[x["h"]] for x in item])
+    span = int(pos[-1]) + 1
+    p = np.array([x["p"] for x in text])
+    place = np.cumsum(np.append(0, np.minimum(np.diff(p), span + 1))) + span - 1  # wide gaps hold no diagonal
+    at, seen = np.full(int(place[-1]) + span, -1), np.zeros(int(place[-1]) + span, dtype=np.int64)
+    at[place], seen[place] = np.arange(len(text)), [ids[x["h"]] for x in text]
+    looks: dict[tuple, int] = {}
+    look = np.array([looks.setdefault((x["h"], *x["text_slots"]), len(looks)) for x in text], dtype=U64)
+    with np.errstate(over="ignore"):
+        base, back = _ODD_POWERS
+        power, inverse = (np.cumprod(np.append(U64(1), np.full(len(at), x, dtype=U64)), dtype=U64) for x in (base, back))
+        value = np.zeros(len(at), dtype=U64)
+        value[place] = mix64(look) | U64(1)
+        total = np.append(U64(0), np.cumsum(value * power[:-1], dtype=U64))
+        rolled = (total[span:] - total[:-span]) * inverse[: len(at) - span + 1]
+    _, first = np.unique(rolled, return_index=True)
+    out = []
+    for k in range(0, len(first), rows := max(1, (1 << 20) // len(item))):
+        d = first[k : k + rows]
+        match = seen[d[:, None] + pos[None, :]] == own[None, :]
+        for i in np.flatnonzero(match.any(axis=1)).tolist():
+            which = np.flatnonzero(match[i])
+            out.append((len(which), int(d[i]), which, at[d[i] + pos[which]]))
+    return [([item[i] for i in which], [text[j] for j in there]) for _, _, which, there in sorted(out, key=lambda x: (-x[0], x[1]))]
+
+
+def judge(text: list[dict], item: list[dict], n_ok: int, n_all: int) -> tuple[int, int, bool] | None:
+    """(windows matched, windows that count, all slot values equal) if the item leaks by these windows
+    of the text (p, h, text_slots) and of the item (pos, h, ok, item_slots)."""
+    verbatim, groups = set(), []
+    for own, there in _diagonals(text, item):
+        verbatim.update(x["pos"] for x in own if not x["ok"])
+        pairs = sorted({(a, b) for x, y in zip(own, there, strict=True) if x["ok"] for a, b in zip(x["item_slots"], y["text_slots"], strict=True) if a})
+        places = {x["pos"] for x in own if x["ok"]}
+        if places and _fits(pairs, dict(pairs), {b: a for a, b in pairs}):
+            groups.append((pairs, places))
     sets: list[tuple[dict, dict, set]] = []
-    for _, own in sorted(diagonals.items(), key=lambda d: (-len(d[1]), d[0])):
-        own = [x for x in own if x["ok"]]
-        pairs = sorted({(a, b) for x in own for a, b in zip(x["item_slots"], x["text_slots"], strict=True) if a})
-        places = {x["pos"] for x in own}
-        if not own or not (_fits(pairs, dict(pairs), {b: a for a, b in pairs})):
-            continue
+    for pairs, places in groups:
         whole = len(places) >= MIN_COVERAGE * n_ok  # enough by itself: need not look for company
         for there, back, covered in [] if whole else sets:
             if _fits(pairs, there, back):
@@ -250,7 +284,7 @@ def judge(hits: list[dict], n_ok: int, n_all: int) -> tuple[int, int, bool] | No
                 covered |= places
                 break
         else:
-            sets.append((dict(pairs), {b: a for a, b in pairs}, places))
+            sets.append((dict(pairs), {b: a for a, b in pairs}, set(places)))
     there, _, covered = max(sets, key=lambda s: len(s[2]), default=({}, {}, set()))
     same = all(a == b for a, b in there.items())
     if covered and len(covered) >= MIN_COVERAGE * n_ok:
@@ -261,7 +295,9 @@ def judge(hits: list[dict], n_ok: int, n_all: int) -> tuple[int, int, bool] | No
 
 
 def text_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """th (hash of a text), item_id, n_matched, n_windows, same_slots for each text and item that leaks into it."""
+    """th (hash of a text), item_id, n_matched, n_windows, same_slots for each text and item that leaks into it.
+
+    A text and an item meet with one row for each of their windows, never for a pair of windows."""
     found = settle(benchmark_windows(bench))
     common = found.select("h", *_ITEM).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("items"))
     need = F.greatest(F.lit(1), F.ceil(MIN_COVERAGE * F.when(F.col("n_ok") > 0, F.col("n_ok")).otherwise(F.col("n_all"))))
@@ -269,19 +305,21 @@ def text_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     probes = found.join(common, "h").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.col("n_all") - need + 1).select("h", *_ITEM).distinct()
     seen = settle(_text_windows(docs, found))
     pairs = seen.join(probes, "h").select("th", *_ITEM).distinct()
-    same_item = [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in _ITEM]
-    hits = seen.join(pairs, "th").alias("s").join(found.alias("f"), [F.col("s.h") == F.col("f.h"), *same_item])
-    hit = F.struct("pos", "p", "ok", "item_slots", "text_slots")
-    grouped = hits.groupBy("th", "f.item_id", "f.item_hash").agg(F.collect_list(hit).alias("hits"), F.max("n_ok").alias("n_ok"), F.max("n_all").alias("n_all"))
+    same_item = lambda x, y: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in _ITEM]
+    held = found.select("h", *_ITEM).distinct()
+    hits = seen.join(pairs, "th").alias("s").join(held.alias("f"), [F.col("s.h") == F.col("f.h"), *same_item("f", "s")])
+    of_text = hits.groupBy("th", "s.item_id", "s.item_hash").agg(F.collect_list(F.struct("p", "s.h", "text_slots")).alias("text"))
+    of_item = found.groupBy(*_ITEM).agg(F.collect_list(F.struct("pos", "h", "ok", "item_slots")).alias("own"), F.max("n_ok").alias("n_ok"), F.max("n_all").alias("n_all"))
+    met = of_text.alias("t").join(of_item.alias("i"), same_item("t", "i")).select("th", "t.item_id", "text", "own", "n_ok", "n_all")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            th, item, own, n_ok, n_all = (b.column(c).to_pylist() for c in ("th", "item_id", "hits", "n_ok", "n_all"))
-            rows = [(t, i, *x) for t, i, h, k, n in zip(th, item, own, n_ok, n_all, strict=True) if (x := judge(h, k, n))]
+            cols = [b.column(c).to_pylist() for c in ("th", "item_id", "text", "own", "n_ok", "n_all")]
+            rows = [(t, i, *x) for t, i, *both, k, n in zip(*cols, strict=True) if (x := judge(*both, k, n))]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["th", "item_id", "n_matched", "n_windows", "same_slots"])
 
-    out = settle(grouped.mapInArrow(run, "th long, item_id long, n_matched long, n_windows long, same_slots boolean"))
+    out = settle(met.mapInArrow(run, "th long, item_id long, n_matched long, n_windows long, same_slots boolean"))
     release(found, seen)
     return out
 

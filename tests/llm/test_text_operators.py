@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -304,6 +305,18 @@ def test_leaks_equal_brute_force(spark):
     assert {r["item_id"] for r in decontaminate.short_items(bench).collect()} == {i for i, t in enumerate(items) if len(plain_tokens(t or "")) < 5}
 
 
+def test_long_periodic_texts_and_items(spark):
+    """Neither rows nor work grow with the product of the two lengths; other numbers in each period included."""
+    line = "the old river bridge stands near a small town where people walk at noon "
+    table = lambda n, k: " ".join(f"the old river bridge stands near a small town with {i % k} people" for i in range(n))
+    bench = spark.createDataFrame([(1, line * 120), (2, table(120, 7)), (3, "one more item of no text at all here")], "item_id long, text string")
+    texts = [line * 14_000, table(14_000, 7), table(4_000, 4_001), line * 50, "nothing of the kind"]
+    began = time.time()
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(frame(spark, texts), bench).collect()}
+    assert {(0, 1), (1, 2), (3, 1)} <= got and not {d for d, _ in got} & {4} and 3 not in {i for _, i in got}
+    assert time.time() - began < 120
+
+
 def test_copies_with_other_numbers_do_not_lend_windows(spark):
     item = "one old train leaves the station with 40 guests and then comes back again with 40 guests before the night falls on us"
     first, second = item.replace("40", "50").split(), item.replace("40", "60").split()
