@@ -109,9 +109,7 @@ def likely(texts: DataFrame, bitmap: np.ndarray | None, column: str, keep: bool
 def without_texts(docs: DataFrame, hashes: DataFrame) -> DataFrame:
     """The rows of docs, as they are, whose text's hash isn't among hashes (th, each once). Most rows
     that stay are told by a filter of fixed size and aren't shuffled."""
-    name = "th"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = fresh("th", *docs.columns)
     marked, bitmap = docs.withColumn(name, F.xxhash64("text")), bitmap_of(hashes, "th")
     own = [F.col(f"`{c}`") for c in docs.columns]
     maybe = likely(marked, bitmap, name).join(hashes.select(F.col("th").alias(name)), name, "left_anti").select(*own)
@@ -122,6 +120,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(name: str, *taken: str) -> str:
+    """name, with underscores before it until it is none of those taken (letter case aside)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def ensure(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; a missing one is all null."""
     return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])

@@ -20,7 +20,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from math import exp, log, log1p
@@ -44,6 +44,7 @@ _GROUPS = {
 _KIND = {tag: i for i, tags in enumerate(_GROUPS.values()) for tag in tags.split()}
 _NAMES = list(_GROUPS)
 _TEXT = _NAMES.index("text")
+_FLOW = frozenset(_NAMES.index(k) for k in ("list", "p", "heading", "table", "quote", "figure", "text"))
 _HIDDEN = frozenset("head script style noscript template textarea select button svg math iframe object video audio canvas title".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"li": ("li", ("ul", "ol")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table"))}
@@ -56,6 +57,8 @@ WORDS = 512
 _LENGTHS = (25, 80, 250)
 _TEXT_AT = len(_NAMES) + WORDS
 N_FEATURES = _TEXT_AT + 8
+_CUT_OFF = re.compile("<[A-Za-z/?!](?!-)")
+_OPENER = re.compile("<!-{2,}")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -71,13 +74,21 @@ class Dom(HTMLParser):
         self.text: dict[int, str] = {}
         self.links: dict[int, int] = {}
         self.stack: list[tuple[str, int]] = []
+        self.open: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is
         self.hidden: list[str] = []
         self.run: list[str] = []
         self.linked, self.in_link = 0, 0
+        self.loose = 0  # the block that holds what lies in the body itself
         self._add(-1, 0, (), None)
         self.stack.append(("", 0))
 
     def _add(self, parent, kind, words, label):
+        if parent >= 0 and self.kind[parent] == 0 and kind:  # beside no other block: one without a name holds it
+            if kind not in _FLOW:
+                self.loose = 0
+            elif not self.loose:
+                self.loose = self._add(parent, _NAMES.index("div"), (), None)
+            parent = self.loose if kind in _FLOW else parent
         self.parent.append(parent)
         self.kind.append(kind)
         self.words.append(words)
@@ -93,13 +104,11 @@ class Dom(HTMLParser):
             self.run, self.linked = [], 0
 
     def _pop_to(self, tag, stops=()):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                self.flush()
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in stops:
-                return
+        at = self.open[tag][-1] if self.open[tag] else 0
+        if at and not any(self.open[s] and self.open[s][-1] > at for s in stops):
+            self.flush()
+            while len(self.stack) > at:
+                self.open[self.stack.pop()[0]].pop()
 
     def _unhide(self):
         self.hidden, self.inner, self.open_ended = [], [], False
@@ -134,6 +143,7 @@ class Dom(HTMLParser):
         found = dict(attrs)
         words = tuple({w.lower() for w in _WORD.findall(f"{found.get('class') or ''} {found.get('id') or ''} {found.get('role') or ''}")}) if attrs else ()
         label = found.get("data-y")
+        self.open[tag].append(len(self.stack))
         self.stack.append((tag, self._add(self.stack[-1][1], _KIND[tag], words, label)))
 
     def handle_startendtag(self, tag, attrs):
@@ -156,7 +166,7 @@ class Dom(HTMLParser):
                 while self.inner.pop() != tag:
                     pass
                 return
-            if self.hidden[0] not in _LATER_TAGS or not any(t == tag for t, _ in self.stack):
+            if self.hidden[0] not in _LATER_TAGS or not self.open[tag]:
                 return
             self._unhide()  # its parent ends
         if tag == "a":
@@ -176,7 +186,17 @@ class Dom(HTMLParser):
 _LATER_TAGS = frozenset("noscript template textarea select button svg math iframe object video audio canvas".split())
 
 
+def _closed(html: str) -> str:
+    """Openers of comments that never end are dropped: what follows them is read. So is a tag that the
+    end of the page cuts off."""
+    cut = _CUT_OFF.search(html, html.rfind(">") + 1)
+    html = html[: cut.start()] if cut else html
+    last = html.rfind("-->") + 3 if "-->" in html else 0
+    return html[:last] + _OPENER.sub(" ", html[last:]) if html.find("<!--", last) >= 0 else html
+
+
 def parse(html: str) -> Dom:
+    html = _closed(html)
     dom = Dom(Counter(t.lower() for t in _LATER.findall(html)))
     dom.feed(html)
     dom.close()
@@ -286,8 +306,8 @@ def variant(rng: random.Random, blocks: list[str], words: list[str], plain: bool
         f"<aside data-y='0'><h3>{say(1, 4)}</h3><p>{say(5, 40)}</p><ul>{links(3)}</ul></aside>",
         f"{bad('div', ['sidebar', 'side', 'widget'])}<h3>{say(1, 4)}</h3><p>{say(5, 40)}</p></div>",
         f"<form data-y='0'><label>{say(1, 5)}</label><p>{say(3, 12)}</p><input><button>OK</button></form>",
-        f"{bad(pick(['div', 'section']), ['comments', 'comment-list', 'discussion'])}<h3>{say(1, 3)}</h3>" + "".join(f"<div class='comment'><p>{say(3, 60)}</p></div>" for _ in range(rng.randint(1, 4))) + "</div>",
-        f"{bad(pick(['div', 'section']), ['comments', 'replies'])}<ul>" + "".join(f"<li><p>{say(3, 60)}</p></li>" for _ in range(rng.randint(1, 4))) + "</ul></div>",
+        f"{bad(pick(['div', 'section']), ['comments', 'comment-list', 'discussion', 'disqus_thread', 'responses', 'reactions'])}<h3>{say(1, 3)}</h3>" + "".join(f"<div class='comment'><p>{say(3, 60)}</p></div>" for _ in range(rng.randint(1, 4))) + "</div>",
+        f"{bad(pick(['div', 'section']), ['comments', 'replies', 'disqus_thread', 'reactions', 'feedback'])}<ul>" + "".join(f"<li><p>{say(3, 60)}</p></li>" for _ in range(rng.randint(1, 4))) + "</ul></div>",
         f"{bad('div', ['related', 'recommended'])}<ul>{links(4)}</ul></div>",
         f"{bad('div', ['share', 'social'])}<a href='/s'>{say(1, 3)}</a></div>",
         f"{bad('div', ['newsletter', 'subscribe', 'popup'])}<p>{say(4, 20)}</p></div>",

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, bitmap_of, likely, mix64, partitions, release, settle
+from .common import U64, bitmap_of, fresh, likely, mix64, partitions, release, settle
 
 SHINGLE, NUMER, DENOM = 5, 75, 100
 #: Groups of so many documents compare all with all; larger ones go by leaders.
@@ -618,9 +618,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Only texts of classes of several rows are shuffled to find their heads; others pass.
     """
-    th = "th"
-    while th in {c.lower() for c in docs.columns}:
-        th += "_"
+    th = fresh("th", *docs.columns)
     found = settle(classes(docs).where("n_shingles > 0"))
     heads = settle(found.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("_h"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("label", "_h.doc_id", "_h.th"))
     several = settle(found.select("label", "th").join(heads.select("label"), "label", "left_semi").select(F.col("th").alias(th)).distinct())

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, partitions, settle
+from .common import U64, fresh, mix64, partitions, settle
 
 ROUNDS = 6
 #: Copies of one identity that are numbered in one task.
@@ -73,23 +73,24 @@ def number_rows(df: DataFrame, identity: list[str], carry: list[str] = ()) -> Da
     """
     spark = df.sparkSession
     buckets = 8 * partitions(spark)
+    n, b, start, size, begin, run = (fresh(x, *identity, *carry, "row_no") for x in ("_n", "_b", "_start", "_size", "_from", "_run"))
     counted = (
         df.groupBy(*identity)
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in carry])
-        .withColumn("_b", F.pmod(F.xxhash64(*identity), F.lit(buckets)))
+        .agg(F.count(F.lit(1)).alias(n), *[F.first(c).alias(c) for c in carry])
+        .withColumn(b, F.pmod(F.xxhash64(*identity), F.lit(buckets)))
     )
     counted = settle(counted)
     # One row a bucket, a number of rows fixed by the partition count: these offsets are small.
-    sizes = counted.groupBy("_b").agg(F.sum("_n").alias("_size"))
-    offsets = sizes.withColumn("_from", F.coalesce(F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("_b").orderBy(*[F.col(c).asc_nulls_first() for c in identity]).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_from") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    begun = counted.join(F.broadcast(offsets), "_b").withColumn("_start", start).select(*identity, *carry, "_start", "_n")
-    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES))).alias("_run")
-    many = begun.where(F.col("_n") > COPIES).select(*identity, *carry, "_start", "_n", runs)
-    many = many.repartition(*identity, "_run").select(*identity, *carry, (F.col("_start") + F.col("_run") * COPIES).alias("_start"), F.least(F.lit(COPIES), F.col("_n") - F.col("_run") * COPIES).alias("_n"))
-    number = F.explode(F.sequence("_start", F.col("_start") + F.col("_n") - 1)).alias("row_no")
-    return begun.where(F.col("_n") <= COPIES).unionByName(many).select(*identity, *carry, number)
+    sizes = counted.groupBy(b).agg(F.sum(n).alias(size))
+    offsets = sizes.withColumn(begin, F.coalesce(F.sum(size).over(Window.partitionBy(F.lit(0)).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = Window.partitionBy(b).orderBy(*[F.col(c).asc_nulls_first() for c in identity]).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col(begin) + F.coalesce(F.sum(n).over(inside), F.lit(0))
+    begun = counted.join(F.broadcast(offsets), b).withColumn(start, first).select(*identity, *carry, start, n)
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / COPIES))).alias(run)
+    many = begun.where(F.col(n) > COPIES).select(*identity, *carry, start, n, runs)
+    many = many.repartition(*identity, run).select(*identity, *carry, (F.col(start) + F.col(run) * COPIES).alias(start), F.least(F.lit(COPIES), F.col(n) - F.col(run) * COPIES).alias(n))
+    number = F.explode(F.sequence(start, F.col(start) + F.col(n) - 1)).alias("row_no")
+    return begun.where(F.col(n) <= COPIES).unionByName(many).select(*identity, *carry, number)
 
 
 def place(numbered: DataFrame, n: int, n_shards: int, seed: int = 17) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 #: A rule list up to this many bytes is broadcast as a trie; a longer one is joined.
 MAX_TRIE_BYTES = 32 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,6 +81,7 @@ def _joined(df: DataFrame, rules: list[tuple[str, str, str]], default: str) -> D
     """
     spark = df.sparkSession
     table = spark.createDataFrame([(h, p, v, i) for i, (v, h, p) in enumerate(rules)], "r_host string, r_path string, r_verdict string, r_no long")
+    hit = fresh("_hit", *df.columns)
     labels = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     best = F.struct(F.length("r_host"), F.length("r_path"), -F.col("r_no"))
@@ -88,9 +91,9 @@ def _joined(df: DataFrame, rules: list[tuple[str, str, str]], default: str) -> D
         .join(table, "r_host")
         .where(F.col("path").startswith(F.col("r_path")))
         .groupBy("host", "path")
-        .agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), best).alias("_hit"))
+        .agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), best).alias(hit))
     )
-    return df.join(hits, ["host", "path"], "left").withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.verdict", F.lit(default))}).drop("_hit")
+    return df.join(hits, ["host", "path"], "left").withColumns({"rule": F.col(f"{hit}.rule"), "verdict": F.coalesce(f"{hit}.verdict", F.lit(default))}).drop(hit)
 
 
 def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = "allow", max_trie_bytes: int = MAX_TRIE_BYTES) -> DataFrame:
@@ -112,7 +115,8 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "ur
             seen = [known.get((h, p)) or known.setdefault((h, p), match(trie.value, h, p)) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame({"rule": [r for r, _ in seen], "verdict": [v or default for _, v in seen]}, dtype=object)
 
-    return out.withColumn("_m", verdict("host", "path")).select("*", "_m.rule", "_m.verdict").drop("_m")
+    found = fresh("_m", *out.columns)
+    return out.withColumn(found, verdict("host", "path")).select("*", f"{found}.rule", f"{found}.verdict").drop(found)
 
 
 #: The rules that the query is to apply (verdict, host, path).

@@ -4,12 +4,13 @@ import binascii
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
 import zstandard
 
-from curvecast.llm import chat, html_extract, quality, queries, sharding, url_filter
+from curvecast.llm import chat, html_extract, jaccard, quality, queries, sharding, url_filter
 from tests import oracle
 
 DOCS = [(1, "a b"), (2, ""), (3, None), (None, "x"), (1, "a b"), (1, "a b"), (4, "é" * 5000), (5, "\n \t")] + [(10 + i, f"text {i}") for i in range(40)]
@@ -228,3 +229,42 @@ def test_html_pages_table(spark, model):
     got = sorted((json.dumps([r["page_id"], r["url"], r["text"], r["n_chars"]]) for r in html_extract.extract_pages(df, model).collect()))
     assert len(got) == 4 and any("Hello there, reader" in g for g in got)
     assert html_extract.extract_pages(df.where("false"), model).count() == 0
+
+
+def test_names_of_the_caller_stay_apart(spark):
+    """Columns named like those used inside stay, on each path."""
+    df = spark.createDataFrame([(1, "https://a.example.net/en/x"), (2, None)], "page_id long, url string").selectExpr("*", "1 AS _m", "2 AS _hit", "3 AS _HIT_x")
+    for most in (url_filter.MAX_TRIE_BYTES, 0):
+        rows = sorted(url_filter.filter_urls(df, url_filter.RULES, max_trie_bytes=most).collect(), key=lambda r: r["page_id"])
+        assert [(r["_m"], r["_hit"], r["_HIT_x"], r["rule"]) for r in rows] == [(1, 2, 3, "example.net/en/"), (1, 2, 3, None)]
+    numbered = sharding.number_rows(spark.range(20).selectExpr("id", "id AS _n", "id AS _b", "id AS _start", "id AS _run"), ["id"], ["_n", "_b", "_start", "_run"]).collect()
+    assert sorted(r["row_no"] for r in numbered) == list(range(20)) and all(r["id"] == r["_n"] == r["_b"] == r["_start"] == r["_run"] for r in numbered)
+    texts = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (3, None)], "doc_id long, text string").selectExpr("*", "7 AS th", "8 AS _own_th", "9 AS _th", "1 AS label")
+    assert sorted(map(tuple, jaccard.keep_one(texts).collect()), key=lambda r: r[0]) == [(1, "one two three four five six", 7, 8, 9, 1), (3, None, 7, 8, 9, 1)]
+
+
+@pytest.fixture(scope="module")
+def html_model():
+    return html_extract.fit(html_extract.labelled_pages([]))
+
+
+def test_pages_without_a_wrapper(html_model):
+    say = [f"The river keeps its own time and so does town number {k} along the water where people trade old stories for bread." for k in range(5)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in say)
+    assert html_extract.extract(f"<p>{say[0]}</p>", html_model) == say[0]
+    assert html_extract.extract(paragraphs, html_model) == "\n".join(say)
+    assert html_extract.extract(f"<html><body><h1>A title</h1>{paragraphs}</body></html>", html_model) == "\n".join(["A title", *say])
+    assert html_extract.extract(f"<nav><ul><li><a href='/'>Home</a></li></ul></nav>{paragraphs}<footer><p>&copy; Us</p></footer>", html_model) == "\n".join(say)
+
+
+def test_unfinished_markup(html_model):
+    say = "The river keeps its own time and so does every town along the water."
+    assert html_extract.extract(f"<article><p>{say}</p><!-- note <p>{say}</p></article>", html_model).count(say) == 2
+    assert html_extract.extract(f"<article><p>{say}</p></article><a href='x", html_model) == say
+
+
+def test_very_long_odd_markup_is_linear(html_model):
+    began = time.time()
+    for html in ("<ul>" * 40_000, "<!--" * 50_000, '<a b="' * 30_000, "<p>a" * 40_000, "<ul><li>x" * 20_000, "<div><p>" * 20_000, "<script>" * 20_000, "<table><tr><td>x" * 10_000, "<?" * 50_000, "<" * 100_000):
+        html_extract.extract(html, html_model)
+    assert time.time() - began < 60
