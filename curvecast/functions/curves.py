@@ -86,6 +86,11 @@ def clip01(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
+def adaptive_nu(mse: Column) -> Column:
+    """Minutes after which a forecast is trusted, by its mean square error so far; no less than 875."""
+    return F.greatest(F.lit(875.0), 2750 * F.sqrt(F.sqrt(mse)))
+
+
 def silverman(x: Column) -> Column:
     """Aggregate: 0.9 min(sd, IQR / 1.34) n^(-1/5), population sd, linear percentiles."""
     spread = F.least(F.stddev_pop(x), (F.percentile(x, 0.75) - F.percentile(x, 0.25)) / 1.34)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,27 +54,92 @@ def covariance(x: DataFrame) -> DataFrame:
     return parts.groupBy("set_id").applyInPandas(merge, "set_id long, tau1 int, tau2 int, cov double")
 
 
-def fit(x: DataFrame, k: int) -> DataFrame:
-    """set_id, k, eigenvalue, tau, phi: the k leading eigenfunctions; the largest entry is positive."""
+def noise(x: DataFrame) -> DataFrame:
+    """set_id, sigma2: the measurement error's variance, a sixth of the mean square of second
+    differences (over three slots in a row that a curve has)."""
+    at = Window.partitionBy("set_id", "curve_id").orderBy("tau")
+    near = x.where(F.col("v").isNotNull()).withColumns({f"_{n}{c}": f(c).over(at) for n, f in (("p", F.lag), ("n", F.lead)) for c in ("tau", "v")})
+    row = (F.col("_ptau") == F.col("tau") - 1) & (F.col("_ntau") == F.col("tau") + 1)
+    second = F.when(row, F.col("_nv") - 2 * F.col("v") + F.col("_pv"))
+    return near.groupBy("set_id").agg(F.coalesce(F.avg(second * second) / 6, F.lit(0.0)).alias("sigma2"))
+
+
+def fit(x: DataFrame, k: int | None = None, share: float | None = None, error: DataFrame | None = None) -> DataFrame:
+    """set_id, k, eigenvalue, tau, phi: the leading eigenfunctions; the largest entry is positive.
+
+    How many: k, or as many as explain `share` of the variance (of the positive eigenvalues), set by
+    set. error (set_id, sigma2, of noise()): its variance is taken off the diagonal first.
+    """
 
     def eigen(pdf: pd.DataFrame) -> pd.DataFrame:
         taus = np.unique(pdf["tau1"])
         c = np.zeros((len(taus), len(taus)))
         i, j = np.searchsorted(taus, pdf["tau1"]), np.searchsorted(taus, pdf["tau2"])
-        c[i, j] = c[j, i] = pdf["cov"]
-        value, vector = np.linalg.eigh(c)
+        c[i, j] = c[j, i] = pdf["cov"].fillna(0.0)
+        value, vector = np.linalg.eigh(c - pdf["sigma2"].iloc[0] * np.eye(len(taus)))
+        value, vector = value[::-1], vector[:, ::-1]
+        positive = np.maximum(value, 0)
+        some = int(np.searchsorted(np.cumsum(positive), share * positive.sum() * (1 - 1e-12)) + 1) if share is not None else len(taus)
         out = []
-        for n in range(min(k, len(taus))):
-            v = vector[:, -1 - n]
-            v = v * np.sign(v[np.argmax(np.abs(v))])
-            out.append(pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "k": n + 1, "eigenvalue": value[-1 - n], "tau": taus, "phi": v}))
+        for n in range(min(len(taus), some, k or len(taus))):
+            v = vector[:, n] * np.sign(vector[np.argmax(np.abs(vector[:, n])), n])
+            out.append(pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "k": n + 1, "eigenvalue": value[n], "tau": taus, "phi": v}))
+        return pd.concat(out)
+
+    cov = covariance(x)
+    cov = cov.withColumn("sigma2", F.lit(0.0)) if error is None else cov.join(error, "set_id")
+    return cov.groupBy("set_id").applyInPandas(eigen, "set_id long, k int, eigenvalue double, tau int, phi double")
+
+
+#: Curves of one set that are scored in a task.
+CURVES = 2000
+
+
+def expected_scores(x: DataFrame, mu: DataFrame, phi: DataFrame, error: DataFrame, curves: int = CURVES) -> DataFrame:
+    """set_id, curve_id, k, score: the scores' expectation given the slots that a curve has.
+
+    With eigenvalues L, eigenfunctions P at those slots and error variance s that is
+    (P'P + s / L)^-1 P'(v - mu), which is the same as L P' (P L P' + s I)^-1 (v - mu): a missing slot
+    adds no evidence, where a plain product takes it for the mean. Components without variance score
+    nought. Curves without any value (of a slot that the model has) have no row. A set's curves are
+    dealt out `curves` at a time, each part with a copy of the set's model (slots x components).
+    """
+    packed = x.where(F.col("v").isNotNull()).groupBy("set_id", "curve_id").agg(F.sort_array(F.collect_list(F.struct("tau", "v"))).alias("c"))
+    parts = x.where(F.col("v").isNotNull()).select("set_id", "curve_id").distinct().groupBy("set_id").agg(F.ceil(F.count(F.lit(1)) / curves).cast("int").alias("_n"))
+    dealt = packed.join(parts, "set_id").withColumn("_b", F.pmod(F.xxhash64("curve_id"), F.col("_n")).cast("int")).drop("_n")
+    rows = F.sort_array(F.collect_list(F.struct("tau", "mu", "phi")))
+    model = phi.join(mu, ["set_id", "tau"]).groupBy("set_id", "k", "eigenvalue").agg(rows.alias("m")).join(error, "set_id")
+    model = model.join(parts, "set_id").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+
+    def score(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"set_id": [], "curve_id": [], "k": [], "score": []})]
+        if len(own) and len(model):
+            model = model.sort_values("k")
+            at = {r["tau"]: i for i, r in enumerate(model["m"].iloc[0])}
+            centre = np.array([r["mu"] for r in model["m"].iloc[0]])
+            p = np.array([[r["phi"] for r in m] for m in model["m"]]).T
+            value, s = model["eigenvalue"].to_numpy(), float(model["sigma2"].iloc[0])
+            has = value > 0
+            alike: dict[tuple, list[int]] = {}  # curves with the same slots share one matrix
+            seen = [[(at[r["tau"]], r["v"]) for r in c if r["tau"] in at] for c in own["c"]]
+            for i, c in enumerate(seen):
+                alike.setdefault(tuple(t for t, _ in c), []).append(i)
+            for slots, which in alike.items():
+                if not slots:
+                    continue
+                q = p[list(slots)][:, has]
+                d = np.array([[v for _, v in seen[i]] for i in which]) - centre[list(slots)]
+                scores = np.zeros((len(which), len(value)))
+                scores[:, has] = np.linalg.lstsq(q.T @ q + np.diag(s / value[has]), q.T @ d.T, rcond=None)[0].T
+                ids = own["curve_id"].to_numpy()[which]
+                out.append(pd.DataFrame({"set_id": own["set_id"].iloc[0], "curve_id": np.repeat(ids, len(value)), "k": np.tile(model["k"].to_numpy(), len(which)), "score": scores.ravel()}))
         return pd.concat(out)
 
-    return covariance(x).groupBy("set_id").applyInPandas(eigen, "set_id long, k int, eigenvalue double, tau int, phi double")
+    return dealt.groupBy("set_id", "_b").cogroup(model.groupBy("set_id", "_b")).applyInPandas(score, "set_id long, curve_id long, k int, score double")
 
 
 def project(x: DataFrame, mu: DataFrame, phi: DataFrame) -> DataFrame:
-    """set_id, curve_id, k, score."""
+    """set_id, curve_id, k, score of whole curves by plain products (expected_scores takes gaps into account)."""
     centred = x.join(mu, ["set_id", "tau"]).withColumn("d", F.col("v") - F.col("mu"))
     return centred.join(phi, ["set_id", "tau"]).groupBy("set_id", "curve_id", "k").agg(F.sum(F.col("d") * F.col("phi")).alias("score"))
 

@@ -12,14 +12,19 @@ from curvecast.functions import curves as C
 KEYS = ["event_id", "param_id"]
 
 
-def scenarios(selected: DataFrame, history_long: DataFrame, params: DataFrame, t: int, trust: Column) -> DataFrame:
+def scenarios(selected: DataFrame, history_long: DataFrame, params: DataFrame, t: int, trust: Column, own: DataFrame | None = None) -> DataFrame:
     """event_id, param_id, curve_id, s (lead), m (fused value), wn (weight in the set).
 
-    Only selected ids join back to the values. trust: an expression of lead `s` and of parameters.
+    Only selected ids join back to the values. trust: an expression of lead `s`, of parameters and of
+    the columns of own, a table of one row an event (a nu of its own, or `active`, its mask: only
+    active slots ahead are kept).
     """
     chosen = selected.where("in_final").select(*KEYS, "curve_id", (F.col("w") / F.sum("w").over(Window.partitionBy(*KEYS))).alias("wn"))
     ahead = history_long.where(F.col("tau") >= t).select("curve_id", (F.col("tau") - t).alias("s"), "f", "e")
-    rows = chosen.join(ahead, "curve_id").join(F.broadcast(params), "param_id").withColumn("_eta", trust)
+    rows = chosen.join(ahead, "curve_id").join(F.broadcast(params), "param_id")
+    rows = rows if own is None else rows.join(own, "event_id")
+    rows = rows.where(F.element_at("active", F.col("s") + t + 1)) if "active" in rows.columns else rows
+    rows = rows.withColumn("_eta", trust)
     return rows.select(*KEYS, "curve_id", "s", (F.col("f") * (1 - F.col("_eta")) + F.col("e") * F.col("_eta")).alias("m"), "wn")
 
 

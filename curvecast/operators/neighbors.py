@@ -13,9 +13,11 @@ KEYS = ["event_id", "param_id"]
 
 
 def with_weights(events: DataFrame, params: DataFrame, slots: int, per_hour: float, active: list[bool] | None = None) -> DataFrame:
-    """Events x parameter sets (few rows) with the weight arrays phi and psi, masked where inactive."""
+    """Events x parameter sets (few rows) with the weight arrays phi and psi, nought where inactive: by the
+    one list `active` or, where events have such a column (an array of flags), by each event's own."""
     grid = F.sequence(F.lit(0), F.lit(slots - 1))
-    on = F.array(*[F.lit(float(a)) for a in (active or [True] * slots)])
+    own = F.transform("active", lambda a: a.cast("double")) if "active" in events.columns else F.array_repeat(F.lit(1.0), slots)
+    on = F.array(*[F.lit(float(a)) for a in active]) if active else own
     both = events.crossJoin(params)
     phi = F.transform(F.slice(grid, 1, F.col("t")), lambda i: C.growth(i, F.col("t"), F.col("forget_rate_f"), per_hour) * F.element_at(on, i + 1))
     psi = F.transform(grid, lambda i: C.psi(i, F.col("t"), F.col("forget_rate_e"), F.col("lookup_rate"), per_hour) * F.element_at(on, i + 1))
@@ -69,7 +71,7 @@ def _score_block(ev: pd.DataFrame, past: pd.DataFrame, whole: bool, product: boo
     if len(ev) and len(past):
         slots = max(past["e"].map(len).max(), ev["e"].map(len).max())
         hf, he = _dense(past["f"], slots), _dense(past["e"], slots)
-        curve, lon, lat, day = (past[c].to_numpy() for c in ("curve_id", "lon", "lat", "yday"))
+        curve, lon, lat, day, fold = (past[c].to_numpy() for c in ("curve_id", "lon", "lat", "yday", "fold"))
         for r in ev.itertuples(index=False):
             d = []
             for x, v, weight in ((hf, r.f, r.phi), (he, r.e, r.psi)):
@@ -84,9 +86,9 @@ def _score_block(ev: pd.DataFrame, past: pd.DataFrame, whole: bool, product: boo
             d_h, d_p = _haversine(lon, lat, r.lon, r.lat), _periodic(day, r.yday)
             big = _periodic(r.yday, r.yday + r.gamma)
             w_f, w_e = np.exp(-d[0] / r.length_scale_f), np.exp(-d[1] / r.length_scale_e)
-            w = np.fmin(w_f, w_e)
+            w = np.where(fold == r.fold, np.nan, np.fmin(w_f, w_e))  # curves of the event's own fold are left out
             sim = w >= r.xi
-            keep = np.ones(len(w), dtype=bool) if whole else _needed(w, d_h, d_p, curve, big, r.xi, r.kappa_min, r.kappa_max)
+            keep = fold != r.fold if whole else _needed(w, d_h, d_p, curve, big, r.xi, r.kappa_min, r.kappa_max)
             n = int(keep.sum())
             if not n:
                 continue
@@ -102,10 +104,11 @@ def _in_blocks(weighted: DataFrame, history: DataFrame, whole: bool, product: bo
     n_events, n_curves = -(-weighted.count() // event_rows) or 1, -(-history.count() // curves) or 1
     block = lambda keys, n: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    ev = weighted.select(*KEYS, "f", "e", "phi", "psi", "lon", "lat", "yday", "gamma", "length_scale_f", "length_scale_e", "xi", "kappa_min", "kappa_max")
+    fold = lambda df, none: (F.coalesce(F.col("fold").cast("long"), F.lit(none)) if "fold" in df.columns else F.lit(none)).alias("fold")
+    ev = weighted.select(*KEYS, "f", "e", "phi", "psi", "lon", "lat", "yday", "gamma", "length_scale_f", "length_scale_e", "xi", "kappa_min", "kappa_max", fold(weighted, -1))
     ev = ev.withColumn("_v", block(KEYS, n_events)).withColumn("_h", every(n_curves))
     # Names of their own: both sides may come of one table.
-    past = history.select(*[F.col(c).alias(f"h_{c}") for c in _CURVE]).withColumn("h_h", block(["h_curve_id"], n_curves)).withColumn("h_v", every(n_events))
+    past = history.select(*[F.col(c).alias(f"h_{c}") for c in _CURVE], fold(history, -2).alias("h_fold")).withColumn("h_h", block(["h_curve_id"], n_curves)).withColumn("h_v", every(n_events))
     run = lambda a, b: _score_block(a, b.rename(columns=lambda c: c[2:]), whole, product)
     return ev.groupBy("_v", "_h").cogroup(past.groupBy("h_v", "h_h")).applyInPandas(run, _SCORED)
 
@@ -115,7 +118,8 @@ def distances(weighted: DataFrame, history: DataFrame, product: bool = False, ev
 
     Events and curves meet block by block, so that neither side is ever whole in a task or on the
     driver. product: by matrix products instead of differences. Inputs are read twice (counted
-    first), so settle what is dear to compute.
+    first), so settle what is dear to compute. Where both have a column `fold` (a number), no event
+    meets curves of its own: leave-one-out needs no join a fold.
     """
     return _in_blocks(weighted, history, True, product, event_rows, curves)
 

@@ -106,3 +106,15 @@ def guard_range(truth: DataFrame, history: DataFrame, value: str = "f") -> DataF
 
 def low_days(long: DataFrame, below: float, value: str = "f") -> DataFrame:
     return long.groupBy("curve_id").agg(F.avg(value).alias("mean")).where(F.col("mean") < below)
+
+
+def random_split(key: Column, one_in: int) -> Column:
+    """test for one key in so many, else train: drawn by a digest of the key as text, so alike in every run."""
+    return F.when(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % one_in == 0, "test").otherwise("train")
+
+
+def mask_arrays(events: DataFrame, active: DataFrame, slots: int, key: str = "event_id") -> DataFrame:
+    """events with `active`, an array of one flag a slot, from rows (key, tau, active); slots without a row are active."""
+    flags = active.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("tau", "active"))).alias("_m"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(True)))
+    return events.join(flags, key, "left").withColumn("active", F.coalesce(at, F.array_repeat(F.lit(True), slots))).drop("_m")

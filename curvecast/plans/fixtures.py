@@ -98,6 +98,16 @@ def user_day(spark: SparkSession, sf: str) -> DataFrame:
     return full.join(e, ["asset", "tau"]).select((F.col("asset") * F.col("days") + F.col("day") - 1).cast("long").alias("curve_id"), "asset", "day", "tau", "f", "e")
 
 
+UC_KEYS = ["curve_id", "asset", "day", "yday", "lon", "lat"]
+
+
+def user_curves(spark: SparkSession, sf: str) -> DataFrame:
+    """UC_KEYS, tau, f, e: user_day as shares of the asset's largest hour, with a site and a day of the year."""
+    ud, a = user_day(spark, sf), F.col("asset")
+    capacity = ud.groupBy("asset").agg(F.max("f").alias("capacity")).where("capacity > 0")
+    return ud.join(capacity, "asset").select("curve_id", "asset", "day", F.col("day").alias("yday"), lon(a).alias("lon"), lat(a).alias("lat"), "tau", (F.col("f") / F.col("capacity")).alias("f"), (F.col("e") / F.col("capacity")).alias("e"))
+
+
 def day_span(spark: SparkSession, sf: str):
     """The events' first date and their number of days."""
     d = F.to_date("ts")
@@ -159,15 +169,18 @@ def per_sql(a: str, b: str) -> str:
     return f"power(sin(0.5::DOUBLE * (360.0::DOUBLE / 365.0::DOUBLE) * (({a}) - ({b})) * 3.141592653589793 / 180.0::DOUBLE), 2)"
 
 
-def dist_sql(at: int = T) -> str:
+def dist_sql(at: int = T, fold: str = "", masked: bool = False) -> str:
+    """fold: a condition on h and ev that keeps an event from its own curves; masked: weights only where actf is active."""
     phi = f"power(0.5::DOUBLE, ({at} - 1 - h.tau) / forget_rate_f)"
     psi = f"CASE WHEN h.tau < {at} THEN power(0.5::DOUBLE, ({at} - 1 - h.tau) / forget_rate_e) ELSE power(0.5::DOUBLE, (h.tau - {at}) / lookup_rate) END"
+    on, act = (" * CASE WHEN act.active THEN 1 ELSE 0 END", " JOIN actf AS act ON act.event_id = ev.curve_id AND act.tau = h.tau") if masked else ("", "")
+    phi, psi, where = f"{phi}{on}", f"({psi}){on}", f" WHERE {fold}" if fold else ""
     return f"""
 dist0 AS (SELECT ev.curve_id AS event_id, param_id, h.curve_id,
-  sum(CASE WHEN h.tau < {at} THEN {phi} * power(h.f - ev.f, 2) END) / sum(CASE WHEN h.tau < {at} THEN {phi} END) AS d_f,
-  sum(({psi}) * power(h.e - ev.e, 2)) / sum({psi}) AS d_e,
+  sum(CASE WHEN h.tau < {at} THEN {phi} * power(h.f - ev.f, 2) END) / nullif(sum(CASE WHEN h.tau < {at} THEN {phi} END), 0) AS d_f,
+  sum(({psi}) * power(h.e - ev.e, 2)) / nullif(sum({psi}), 0) AS d_e,
   min({hav_sql('h.lon', 'h.lat', 'ev.lon', 'ev.lat')}) AS d_h, min({per_sql('h.yday', 'ev.yday')}) AS d_p, min({per_sql('ev.yday', 'ev.yday + gamma')}) AS big_gamma
-  FROM hist h JOIN ev USING (tau) CROSS JOIN params GROUP BY ALL),
+  FROM hist h JOIN ev USING (tau){act} CROSS JOIN params{where} GROUP BY ALL),
 dist AS (SELECT dist0.*, exp(-d_f / length_scale_f) AS w_f, exp(-d_e / length_scale_e) AS w_e, least(exp(-d_f / length_scale_f), exp(-d_e / length_scale_e)) AS w, xi, kappa_min, kappa_max
   FROM dist0 JOIN params USING (param_id))"""
 
@@ -210,6 +223,11 @@ ufull AS (SELECT asset, day, tau, days, coalesce(f, 0) AS f FROM ucells LEFT JOI
 ue AS (SELECT asset, tau, avg(f) AS e FROM ufull WHERE day <= 20 GROUP BY ALL),
 ud AS (SELECT CAST(asset * days + day - 1 AS BIGINT) AS curve_id, asset, day, tau, f, e FROM ufull JOIN ue USING (asset, tau))"""
 
+#: user_day as shares of the asset's largest hour, with a site and a day of the year.
+UC_SQL = UD_SQL + """,
+uc AS (SELECT curve_id, asset, day, day AS yday, -106 + 0.5::DOUBLE * ((7 * asset) % 25) AS lon, 26 + 0.4::DOUBLE * ((11 * asset) % 25) AS lat, tau, f / capacity AS f, e / capacity AS e
+       FROM ud JOIN (SELECT asset, max(f) AS capacity FROM ud GROUP BY asset) AS c USING (asset) WHERE capacity > 0)"""
+
 EMBED_SQL = "emb AS (SELECT CAST(label AS BIGINT) AS set_id, vec_id AS curve_id, CAST(i - 1 AS INTEGER) AS tau, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS r(i))"
 YEARS_SQL = NY_SQL + ",\nyset AS (SELECT CAST(y AS BIGINT) AS set_id, curve_id, tau, f AS v FROM ny)"
 

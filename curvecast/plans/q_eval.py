@@ -370,14 +370,30 @@ def exp_holdout(spark, sf):
     return rounded(_validated(spark, sf, [_BASE], _TIMES).where("event_id div 10000 >= 10").drop("param_id"))
 
 
-@query("exp_loocv", sql_rounded("WITH " + X.UD_SQL + ", t AS (SELECT asset, tau, sum(f) AS sf, sum(f * f) AS sq, count(*) AS n FROM ud GROUP BY ALL), z AS (SELECT day, (f - (sf - f) / (n - 1)) AS d, sqrt(greatest((sq - f * f) / (n - 1) - power((sf - f) / (n - 1), 2), 1.0)) AS sd FROM ud JOIN t USING (asset, tau)),\nsc AS (SELECT day, avg(0.5::DOUBLE * power(d / sd, 2) + ln(sd) + 0.9189385332046727::DOUBLE) AS logs, avg(sd * ((d / sd) * (2 * (" + _cdf_sql("(d / sd)") + ") - 1) + 2 * exp(-0.5::DOUBLE * (d / sd) * (d / sd)) / 2.5066282746310002::DOUBLE - 0.5641895835477563::DOUBLE)) AS crps FROM z GROUP BY day),\npit AS (SELECT day, " + _cdf_sql("(d / sd)") + " AS pit FROM z)" + _ks_sql("day") + "\nSELECT sc.day, logs, crps, sqrt(avg(gap * gap)) / 100 AS ks FROM sc JOIN gp ON sc.day = gp.day GROUP BY ALL", "logs crps ks", "day", 5))
+_LOO_AT, _LOO_ROW, _LOO_FLOOR = 12, (0, 2.0, 2.0, 0.05, 0.05, 3.0, 0.8, 2.5, 10.0, 0.05, 5, 20), 1e-4
+_LOO_SQL = (
+    "WITH " + ",\n".join([X.UC_SQL, "hist AS (SELECT * FROM uc), ev AS (SELECT * FROM uc)", X.params_sql([_LOO_ROW]), X.dist_sql(_LOO_AT, "h.day <> ev.day"), X.SEL_SQL, X.scen_sql(at=_LOO_AT)])
+    + f""",
+fused AS (SELECT event_id, s, sum(wn * m) AS mu, sqrt(greatest(sum(wn * m * m) - power(sum(wn * m), 2), {_LOO_FLOOR}::DOUBLE)) AS sd FROM scen GROUP BY ALL),
+z AS (SELECT day, f - mu AS d, sd FROM fused JOIN uc ON uc.curve_id = fused.event_id AND uc.tau = fused.s + {_LOO_AT}),
+sc AS (SELECT day, avg(0.5::DOUBLE * power(d / sd, 2) + ln(sd) + 0.9189385332046727::DOUBLE) AS logs, avg(sd * ((d / sd) * (2 * (""" + _cdf_sql("(d / sd)") + """) - 1) + 2 * exp(-0.5::DOUBLE * (d / sd) * (d / sd)) / 2.5066282746310002::DOUBLE - 0.5641895835477563::DOUBLE)) AS crps FROM z GROUP BY day),
+pit AS (SELECT day, """ + _cdf_sql("(d / sd)") + " AS pit FROM z)" + _ks_sql("day")
+)
+
+
+@query("exp_loocv", sql_rounded(_LOO_SQL + "\nSELECT sc.day, logs, crps, sqrt(avg(gap * gap)) / 100 AS ks FROM sc JOIN gp ON sc.day = gp.day GROUP BY ALL", "logs crps ks", "day", 5))
 def exp_loocv(spark, sf):
-    """Each day scored by the other days' mean and spread: sums less the day's own part, no fold join."""
-    ud = X.user_day(spark, sf)
-    total = ud.groupBy("asset", "tau").agg(F.sum("f").alias("sf"), F.sum(F.col("f") * F.col("f")).alias("sq"), F.count(F.lit(1)).alias("n"))
-    mean = (F.col("sf") - F.col("f")) / (F.col("n") - 1)
-    spread = (F.col("sq") - F.col("f") * F.col("f")) / (F.col("n") - 1) - mean * mean
-    rows = ud.join(total, ["asset", "tau"]).select(F.col("day").alias("event_id"), F.lit(0).alias("param_id"), F.col("f").alias("y"), mean.alias("mu"), F.sqrt(F.greatest(spread, F.lit(1.0))).alias("sigma"))
+    """Each day forecast by its nearest curves of all other days and scored: one search, no join a fold."""
+    curves = settle(X.user_curves(spark, sf))
+    packed = settle(prep.pack(curves, X.UC_KEYS, f="f", e="e").withColumn("fold", F.col("day")))
+    params = X.params(spark, [_LOO_ROW])
+    events = prep.make_event(packed, _LOO_AT).withColumnRenamed("curve_id", "event_id")
+    sel = N.select(N.near(settle(N.with_weights(events, params, 24, X.PER_HOUR)), packed))
+    scen = fuse.scenarios(sel, curves, params, _LOO_AT, fuse.lie(X.MINUTES))
+    mean = F.sum(F.col("wn") * F.col("m"))
+    fused = scen.groupBy("event_id", "s").agg(mean.alias("mu"), F.sqrt(F.greatest(F.sum(F.col("wn") * F.col("m") * F.col("m")) - mean * mean, F.lit(_LOO_FLOOR))).alias("sigma"))
+    truth = curves.where(F.col("tau") >= _LOO_AT).select(F.col("curve_id").alias("event_id"), "day", (F.col("tau") - _LOO_AT).alias("s"), F.col("f").alias("y"))
+    rows = settle(truth.join(fused, ["event_id", "s"]).select(F.col("day").alias("event_id"), F.lit(0).alias("param_id"), "y", "mu", "sigma"))
     both = scores.log_score(rows).join(scores.crps_normal(rows), ["event_id", "param_id"])
     ks = scores.ks_gap(rows.select("event_id", scores.normal_pit().alias("pit")), "pit", ["event_id"])
     return rounded(both.join(ks, "event_id").select(F.col("event_id").alias("day"), "logs", "crps", F.col("ks_rms").alias("ks")), 5)
@@ -483,15 +499,32 @@ def _model(spark, sf, k=4, slots=64):
     return x, fpca.mean(x), phi
 
 
+#: The share of variance that components are to explain.
+_SHARE = 0.9
+
+
+def _explaining(x):
+    """Means, components (as many as explain _SHARE, set by set) and error variances of curves, settled."""
+    error = settle(fpca.noise(x))
+    return settle(fpca.mean(x)), settle(fpca.fit(x, share=_SHARE, error=error)), error
+
+
+@query("fpca_noise", sql_rounded("WITH " + X.EMBED_SQL + "\nSELECT a.set_id, coalesce(avg(power(c.v - 2 * b.v + a.v, 2)) / 6, 0) AS sigma2 FROM emb a LEFT JOIN emb b ON a.set_id = b.set_id AND a.curve_id = b.curve_id AND b.tau = a.tau + 1 LEFT JOIN emb c ON a.set_id = c.set_id AND a.curve_id = c.curve_id AND c.tau = a.tau + 2 GROUP BY ALL", "sigma2", "set_id", 8))
+def fpca_noise(spark, sf):
+    return rounded(fpca.noise(X.embed(spark, sf)), 8)
+
+
 @query("fpca_fit")
 def fpca_fit(spark, sf):
-    return rounded(_model(spark, sf)[2])
+    """Components by explained variance, the error's variance taken off first."""
+    return rounded(_explaining(X.embed(spark, sf))[1])
 
 
 @query("fpca_project")
 def fpca_project(spark, sf):
-    x, mu, phi = _model(spark, sf)
-    return rounded(fpca.project(x, mu, phi.select("set_id", "k", "tau", "phi")))
+    x = X.embed(spark, sf)
+    mu, phi, error = _explaining(x)
+    return rounded(fpca.expected_scores(x, mu, phi, error))
 
 
 @query("fpca_reconstruct")
@@ -507,10 +540,32 @@ def fpca_per_asset(spark, sf):
     return rounded(fpca.fit(x, 2).select("set_id", "k", "eigenvalue", "tau", "phi"))
 
 
+def _split_curves(spark, sf):
+    """Training curves and held-out ones, a tenth drawn at random by id."""
+    x = X.embed(spark, sf).withColumn("split", prep.random_split(F.col("curve_id"), 10))
+    return x.where("split = 'train'").drop("split"), x.where("split = 'test'").drop("split")
+
+
 @query("fpca_partial_day")
 def fpca_partial_day(spark, sf):
-    x, mu, phi = _model(spark, sf, 3, 24)
-    return rounded(fpca.project(x, mu, phi.select("set_id", "k", "tau", "phi")))
+    """Fitted on the training curves' first slots; predicted curves of the held-out ones over the same slots."""
+    train, test = (x.where(F.col("tau") < _UP_TO) for x in _split_curves(spark, sf))
+    mu, phi, error = _explaining(train)
+    found = fpca.reconstruct(fpca.expected_scores(test, mu, phi, error), mu, phi.select("set_id", "k", "tau", "phi"))
+    return rounded(found.join(test.withColumnRenamed("v", "actual"), ["set_id", "curve_id", "tau"]))
+
+
+_UP_TO = 24
+
+
+@query("fpca_partial_forecast")
+def fpca_partial_forecast(spark, sf):
+    """Fitted on whole training curves; held-out ones, seen up to a slot, are forecast beyond it."""
+    train, test = _split_curves(spark, sf)
+    mu, phi, error = _explaining(train)
+    score = fpca.expected_scores(test.where(F.col("tau") < _UP_TO), mu, phi, error)
+    found = fpca.reconstruct(score, mu, phi.select("set_id", "k", "tau", "phi")).where(F.col("tau") >= _UP_TO)
+    return rounded(found.join(test.withColumnRenamed("v", "actual"), ["set_id", "curve_id", "tau"]))
 
 
 # Streaming ----------------------------------------------------------------------------------------

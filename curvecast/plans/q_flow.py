@@ -9,7 +9,7 @@ from curvecast.functions import curves as C
 from curvecast.operators import bands as B
 from curvecast.operators import depth as D
 from curvecast.operators import envelope as E
-from curvecast.operators import fuse, hist
+from curvecast.operators import fuse, hist, prep
 from curvecast.operators import neighbors as N
 from curvecast.plans import fixtures as X
 from curvecast.plans.registry import query, rounded, sql_rounded
@@ -208,6 +208,48 @@ def fc_dynamic_update_logistic(spark, sf):
     return rounded(scen.groupBy("event_id", "param_id", "s").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("wn") * F.col("m")).alias("focal")))
 
 
+def _masks(ny):
+    """event_id, active: each event's flags by slot, by the curves less than ten days from its own day of the year."""
+    ev = X.events(ny)
+    return prep.mask_arrays(ev, prep.active_slots_window(ny.where(F.col("y") < X.TEST_YEAR), ev, _DAYS, _OVER), X.SLOTS)
+
+
+_DAYS, _OVER = 10, 2.2
+_MASK_SQL = f"""
+act0 AS (SELECT d.event_id, h.tau, sum(h.f) > {_OVER} AS active FROM hist h JOIN (SELECT DISTINCT curve_id AS event_id, yday FROM ev) AS d ON abs(h.yday - d.yday) < {_DAYS} GROUP BY ALL),
+actf AS (SELECT ev.curve_id AS event_id, ev.tau, coalesce(active, true) AS active FROM ev LEFT JOIN act0 ON act0.event_id = ev.curve_id AND act0.tau = ev.tau)"""
+_MASKED = "WITH " + ",\n".join([X.NY_SQL, X.PARAMS_SQL, _MASK_SQL, X.dist_sql(masked=True), X.SEL_SQL, X.scen_sql()])
+
+
+@query("fc_dynamic_update_masked", sql_rounded(_MASKED + f"\nSELECT scen.event_id, param_id, s, count(*) AS n_scenarios, sum(wn * m) AS focal, median(m) AS median FROM scen JOIN actf ON actf.event_id = scen.event_id AND actf.tau = s + {X.T} WHERE active GROUP BY ALL", "focal median", "event_id param_id s n_scenarios"))
+def fc_dynamic_update_masked(spark, sf):
+    """The update with each event's inactive slots out of the distances and out of the slots ahead."""
+    ny = settle(X.nation_year(spark, sf))
+    ev = settle(_masks(ny))
+    params = X.params(spark)
+    sel = N.select(N.near(settle(N.with_weights(ev, params, X.SLOTS, X.PER_HOUR)), settle(X.history(ny))))
+    scen = fuse.scenarios(sel, ny.where(F.col("y") < X.TEST_YEAR), params, X.T, fuse.lie(X.MINUTES), ev.select("event_id", "active"))
+    return rounded(scen.groupBy("event_id", "param_id", "s").agg(F.count(F.lit(1)).alias("n_scenarios"), F.sum(F.col("wn") * F.col("m")).alias("focal"), F.percentile("m", 0.5).alias("median")))
+
+
+#: Minutes of a slot (twelve a day) and the steepness by which trust passes from scenarios to the day-ahead forecast.
+_SLOT_MINUTES, _STEEP = 120, 24.0
+_ADAPT_SQL = f"nus AS (SELECT curve_id AS event_id, greatest(875, 2750 * sqrt(sqrt(avg(CASE WHEN tau < {X.T} THEN power(f - e, 2) END)))) AS nu_own FROM ev GROUP BY curve_id)"
+_ADAPT_TRUST = f"1 - 1 / (1 + exp(6.906754778648554 * ({_SLOT_MINUTES} * (s + 1) - nu_own) / (30.0::DOUBLE * {_STEEP})))"
+
+
+@query("fc_dynamic_update_adaptive", sql_rounded("WITH " + ",\n".join([X.SELECT_SQL, _ADAPT_SQL, X.scen_sql(_ADAPT_TRUST).replace("JOIN params USING (param_id)", "JOIN params USING (param_id) JOIN nus USING (event_id)")]) + "\nSELECT event_id, param_id, s, count(*) AS n, sum(wn * m) AS focal FROM scen GROUP BY ALL", "focal", "event_id param_id s n"))
+def fc_dynamic_update_adaptive(spark, sf):
+    """The logistic update with each event's own nu, by the error of its day-ahead forecast so far."""
+    ny, sel = X.selected(spark, sf)
+    d = F.col("f") - F.col("e")
+    so_far = ny.where((F.col("y") >= X.TEST_YEAR) & (F.col("tau") < X.T))
+    own = so_far.groupBy(F.col("curve_id").alias("event_id")).agg(C.adaptive_nu(F.avg(d * d)).alias("nu_own"))
+    trust = C.logistic(_SLOT_MINUTES * (F.col("s") + 1) - F.col("nu_own"), _STEEP)
+    scen = fuse.scenarios(sel, ny.where(F.col("y") < X.TEST_YEAR), X.params(spark), X.T, trust, own)
+    return rounded(scen.groupBy("event_id", "param_id", "s").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("wn") * F.col("m")).alias("focal")))
+
+
 @query("fc_weighted_cov", sql_rounded(_FLOW + ", mu AS (SELECT event_id, param_id, s, sum(wn * m) AS u FROM scen GROUP BY ALL), c AS (SELECT scen.*, m - u AS d FROM scen JOIN mu USING (event_id, param_id, s))\nSELECT a.event_id, a.param_id, a.s AS s1, b.s AS s2, sum(a.wn * a.d * b.d) AS cov FROM c a JOIN c b ON a.event_id = b.event_id AND a.param_id = b.param_id AND a.curve_id = b.curve_id AND a.s <= b.s GROUP BY ALL", "cov", "event_id param_id s1 s2", 8))
 def fc_weighted_cov(spark, sf):
     return rounded(fuse.weighted_cov(X.scenarios(spark, sf)[1]), 8)

@@ -293,12 +293,11 @@ def prep_wrap_yday(spark, sf):
     return X.t(spark, sf, "orders").select("o_orderkey", C.wrap_yday(F.dayofyear("o_orderdate") + 30).alias("yday"))
 
 
-@query("prep_split_random", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, CASE WHEN (CAST(o_orderdate AS DATE) - DATE '1970-01-01') * 48271 % 2147483647 % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM orders")
+@query("prep_split_random", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, CASE WHEN CAST('0x' || md5(CAST(CAST(o_orderdate AS DATE) AS VARCHAR))[1:8] AS BIGINT) % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM orders")
 def prep_split_random(spark, sf):
-    """A tenth of the days at random, by a step of a multiplicative generator from the day's number."""
+    """A tenth of the days at random, the same days in every run."""
     day = X.t(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    drawn = F.unix_date("day").cast("long") * 48271 % 2147483647 % 10
-    return day.withColumn("split", F.when(drawn == 0, "test").otherwise("train"))
+    return day.withColumn("split", prep.random_split(F.col("day"), 10))
 
 
 @query("prep_split_loo", "WITH " + X.UD_SQL + ", d AS (SELECT DISTINCT day FROM ud)\nSELECT a.day AS fold, count(*) AS n, sum(b.day) AS days FROM d a JOIN d b ON a.day <> b.day GROUP BY a.day")
@@ -358,9 +357,9 @@ def m_normal_pdf_cdf(spark, sf):
 
 @query("w_adaptive_nu", sql_rounded("WITH " + X.NY_SQL + "\nSELECT curve_id AS event_id, greatest(875, 2750 * sqrt(sqrt(avg(CASE WHEN tau < 6 THEN power(f - e, 2) END)))) AS nu FROM ev GROUP BY curve_id", "nu", "event_id", 4))
 def w_adaptive_nu(spark, sf):
-    ev = X.nation_year(spark, sf).where("y = 2000 and tau < 6")
+    ev = X.nation_year(spark, sf).where((F.col("y") >= X.TEST_YEAR) & (F.col("tau") < 6))
     d = F.col("f") - F.col("e")
-    return rounded(ev.groupBy(F.col("curve_id").alias("event_id")).agg(F.greatest(F.lit(875.0), 2750 * F.sqrt(F.sqrt(F.avg(d * d)))).alias("nu")), 4)
+    return rounded(ev.groupBy(F.col("curve_id").alias("event_id")).agg(C.adaptive_nu(F.avg(d * d)).alias("nu")), 4)
 
 
 @query("m_silverman", sql_rounded("WITH " + X.EMBED_SQL + "\nSELECT set_id, tau, 0.9::DOUBLE * least(stddev_pop(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34::DOUBLE) * power(count(*), -0.2::DOUBLE) AS h FROM emb GROUP BY ALL", "h", "set_id tau", 8))

@@ -276,3 +276,86 @@ def test_empty_inputs(spark):
     x = long(spark, {0: [1.0]}).where("false")
     for fn in D.REGISTRY.values():
         assert fn(x).count() == 0
+
+
+def test_random_split_is_spread_and_reproducible(spark):
+    days = spark.range(3650).selectExpr("date_add(date'1992-01-01', cast(id AS int)) AS day", "id")
+    test = sorted(r["id"] for r in days.withColumn("split", prep.random_split(F.col("day"), 10)).where("split = 'test'").collect())
+    again = sorted(r["id"] for r in days.repartition(5).withColumn("split", prep.random_split(F.col("day"), 10)).where("split = 'test'").collect())
+    gaps = {b - a for a, b in itertools.pairwise(test)}
+    assert test == again and 280 < len(test) < 450
+    assert len(gaps) > 15 and {i % 10 for i in test} == set(range(10)) and len({i % 7 for i in test}) == 7
+
+
+def gappy(seed=5, n=40, slots=12):
+    """Curves of two smooth components and noise, whole (below 30) or with gaps."""
+    rng = np.random.default_rng(seed)
+    t = np.linspace(0, 1, slots)
+    y = 3 + rng.normal(size=(n, 2)) * [2.0, 1.0] @ np.array([np.sin(np.pi * t), np.cos(np.pi * t)]) + 0.1 * rng.normal(size=(n, slots))
+    seen = rng.random((n, slots)) < 0.5
+    seen[:30] = True
+    seen[38], seen[39] = False, np.arange(slots) == 3
+    return y, seen
+
+
+def test_scores_and_curves_of_partial_days_equal_numpy(spark):
+    y, seen = gappy()
+    rows = [(s, i, t, float(v) if seen[i, t] else None) for s in (1, 2) for i, row in enumerate(y) for t, v in enumerate(row) if seen[i, t] or t % 2]
+    x = spark.createDataFrame(rows, "set_id long, curve_id long, tau int, v double")
+    train = x.where("curve_id < 30")
+    mu, error = fpca.mean(train), fpca.noise(train)
+    second = y[:30, 2:] - 2 * y[:30, 1:-1] + y[:30, :-2]
+    s2 = (second**2).mean() / 6
+    assert all(np.isclose(r["sigma2"], s2) for r in error.collect()) and 0.005 < s2 < 0.03  # 0.01 and what is curved
+    phi = settle(fpca.fit(train, share=0.95, error=error))
+    value, vector = np.linalg.eigh(np.cov(y[:30].T) - s2 * np.eye(12))
+    value, vector = value[::-1], vector[:, ::-1]
+    k = int(np.searchsorted(np.cumsum(np.maximum(value, 0)), 0.95 * np.maximum(value, 0).sum()) + 1)
+    assert sorted({(r["set_id"], r["k"]) for r in phi.collect()}) == [(s, i + 1) for s in (1, 2) for i in range(k)] and k == 2
+    p = vector[:, :k] * np.sign(vector[np.abs(vector[:, :k]).argmax(0), np.arange(k)])
+    for block in (3, 2000):  # a set in many parts or in one
+        got = {(r["set_id"], r["curve_id"], r["k"]): r["score"] for r in fpca.expected_scores(x, mu, phi, error, block).collect()}
+        assert {c for _, c, _ in got} == set(range(40)) - {38}  # nothing is known of that one
+        for i in set(range(40)) - {38}:
+            o = seen[i]
+            want = value[:k] * (p[o].T @ np.linalg.solve((p[o] * value[:k]) @ p[o].T + s2 * np.eye(o.sum()), y[i, o] - y[:30, o].mean(0)))
+            assert all(np.isclose(got[s, i, j + 1], want[j], atol=1e-7) for s in (1, 2) for j in range(k)), i
+    whole = fpca.reconstruct(fpca.expected_scores(x, mu, phi, error), mu, phi.select("set_id", "k", "tau", "phi"))
+    back = {(r["curve_id"], r["tau"]): r["v"] for r in whole.where("set_id = 1").collect()}
+    plain = fpca.reconstruct(fpca.project(x.where("v IS NOT NULL"), mu, phi.select("set_id", "k", "tau", "phi")), mu, phi.select("set_id", "k", "tau", "phi"))
+    naive = {(r["curve_id"], r["tau"]): r["v"] for r in plain.where("set_id = 1").collect()}
+    gap = [(i, t) for i in range(30, 38) for t in range(12) if not seen[i, t]]
+    rms = lambda f: np.sqrt(np.mean([(f[i, t] - y[i, t]) ** 2 for i, t in gap]))
+    assert rms(back) < 0.3 < rms(naive)  # what was never seen is predicted; plain products can't
+
+
+def test_no_component_without_variance_and_k_by_set(spark):
+    flat = {i: [2.0] * 6 for i in range(5)}
+    x = long(spark, flat)
+    phi = fpca.fit(x, share=0.9, error=fpca.noise(x))
+    got = fpca.expected_scores(x, fpca.mean(x), phi, fpca.noise(x)).collect()
+    assert {r["curve_id"] for r in got} == set(range(5)) and all(r["score"] == 0 for r in got)
+    rng = np.random.default_rng(3)
+    one, many = np.outer(rng.normal(size=30), np.arange(8.0)), rng.normal(size=(30, 8))
+    both = spark.createDataFrame([(s, i, t, float(v)) for s, y in ((1, one), (2, many)) for i, row in enumerate(y) for t, v in enumerate(row)], "set_id long, curve_id long, tau int, v double")
+    assert [r["n"] for r in fpca.fit(both, share=0.9).groupBy("set_id").agg(F.max("k").alias("n")).orderBy("set_id").collect()][0] == 1
+    assert [r["n"] for r in fpca.fit(both, share=0.9).groupBy("set_id").agg(F.max("k").alias("n")).orderBy("set_id").collect()][1] > 4
+
+
+def test_no_event_meets_its_own_fold(spark):
+    """One search leaves each fold out; the same as a search for each fold alone, whatever the blocks."""
+    curves = settle(X.user_curves(spark, SF).where("day <= 6"))
+    packed = settle(prep.pack(curves, X.UC_KEYS, f="f", e="e").withColumn("fold", F.col("day")))
+    events = N.with_weights(prep.make_event(packed, 12).withColumnRenamed("curve_id", "event_id"), X.params(spark), 24, 1.0)
+    key = lambda df: sorted(map(tuple, df.where("in_final").select("event_id", "param_id", "curve_id").collect()))
+    once = key(N.select(N.near(settle(events), packed)))
+    assert once == key(N.select(N.near(settle(events), packed, 3, 7))) == key(N.select(N.distances(events, packed)))
+    apart = [x for day in range(1, 7) for x in key(N.select(N.near(events.where(f"day = {day}").drop("fold"), packed.where(f"day <> {day}").drop("fold"))))]
+    assert once == sorted(apart) and once
+
+
+def test_masks_of_events(spark):
+    events = spark.createDataFrame([(1,), (2,)], "event_id long")
+    flags = spark.createDataFrame([(1, 0, False), (1, 2, True)], "event_id long, tau int, active boolean")
+    got = {r["event_id"]: r["active"] for r in prep.mask_arrays(events, flags, 3).collect()}
+    assert got == {1: [False, True, True], 2: [True, True, True]}
