@@ -92,9 +92,13 @@ def adaptive_nu(mse: Column) -> Column:
 
 
 def silverman(x: Column) -> Column:
-    """Aggregate: 0.9 min(sd, IQR / 1.34) n^(-1/5), population sd, linear percentiles."""
-    spread = F.least(F.stddev_pop(x), (F.percentile(x, 0.75) - F.percentile(x, 0.25)) / 1.34)
-    return 0.9 * spread * F.pow(F.count(x), F.lit(-0.2))
+    """Aggregate of a bounded group: 0.9 min(sd, IQR / 1.34) n^(-1/5), population sd, linear percentiles."""
+    return silverman_of(F.stddev_pop(x), F.percentile(x, 0.25), F.percentile(x, 0.75), F.count(x))
+
+
+def silverman_of(sd: Column, lower: Column, upper: Column, n: Column) -> Column:
+    """The same from a group's spread, quartiles and size."""
+    return 0.9 * F.least(sd, (upper - lower) / 1.34) * F.pow(n, F.lit(-0.2))
 
 
 def normal_log_density(y: Column, mu: Column, sigma: Column) -> Column:

@@ -45,12 +45,12 @@ def depth_band(scen: DataFrame, name: str | Callable[[DataFrame], DataFrame], al
 
 
 def dq_band(scen: DataFrame, alpha: float, zeta: float = 1.0) -> DataFrame:
-    return depth_band(scen, lambda x: D.directional_quantile(x, alpha / 2).withColumn("depth", -F.col("depth")), alpha, zeta)
+    return depth_band(scen, lambda x: D.directional_quantile(x, alpha / 2, bounded=True).withColumn("depth", -F.col("depth")), alpha, zeta)
 
 
 def dq_threshold_band(scen: DataFrame, alpha: float) -> DataFrame:
     """Range of the curves whose outlyingness at alpha / 2 is at most 1."""
-    inside = D.directional_quantile(as_sets(scen), alpha / 2).where("depth <= 1").select(F.col("set_id.event_id").alias("event_id"), F.col("set_id.param_id").alias("param_id"), "curve_id")
+    inside = D.directional_quantile(as_sets(scen), alpha / 2, bounded=True).where("depth <= 1").select(F.col("set_id.event_id").alias("event_id"), F.col("set_id.param_id").alias("param_id"), "curve_id")
     return scen.join(inside, [*KEYS, "curve_id"]).groupBy(*KEYS, "s").agg(F.min("m").alias("lower"), F.max("m").alias("upper"))
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from curvecast.operators import ranks
+
 #: Curves in a block of the pair depths, and bins in which their quantile is looked for.
 BLOCK, BINS = 500, 4096
 SLOT = ["set_id", "tau"]
@@ -34,17 +36,21 @@ def mbd(x: DataFrame) -> DataFrame:
     return _ranked(x).groupBy(*CURVE).agg(F.avg(1 - (pairs("below") + pairs("above")) / pairs("n")).alias("depth"))
 
 
-def directional_quantile(x: DataFrame, q: float) -> DataFrame:
+def _slot_quantiles(x: DataFrame, probs: list[float], bounded: bool) -> DataFrame:
+    """SLOT, mu and q of each slot. bounded: sets are known to be small (scenario sets), so that one buffer may hold a slot."""
+    if bounded:
+        return x.groupBy(*SLOT).agg(F.avg("v").alias("mu"), F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q"))
+    return x.groupBy(*SLOT).agg(F.avg("v").alias("mu")).join(ranks.quantiles(x, SLOT, "v", probs), SLOT)
+
+
+def directional_quantile(x: DataFrame, q: float, bounded: bool = False) -> DataFrame:
     """Largest distance from the slot's mean in units of its side's quantile gap (outlyingness)."""
-    stats = x.groupBy(*SLOT).agg(F.avg("v").alias("mu"), F.percentile("v", q).alias("lo"), F.percentile("v", 1 - q).alias("hi"))
-    gap = F.when(F.col("v") >= F.col("mu"), F.col("hi") - F.col("mu")).otherwise(F.col("mu") - F.col("lo"))
-    return x.join(stats, SLOT).groupBy(*CURVE).agg(F.max(F.abs(F.col("v") - F.col("mu")) / F.when(gap == 0, F.lit(EPS)).otherwise(gap)).alias("depth"))
+    return directional_quantiles(x, (q,), bounded).withColumnRenamed("dq_1", "depth")
 
 
-def directional_quantiles(x: DataFrame, qs: tuple[float, ...]) -> DataFrame:
+def directional_quantiles(x: DataFrame, qs: tuple[float, ...], bounded: bool = False) -> DataFrame:
     """directional_quantile at several levels in one pass: columns dq_1, dq_2, ..."""
-    both = [q for q in qs] + [1 - q for q in qs]
-    stats = x.groupBy(*SLOT).agg(F.avg("v").alias("mu"), F.percentile("v", F.array(*[F.lit(q) for q in both])).alias("p"))
+    stats = _slot_quantiles(x, [*qs, *[1 - q for q in qs]], bounded).withColumnRenamed("q", "p")
     j = x.join(stats, SLOT)
     out = []
     for i in range(len(qs)):
@@ -56,15 +62,16 @@ def directional_quantiles(x: DataFrame, qs: tuple[float, ...]) -> DataFrame:
 def extreme_rank_length(x: DataFrame) -> DataFrame:
     """Share of curves whose sorted pointwise two-sided ranks are lexicographically at most as large."""
     two = F.least(F.col("below") + 1, F.col("above") + 1)
-    ranks = _ranked(x).groupBy(*CURVE).agg(F.sort_array(F.collect_list(two)).alias("ranks"))
-    return ranks.select(*CURVE, (F.rank().over(Window.partitionBy("set_id").orderBy("ranks")) / F.count(F.lit(1)).over(Window.partitionBy("set_id"))).alias("depth"))
+    own = _ranked(x).groupBy(*CURVE).agg(F.sort_array(F.collect_list(two)).alias("ranks"))
+    at = ranks.cumulated(own, ["set_id"], F.col("ranks"))
+    return at.select(*CURVE, ((F.col("_upto") - F.col("_own") + 1) / F.col("_all")).alias("depth"))
 
 
 def extremal(x: DataFrame) -> DataFrame:
     """Share of curves that are at most as deep in the left-tail order of pointwise depths."""
     deep = _ranked(x).withColumn("p", 1 - F.abs(F.col("above") - F.col("below")) / F.col("n"))
     tails = deep.groupBy(*CURVE).agg(F.sort_array(F.collect_list(F.round("p", 12))).alias("tail"))
-    return tails.select(*CURVE, F.cume_dist().over(Window.partitionBy("set_id").orderBy("tail")).alias("depth"))
+    return ranks.cumulated(tails, ["set_id"], F.col("tail")).select(*CURVE, (F.col("_upto") / F.col("_all")).alias("depth"))
 
 
 def integrated(x: DataFrame) -> DataFrame:
@@ -81,9 +88,10 @@ def outliergram(x: DataFrame) -> DataFrame:
 
 def magnitude_shape(x: DataFrame) -> DataFrame:
     """Mean and variance over slots of the directional outlyingness (v - median) / MAD."""
-    med = x.groupBy(*SLOT).agg(F.median("v").alias("med"))
+    half = lambda rows, c: ranks.quantiles(rows, SLOT, c, [0.5])
+    med = half(x, "v").select(*SLOT, F.col("q")[0].alias("med"))
     dev = x.join(med, SLOT).withColumn("d", F.col("v") - F.col("med"))
-    mad = dev.groupBy(*SLOT).agg((1.4826 * F.median(F.abs("d"))).alias("mad"))
+    mad = half(dev.select(*SLOT, F.abs("d").alias("d")), "d").select(*SLOT, (1.4826 * F.col("q")[0]).alias("mad"))
     out = dev.join(mad, SLOT).withColumn("o", F.when(F.col("mad") > 0, F.col("d") / F.col("mad")))
     return out.groupBy(*CURVE).agg(F.avg("o").alias("magnitude"), F.var_pop("o").alias("shape"))
 
@@ -283,4 +291,5 @@ REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 def order_by_depth(depths: DataFrame) -> DataFrame:
     """place: 1 for the deepest curve of each set, ties by curve_id."""
-    return depths.withColumn("place", F.row_number().over(Window.partitionBy("set_id").orderBy(F.col("depth").desc(), "curve_id")))
+    first = F.struct(F.col("depth").isNull(), ~F.isnan("depth"), -F.col("depth"), F.col("curve_id"))  # as descending order has it: NaN first, nulls last
+    return ranks.cumulated(depths, ["set_id"], first).withColumn("place", F.col("_upto").cast("int")).drop("_upto", "_own", "_all")

@@ -61,7 +61,7 @@ def level_bands(scen: DataFrame, levels: tuple[float, ...], grid: list[tuple[flo
     every = F.explode(F.array(*[F.lit(a) for a in levels])).alias("level")
     deep = depth.mbd(sets).select(F.lit("MBD").alias("method"), every, "set_id", "curve_id", F.round("depth", 9).alias("depth"))
     for a in levels:
-        deep = deep.unionByName(depth.directional_quantile(sets, a / 2).select(F.lit("DQ").alias("method"), F.lit(a).alias("level"), "set_id", "curve_id", F.round(-F.col("depth"), 9).alias("depth")))
+        deep = deep.unionByName(depth.directional_quantile(sets, a / 2, bounded=True).select(F.lit("DQ").alias("method"), F.lit(a).alias("level"), "set_id", "curve_id", F.round(-F.col("depth"), 9).alias("depth")))
     whole = Window.partitionBy(*order)
     ranked = deep.withColumns({"r": F.row_number().over(whole.orderBy("depth", "curve_id")), "n": F.count(F.lit(1)).over(whole)})
     kept = ranked.join(steps, "level").where(F.col("r") > F.floor(F.col("n") * F.col("zeta"))).select("method", "level", "zeta", F.col("set_id.event_id").alias("event_id"), F.col("set_id.param_id").alias("param_id"), "curve_id")

@@ -9,7 +9,7 @@ from curvecast.functions import curves as C
 from curvecast.operators import bands as B
 from curvecast.operators import depth as D
 from curvecast.operators import envelope as E
-from curvecast.operators import fuse, hist, prep
+from curvecast.operators import fuse, hist, prep, ranks
 from curvecast.operators import neighbors as N
 from curvecast.plans import fixtures as X
 from curvecast.plans.registry import query, rounded, sql_rounded
@@ -267,8 +267,8 @@ def agg_quantile_ribbon(spark, sf):
     ud, none, out = settle(X.user_day(spark, sf)), F.lit(-1), None
     means = ud.groupBy("asset", "day").agg(F.avg("f").alias("f"))
     for form, rows, day, tau in (("slot", ud, none, F.col("tau")), ("day", ud, F.col("day"), F.col("tau")), ("daily_mean", means, F.col("day"), none)):
-        p = rows.groupBy(day.alias("day"), tau.alias("tau")).agg(F.percentile("f", F.array(*[F.lit(q) for q in _QS])).alias("p"))
-        one = p.select(F.lit(form).alias("form"), "day", "tau", *[F.col("p")[i].alias(f"q{i}") for i in range(9)])
+        p = ranks.quantiles(rows.select(day.alias("day"), tau.alias("tau"), "f"), ["day", "tau"], "f", _QS)
+        one = p.select(F.lit(form).alias("form"), "day", "tau", *[F.col("q")[i].alias(f"q{i}") for i in range(9)])
         out = one if out is None else out.unionByName(one)
     return rounded(out)
 
@@ -379,7 +379,8 @@ def sort_depth_order(spark, sf):
 
 @query("q_ecdf", "WITH " + X.UD_SQL + "\nSELECT asset, tau, " + ", ".join(f"round(quantile_disc(f, {q}), 6) + 0.0 AS q{i}" for i, q in enumerate(_QS)) + " FROM ud GROUP BY ALL")
 def q_ecdf(spark, sf):
-    return rounded(X.user_day(spark, sf).groupBy("asset", "tau").agg(*[B.rank_quantile("f", q).alias(f"q{i}") for i, q in enumerate(_QS)]))
+    found = ranks.quantiles(X.user_day(spark, sf), ["asset", "tau"], "f", _QS, discrete=True)
+    return rounded(found.select("asset", "tau", *[F.col("q")[i].alias(f"q{i}") for i in range(len(_QS))]))
 
 
 @query("band_ecdf", sql_rounded(_BAND + "\nSELECT event_id, param_id, alpha, s, lower, center, upper FROM band", "lower center upper", "event_id param_id alpha s"))
@@ -411,7 +412,7 @@ _DQ_SET = ",\n" + _dq_sql("st0", "event_id, param_id", 0.1).replace("dq AS", "dq
 
 @query("band_dq", sql_rounded(_FLOW + _SETS + _DQ_SET + _trim_sql(0.2), "lower center upper", _BK))
 def band_dq(spark, sf):
-    return _trimmed(spark, sf, lambda x: D.directional_quantile(x, 0.1).withColumn("depth", -F.col("depth")), 0.2)
+    return _trimmed(spark, sf, lambda x: D.directional_quantile(x, 0.1, bounded=True).withColumn("depth", -F.col("depth")), 0.2)
 
 
 @query("band_mbd", sql_rounded(_FLOW + _SETS + _MBD_SET + _trim_sql(0.2, 1.5), "lower center upper", _BK))

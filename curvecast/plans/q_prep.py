@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curvecast.functions import curves as C
-from curvecast.operators import prep
+from curvecast.operators import prep, ranks
 from curvecast.plans import fixtures as X
 from curvecast.plans.registry import query, rounded, sql_rounded
 from curvecast.plans.workdir import new_path
@@ -364,7 +364,9 @@ def w_adaptive_nu(spark, sf):
 
 @query("m_silverman", sql_rounded("WITH " + X.EMBED_SQL + "\nSELECT set_id, tau, 0.9::DOUBLE * least(stddev_pop(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34::DOUBLE) * power(count(*), -0.2::DOUBLE) AS h FROM emb GROUP BY ALL", "h", "set_id tau", 8))
 def m_silverman(spark, sf):
-    return rounded(X.embed(spark, sf).groupBy("set_id", "tau").agg(C.silverman(F.col("v")).alias("h")), 8)
+    x, by = X.embed(spark, sf), ["set_id", "tau"]
+    stats = x.groupBy(*by).agg(F.stddev_pop("v").alias("sd"), F.count("v").alias("n")).join(ranks.quantiles(x, by, "v", [0.25, 0.75]), by)
+    return rounded(stats.select(*by, C.silverman_of(F.col("sd"), F.col("q")[0], F.col("q")[1], F.col("n")).alias("h")), 8)
 
 
 # Set operations -----------------------------------------------------------------------------------

@@ -6,10 +6,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curvecast.functions import curves as C
-from curvecast.operators import bands, envelope, fpca, hist, prep, scores, tuning
+from curvecast.operators import bands, envelope, fpca, hist, prep, ranks, scores, tuning
 from curvecast.operators import depth as D
 from curvecast.operators import neighbors as N
 from curvecast.plans import fixtures as X
@@ -359,3 +360,21 @@ def test_masks_of_events(spark):
     flags = spark.createDataFrame([(1, 0, False), (1, 2, True)], "event_id long, tau int, active boolean")
     got = {r["event_id"]: r["active"] for r in prep.mask_arrays(events, flags, 3).collect()}
     assert got == {1: [False, True, True], 2: [True, True, True]}
+
+
+def test_quantiles_and_ranks_of_a_hot_group_spread_over_tasks(spark):
+    rng = np.random.default_rng(8)
+    hot = rng.integers(0, 3000, 20_000).astype(float)
+    rows = [("hot", float(v)) for v in hot] + [("tied", 5.0)] * 3000 + [(None, 1.0), (None, 3.0), ("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.025, 0.3, 0.5, 0.975, 1.0]
+    got = {r["g"]: r["q"] for r in ranks.quantiles(df, ["g"], "v", probs, parts=7).collect()}
+    assert np.allclose(got["hot"], np.quantile(hot, probs)) and got["tied"] == [5.0] * 6 and got["one"] == [7.0] * 6 and np.allclose(got[None], [1, 1.05, 1.6, 2, 2.95, 3]) and "none" not in got
+    least = {r["g"]: r["q"] for r in ranks.quantiles(df, ["g"], "v", probs, discrete=True, parts=3).collect()}
+    assert least["hot"] == np.quantile(hot, probs, method="inverted_cdf").tolist()
+    at = ranks.cumulated(df.where("v is not null"), ["g"], F.col("v").desc(), parts=7)
+    want = df.where("v is not null").withColumn("r", F.rank().over(Window.partitionBy("g").orderBy(F.col("v").desc())))
+    assert sorted(map(repr, ((r["g"], r["v"], r["_upto"] - r["_own"] + 1) for r in at.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    counts = df.where("v is not null").groupBy("g", "v").count()
+    per = settle(counts.repartitionByRange(7, "g", "v").withColumn("p", F.spark_partition_id())).where("g = 'hot'").groupBy("p").count().collect()
+    assert len(per) >= 5 and max(r["count"] for r in per) < 1500
