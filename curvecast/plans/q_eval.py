@@ -247,10 +247,12 @@ def exp_param_grid(spark, sf):
 
 def _validated(spark, sf, param_rows=X.PARAM_ROWS, times=(X.T,)):
     """t, event_id, param_id, wis_f, wis_e, rmse_s, rmse_tau, n_scenarios at each update time."""
-    out = None
+    out, ny, params = None, settle(X.nation_year(spark, sf)), X.params(spark, param_rows)
+    past = settle(X.history(ny))  # formed once, whatever the number of times
     for at in times:
-        ny, scen = X.scenarios(spark, sf, at, param_rows)
-        scen = settle(scen)
+        weighted = settle(N.with_weights(X.events(ny, at), params, X.SLOTS, X.PER_HOUR))
+        sel = N.select(N.near(weighted, past))
+        scen = settle(fuse.scenarios(sel, ny.where(F.col("y") < X.TEST_YEAR), params, at, fuse.lie(X.MINUTES)))
         own = scores.with_truth(B.ecdf_band(scen, X.ALPHAS), X.truth(ny, at)).join(X.truth(ny, at).select("event_id", "s", "e"), ["event_id", "s"])
         n = scen.groupBy("event_id", "param_id").agg(F.count_distinct("curve_id").alias("n_scenarios"))
         wis_f = scores.weighted_interval_score(own).withColumnRenamed("wis", "wis_f")

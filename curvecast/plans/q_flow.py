@@ -360,10 +360,12 @@ def depth_outliergram(spark, sf):
 
 @query("depth_registry")
 def depth_registry(spark, sf):
-    x = X.embed(spark, sf)
+    """Every registered depth: pair depths over the yearly sets, the others over the embedding sets."""
+    embed, years = X.embed(spark, sf), settle(X.year_sets(X.nation_year(spark, sf)))
     out = None
-    for name in ("MBD", "ERL", "ED", "ID", "DQ", "RP", "RT"):
-        one = D.REGISTRY[name](x).select("set_id", "curve_id", F.lit(name).alias("name"), F.col("depth").cast("double").alias("depth"))
+    for name, depth in D.REGISTRY.items():
+        x = years if name in ("BD", "LD", "MD") else embed
+        one = depth(x).select("set_id", "curve_id", F.lit(name).alias("name"), F.col("depth").cast("double").alias("depth"))
         out = one if out is None else out.unionByName(one)
     return rounded(out)
 
