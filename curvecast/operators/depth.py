@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvecast.operators import ranks
+from curvecast.plans.workdir import settle
 
 #: Curves in a block of the pair depths, and bins in which their quantile is looked for.
 BLOCK, BINS = 500, 4096
@@ -105,7 +106,7 @@ def _blocks(x: DataFrame, block: int) -> DataFrame:
 
 def _over_pairs(x: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
     """run(left, right) for every pair of blocks of each set, in both orders."""
-    return _over_marked(x, [], run, schema, block)
+    return _over_blocks(_blocks(x, block), run, schema)
 
 
 def _gaps(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,57 +159,56 @@ def l_infinity(x: DataFrame, block: int = BLOCK) -> DataFrame:
     return _summed(x, lambda sup, l2, left: sup, block).select(*CURVE, (1 / (1 + F.col("total") / F.col("others"))).alias("depth"))
 
 
-def _pair_quantile(x: DataFrame, q: float, block: int) -> DataFrame:
-    """set_id, h: the q-quantile (between ranks linearly) of the L2 distances of a set's pairs.
+def _pair_quantile(base: DataFrame, q: float) -> DataFrame:
+    """set_id, h: the q-quantile (between ranks linearly) of the L2 distances of a set's pairs; base:
+    settled blocks with tops, a bound of the set's distances.
 
-    A first pass counts distances in bins up to the largest gap's bound; a second one lists those of
-    the bins that hold the two ranks alone.
+    A first pass counts distances in bins up to that bound; a second one counts the different
+    distances of the bins that hold the two ranks, so that ties are a row and not one a pair.
     """
-    key = _set_type(x)
-    top = x.groupBy(*SLOT).agg((F.max("v") - F.min("v")).alias("g")).groupBy("set_id").agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("top"))
+    key = _set_type(base)
+
+    def distances(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Of each pair its distance and bin."""
+        _, l2, differ = _gaps(left, right)
+        r, most = np.sqrt(l2[differ]), left["tops"].iloc[0]
+        return r, np.minimum((r / most * BINS).astype(int), BINS - 1) if most > 0 else np.zeros(len(r), dtype=int)
 
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"set_id": [], "bin": [], "c": []})
-        _, l2, differ = _gaps(left, right)
-        c = np.bincount(_bins(np.sqrt(l2[differ]), left), minlength=BINS)
+        c = np.bincount(distances(left, right)[1], minlength=BINS)
         at = np.flatnonzero(c)
         return pd.DataFrame({"set_id": _set_of(left, len(at)), "bin": at, "c": c[at]})
 
-    def _bins(r: np.ndarray, left: pd.DataFrame) -> np.ndarray:
-        most = left["tops"].iloc[0]
-        return np.minimum((r / most * BINS).astype(int), BINS - 1) if most > 0 else np.zeros(len(r), dtype=int)
-
     def listed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"set_id": [], "r": []})
-        _, l2, differ = _gaps(left, right)
-        r = np.sqrt(l2[differ])
-        b = _bins(r, left)
-        r = r[(b >= left["low"].iloc[0]) & (b <= left["high"].iloc[0])]
-        return pd.DataFrame({"set_id": _set_of(left, len(r)), "r": r})
-
-    marked = x.join(top.withColumnRenamed("top", "tops"), "set_id")
-    counts = _over_marked(marked, ["tops"], count, f"set_id {key}, bin int, c long", block).groupBy("set_id", "bin").agg(F.sum("c").alias("c"))
-    run = counts.withColumns({"upto": F.sum("c").over(Window.partitionBy("set_id").orderBy("bin")), "all": F.sum("c").over(Window.partitionBy("set_id"))})
+            return pd.DataFrame({"set_id": [], "r": [], "c": []})
+        r, b = distances(left, right)
+        r, c = np.unique(r[(b >= left["low"].iloc[0]) & (b <= left["high"].iloc[0])], return_counts=True)
+        return pd.DataFrame({"set_id": _set_of(left, len(r)), "r": r, "c": c})
+
+    upto = F.sum("c").over(Window.partitionBy("set_id").orderBy("bin"))
+    counts = _over_blocks(base, count, f"set_id {key}, bin int, c long").groupBy("set_id", "bin").agg(F.sum("c").alias("c"))
+    run = counts.withColumns({"upto": upto, "all": F.sum("c").over(Window.partitionBy("set_id"))})
     rank = q * (F.col("all") - 1)  # from 0
     hold = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("c") <= k)
-    spot = run.groupBy("set_id").agg(
+    spot = settle(run.groupBy("set_id").agg(
         F.max(F.when(hold(F.floor(rank)), F.col("bin"))).alias("low"), F.max(F.when(hold(F.ceil(rank)), F.col("bin"))).alias("high"),
         F.max(rank).alias("rank"), F.max(F.when(hold(F.floor(rank)), F.col("upto") - F.col("c"))).alias("before"),
-    )
-    values = _over_marked(marked.join(spot.select("set_id", "low", "high"), "set_id"), ["tops", "low", "high"], listed, f"set_id {key}, r double", block)
-    order = values.withColumn("k", F.row_number().over(Window.partitionBy("set_id").orderBy("r")) - 1).join(spot, "set_id").withColumn("k", F.col("k") + F.col("before"))
-    ends = order.where((F.col("k") == F.floor("rank")) | (F.col("k") == F.ceil("rank"))).groupBy("set_id").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.max("rank").alias("rank"))
+    ))
+    values = _over_blocks(base, listed, f"set_id {key}, r double, c long", spot.select("set_id", "low", "high")).groupBy("set_id", "r").agg(F.sum("c").alias("c"))
+    order = values.withColumn("upto", F.sum("c").over(Window.partitionBy("set_id").orderBy("r"))).join(spot, "set_id").withColumn("upto", F.col("upto") + F.col("before"))
+    ends = order.where(hold(F.floor("rank")) | hold(F.ceil("rank"))).groupBy("set_id").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.max("rank").alias("rank"))
     return ends.select("set_id", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))).alias("h"))
 
 
-def _over_marked(x: DataFrame, marks: list[str], run, schema: str, block: int) -> DataFrame:
-    """_over_pairs with some columns of the set on the left side."""
-    rows = _blocks(x, block).select(*CURVE, "v", "n", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+def _over_blocks(base: DataFrame, run, schema: str, marks: DataFrame | None = None) -> DataFrame:
+    """run(left, right) for every pair of blocks of each set, in both orders; marks: columns of the set for the left side."""
+    rows = base.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     left = rows.withColumnsRenamed({"at": "i", "other": "j"})
-    if marks:
-        left = left.join(x.select("set_id", *marks).distinct(), "set_id")
+    if marks is not None:
+        left = left.join(marks, "set_id")
     # The right side's columns have names of their own, as both sides come of one table.
     right = rows.select(*[F.col(c).alias(f"r_{c}") for c in (*CURVE, "v", "n")], F.col("at").alias("r_j"), F.col("other").alias("r_i"))
     pair = lambda a, b: run(a, b.rename(columns=lambda c: c[2:]))
@@ -216,7 +216,9 @@ def _over_marked(x: DataFrame, marks: list[str], run, schema: str, block: int) -
 
 
 def modal(x: DataFrame, q: float = 0.15, block: int = BLOCK) -> DataFrame:
-    """Sum of Gaussian kernels of L2 distances; the width is a low quantile of all of the set's."""
+    """Sum of Gaussian kernels of L2 distances; the width is a low quantile of all of the set's.
+
+    Three passes over the pairs of settled blocks: two find the width, one adds up."""
     key = _set_type(x)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -227,7 +229,10 @@ def modal(x: DataFrame, q: float = 0.15, block: int = BLOCK) -> DataFrame:
             part = np.where(differ, np.exp(-0.5 * l2 / left["h"].iloc[0] ** 2), 0).sum(axis=1)
         return pd.DataFrame({"set_id": _set_of(left, len(left)), "curve_id": left["curve_id"].to_numpy(), "part": part})
 
-    parts = _over_marked(x.join(_pair_quantile(x, q, block), "set_id"), ["h"], run, f"set_id {key}, curve_id long, part double", block)
+    top = x.groupBy(*SLOT).agg((F.max("v") - F.min("v")).alias("g")).groupBy("set_id").agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("tops"))
+    base = settle(_blocks(x, block).join(top, "set_id"))
+    width = settle(_pair_quantile(base, q))
+    parts = _over_blocks(base, run, f"set_id {key}, curve_id long, part double", width)
     return parts.groupBy(*CURVE).agg(F.sum("part").alias("depth"))
 
 
