@@ -37,16 +37,23 @@ def run_updates(stream: DataFrame, path: str, checkpoint: str, update: Callable[
     """Append each micro-batch's finished hours to a Parquet table (`path`/hours), and, with
     `update`, what it makes of them and of all hours so far (`path`/updates).
 
-    Hours lie by day, and a batch reads the days that it touches alone. Folders are keyed by the batch number, so a batch that is run again after a failure replaces
-    its own rows and nothing is counted twice.
+    Hours lie by day and, in it, by batch: a batch lists and reads the days that it touches alone,
+    however many batches there have been. Folders are keyed by the batch number, so a batch that is
+    run again after a failure replaces its own rows and nothing is counted twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, day = batch.sparkSession, F.to_date("start")
-        batch.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{path}/hours/batch={number}")
+        spark = batch.sparkSession
+        batch = batch.withColumns({"day": F.to_date("start"), "batch": F.lit(number)}).persist()  # read twice
+        try:
+            batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{path}/hours")
+            touched = [r[0] for r in batch.select("day").distinct().collect()] if update else []  # as many as its watermark spans
+        finally:
+            batch.unpersist()
         if update:
-            touched = [r[0] for r in batch.select(day).distinct().collect()]  # a batch's days: as many as its watermark spans
-            hours = spark.read.schema(HOURS).parquet(f"{path}/hours").where(F.col("day").isin(touched) & (F.col("batch") <= number))
+            days = [f"{path}/hours/day={d}" for d in touched]
+            hours = spark.read.schema(HOURS).option("basePath", f"{path}/hours").parquet(*days) if days else spark.createDataFrame([], HOURS)
+            hours = hours.where(F.col("batch") <= number)
             update(hours.where(F.col("batch") == number), hours).write.mode("overwrite").parquet(f"{path}/updates/batch={number}")
 
     hourly(stream, late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
