@@ -14,7 +14,7 @@ from curvecast.plans.q_flow import _BUCKET, _MBD_SET, _SETS, _buckets, _dq_sql
 from curvecast.plans.q_prep import _cdf_sql
 from curvecast.plans.registry import query, rounded, sql_rounded
 from curvecast.plans.workdir import new_path, settle
-from curvecast.streaming import updates
+from curvecast.streaming import state, updates
 
 _FLOW, _BAND, _SEL = "WITH " + X.FLOW_SQL, "WITH " + X.BAND_SQL, "WITH " + X.SELECT_SQL
 _EP = "event_id param_id"
@@ -625,3 +625,45 @@ def stream_forecast_update(spark, sf):
     updates.run_updates(_stream(spark, sf), out, new_path(spark), update)
     rows = spark.read.schema("event_id long, param_id int, t int, s int, focal double, lower double, upper double, batch long").parquet(f"{out}/updates")
     return rounded(rows.select("batch", "event_id", "param_id", "t", "s", "focal", "lower", "upper"))
+
+
+_HOURLY_SQL = "WITH " + X.UD_SQL.strip() + ",\n" + X.PARAMS_SQL + f""",
+closed AS (SELECT user_id % 10 AS asset, CAST(ts AS DATE) - d0 + 1 AS day, CAST(hour(ts) + 1 AS INTEGER) AS t FROM events, ub GROUP BY ALL
+           HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)),
+uscale AS (SELECT asset, greatest(max(f), 1e-9) AS cap FROM ud WHERE day <= 20 GROUP BY asset),
+us AS (SELECT curve_id, asset, day, tau, f / cap AS f, e / cap AS e, -106 + 0.5::DOUBLE * ((7 * asset) % 25) AS lon, 26 + 0.4::DOUBLE * ((11 * asset) % 25) AS lat FROM ud JOIN uscale USING (asset)),
+hist AS (SELECT * FROM us WHERE day <= 20),
+dist0 AS (SELECT ev.curve_id * 24 + t AS event_id, t, param_id, h.curve_id,
+  sum(CASE WHEN h.tau < t THEN power(0.5::DOUBLE, (t - 1 - h.tau) / forget_rate_f) * power(h.f - ev.f, 2) END) / sum(CASE WHEN h.tau < t THEN power(0.5::DOUBLE, (t - 1 - h.tau) / forget_rate_f) END) AS d_f,
+  sum(power(0.5::DOUBLE, CASE WHEN h.tau < t THEN (t - 1 - h.tau) / forget_rate_e ELSE (h.tau - t) / lookup_rate END) * power(h.e - ev.e, 2)) / sum(power(0.5::DOUBLE, CASE WHEN h.tau < t THEN (t - 1 - h.tau) / forget_rate_e ELSE (h.tau - t) / lookup_rate END)) AS d_e,
+  min({X.hav_sql('h.lon', 'h.lat', 'ev.lon', 'ev.lat')}) AS d_h, min({X.per_sql('h.day', 'ev.day')}) AS d_p, min({X.per_sql('ev.day', 'ev.day + gamma')}) AS big_gamma
+  FROM closed JOIN us ev USING (asset, day) JOIN hist h USING (tau) CROSS JOIN params WHERE ev.day >= 21 AND t < 24 GROUP BY ALL),
+dist AS (SELECT dist0.*, round(least(exp(-d_f / length_scale_f), exp(-d_e / length_scale_e)), 12) AS w, xi, kappa_min, kappa_max FROM dist0 JOIN params USING (param_id)),
+{X.SEL_SQL},
+chosen AS (SELECT event_id, t, param_id, curve_id, w / sum(w) OVER (PARTITION BY event_id, param_id) AS wn FROM sel WHERE in_final),
+fused AS (SELECT event_id, t, param_id, tau - t AS s, f, e, wn FROM chosen JOIN hist USING (curve_id) WHERE tau >= t),
+scen AS (SELECT event_id, t, param_id, s, f * (1 - ({X.LIE_SQL})) + e * ({X.LIE_SQL}) AS m, wn FROM fused JOIN params USING (param_id))
+SELECT event_id // 24 AS event_id, param_id, t, CAST(s AS INTEGER) AS s, sum(wn * m) AS focal, quantile_disc(m, 0.1) AS lower, quantile_disc(m, 0.9) AS upper FROM scen GROUP BY ALL"""
+
+
+@query("stream_stateful_update", sql_rounded(_HOURLY_SQL, "focal lower upper", "event_id param_id t s"))
+def stream_stateful_update(spark, sf):
+    """Forecasts as of every finished hour, from running distances in the stream's state."""
+    return _stateful(spark, sf)
+
+
+def _stateful(spark, sf, curves=N.CURVES):
+    past, means = _static(spark, sf)
+    first, days = X.day_span(spark, sf)
+    out = new_path(spark)
+
+    def as_events(hours):
+        day = F.date_diff(F.to_date("start"), F.lit(first)) + 1
+        at = hours.select(F.col("asset").cast("int").alias("asset"), "start", day.alias("day"), F.hour("start").alias("tau"), "f").where("day >= 21").join(means, "asset")
+        ends = (F.to_date("start") + F.expr("INTERVAL 1 DAY")).cast("timestamp")
+        return at.select((F.col("asset") * days + F.col("day") - 1).cast("long").alias("event_id"), "start", "tau", (F.col("f") / F.col("cap")).alias("f"), "e", X.lon(F.col("asset")).alias("lon"), X.lat(F.col("asset")).alias("lat"), F.col("day").alias("yday"), ends.alias("ends"))
+
+    packed = settle(prep.pack(past, ["curve_id", "lon", "lat", "yday"], f="f", e="e"))
+    state.run_stateful(_stream(spark, sf), out, new_path(spark), as_events, packed, past, X.params(spark), 24, X.PER_HOUR, X.MINUTES, curves=curves)
+    rows = spark.read.schema("event_id long, param_id int, t int, s int, focal double, lower double, upper double").parquet(out)
+    return rounded(rows.select("event_id", "param_id", "t", "s", "focal", "lower", "upper"))

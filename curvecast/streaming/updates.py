@@ -25,8 +25,13 @@ def forecast(events: DataFrame, history: DataFrame, history_long: DataFrame, par
     """event_id, param_id, t, s, focal, lower, upper: each event's fused scenarios in summary, events
     at any number of observed slots t side by side."""
     chosen = N.select(N.near(N.with_weights(events, params, slots, per_hour), history)).where("in_final")
-    weighted = chosen.select(*N.KEYS, "curve_id", (F.col("w") / F.sum("w").over(Window.partitionBy(*N.KEYS))).alias("wn"))
-    rows = weighted.join(events.select("event_id", "t"), "event_id").join(history_long.select("curve_id", "tau", "f", "e"), "curve_id").where(F.col("tau") >= F.col("t"))
+    return summaries(chosen.select(*N.KEYS, "curve_id", "w").join(events.select("event_id", "t"), "event_id"), history_long, params, minutes)
+
+
+def summaries(chosen: DataFrame, history_long: DataFrame, params: DataFrame, minutes: float) -> DataFrame:
+    """event_id, param_id, t, s, focal, lower, upper of the chosen curves (event_id, param_id, t, curve_id, w)."""
+    weighted = chosen.select(*N.KEYS, "t", "curve_id", (F.col("w") / F.sum("w").over(Window.partitionBy(*N.KEYS))).alias("wn"))
+    rows = weighted.join(history_long.select("curve_id", "tau", "f", "e"), "curve_id").where(F.col("tau") >= F.col("t"))
     rows = rows.join(F.broadcast(params), "param_id").withColumn("s", F.col("tau") - F.col("t"))
     eta = C.lie_trust(F.col("s"), F.col("nu"), F.col("trust_rate"), minutes)
     fused = rows.select(*N.KEYS, "t", "s", "wn", (F.col("f") * (1 - eta) + F.col("e") * eta).alias("m"))
