@@ -67,7 +67,7 @@ def _needed(w, d_h, d_p, curve, big_gamma, xi, lo, hi) -> np.ndarray:
 
 def _score_block(ev: pd.DataFrame, past: pd.DataFrame, whole: bool, product: bool) -> pd.DataFrame:
     """The rows of one block of events against one of curves: all (whole) or those needed."""
-    out = []
+    events, out = [], []
     if len(ev) and len(past):
         slots = max(past["e"].map(len).max(), ev["e"].map(len).max())
         hf, he = _dense(past["f"], slots), _dense(past["e"], slots)
@@ -89,15 +89,22 @@ def _score_block(ev: pd.DataFrame, past: pd.DataFrame, whole: bool, product: boo
             w = np.where(fold == r.fold, np.nan, np.fmin(w_f, w_e))  # curves of the event's own fold are left out
             sim = w >= r.xi
             keep = fold != r.fold if whole else _needed(w, d_h, d_p, curve, big, r.xi, r.kappa_min, r.kappa_max)
-            n = int(keep.sum())
-            if not n:
+            at = np.flatnonzero(keep)
+            if not len(at):
                 continue
-            here = sim[keep].astype(np.int64) if whole else np.concatenate([[sim.sum()], np.zeros(n - 1, np.int64)])
-            out.append(pd.DataFrame({
-                "event_id": r.event_id, "param_id": r.param_id, "curve_id": curve[keep], "d_f": d[0][keep], "d_e": d[1][keep], "d_h": d_h[keep], "d_p": d_p[keep], "big_gamma": big,
-                "xi": r.xi, "kappa_min": r.kappa_min, "kappa_max": r.kappa_max, "w_f": w_f[keep], "w_e": w_e[keep], "w": w[keep], "sim_here": here,
-            }))
-    return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in _SCORED.split(", ")})
+            here = sim[at].astype(np.int64)
+            if not whole:
+                here[:] = 0
+                here[0] = sim.sum()
+            events.append((r.event_id, r.param_id, big, r.xi, r.kappa_min, r.kappa_max, len(at)))
+            out.append((curve[at], d[0][at], d[1][at], d_h[at], d_p[at], w_f[at], w_e[at], w[at], here))
+    if not out:
+        return pd.DataFrame({c.split()[0]: [] for c in _SCORED.split(", ")})
+    # One table a block: making one an event would cost more than the distances.
+    by_event = pd.DataFrame(events, columns=["event_id", "param_id", "big_gamma", "xi", "kappa_min", "kappa_max", "n"])
+    by_row = dict(zip(("curve_id", "d_f", "d_e", "d_h", "d_p", "w_f", "w_e", "w", "sim_here"), map(np.concatenate, zip(*out))))
+    rows = {c: np.repeat(by_event[c].to_numpy(), by_event["n"]) for c in by_event.columns[:-1]} | by_row
+    return pd.DataFrame({c.split()[0]: rows[c.split()[0]] for c in _SCORED.split(", ")})
 
 
 def _in_blocks(weighted: DataFrame, history: DataFrame, whole: bool, product: bool, event_rows: int, curves: int) -> DataFrame:

@@ -120,6 +120,20 @@ def embed(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "embeddings").select(F.col("label").cast("long").alias("set_id"), F.col("vec_id").alias("curve_id"), F.posexplode("embedding").alias("tau", "v")).withColumn("v", F.col("v").cast("double"))
 
 
+def supplier_year(spark: SparkSession, sf: str) -> DataFrame:
+    """CURVE_KEYS, tau, f, e by supplier and year, so that curves grow with the tables: revenue and quantity
+    by month as shares of the supplier's largest month before TEST_YEAR, with a place and a day of the year."""
+    items = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("asset"), F.year("l_shipdate").alias("y"), (F.month("l_shipdate") - 1).alias("tau"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"), "l_quantity")
+    sums = items.groupBy("asset", "y", "tau").agg(F.sum("v").alias("f"), F.sum("l_quantity").alias("e"))
+    largest = sums.where(F.col("y") < TEST_YEAR).groupBy("asset").agg(F.max("f").alias("cf"), F.max("e").alias("ce")).where("cf > 0 and ce > 0")
+    filled = sums.groupBy("asset", "y").agg(F.map_from_entries(F.collect_list(F.struct("tau", F.struct("f", "e")))).alias("m"))  # at most SLOTS entries
+    cells = filled.join(largest, "asset").select("*", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("tau")).withColumn("v", F.try_element_at("m", F.col("tau")))
+    share = lambda c: F.least(F.coalesce(F.col(f"v.{c}"), F.lit(0.0)) / F.col(f"c{c}"), F.lit(1.0)).alias(c)
+    a, y = F.col("asset"), F.col("y") - 1995
+    place = [(F.lit(-120.0) + 0.05 * F.pmod(7919 * a, F.lit(1000))).alias("lon"), (F.lit(25.0) + 0.024 * F.pmod(104729 * a, F.lit(1000))).alias("lat")]
+    return cells.select((10_000 * a + F.col("y")).cast("long").alias("curve_id"), "asset", "y", F.pmod(37 * a + 53 * y, F.lit(365)).alias("yday"), *place, "tau", share("f"), share("e"))
+
+
 def year_sets(ny: DataFrame) -> DataFrame:
     """nation_year as one set per year."""
     return ny.select(F.col("y").cast("long").alias("set_id"), "curve_id", "tau", F.col("f").alias("v"))
@@ -161,6 +175,15 @@ def params_sql(param_rows: list[tuple]) -> str:
 NY_SQL, PARAMS_SQL = ny_sql(), params_sql(PARAM_ROWS)
 
 
+SY_SQL = """
+sraw AS (SELECT l_suppkey AS asset, year(l_shipdate) AS y, month(l_shipdate) - 1 AS tau, sum(l_extendedprice * (1 - l_discount)) AS f, sum(l_quantity) AS e FROM lineitem GROUP BY ALL),
+scap AS (SELECT asset, max(f) AS cf, max(e) AS ce FROM sraw WHERE y < 2000 GROUP BY asset HAVING max(f) > 0 AND max(e) > 0),
+scells AS (SELECT asset, y, CAST(k AS INTEGER) AS tau FROM (SELECT DISTINCT asset, y FROM sraw), range(0, 12) AS r(k)),
+sy AS (SELECT CAST(asset * 10000 + y AS BIGINT) AS curve_id, asset, y, (37 * asset + 53 * (y - 1995)) % 365 AS yday, -120 + 0.05::DOUBLE * ((7919 * asset) % 1000) AS lon, 25 + 0.024::DOUBLE * ((104729 * asset) % 1000) AS lat,
+              tau, least(coalesce(f, 0) / cf, 1) AS f, least(coalesce(e, 0) / ce, 1) AS e FROM scells JOIN scap USING (asset) LEFT JOIN sraw USING (asset, y, tau)),
+hist AS (SELECT * FROM sy WHERE y < 2000), ev AS (SELECT * FROM sy WHERE y >= 2000)"""
+
+
 def hav_sql(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     return f"2 * 6371.0 * asin(sqrt(power(sin((radians({lat1}) - radians({lat2})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * power(sin((radians({lon1}) - radians({lon2})) / 2), 2)))"
 

@@ -9,7 +9,7 @@ from curvecast.functions import curves as C
 from curvecast.operators import bands as B
 from curvecast.operators import depth as D
 from curvecast.operators import envelope as E
-from curvecast.operators import fuse, hist, prep, ranks
+from curvecast.operators import fuse, hist, prep, ranks, site_index
 from curvecast.operators import neighbors as N
 from curvecast.plans import fixtures as X
 from curvecast.plans.registry import query, rounded, sql_rounded
@@ -123,6 +123,18 @@ def nn_select(spark, sf):
     return N.select(X.scored(spark, sf)[1]).where("in_sim or in_final").select("event_id", "param_id", "curve_id", "in_sim", "in_temporal", "in_spatial", "in_final")
 
 
+#: Few and wide blocks, for as few curves as the given tables have.
+_DEGREES, _SEASON_DAYS = 10.0, 60
+
+
+@query("nn_select_indexed", sql_rounded("WITH " + ",\n".join([X.SY_SQL, X.PARAMS_SQL, X.DIST_SQL, X.SEL_SQL]) + "\nSELECT event_id, param_id, curve_id, sigma FROM sel WHERE in_final", "sigma", _K, 4))
+def nn_select_indexed(spark, sf):
+    """Selection among suppliers' years through the index of places and seasons."""
+    sy = settle(X.supplier_year(spark, sf))
+    found = site_index.near(N.with_weights(X.events(sy), X.params(spark), X.SLOTS, X.PER_HOUR), X.history(sy), settle, _DEGREES, _SEASON_DAYS)
+    return rounded(N.select(found).where("in_final").select("event_id", "param_id", "curve_id", "sigma"), 4)
+
+
 def _older(grow: bool) -> str:
     status = "CASE WHEN c < kappa_min THEN 4 ELSE 2 * bd + fr END" if grow else "CASE WHEN c < kappa_min OR fr = 1 THEN 2 ELSE bd END"
     p = "PARTITION BY event_id, param_id"
