@@ -10,6 +10,7 @@ from curvecast.plans import fixtures as X
 from curvecast.plans.registry import query, rounded, sql_rounded
 from curvecast.plans.workdir import new_path
 from curvecast.sources import readers as R
+from curvecast.sources import xlsx
 
 # Sources: each table is first written in the reader's own format by Spark, then read back ---------
 
@@ -23,6 +24,15 @@ def src_sites_wind(spark, sf):
     return R.read_sites_wind(spark, path)
 
 
+@query("src_sites_wind_xlsx", _SITES_OUT)
+def src_sites_wind_xlsx(spark, sf):
+    """Sites from workbooks, several in a folder."""
+    xlsx.register(spark)
+    path = new_path(spark)
+    X.sites(spark, sf).select(F.col("n_name").alias("Facility.Name"), F.col("lon").alias("longi"), F.col("lat").alias("lati"), (F.col("asset") + 1.0).alias("Capacity")).repartition(3).write.format("xlsx").mode("append").save(path)
+    return R.read_sites_wind_xlsx(spark, path)
+
+
 @query("src_sites_solar", _SITES_OUT)
 def src_sites_solar(spark, sf):
     path = new_path(spark)

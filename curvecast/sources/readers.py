@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curvecast.sources import xlsx
+
 
 def read_sites_wind(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema("`Facility.Name` string, longi double, lati double, Capacity double").csv(path, header=True)
     return raw.select(F.col("`Facility.Name`").alias("name"), F.col("longi").alias("lon"), F.col("lati").alias("lat"), F.col("Capacity").alias("capacity"))
 
 
+def read_sites_wind_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """The same from workbooks: a file, or all of a folder, a partition each."""
+    xlsx.register(spark)
+    raw = spark.read.format("xlsx").schema("`Facility.Name` string, longi double, lati double, Capacity double").load(path)
+    return raw.select(F.col("`Facility.Name`").alias("name"), F.col("longi").alias("lon"), F.col("lati").alias("lat"), F.col("Capacity").alias("capacity"))
+
+
 def read_sites_solar(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema("site_ids string, longitude double, latitude double, AC_capacity_MW double").csv(path, header=True)
     return raw.withColumnsRenamed({"site_ids": "name", "longitude": "lon", "latitude": "lat", "AC_capacity_MW": "capacity"})
