@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from curvecast.functions import curves as C
 from curvecast.operators import depth as D
 
 KEYS = ["event_id", "param_id"]
@@ -54,14 +55,19 @@ def dq_threshold_band(scen: DataFrame, alpha: float) -> DataFrame:
     return scen.join(inside, [*KEYS, "curve_id"]).groupBy(*KEYS, "s").agg(F.min("m").alias("lower"), F.max("m").alias("upper"))
 
 
-def kde_band(scen: DataFrame, alpha: float, width: float, points: int = 1000) -> DataFrame:
+def kde_band(scen: DataFrame, alpha: float, width: float | None = None, points: int = 1000) -> DataFrame:
     """Lower and upper alpha / 2 by a Gaussian kernel's distribution on a grid over [0, 1].
 
-    The density is summed per grid point with a partial aggregate; only (event, lead, point) rows shuffle.
+    width: of the kernel; else Silverman's of each lead's scenarios, and no less than a step of the grid
+    (it is nought where half of them are equal). A lead's scenarios, few by selection, are put in a list
+    once; the grid's points and their running sums stay where that list is, without another shuffle.
     """
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(i.alias("i"), (i / (points - 1)).alias("x"))))
-    keys = [*KEYS, "s"]
-    dens = scen.select(*keys, "m", grid.alias("g")).groupBy(*keys, F.col("g.i").alias("i"), F.col("g.x").alias("x")).agg(F.sum(F.exp(-0.5 * F.pow((F.col("g.x") - F.col("m")) / width, 2))).alias("p"))
+    step, keys = 1 / (points - 1), [*KEYS, "s"]
+    own = F.lit(float(width)) if width is not None else F.greatest(C.silverman(F.col("m")), F.lit(step))
+    sets = scen.groupBy(*keys).agg(F.collect_list("m").alias("ms"), own.alias("width"))
+    at = sets.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("x", F.col("i") / (points - 1))
+    kernel = lambda total, m: total + F.exp(-0.5 * F.pow((F.col("x") - m) / F.col("width"), 2))
+    dens = at.select(*keys, "i", "x", F.aggregate("ms", F.lit(0.0), kernel).alias("p"))
     order = Window.partitionBy(*keys).orderBy("i")
     cdf = dens.withColumn("c", F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("p").over(Window.partitionBy(*keys)))
     step = cdf.withColumns({"c0": F.lag("c").over(order), "x0": F.lag("x").over(order)})

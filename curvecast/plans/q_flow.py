@@ -459,6 +459,17 @@ def band_kde(spark, sf):
     return rounded(B.kde_band(X.scenarios(spark, sf)[1], 0.2, 0.05, 100))
 
 
+_WIDTH = """,
+kw AS (SELECT event_id, param_id, s, greatest(0.9::DOUBLE * least(stddev_pop(m), (quantile_cont(m, 0.75) - quantile_cont(m, 0.25)) / 1.34::DOUBLE) * power(count(*), -0.2::DOUBLE), 1 / 999.0::DOUBLE) AS width FROM scen GROUP BY ALL),
+kd AS (SELECT event_id, param_id, s, i, i / 999.0::DOUBLE AS x, sum(exp(-0.5::DOUBLE * power((i / 999.0::DOUBLE - m) / width, 2))) AS p FROM scen JOIN kw USING (event_id, param_id, s), range(0, 1000) AS r(i) GROUP BY ALL),"""
+
+
+@query("band_kde_silverman", sql_rounded(_FLOW + _WIDTH + _KDE[_KDE.index("\nkc AS"):] + f"\nSELECT event_id, param_id, s, {_inv_sql(0.1)} AS lower, {_inv_sql(0.9)} AS upper FROM kl GROUP BY ALL", "lower upper", _BK))
+def band_kde_silverman(spark, sf):
+    """On the full grid, each lead with the width of its own scenarios."""
+    return rounded(B.kde_band(X.scenarios(spark, sf)[1], 0.2))
+
+
 def _smooth_sql(step: int) -> str:
     """The smoother is a fixed matrix of the grid; the table of it is given, the sums are SQL."""
     leads = X.SLOTS - X.T

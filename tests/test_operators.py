@@ -378,3 +378,17 @@ def test_quantiles_and_ranks_of_a_hot_group_spread_over_tasks(spark):
     counts = df.where("v is not null").groupBy("g", "v").count()
     per = settle(counts.repartitionByRange(7, "g", "v").withColumn("p", F.spark_partition_id())).where("g = 'hot'").groupBy("p").count().collect()
     assert len(per) >= 5 and max(r["count"] for r in per) < 1500
+
+
+def test_kde_bands_equal_numpy_on_the_full_grid(spark):
+    rng = random.Random(8)
+    sets = {0: [rng.random() for _ in range(15)], 1: [0.4] * 9, 2: [0.1] * 6 + [0.9], 3: [rng.random() * 0.05 for _ in range(4)]}
+    scen = spark.createDataFrame([(1, 0, s, i, m) for s, ms in sets.items() for i, m in enumerate(ms)], "event_id long, param_id int, s int, curve_id long, m double")
+    x = np.linspace(0, 1, 1000)
+    for width in (None, 0.05):
+        got = {r["s"]: (r["lower"], r["upper"]) for r in bands.kde_band(scen, 0.2, width).collect()}
+        for s, ms in sets.items():
+            m = np.array(ms)
+            silverman = 0.9 * min(m.std(), (np.percentile(m, 75) - np.percentile(m, 25)) / 1.34) * len(m) ** -0.2
+            c = np.cumsum(np.exp(-0.5 * ((x[:, None] - m) / (width or max(silverman, 1 / 999))) ** 2).sum(axis=1))
+            assert np.allclose(got[s], np.interp([0.1, 0.9], c / c[-1], x), atol=1e-9)
