@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ _BATCH_ROWS, _BATCH_BYTES = "1000", str(16 << 20)
 #: Bits of the filter that spares texts a shuffle (4 MB; used up to one hash in 16 bits).
 FILTER_BITS = 1 << 25
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables settled within the settle_last that runs, if one does.
+_on_the_way: ContextVar[list[DataFrame] | None] = ContextVar("on_the_way", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage.
 
-    The shuffle files behind it are removed once it is written: nothing reads them again.
+    The shuffle files behind it are removed once it is written: nothing reads them again. The table
+    itself goes by release or settle_last, at the latest when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
@@ -53,15 +57,38 @@ def settle(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
+    where, files = _place(out)
+    files.deleteOnExit(where)
+    if (made := _on_the_way.get()) is not None:
+        made.append(out)
     return out
 
 
+def _place(df: DataFrame) -> tuple:
+    """The path of a settled table and its file system."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def release(*tables: DataFrame) -> None:
     """Delete settled tables whose readers have all been settled themselves."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = _place(df)
+        files.delete(path, True)
+
+
+def settle_last(make: Callable[[], DataFrame], *spent: DataFrame) -> DataFrame:
+    """settle(make()); then every table that make settled on the way is released, and those in spent."""
+    made: list[DataFrame] = []
+    token = _on_the_way.set(made)
+    try:
+        out = make()
+    finally:
+        _on_the_way.reset(token)
+    kept = settle(out)
+    release(*made, *spent)
+    return kept
 
 
 def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray | None:

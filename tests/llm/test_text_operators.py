@@ -9,9 +9,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 import corpus_pipeline
-from curvecast.llm import decontaminate, jaccard, pieces, pii, run_index
+from curvecast.llm import common, decontaminate, jaccard, pieces, pii, quality, run_index
+from tests.llm.test_small_operators import plain_quality
 
 ODD = [None, "", " ", "  a  b\n\n c\t", "▁x▁ y", "日本語 テスト 🙂", "a" * 1000, "\n", "é" * 70 + " ö"]
 
@@ -517,3 +519,74 @@ def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def plain_kept(text):
+    """The quality stage by itself: base rule, then the ratios of whole and chunks against the bands."""
+    raw, size = (text or "").encode(), lambda b: len(zstandard.ZstdCompressor(level=3).compress(b))
+    if plain_quality(text)[-1]:
+        return False
+    low, high = next(x[1:] for x in quality.BANDS if len(raw) < x[0])
+    whole = [raw[i : i + 4096] for i in range(0, len(raw) - 4095, 4096)]
+    outside = sum(not 0.40 <= size(c) / 4096 <= 0.62 for c in whole)
+    return low <= size(raw) / len(raw) <= high and (not whole or outside / len(whole) <= 0.5)
+
+
+def plain_pipeline(rows, items, weights_of):
+    """doc_id and redacted text that the first four stages leave, by plain means; ids differ."""
+    rows = [(i, t) for i, t in rows if plain_kept(t)]
+    home = {i: c for i, _, c in plain_classes([t for _, t in rows], [i for i, _ in rows])}
+    rows = [(i, t) for i, t in rows if home[i] == i]
+    rows = [(i, t) for i, t in rows if not any(plain_leaks(t, item) for item in items)]
+    weights, out = weights_of(rows), {}
+    for i, t in rows:
+        done, parts = 0, []
+        for s, k, e in pii.decide(t, weights)[1]:
+            if s >= done:
+                parts.append(t[done:s] + f"[{pii.KINDS[k].upper()}]")
+            done = max(done, e)
+        out[i] = "".join(parts) + t[done:]
+    return out
+
+
+def test_pipeline_equals_plain(spark, tmp_path, monkeypatch):
+    """Near copies, leaks, personal data, junk, null and empty texts, and a column of the caller's own."""
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    prose = [r["text"] for r in given if 400 < len(r["text"]) < 3000 and plain_kept(r["text"])][:40]
+    items = [ITEM, "Each of the 12 small boats carries 30 people over the wide lake and returns to the harbour before the evening bell rings"]
+    texts = list(prose)
+    for t in prose[:12]:
+        w = t.split(" ")
+        texts += [" ".join([*w[:-1], "changed"]), " ".join([*w[: len(w) // 2], items[len(texts) % 2].replace("12", "15"), *w[len(w) // 2 :]])]
+        texts.append(f"{t} Please write to ann{len(texts)}@mail.example.com or call +1 (017) 555-7713 from 10.0.0.{len(texts)} now, as was agreed at the town hall that day.")
+    texts += [None, "", " \n", "few words", "same words again " * 60, prose[0], prose[0].upper()]
+    rows = [(1000 - i, t) for i, t in enumerate(texts)]
+    data = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "own") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, th string")
+    data.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = plain_pipeline(rows, items, lambda kept: pii.fit(spark.createDataFrame(kept, "doc_id long, text string")))
+    made, settle = [], common.settle
+    monkeypatch.setattr(common, "settle", lambda df: made.append(settle(df)) or made[-1])
+    got = corpus_pipeline.run(spark, str(tmp_path)).cache()
+    assert got.where("not lossless").count() == 0
+    assert {r["doc_id"]: r["text"] for r in pieces.decode_documents(got).collect()} == want and got.count() == len(want)
+    assert 10 < len(want) < len(rows) - 20 and any("[EMAIL]" in t and "[IP]" in t for t in want.values())
+    # Of the stages' own tables only the one that the last stage reads is left.
+    there = [common._place(df)[1].exists(common._place(df)[0]) for df in made]
+    assert len(there) == 4 and there == [False, False, False, True]
+
+
+def test_settled_tables_go_with_their_scope(spark):
+    seen = []
+
+    def make():
+        seen.append(common.settle(spark.range(5)))
+        seen.append(common.settle_last(lambda: common.settle(spark.range(3)).union(seen[0])))
+        return seen[1].distinct()
+
+    exists = lambda df: common._place(df)[1].exists(common._place(df)[0])
+    out = common.settle_last(make)
+    assert out.count() == 5 and exists(out) and not any(map(exists, seen))
+    with pytest.raises(ZeroDivisionError):
+        common.settle_last(lambda: 1 // 0)
+    assert common._on_the_way.get() is None and exists(common.settle(spark.range(1)))
