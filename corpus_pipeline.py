@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from curvecast.llm import decontaminate, jaccard, pieces, pii, quality
-from curvecast.llm.common import settle, table
+from curvecast.llm.common import settle_last, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table, and those it needed on the way, go once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        docs = settle_last(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), *before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
