@@ -6,6 +6,8 @@ kappa_max curves; the sets spread over the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,6 +30,24 @@ def mbd_matrix(y: np.ndarray) -> np.ndarray:
     return (1 - (below * (below - 1) + above * (above - 1)) / (n * (n - 1))).mean(axis=1)
 
 
+def integrated_matrix(y: np.ndarray) -> np.ndarray:
+    """Fraiman-Muniz depth of the rows of y: the mean of 1 - |1/2 - F(x)|."""
+    order = np.sort(y, axis=0)
+    share = np.stack([np.searchsorted(order[:, j], y[:, j], "right") for j in range(y.shape[1])], axis=1) / len(y)
+    return (1 - np.abs(0.5 - share)).mean(axis=1)
+
+
+def l_infinity_matrix(y: np.ndarray) -> np.ndarray:
+    """1 / (1 + the mean largest distance to the other rows)."""
+    if len(y) < 2:
+        return np.zeros(len(y))
+    return 1 / (1 + np.abs(y[:, None] - y[None]).max(axis=2).sum(axis=1) / (len(y) - 1))
+
+
+#: Depths of the few curves of one set; each is the depth of that name over whole tables.
+DEPTHS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"MBD": mbd_matrix, "ID": integrated_matrix, "LD": l_infinity_matrix}
+
+
 def focal_distances(scen: DataFrame, depths: DataFrame) -> DataFrame:
     """curve_id with sup and squared L2 distance to its set's deepest curve."""
     first = Window.partitionBy("set_id").orderBy(F.col("depth").desc(), "curve_id")
@@ -37,15 +57,15 @@ def focal_distances(scen: DataFrame, depths: DataFrame) -> DataFrame:
     return scen.join(f, [*KEYS, "s"]).groupBy(*KEYS, "curve_id", "focal_id").agg(F.max(F.abs(d)).alias("sup"), F.sum(d * d).alias("l2"))
 
 
-def greedy_envelope(y: np.ndarray, distance: np.ndarray | None, kind: str, most: int = 100) -> list[int]:
-    """Row numbers of the envelope, deepest first.
+def greedy_envelope(y: np.ndarray, distance: np.ndarray | None, kind: str, most: int = 100, depth: Callable[[np.ndarray], np.ndarray] = mbd_matrix) -> list[int]:
+    """Row numbers of the envelope, deepest first by `depth`.
 
     Each round walks the pool by distance. The nearest curve opens the round's sample unchecked and
     stays in the pool until another is accepted; a curve is accepted if, with the sample, it has
     the focal curve strictly between at some slot that isn't surrounded yet. The sample joins the
     envelope if the focal curve is no less deep in it than in any round before.
     """
-    focal = int(np.argsort(-mbd_matrix(y), kind="stable")[0])
+    focal = int(np.argsort(-depth(y), kind="stable")[0])
     gap = y - y[focal]
     if distance is None:
         distance = np.abs(gap).max(axis=1) if kind == "sup" else (gap**2).sum(axis=1)
@@ -67,7 +87,7 @@ def greedy_envelope(y: np.ndarray, distance: np.ndarray | None, kind: str, most:
                 total += sign[c]
                 pool = [p for p in pool if p not in sample]
         group = [focal, *chosen, *sample]
-        order = np.argsort(-mbd_matrix(y[group]), kind="stable")
+        order = np.argsort(-depth(y[group]), kind="stable")
         place = 1 - int(np.flatnonzero(order == 0)[0]) / (len(group) - 1)
         if best <= place:
             chosen += sample
@@ -75,19 +95,21 @@ def greedy_envelope(y: np.ndarray, distance: np.ndarray | None, kind: str, most:
         if not left:
             break
     group = [focal, *chosen]
-    return [group[i] for i in np.argsort(-mbd_matrix(y[group]), kind="stable")]
+    return [group[i] for i in np.argsort(-depth(y[group]), kind="stable")]
 
 
-def focal_envelope(scen: DataFrame, kind: str = "l2") -> DataFrame:
+def focal_envelope(scen: DataFrame, kind: str = "l2", depth: str | Callable[[np.ndarray], np.ndarray] = "MBD") -> DataFrame:
     """event_id, param_id, curve_id, place (0: the deepest) of each set's envelope.
 
     kind: "sup", "l2", or "similarity" (1 - w of column `w`, the most similar first).
+    depth: a name in DEPTHS, or a function from a set's curves (a row each) to their depths.
     """
+    measure = DEPTHS[depth] if isinstance(depth, str) else depth
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="curve_id", columns="s", values="m")
         given = 1 - pdf.groupby("curve_id")["w"].first().reindex(wide.index).to_numpy() if kind == "similarity" else None
-        order = greedy_envelope(wide.to_numpy(), given, kind)
+        order = greedy_envelope(wide.to_numpy(), given, kind, depth=measure)
         return pd.DataFrame({"event_id": pdf["event_id"].iloc[0], "param_id": pdf["param_id"].iloc[0], "curve_id": wide.index.to_numpy()[order], "place": range(len(order))})
 
     return scen.groupBy(*KEYS).applyInPandas(run, "event_id long, param_id int, curve_id long, place int")

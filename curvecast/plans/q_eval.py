@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from curvecast.functions import curves as C
@@ -13,7 +15,7 @@ from curvecast.plans import fixtures as X
 from curvecast.plans.q_flow import _BUCKET, _MBD_SET, _SETS, _buckets, _dq_sql
 from curvecast.plans.q_prep import _cdf_sql
 from curvecast.plans.registry import query, rounded, sql_rounded
-from curvecast.plans.workdir import new_path, settle
+from curvecast.plans.workdir import new_path, settle, settle_last
 from curvecast.streaming import state, updates
 
 _FLOW, _BAND, _SEL = "WITH " + X.FLOW_SQL, "WITH " + X.BAND_SQL, "WITH " + X.SELECT_SQL
@@ -247,9 +249,10 @@ def exp_param_grid(spark, sf):
 
 def _validated(spark, sf, param_rows=X.PARAM_ROWS, times=(X.T,)):
     """t, event_id, param_id, wis_f, wis_e, rmse_s, rmse_tau, n_scenarios at each update time."""
-    out, ny, params = None, settle(X.nation_year(spark, sf)), X.params(spark, param_rows)
+    ny, params = settle(X.nation_year(spark, sf)), X.params(spark, param_rows)
     past = settle(X.history(ny))  # formed once, whatever the number of times
-    for at in times:
+
+    def scored(at):
         weighted = settle(N.with_weights(X.events(ny, at), params, X.SLOTS, X.PER_HOUR))
         sel = N.select(N.near(weighted, past))
         scen = settle(fuse.scenarios(sel, ny.where(F.col("y") < X.TEST_YEAR), params, at, fuse.lie(X.MINUTES)))
@@ -258,9 +261,10 @@ def _validated(spark, sf, param_rows=X.PARAM_ROWS, times=(X.T,)):
         wis_f = scores.weighted_interval_score(own).withColumnRenamed("wis", "wis_f")
         wis_e = scores.weighted_interval_score(own.withColumns({"y": F.col("e")})).withColumnRenamed("wis", "wis_e")
         one = wis_f.join(wis_e, ["event_id", "param_id"]).join(_rmse_pair(ny, scen, at), ["event_id", "param_id"]).join(n, ["event_id", "param_id"])
-        one = one.select(F.lit(at).alias("t"), "event_id", "param_id", "wis_f", "wis_e", "rmse_s", "rmse_tau", "n_scenarios")
-        out = one if out is None else out.unionByName(one)
-    return out
+        return one.select(F.lit(at).alias("t"), "event_id", "param_id", "wis_f", "wis_e", "rmse_s", "rmse_tau", "n_scenarios")
+
+    # A time's scores are a row an event and parameter; its scenarios go once these are written.
+    return functools.reduce(lambda a, b: a.unionByName(b), [settle_last(lambda at=at: scored(at)) for at in times])
 
 
 _WIS_E = _WIS.replace("wl AS", "wle AS").replace("wis AS (", "wise AS (").replace("FROM wl", "FROM wle").replace("abs(y -", "abs(e -").replace("lower - y", "lower - e").replace("y - upper", "e - upper")
@@ -298,16 +302,17 @@ def _envelope_scores(spark, sf, scen, ny):
     """Each fraction's band of the envelope by each distance, scored at each level."""
     n = scen.groupBy("event_id", "param_id").agg(F.count_distinct("curve_id").alias("n_scenarios"))
     alphas = F.explode(F.array(*[F.lit(a) for a in _ENVELOPE_ALPHAS])).alias("alpha")
-    out = None
-    for kind in ("sup", "l2", "similarity"):
+
+    def scored(kind):
         env = settle(E.focal_envelope(scen, kind))
         size = env.groupBy("event_id", "param_id").agg(F.count(F.lit(1)).alias("n_envelope"))
         rows = scores.with_truth(E.functional_bands(scen, env, n, _FRACTIONS), X.truth(ny)).where("lower is not null")
         rows = rows.select("*", alphas)
         inside = (F.col("y") >= F.col("lower")) & (F.col("y") <= F.col("upper"))
         one = rows.groupBy("event_id", "param_id", "fraction", "alpha").agg(F.sum(scores.interval(F.col("lower"), F.col("upper"), F.col("y"), F.col("alpha"))).alias("wis"), F.avg(inside.cast("double")).alias("fcs"))
-        one = one.join(n.join(size, ["event_id", "param_id"]), ["event_id", "param_id"]).withColumn("distance", F.lit(kind))
-        out = one if out is None else out.unionByName(one)
+        return one.join(n.join(size, ["event_id", "param_id"]), ["event_id", "param_id"]).withColumn("distance", F.lit(kind))
+
+    out = functools.reduce(lambda a, b: a.unionByName(b), [settle_last(lambda kind=kind: scored(kind)) for kind in ("sup", "l2", "similarity")])
     return out.select("event_id", "param_id", "distance", "fraction", "alpha", F.floor(F.col("fraction") * F.col("n_scenarios")).alias("k"), "n_scenarios", "n_envelope", "wis", "fcs")
 
 

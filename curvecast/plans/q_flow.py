@@ -9,7 +9,7 @@ from curvecast.functions import curves as C
 from curvecast.operators import bands as B
 from curvecast.operators import depth as D
 from curvecast.operators import envelope as E
-from curvecast.operators import fuse, hist, prep, ranks, site_index
+from curvecast.operators import fuse, hist, prep, ranks, site_index, site_pairs
 from curvecast.operators import neighbors as N
 from curvecast.plans import fixtures as X
 from curvecast.plans.registry import query, rounded, sql_rounded
@@ -36,6 +36,36 @@ def join_dist_matrix(spark, sf):
     return rounded(N.distances(N.with_weights(X.events(ny), X.params(spark), X.SLOTS, X.PER_HOUR), X.history(ny), product=True).select("event_id", "param_id", "curve_id", "d_f", "d_e"))
 
 
+_NEAR_KM, _NEAR_DAYS = 250.0, 45
+_SITES_SQL = "WITH " + X.SY_SQL + f""",
+el AS (SELECT DISTINCT curve_id AS event_id, lon, lat, yday FROM ev), hl AS (SELECT DISTINCT curve_id, lon, lat, yday FROM hist),
+ep AS (SELECT DISTINCT lon, lat FROM el), hp AS (SELECT DISTINCT lon AS lon_2, lat AS lat_2 FROM hl),
+sp AS (SELECT *, {X.hav_sql("lon", "lat", "lon_2", "lat_2")} AS d_h FROM ep CROSS JOIN hp),
+dp AS (SELECT *, {X.per_sql("yday", "yday_2")} AS d_p FROM (SELECT DISTINCT yday FROM el) CROSS JOIN (SELECT DISTINCT yday AS yday_2 FROM hl) WHERE least((yday - yday_2 + 730) % 365, (yday_2 - yday + 730) % 365) <= {_NEAR_DAYS})"""
+
+
+def _supplier_sides(spark, sf):
+    sy = settle(X.supplier_year(spark, sf))
+    return X.events(sy), X.history(sy)
+
+
+@query("join_sites_within", sql_rounded(_SITES_SQL + f"\nSELECT lon, lat, lon_2, lat_2, d_h FROM sp WHERE d_h <= {_NEAR_KM}", "lon lat lon_2 lat_2 d_h"))
+def join_sites_within(spark, sf):
+    """Suppliers' places near one another, found by cells of the sphere."""
+    return rounded(site_pairs.within(*_supplier_sides(spark, sf), _NEAR_KM))
+
+
+@query("join_days_within", sql_rounded(_SITES_SQL + "\nSELECT CAST(yday AS INTEGER) AS yday, CAST(yday_2 AS INTEGER) AS yday_2, d_p FROM dp", "d_p", "yday yday_2"))
+def join_days_within(spark, sf):
+    return rounded(site_pairs.days_within(*_supplier_sides(spark, sf), _NEAR_DAYS))
+
+
+@query("join_near_candidates", sql_rounded(_SITES_SQL + f"\nSELECT event_id, curve_id, d_h, d_p FROM el JOIN dp USING (yday) JOIN sp USING (lon, lat) JOIN hl ON hl.lon = lon_2 AND hl.lat = lat_2 AND hl.yday = yday_2 WHERE d_h <= {_NEAR_KM}", "d_h d_p", "event_id curve_id"))
+def join_near_candidates(spark, sf):
+    """Events and curves near in place and season, by the two tables of pairs."""
+    return rounded(site_pairs.candidates(*_supplier_sides(spark, sf), _NEAR_KM, _NEAR_DAYS))
+
+
 @query("join_similarity", sql_rounded(_DIST + "\nSELECT event_id, param_id, curve_id, w_f, w_e, w FROM dist", "w_f w_e w", _K))
 def join_similarity(spark, sf):
     return rounded(X.scored(spark, sf)[1].select("event_id", "param_id", "curve_id", "w_f", "w_e", "w"))
@@ -496,6 +526,16 @@ def env_focal(spark, sf):
     return E.focal_envelope(_scen_with_w(spark, sf), "l2")
 
 
+@query("env_focal_depths")
+def env_focal_depths(spark, sf):
+    """Envelopes by each depth that they can be built with."""
+    scen, out = settle(_scen_with_w(spark, sf)), None
+    for name in sorted(E.DEPTHS):
+        one = E.focal_envelope(scen, "l2", name).withColumn("method", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _FOCAL = _FLOW + _SETS + _MBD_SET + ",\nfo AS (SELECT event_id, param_id, curve_id AS focal_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id, param_id ORDER BY depth DESC, curve_id) AS r FROM dd) WHERE r = 1),\nfm AS (SELECT event_id, param_id, s, focal_id, m AS fm FROM scen JOIN fo USING (event_id, param_id) WHERE curve_id = focal_id)"
 
 
