@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,40 +20,56 @@ def mean(x: DataFrame) -> DataFrame:
     return x.groupBy("set_id", "tau").agg(F.avg("v").alias("mu"))
 
 
+#: Curves that a task lays out as one matrix, and the sums that it holds before it passes them on.
+_ROWS, _SUMS = 1000, 2**20
+
+
+def _packed(x: DataFrame, value: str) -> DataFrame:
+    """set_id, curve_id and the arrays taus and vs of a curve's slots that have a value, in order."""
+    rows = F.sort_array(F.collect_list(F.struct("tau", F.col(value).alias("v"))))
+    packed = x.where(F.col(value).isNotNull()).groupBy("set_id", "curve_id").agg(rows.alias("_c"))
+    return packed.select("set_id", "curve_id", F.col("_c.tau").cast("array<int>").alias("taus"), F.col("_c.v").cast("array<double>").alias("vs"))
+
+
 def covariance(x: DataFrame) -> DataFrame:
     """Sample covariance by pair of slots, tau1 <= tau2, over the curves that have both.
 
-    Curves go as arrays; each task adds up T x T products of its own and sends them once a set.
+    Curves go as arrays, read as Arrow buffers with no Python object a slot; each task adds up T x T
+    products of its own and sends them by pair of slots, so that no task holds what all others sent.
     """
-    centred = x.join(mean(x), ["set_id", "tau"]).groupBy("set_id", "curve_id").agg(F.sort_array(F.collect_list(F.struct("tau", (F.col("v") - F.col("mu")).alias("d")))).alias("c"))
+    centred = _packed(x.join(mean(x), ["set_id", "tau"]).withColumn("d", F.col("v") - F.col("mu")), "d")
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            for key, own in b.groupby("set_id"):
-                top = max((c[-1]["tau"] for c in own["c"]), default=-1) + 1
-                rows, has = np.zeros((len(own), top)), np.zeros((len(own), top))
-                for i, c in enumerate(own["c"]):
-                    at = [p["tau"] for p in c]
-                    rows[i, at], has[i, at] = [p["d"] for p in c], 1
-                new = [rows.T @ rows, rows.T @ has, has.T @ has]
-                old = sums.get(key, new)
-                size = max(len(old[0]), top)
-                grown = lambda m, size=size: np.pad(m, (0, size - len(m)))
-                sums[key] = new if key not in sums else [grown(p) + grown(q) for p, q in zip(old, new, strict=True)]
+    def sent(sums: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for key, (s, a, n) in sums.items():
-            yield pd.DataFrame({"set_id": key, "size": len(s), "s": [s.ravel()], "a": [a.ravel()], "n": [n.ravel()]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = pdf["size"].max()
-        s, a, n = (sum(np.pad(np.reshape(m, (k, k)), (0, size - k)) for m, k in zip(pdf[c], pdf["size"], strict=True)) for c in ("s", "a", "n"))
-        i, j = np.triu_indices(size)
-        i, j = i[n[i, j] > 0], j[n[i, j] > 0]
-        cov = np.divide(s[i, j] - a[i, j] * a[j, i] / n[i, j], n[i, j] - 1, out=np.full(len(i), np.nan), where=n[i, j] > 1)
-        return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "tau1": i, "tau2": j, "cov": cov})
+            i, j = np.nonzero(np.triu(n))
+            cols = {"set_id": np.full(len(i), key, dtype=np.int64), "tau1": i.astype(np.int32), "tau2": j.astype(np.int32), "s": s[i, j], "a1": a[i, j], "a2": a[j, i], "n": n[i, j]}
+            yield pa.RecordBatch.from_pydict(cols)
 
-    parts = centred.select("set_id", "c").mapInPandas(partial, "set_id long, size int, s array<double>, a array<double>, n array<double>")
-    return parts.groupBy("set_id").applyInPandas(merge, "set_id long, tau1 int, tau2 int, cov double")
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for own in (b.slice(start, _ROWS) for start in range(0, b.num_rows, _ROWS)):
+                keys, taus = own["set_id"].to_numpy(zero_copy_only=False), own["taus"].flatten().to_numpy(zero_copy_only=False)
+                at = np.repeat(np.arange(len(keys)), pc.list_value_length(own["taus"]).to_numpy(zero_copy_only=False)), taus
+                top = int(taus.max(initial=-1)) + 1
+                rows, has = np.zeros((len(keys), top)), np.zeros((len(keys), top))
+                rows[at], has[at] = own["vs"].flatten().to_numpy(zero_copy_only=False), 1
+                for key in np.unique(keys):
+                    r, h = rows[keys == key], has[keys == key]
+                    new = [r.T @ r, r.T @ h, h.T @ h]
+                    old = sums.get(key, new)
+                    size = max(len(old[0]), top)
+                    grown = lambda m, size=size: np.pad(m, (0, size - len(m)))
+                    sums[key] = new if key not in sums else [grown(p) + grown(q) for p, q in zip(old, new, strict=True)]
+                if sum(m[0].size for m in sums.values()) > _SUMS:
+                    yield from sent(sums)
+                    sums = {}
+        yield from sent(sums)
+
+    parts = centred.select("set_id", "taus", "vs").mapInArrow(partial, "set_id long, tau1 int, tau2 int, s double, a1 double, a2 double, n double")
+    total = parts.groupBy("set_id", "tau1", "tau2").agg(*[F.sum(c).alias(c) for c in ("s", "a1", "a2", "n")])
+    cov = F.when(F.col("n") > 1, (F.col("s") - F.col("a1") * F.col("a2") / F.col("n")) / (F.col("n") - 1))
+    return total.select("set_id", "tau1", "tau2", cov.alias("cov"))
 
 
 def noise(x: DataFrame) -> DataFrame:
@@ -104,36 +122,37 @@ def expected_scores(x: DataFrame, mu: DataFrame, phi: DataFrame, error: DataFram
     nought. Curves without any value (of a slot that the model has) have no row. A set's curves are
     dealt out `curves` at a time, each part with a copy of the set's model (slots x components).
     """
-    packed = x.where(F.col("v").isNotNull()).groupBy("set_id", "curve_id").agg(F.sort_array(F.collect_list(F.struct("tau", "v"))).alias("c"))
+    packed = _packed(x, "v")
     parts = x.where(F.col("v").isNotNull()).select("set_id", "curve_id").distinct().groupBy("set_id").agg(F.ceil(F.count(F.lit(1)) / curves).cast("int").alias("_n"))
     dealt = packed.join(parts, "set_id").withColumn("_b", F.pmod(F.xxhash64("curve_id"), F.col("_n")).cast("int")).drop("_n")
     rows = F.sort_array(F.collect_list(F.struct("tau", "mu", "phi")))
-    model = phi.join(mu, ["set_id", "tau"]).groupBy("set_id", "k", "eigenvalue").agg(rows.alias("m")).join(error, "set_id")
+    model = phi.join(mu, ["set_id", "tau"]).groupBy("set_id", "k", "eigenvalue").agg(rows.alias("m"))
+    model = model.select("set_id", "k", "eigenvalue", F.col("m.tau").alias("taus"), F.col("m.mu").alias("mu"), F.col("m.phi").alias("phi")).join(error, "set_id")
     model = model.join(parts, "set_id").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
 
     def score(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"set_id": [], "curve_id": [], "k": [], "score": []})]
-        if len(own) and len(model):
-            model = model.sort_values("k")
-            at = {r["tau"]: i for i, r in enumerate(model["m"].iloc[0])}
-            centre = np.array([r["mu"] for r in model["m"].iloc[0]])
-            p = np.array([[r["phi"] for r in m] for m in model["m"]]).T
-            value, s = model["eigenvalue"].to_numpy(), float(model["sigma2"].iloc[0])
-            has = value > 0
-            alike: dict[tuple, list[int]] = {}  # curves with the same slots share one matrix
-            seen = [[(at[r["tau"]], r["v"]) for r in c if r["tau"] in at] for c in own["c"]]
-            for i, c in enumerate(seen):
-                alike.setdefault(tuple(t for t, _ in c), []).append(i)
-            for slots, which in alike.items():
-                if not slots:
-                    continue
-                q = p[list(slots)][:, has]
-                d = np.array([[v for _, v in seen[i]] for i in which]) - centre[list(slots)]
-                scores = np.zeros((len(which), len(value)))
-                scores[:, has] = np.linalg.lstsq(q.T @ q + np.diag(s / value[has]), q.T @ d.T, rcond=None)[0].T
-                ids = own["curve_id"].to_numpy()[which]
-                out.append(pd.DataFrame({"set_id": own["set_id"].iloc[0], "curve_id": np.repeat(ids, len(value)), "k": np.tile(model["k"].to_numpy(), len(which)), "score": scores.ravel()}))
-        return pd.concat(out)
+        if not len(own) or not len(model):
+            return pd.DataFrame({"set_id": [], "curve_id": [], "k": [], "score": []})
+        model = model.sort_values("k")
+        slots, centre, p = np.asarray(model["taus"].iloc[0]), np.asarray(model["mu"].iloc[0]), np.column_stack(model["phi"])
+        value, s = model["eigenvalue"].to_numpy(), float(model["sigma2"].iloc[0])
+        some = value > 0
+        row, taus, vs = np.repeat(np.arange(len(own)), own["taus"].map(len)), np.concatenate(own["taus"].to_numpy()), np.concatenate(own["vs"].to_numpy())
+        at = np.minimum(np.searchsorted(slots, taus), len(slots) - 1)
+        known = slots[at] == taus
+        d, has = np.zeros((len(own), len(slots))), np.zeros((len(own), len(slots)), dtype=bool)
+        d[row[known], at[known]], has[row[known], at[known]] = vs[known] - centre[at[known]], True
+        alike: dict[bytes, list[int]] = {}  # curves with the same slots share one matrix
+        for i in np.flatnonzero(has.any(axis=1)):
+            alike.setdefault(has[i].tobytes(), []).append(i)
+        scores = np.zeros((len(own), len(value)))
+        for which in alike.values():
+            seen = has[which[0]]
+            q = p[seen][:, some]
+            scores[np.ix_(which, some)] = np.linalg.lstsq(q.T @ q + np.diag(s / value[some]), q.T @ d[which][:, seen].T, rcond=None)[0].T
+        scored = np.flatnonzero(has.any(axis=1))
+        ids = own["curve_id"].to_numpy()[scored]
+        return pd.DataFrame({"set_id": own["set_id"].iloc[0], "curve_id": np.repeat(ids, len(value)), "k": np.tile(model["k"].to_numpy(), len(ids)), "score": scores[scored].ravel()})
 
     return dealt.groupBy("set_id", "_b").cogroup(model.groupBy("set_id", "_b")).applyInPandas(score, "set_id long, curve_id long, k int, score double")
 

@@ -392,3 +392,23 @@ def test_kde_bands_equal_numpy_on_the_full_grid(spark):
             silverman = 0.9 * min(m.std(), (np.percentile(m, 75) - np.percentile(m, 25)) / 1.34) * len(m) ** -0.2
             c = np.cumsum(np.exp(-0.5 * ((x[:, None] - m) / (width or max(silverman, 1 / 999))) ** 2).sum(axis=1))
             assert np.allclose(got[s], np.interp([0.1, 0.9], c / c[-1], x), atol=1e-9)
+
+
+def test_curves_reach_tasks_as_arrays_and_leave_as_pairs(spark):
+    """No Python object a slot, no set's partial sums whole in a task; slots without a value count as missing."""
+    rng = np.random.default_rng(11)
+    y = rng.normal(size=(2500, 5))
+    y[::3, 2], y[1::4, 4] = np.nan, np.nan  # more curves than a task lays out at once
+    rows = [(1, i, t, None if np.isnan(v) else float(v)) for i, row in enumerate(y) for t, v in enumerate(row)]
+    x = spark.createDataFrame([*rows, (2, 9, 7, 1.0)], "set_id long, curve_id long, tau int, v double")
+    cov = fpca.covariance(x)
+    assert "FlatMapGroups" not in cov._jdf.queryExecution().executedPlan().toString()
+    got = {(r["set_id"], r["tau1"], r["tau2"]): r["cov"] for r in cov.collect()}
+    assert got.pop((2, 7, 7)) is None and len(got) == 15
+    for (_, i, j), c in got.items():
+        both = ~np.isnan(y[:, i]) & ~np.isnan(y[:, j])
+        assert np.isclose(c, np.cov(y[both, i], y[both, j])[0, 1], atol=1e-10)
+    error, phi = fpca.noise(x.where("set_id = 1")), fpca.fit(x.where("set_id = 1"), 2)
+    plan = fpca.expected_scores(x, fpca.mean(x), phi, error)._jdf.queryExecution().analyzed().treeString()
+    at = next(line for line in plan.splitlines() if "FlatMapCoGroups" in line)
+    assert "taus#" in at and "vs#" in at
