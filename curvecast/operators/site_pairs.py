@@ -54,10 +54,14 @@ def days_within(left: DataFrame, right: DataFrame, days: int) -> DataFrame:
 def candidates(events: DataFrame, history: DataFrame, km: float, days: int) -> DataFrame:
     """event_id, curve_id, d_h, d_p of every event and curve near in place and season.
 
-    events: event_id, lon, lat, yday; history: curve_id and the same. The two small tables of pairs
-    meet the events first, so a curve is read by its place and day and never met by all events.
+    events: event_id, lon, lat, yday; history: curve_id and the same. Events go out once for each near
+    place and each stretch of `days` days that holds a near one (at most four), never once a day, and
+    meet the curves of that place and stretch; the table of near days, of fixed size, then picks the pairs.
     """
     ev = events.select("event_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col("yday").cast("int").alias("yday"))
     past = history.select("curve_id", F.col("lon").cast("double").alias("lon_2"), F.col("lat").cast("double").alias("lat_2"), F.col("yday").cast("int").alias("yday_2"))
-    at = ev.join(within(events, history, km), ["lon", "lat"]).join(days_within(events, history, days), "yday")
-    return at.join(past, ["lon_2", "lat_2", "yday_2"]).select("event_id", "curve_id", "d_h", "d_p")
+    stretch = F.floor(F.col("yday_2") / max(days, 1)).alias("_stretch")
+    near = days_within(events, history, days)
+    at = ev.join(within(events, history, km), ["lon", "lat"]).join(F.broadcast(near.select("yday", stretch).distinct()), "yday")
+    both = at.drop("lon", "lat").join(past.withColumn("_stretch", stretch), ["lon_2", "lat_2", "_stretch"])
+    return both.join(F.broadcast(near), ["yday", "yday_2"]).select("event_id", "curve_id", "d_h", "d_p")

@@ -98,3 +98,19 @@ def test_settled_tables_go_with_their_scope(spark):
     with pytest.raises(ZeroDivisionError):
         workdir.settle_last(lambda: 1 // 0)
     assert workdir._on_the_way.get() is None
+
+
+def test_candidates_shuffle_no_row_a_day(spark):
+    """Without broadcasts by size, events and curves are dealt out by place and stretch of days; only the days' own small tables by day."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        ev, past = (rows(spark, k, [(p, d) for p in places(6, 5) for d in (1, 100, 364)]) for k in ("event_id", "curve_id"))
+        found = site_pairs.candidates(ev, past, 50.0, 9)
+        plan = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+        assert not any("lon_2" in line and "yday_2" in line for line in plan) and any("_stretch" in line for line in plan)
+        apart = lambda x, y: min((x - y) % 365, (y - x) % 365)
+        at = [(p, d) for p in places(6, 5) for d in (1, 100, 364)]
+        assert found.count() == sum(haversine(p, q) <= 50 and apart(d, g) <= 9 for p, d in at for q, g in at)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
