@@ -468,17 +468,17 @@ _RIDGE = [round(10 ** (-3 + 6 * i / 24), 6) for i in range(25)]
 
 @query("mdl_lasso")
 def mdl_lasso(spark, sf):
-    return tuning.linear(_features(spark, sf), _FEATURES, "label", True, _LASSO)
+    return tuning.linear(settle(_features(spark, sf)), _FEATURES, "label", True, _LASSO)
 
 
 @query("mdl_ridge")
 def mdl_ridge(spark, sf):
-    return tuning.linear(_features(spark, sf), _FEATURES, "label", False, _RIDGE)
+    return tuning.linear(settle(_features(spark, sf)), _FEATURES, "label", False, _RIDGE)
 
 
 @query("mdl_tree")
 def mdl_tree(spark, sf):
-    return tuning.tree(_features(spark, sf), _FEATURES, "label", [2, 3, 5, 8], [1, 2, 5, 10])
+    return tuning.tree(settle(_features(spark, sf)), _FEATURES, "label", [2, 3, 5, 8], [1, 2, 5, 10])
 
 
 @query("mdl_metrics", sql_rounded("WITH x AS (SELECT l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem)\nSELECT 1 - sum(power(y - p, 2)) / (sum(y * y) - count(y) * avg(y) * avg(y)) AS r2, sqrt(avg(power(y - p, 2))) AS rmse, avg(abs(y - p) / nullif(abs(y), 0)) AS mape, avg(abs(y - p) / nullif(abs(p), 0)) AS mape_by_prediction FROM x", "r2 rmse mape mape_by_prediction", "", 4))

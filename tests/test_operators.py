@@ -412,3 +412,11 @@ def test_curves_reach_tasks_as_arrays_and_leave_as_pairs(spark):
     plan = fpca.expected_scores(x, fpca.mean(x), phi, error)._jdf.queryExecution().analyzed().treeString()
     at = next(line for line in plan.splitlines() if "FlatMapCoGroups" in line)
     assert "taus#" in at and "vs#" in at
+
+
+def test_models_are_fitted_one_at_a_time(spark, monkeypatch):
+    """Threads of a CrossValidator share the local properties of one Java object, so that fits in parallel fail by chance."""
+    seen, fit = [], tuning.CrossValidator.fit
+    monkeypatch.setattr(tuning.CrossValidator, "fit", lambda self, *a: seen.append(self.getParallelism()) or fit(self, *a))
+    df = spark.createDataFrame([(float(i % 7), i % 7 * 2.0) for i in range(60)], "a double, y double")
+    assert tuning.linear(df, ["a"], "y", False, [1e-4]).count() >= 0 and seen == [1]
