@@ -3,7 +3,8 @@
 Curves lie in blocks by a cell of longitude and latitude and a stretch of days of the year. Of an event
 with more than kappa_max similar curves in its season, selection keeps the kappa_max nearest; so once a
 few near blocks have given that many, only blocks nearer than the last of them can matter. All other
-events (too few similar curves near them) go on to every block left, and give what `neighbors.near` gives.
+events (too few similar curves near them) meet all curves in large blocks by matrix products
+(`neighbors.near_all`), and give what `neighbors.near` gives.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def _bounds(r, table: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _choose(table: pd.DataFrame, probe: int, first: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Events to (event_id, param_id, block, part): the blocks to try first, or those that are left to score."""
+    """Events to (event_id, param_id, block, part): the blocks to try first, or those left within the radius."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, parts = table["n"].to_numpy(), table["parts"].to_numpy()
@@ -65,14 +66,16 @@ def _choose(table: pd.DataFrame, probe: int, first: bool) -> Callable[[Iterator[
                 if first:
                     chosen = near
                 else:
-                    left = np.ones(len(n), dtype=bool)
+                    left = in_season & (least <= r.radius)
                     left[near] = False
-                    chosen = np.flatnonzero(left if np.isnan(r.radius) else left & in_season & (least <= r.radius))
+                    chosen = np.flatnonzero(left)
                 b = np.repeat(chosen, parts[chosen])
                 part = np.arange(len(b)) - np.repeat(np.cumsum(parts[chosen]) - parts[chosen], parts[chosen])
-                out.append(pd.DataFrame({"event_id": r.event_id, "param_id": r.param_id, "block": b, "part": part}))
-            if out:
-                yield pd.concat(out)
+                out.append((r.event_id, r.param_id, b, part))
+            if out:  # one table a batch: making one an event costs more than the bounds
+                size = [len(b) for _, _, b, _ in out]
+                event, param = (np.repeat(np.array(c, dtype=np.int64), size) for c in list(zip(*out))[:2])
+                yield pd.DataFrame({"event_id": event, "param_id": param, "block": np.concatenate([b for _, _, b, _ in out]), "part": np.concatenate([q for *_, q in out])})
 
     return run
 
@@ -117,7 +120,10 @@ def near(
     # Where the near blocks hold more than kappa_max similar curves, and so many in season, no curve beyond the last of them is kept.
     season = first.where((F.col("w") >= F.col("xi")) & (F.col("d_p") <= F.col("big_gamma")) & F.col("d_h").isNotNull())
     at = season.withColumn("_r", F.row_number().over(Window.partitionBy(*N.KEYS).orderBy("d_h", "curve_id"))).where(F.col("_r") == F.col("kappa_max")).select(*N.KEYS, F.col("d_h").alias("radius"))
-    sure = first.groupBy(*N.KEYS).agg(F.sum("sim_here").alias("n_sim")).join(at, N.KEYS)
-    known = sites.join(sure, N.KEYS, "left").withColumn("radius", F.when((F.col("n_sim") > F.col("kappa_max")) & (F.col("kappa_min") <= F.col("kappa_max")), F.col("radius"))).drop("n_sim")
+    sure = first.groupBy(*N.KEYS).agg(F.sum("sim_here").alias("n_sim"), F.max("kappa_max").alias("kappa_max")).join(at, N.KEYS)
+    sure = settle(sure.where((F.col("n_sim") > F.col("kappa_max")) & F.col("radius").isNotNull()).select(*N.KEYS, "radius"))
+    known = sites.where("kappa_min <= kappa_max").join(sure, N.KEYS)
     rest = settle(known.mapInPandas(_choose(table, probe, False), schema))
-    return first.unionByName(_score(weighted, rest, placed, event_rows))
+    found = first.join(known.select(*N.KEYS), N.KEYS, "left_semi").unionByName(_score(weighted, rest, placed, event_rows))
+    left = settle(weighted.join(known.select(*N.KEYS), N.KEYS, "left_anti"))
+    return found.unionByName(N.near_all(left, placed))

@@ -82,6 +82,29 @@ def test_blocks_touched_do_not_grow_with_the_area(spark):
     assert touched[1][0] < 1.6 * touched[0][0] and touched[1][0] < 0.1 * touched[1][1]  # those of an event hardly
 
 
+def test_events_with_few_similar_curves_meet_all_by_products(spark):
+    """They are listed for no block after the first ones, and products give the rows, counts and ties of the plain way."""
+    one = _history(spark, 700, 30, odd=False)
+    history = settle(one.unionByName(one.withColumn("curve_id", F.col("curve_id") + 10_000).withColumn("lon", F.col("lon") + 0.5)))  # each curve twice: ties
+    events, count = settle(_events(spark, 30, 30).where("param_id = 2")), _Count()
+    found = site_index.near(events, history, count, 2.0)
+    assert _final(found) == _final(N.near(events, history)) and len(_final(found)) == 30 * 6
+    assert count.pairs / 30 < 0.2 * site_index.blocks(history).count()  # before: all blocks, and so 1 a block and event
+
+
+def test_products_keep_what_is_needed(spark, monkeypatch):
+    monkeypatch.setattr(N, "_TILE_CURVES", 64)
+    columns = [c.split()[0] for c in N._SCORED.split(", ")]
+    ev = _events(spark, 20, 30).toPandas().assign(fold=lambda d: d["event_id"] % 4)
+    past = _history(spark, 500, 30, odd=False).toPandas().assign(fold=lambda d: d["curve_id"] % 4)
+    past = N.pd.concat([past, past.assign(curve_id=past["curve_id"] + 10_000)], ignore_index=True)
+    want, got = (df.sort_values(columns[:3]).reset_index(drop=True) for df in (N._score_block(ev, past, False, False), N._needed_block(ev, past)))
+    assert want[columns[:3]].values.tolist() == got[columns[:3]].values.tolist() and len(want) > 500
+    assert all(N.np.allclose(want[c], got[c], rtol=1e-12, atol=1e-14) for c in columns[3:-1])
+    sims = lambda df: df.groupby(N.KEYS)["sim_here"].sum().to_dict()
+    assert sims(want) == sims(got)
+
+
 def test_empty_history(spark):
     history = spark.createDataFrame([], CURVE)
     assert site_index.near(_events(spark, 3, 5), history, settle).count() == 0
