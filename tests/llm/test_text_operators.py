@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from curvecast.llm import common, decontaminate, jaccard, pieces, pii, quality, run_index
@@ -498,6 +499,25 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     assert run_index.remove_repeats(frame(spark, texts).where("false")).count() == 0
 
 
+def test_rows_of_one_text_are_split_over_tasks(spark):
+    wanted = {
+        "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        sha = F.sha2(F.when(F.col("id") % 2 == 0, F.lit("copy")).otherwise(F.col("id").cast("string")), 256)
+        narrow = common.settle(spark.range(0, 20_000, 1, 8).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("th"), sha.alias("sha")))
+        copied = narrow.join(run_index._recurring(narrow), "sha", "left_semi")
+        rows = Counter(r["task"] for r in copied.withColumn("task", F.spark_partition_id()).collect())
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert rows.total() == 10_000 and max(rows.values()) <= 4_000
+
+
 # Pipeline
 
 
