@@ -607,7 +607,7 @@ def _day_events(hours, means, first, days):
 
 
 def _static(spark, sf):
-    ud = X.user_day(spark, sf).where("day <= 20")
+    ud = settle(X.user_day(spark, sf).where("day <= 20"))
     cap = ud.groupBy("asset").agg(F.greatest(F.max("f"), F.lit(1e-9)).alias("cap"))
     past = ud.join(cap, "asset").withColumns({"f": F.col("f") / F.col("cap"), "e": F.col("e") / F.col("cap"), "lon": X.lon(F.col("asset")), "lat": X.lat(F.col("asset")), "yday": F.col("day")})
     means = prep.pack(past.where("day = 1"), ["asset"], e="e").join(cap, "asset")

@@ -8,7 +8,7 @@ from curvecast.functions import curves as C
 from curvecast.operators import prep, ranks
 from curvecast.plans import fixtures as X
 from curvecast.plans.registry import query, rounded, sql_rounded
-from curvecast.plans.workdir import new_path
+from curvecast.plans.workdir import new_path, settle
 from curvecast.sources import readers as R
 from curvecast.sources import xlsx
 
@@ -187,7 +187,7 @@ def prep_capacity(spark, sf):
 
 @query("prep_normalize", sql_rounded("WITH " + X.RAW_SQL + ", cap AS (SELECT asset, max(f) AS c FROM raw WHERE y < 2000 GROUP BY asset)\nSELECT asset, y, tau, f / nullif(c, 0) AS f, e / nullif(c, 0) AS e FROM raw JOIN cap USING (asset)", "f e", "asset y tau"))
 def prep_normalize(spark, sf):
-    raw = X.nation_raw(spark, sf)
+    raw = settle(X.nation_raw(spark, sf))
     return rounded(prep.normalize(raw, prep.capacity(raw.where("y < 2000")), "f", "e"))
 
 
