@@ -500,8 +500,8 @@ def fpca_cov(spark, sf):
     return rounded(fpca.covariance(X.embed(spark, sf)), 8)
 
 
-def _model(spark, sf, k=4, slots=64):
-    x = X.embed(spark, sf).where(F.col("tau") < slots)
+def _model(spark, sf, k=4):
+    x = X.embed(spark, sf)
     phi = settle(fpca.fit(x, k))
     return x, fpca.mean(x), phi
 

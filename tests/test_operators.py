@@ -441,3 +441,18 @@ def test_largest_share_is_one_however_sums_come_out(spark, monkeypatch, make, as
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
     assert len(most) >= 10 and set(most) == {1.0}
+
+
+def test_reconstruction_covers_every_slot(spark, tmp_path):
+    """Longer vectors than those of the given tables: all slots are fitted and come back."""
+    rng = random.Random(4)
+    rows = [(i, [rng.random() for _ in range(70)], i % 2) for i in range(12)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["curve_id"], r["tau"]): r["v"] for r in q_eval.fpca_reconstruct(spark, str(tmp_path)).collect()}
+    assert set(got) == {(i, k) for i in range(12) for k in range(70)}
+    for label in (0, 1):
+        x = np.array([[float(np.float32(v)) for v in row] for i, row, own in rows if own == label])
+        d = x - x.mean(axis=0)
+        top = np.linalg.svd(d, full_matrices=False)[2][:4]
+        want = x.mean(axis=0) + d @ top.T @ top
+        assert all(math.isclose(got[i, k], want[i // 2, k], abs_tol=2e-6) for i in range(label, 12, 2) for k in range(70))
