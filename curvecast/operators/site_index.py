@@ -89,7 +89,7 @@ def _score(weighted: DataFrame, pairs: DataFrame, placed: DataFrame, event_rows:
     ev = pairs.join(chunks, ["block", "part"]).withColumn("_c", F.pmod(F.xxhash64(*N.KEYS), "chunks").cast("int")).drop("chunks").join(ev, N.KEYS)
     past = placed.join(chunks, ["block", "part"]).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     past = past.select(F.col("block").alias("h_block"), F.col("part").alias("h_part"), F.col("_c").alias("h_c"), *[F.col(c).alias(f"h_{c}") for c in N._CURVE], fold(placed, -2).alias("h_fold"))
-    run = lambda a, b: N._score_block(a, b.rename(columns=lambda c: c[2:]), False, False)
+    run = lambda a, b: N._needed_block(a, b.rename(columns=lambda c: c[2:]))
     # A number of our own: these rows are few bytes and much work, and would be merged into one task by their bytes.
     n = int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ev, past = ev.repartition(n, "block", "part", "_c"), past.repartition(n, "h_block", "h_part", "h_c")
@@ -100,7 +100,7 @@ def near(
     weighted: DataFrame, history: DataFrame, settle: Callable[[DataFrame], DataFrame], degrees: float = 2.0, days: int = 30, probe: int = 4, event_rows: int = N.EVENT_ROWS, curves: int = N.CURVES,
 ) -> DataFrame:
     """Rows from which neighbors.select finds what it finds in those of neighbors.near: in_final and sigma are
-    the same (in_sim and in_temporal are whole only for events that went through every block).
+    the same (in_sim and in_temporal are whole only for events that met all curves).
 
     An event first meets the near blocks of its season, until they hold `probe` times kappa_max
     curves. `settle` writes a table and reads it back: events, both lists of pairs and the first
@@ -116,14 +116,43 @@ def near(
     weighted, placed = settle(weighted), settle(placed.drop("parts", *_BLOCK))
     sites = weighted.select(*N.KEYS, "lon", "lat", "yday", "gamma", "kappa_min", "kappa_max")
     schema = "event_id long, param_id int, block int, part int"
-    first = settle(_score(weighted, settle(sites.mapInPandas(_choose(table, probe, True), schema)), placed, event_rows))
-    # Where the near blocks hold more than kappa_max similar curves, and so many in season, no curve beyond the last of them is kept.
-    season = first.where((F.col("w") >= F.col("xi")) & (F.col("d_p") <= F.col("big_gamma")) & F.col("d_h").isNotNull())
-    at = season.withColumn("_r", F.row_number().over(Window.partitionBy(*N.KEYS).orderBy("d_h", "curve_id"))).where(F.col("_r") == F.col("kappa_max")).select(*N.KEYS, F.col("d_h").alias("radius"))
-    sure = first.groupBy(*N.KEYS).agg(F.sum("sim_here").alias("n_sim"), F.max("kappa_max").alias("kappa_max")).join(at, N.KEYS)
-    sure = settle(sure.where((F.col("n_sim") > F.col("kappa_max")) & F.col("radius").isNotNull()).select(*N.KEYS, "radius"))
-    known = sites.where("kappa_min <= kappa_max").join(sure, N.KEYS)
-    rest = settle(known.mapInPandas(_choose(table, probe, False), schema))
-    found = first.join(known.select(*N.KEYS), N.KEYS, "left_semi").unionByName(_score(weighted, rest, placed, event_rows))
-    left = settle(weighted.join(known.select(*N.KEYS), N.KEYS, "left_anti"))
+    tried = lambda who, n: settle(_score(weighted, settle(who.mapInPandas(_choose(table, n, True), schema)), placed, event_rows))
+    first = tried(sites, probe)
+    able = sites.where("kappa_min <= kappa_max")
+    known = able.join(settle(_radius(first)), N.KEYS)
+    found = _within_radius(first, known, weighted, placed, table, probe, settle, event_rows)
+    rest = settle(sites.join(known.select(*N.KEYS), N.KEYS, "left_anti"))
+    # Some curves near are similar, but too few: a wider look costs less than meeting all curves, of which very many may be similar.
+    wide = _WIDER * probe
+    some = first.groupBy(*N.KEYS).agg(F.sum("sim_here").alias("_n")).where(F.col("_n") >= _SOME).select(*N.KEYS)
+    again = rest.where((F.col("kappa_min") <= F.col("kappa_max")) & (F.col("kappa_max") * (wide * _WIDER) <= int(table["n"].sum()))).join(some, N.KEYS)
+    again = settle(again)
+    if not again.isEmpty():
+        second = tried(again, wide)
+        more = again.join(settle(_radius(second)), N.KEYS)
+        found = found.unionByName(_within_radius(second, more, weighted, placed, table, wide, settle, event_rows))
+        rest = settle(rest.join(more.select(*N.KEYS), N.KEYS, "left_anti"))
+    left = settle(weighted.join(rest.select(*N.KEYS), N.KEYS, "left_semi"))
     return found.unionByName(N.near_all(left, placed))
+
+
+#: How many times more curves an event tries that has found so many similar ones at least, but not enough.
+_WIDER, _SOME = 8, 2
+
+
+def _radius(tried: DataFrame) -> DataFrame:
+    """KEYS and radius of the events for which the near blocks hold more than kappa_max similar curves, and so many in season:
+    no curve beyond the last of them is kept."""
+    season = tried.where((F.col("w") >= F.col("xi")) & (F.col("d_p") <= F.col("big_gamma")) & F.col("d_h").isNotNull())
+    at = season.withColumn("_r", F.row_number().over(Window.partitionBy(*N.KEYS).orderBy("d_h", "curve_id"))).where(F.col("_r") == F.col("kappa_max")).select(*N.KEYS, F.col("d_h").alias("radius"))
+    sure = tried.groupBy(*N.KEYS).agg(F.sum("sim_here").alias("n_sim"), F.max("kappa_max").alias("kappa_max")).join(at, N.KEYS)
+    return sure.where((F.col("n_sim") > F.col("kappa_max")) & F.col("radius").isNotNull()).select(*N.KEYS, "radius")
+
+
+def _within_radius(tried: DataFrame, known: DataFrame, weighted: DataFrame, placed: DataFrame, table: pd.DataFrame, probe: int, settle: Callable[[DataFrame], DataFrame], event_rows: int) -> DataFrame:
+    """Of the events known, the rows tried and those of the blocks left within their radius: similar ones of the season no
+    further than that, as all others can't be chosen, and those that carry a count of similar ones."""
+    rest = settle(known.mapInPandas(_choose(table, probe, False), "event_id long, param_id int, block int, part int"))
+    rows = tried.unionByName(_score(weighted, rest, placed, event_rows)).join(known.select(*N.KEYS, "radius"), N.KEYS)
+    chosen = (F.col("w") >= F.col("xi")) & (F.col("d_p") <= F.col("big_gamma")) & F.coalesce(F.col("d_h") <= F.col("radius"), F.lit(True))
+    return rows.where(chosen | (F.col("sim_here") > 0)).drop("radius")

@@ -105,6 +105,27 @@ def test_products_keep_what_is_needed(spark, monkeypatch):
     assert sims(want) == sims(got)
 
 
+def test_events_with_some_similar_curves_look_wider(spark, monkeypatch):
+    """An event whose near blocks hold a few similar curves tries more of them before it meets all; the selection stays."""
+    history, events = settle(_history(spark, 3000, 20, noise=0.5, odd=False)), settle(_events(spark, 40, 20, noise=0.5).where("param_id = 0").withColumn("xi", F.lit(0.95)))
+    met, plain = [], N.near_all
+    monkeypatch.setattr(N, "near_all", lambda left, placed: (met.append(left.count()), plain(left, placed))[1])
+    want = _final(N.near(events, history))
+    assert _final(site_index.near(events, history, settle, 2.0, probe=4)) == want
+    monkeypatch.setattr(site_index, "_SOME", 10**6)  # as before: no second look
+    assert _final(site_index.near(events, history, settle, 2.0, probe=4)) == want
+    assert met[0] < 0.5 * met[1]
+
+
+def test_products_by_kind_or_by_event_are_alike(spark, monkeypatch):
+    ev, past = (df.toPandas().assign(fold=k) for df, k in ((_events(spark, 30, 30), -1), (_history(spark, 600, 30, hot=200, odd=False), -2)))
+    by_kind = N._needed_block(ev, past)
+    monkeypatch.setattr(N, "_KINDS", 0)
+    want, by_event, plain = by_kind.sort_values(N.KEYS + ["curve_id"]), N._needed_block(ev, past).sort_values(N.KEYS + ["curve_id"]), N._score_block(ev, past, False, False).sort_values(N.KEYS + ["curve_id"])
+    assert want.drop(columns="sim_here").to_numpy().tolist() == by_event.drop(columns="sim_here").to_numpy().tolist()
+    assert want[["event_id", "param_id", "curve_id"]].to_numpy().tolist() == plain[["event_id", "param_id", "curve_id"]].to_numpy().tolist()
+
+
 def test_empty_history(spark):
     history = spark.createDataFrame([], CURVE)
     assert site_index.near(_events(spark, 3, 5), history, settle).count() == 0
